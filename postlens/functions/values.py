@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,15 @@ from postlens import fixed_values as fixed
 from postlens.functions.text import strip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``.
+
+    Catalyst moves filters below projections by copying expressions. A value
+    bound here stays a single copy however often ``body`` uses it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _literal_map(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 

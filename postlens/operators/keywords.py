@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postlens import fixed_values as fixed
 from postlens.functions import text as tx
+from postlens.functions import values as val
 from postlens.operators.ranking import top_k
 
 
@@ -16,37 +17,44 @@ def keyword_tokens(col: Column, stop_words: list[str] = fixed.STOP_WORDS, longer
     return tx.drop_stopwords(words, stop_words)
 
 
-def with_keywords(df: DataFrame, column: str = "text", n: int = 8,
-                  stop_words: list[str] = fixed.STOP_WORDS) -> DataFrame:
-    """Add ``keywords``: ``array<struct<word, n>>``, most frequent first, ties by first appearance.
+def top_words(words: Column, n: int = 8) -> Column:
+    """``array<struct<word, n>>``: the most frequent words, ties by first appearance.
 
-    The words of a text are sorted together with their places; equal words then
-    form runs, whose first element holds the first place and whose length is the
-    count. The cost is one sort per text and no shuffle.
+    The words are sorted together with their places; equal words then form runs,
+    whose first element holds the first place and whose length is the count. The
+    cost is two sorts inside the row and no shuffle.
     """
-    places = F.array_sort(F.transform(
-        F.col("_words"), lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
-    starts = F.filter(
-        F.transform(F.col("_sorted"), lambda x, i: F.struct(
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+
+    def run_starts(ordered: Column) -> Column:
+        marked = F.transform(ordered, lambda x, i: F.struct(
             x["word"].alias("word"), x["place"].alias("place"), i.alias("at"),
-            F.get(F.col("_sorted"), i - 1)["word"].alias("left"))),
-        lambda x: x["left"].isNull() | (x["left"] != x["word"]))
-    runs = F.array_sort(F.transform(F.col("_starts"), lambda x, i: F.struct(
-        (x["at"] - F.coalesce(F.get(F.col("_starts"), i + 1)["at"], F.size("_sorted"))).alias("neg"),
-        x["place"].alias("place"), x["word"].alias("word"))))
-    staged = (df.withColumn("_words", keyword_tokens(F.col(column), stop_words))
-              .withColumn("_sorted", places).withColumn("_starts", starts).withColumn("_runs", runs))
-    top = F.transform(F.slice("_runs", 1, n), lambda r: F.struct(
-        r["word"].alias("word"), (-r["neg"]).cast("bigint").alias("n")))
-    return staged.withColumn("keywords", top).drop("_words", "_sorted", "_starts", "_runs")
+            F.get(ordered, i - 1)["word"].alias("left")))
+        return F.filter(marked, lambda x: x["left"].isNull() | (x["left"] != x["word"]))
+
+    def by_length(starts: Column) -> Column:
+        ends = F.transform(starts, lambda x, i: F.struct(
+            (x["at"] - F.coalesce(F.get(starts, i + 1)["at"], F.size(words))).alias("neg"),
+            x["place"].alias("place"), x["word"].alias("word")))
+        return F.slice(F.array_sort(ends), 1, n)
+
+    runs = val.let(val.let(placed, run_starts), by_length)
+    return F.transform(runs, lambda r: F.struct(r["word"].alias("word"), (-r["neg"]).cast("bigint").alias("n")))
+
+
+def with_keywords(df: DataFrame, column: str = "text", n: int = 8,
+                  stop_words: list[str] = fixed.STOP_WORDS) -> DataFrame:
+    """Add ``keywords``: ``array<struct<word, n>>``, best first."""
+    found = val.let(keyword_tokens(F.col(column), stop_words), lambda words: top_words(words, n))
+    return df.withColumn("keywords", found)
 
 
 def keyword_rows(df: DataFrame, key: str, column: str = "text", n: int = 8,
                  stop_words: list[str] = fixed.STOP_WORDS) -> DataFrame:
     """``with_keywords`` as rows ``(key, rank, word, n)``."""
     found = with_keywords(df.select(key, column), column, n, stop_words)
-    return found.select(key, F.posexplode("keywords").alias("rank", "k")).select(
-        key, (F.col("rank") + 1).alias("rank"), "k.word", "k.n")
+    rows = found.select(key, F.posexplode_outer("keywords").alias("rank", "k"))
+    return rows.where(F.col("k").isNotNull()).select(key, (F.col("rank") + 1).alias("rank"), "k.word", "k.n")
 
 
 def topic_terms(df: DataFrame, topic: str, column: str = "text", k: int = 5,

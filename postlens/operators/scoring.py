@@ -17,12 +17,12 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from postlens import fixed_values as fixed
 from postlens import schemas
 from postlens.functions import text as tx
 from postlens.functions import values as val
+from postlens.operators.ranking import rank_sentences
 
 LABELS = ("positive", "negative", "neutral")
 VOTE_TYPE = "decimal(18,6)"
@@ -118,79 +118,87 @@ def with_scores(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:
     return df.withColumn("scored", (scorer or lexicon_scorer())(F.col("sentences")))
 
 
-def vote(df: DataFrame, scored: str = "scored", weights: LastWeights = LastWeights()) -> DataFrame:
-    """Add ``sentiment``, ``score``, ``confidence`` and ``label`` from the scored sentences.
+def vote_of(scored: Column, weights: LastWeights = LastWeights()) -> Column:
+    """``struct(sentiment, confidence, label)`` of an array of scored sentences.
 
     Votes are summed as decimals, so exact ties stay exact in any order.
     """
-    n = F.size(scored)
-    weighted = F.transform(scored, lambda x, i: F.struct(
-        x["label"].alias("label"),
-        (x["score"].cast(VOTE_TYPE) * F.when(i == n - 1, last_weight(n, weights)).otherwise(1)).alias("vote")))
-
-    def total(label: str) -> Column:
-        return F.aggregate(
-            F.filter("_weighted", lambda x: x["label"] == label), F.lit(0).cast(VOTE_TYPE),
-            lambda acc, x: (acc + x["vote"]).cast(VOTE_TYPE))
-
-    parts = df.withColumn("_weighted", weighted).withColumns({
-        "_n": F.size(scored),
-        **{f"_{label}": total(label) for label in LABELS},
-        "_top": F.array_max(F.transform(scored, lambda x, i: F.struct(
-            x["score"].alias("score"), (-i).alias("place"), x["label"].alias("label")))),
-    })
-    return _decide(parts, list(df.columns)).drop("_weighted")
-
-
-def vote_sentences(sentences: DataFrame, key: str = "doc_id", weights: LastWeights = LastWeights()) -> DataFrame:
-    """The same vote for scores in long form ``(key, sent_idx, label, score)``.
-
-    For scores that arrive as a table. One shuffle on ``key`` serves both the
-    window and the aggregation; ``rank_sentences`` keeps ten rows per key.
-    """
-    size = F.count("*").over(W.partitionBy(key))
-    last = F.max("sent_idx").over(W.partitionBy(key))
-    weight = F.when(F.col("sent_idx") == last, last_weight(size, weights)).otherwise(F.lit(1).cast(VOTE_TYPE))
-    cast = sentences.withColumn("_vote", (F.col("score").cast(VOTE_TYPE) * weight).cast(VOTE_TYPE))
-    parts = cast.groupBy(key).agg(
-        F.count("*").cast("int").alias("_n"),
-        *[F.coalesce(F.sum(F.when(F.col("label") == label, F.col("_vote"))), F.lit(0))
-          .cast(VOTE_TYPE).alias(f"_{label}") for label in LABELS],
-        F.max(F.struct("score", (-F.col("sent_idx")).alias("place"), "label")).alias("_top"))
-    return _decide(parts, [key])
-
-
-def _decide(parts: DataFrame, keep: list[str]) -> DataFrame:
-    """From vote totals (``_n``, ``_positive``, ``_negative``, ``_neutral``, ``_top``) to the result."""
+    def cast(c: Column) -> Column:
+        return c.cast(VOTE_TYPE)
+
+    def tally(sentences: Column) -> Column:
+        n = F.size(sentences)
+        votes = F.transform(sentences, lambda x, i: F.struct(
+            x["label"].alias("label"),
+            cast(cast(x["score"]) * F.when(i == n - 1, last_weight(n, weights)).otherwise(1)).alias("vote")))
+        totals = F.aggregate(
+            votes, F.struct(*[cast(F.lit(0)).alias(label) for label in LABELS]),
+            lambda acc, x: F.struct(*[
+                cast(acc[label] + F.when(x["label"] == label, x["vote"]).otherwise(0)).alias(label) for label in LABELS]))
+        strongest = F.array_max(F.transform(sentences, lambda x, i: F.struct(
+            x["score"].alias("score"), (-i).alias("place"), x["label"].alias("label"))))
+        return F.struct(n.alias("n"), totals.alias("votes"), strongest.alias("top"))
+
+    return val.let(val.let(scored, tally), _decide)
+
+
+def _decide(t: Column) -> Column:
+    """From ``struct(n, votes, top)`` to the verdict."""
     # Struct order settles ties: equal votes fall to the label named first in LABELS.
     ranked = F.reverse(F.array_sort(F.array(*[
-        F.struct(F.col(f"_{label}").alias("votes"), F.lit(-i).alias("place"), F.lit(label).alias("label"))
+        F.struct(t["votes"][label].alias("votes"), F.lit(-i).alias("place"), F.lit(label).alias("label"))
         for i, label in enumerate(LABELS)])))
 
+    def measure(r: Column) -> Column:
+        top = t["top"]["label"]
+        backing = F.element_at(F.filter(r, lambda x: x["label"] == top), 1)["votes"]
+        return F.struct(
+            r[0]["label"].alias("first"), r[1]["label"].alias("second"),
+            (r[0]["votes"].cast("double") / t["n"]).alias("base"),
+            (r[1]["votes"].cast("double") / t["n"]).alias("second_base"),
+            (r[1]["votes"] > F.lit("0.3").cast(VOTE_TYPE)).alias("second_counts"),
+            ((r[0]["label"] != top) & (r[0]["votes"] - backing < F.lit("0.35").cast(VOTE_TYPE))).alias("overruled"))
+
     def clamp(value: Column, low: float, high: float) -> Column:
         return F.least(F.lit(high), F.greatest(F.lit(low), value))
 
-    first, second, n = F.col("_ranked")[0], F.col("_ranked")[1], F.col("_n")
-    strongest_votes = (F.when(F.col("_top.label") == "positive", F.col("_positive"))
-                       .when(F.col("_top.label") == "negative", F.col("_negative")).otherwise(F.col("_neutral")))
-    staged = parts.withColumn("_ranked", ranked).withColumns({
-        "_base": first["votes"].cast("double") / n,
-        "_second": second["votes"].cast("double") / n,
-        "_overruled": (first["label"] != F.col("_top.label"))
-        & (F.abs(first["votes"] - strongest_votes) < F.lit("0.35").cast(VOTE_TYPE)),
-    }).withColumn("_weak", (first["label"] == "neutral") & (F.col("_base") < 0.55))
-    swap = F.col("_weak") & (second["votes"] > F.lit("0.3").cast(VOTE_TYPE))
-    sentiment = F.when(F.col("_overruled"), F.col("_top.label")).when(swap, second["label"]).otherwise(first["label"])
-    confidence = (
-        F.when(F.col("_overruled"), F.col("_top.score"))
-        .when(swap, clamp(F.col("_second"), 0.60, 0.85))
-        .when(F.col("_weak"), clamp(F.col("_base"), 0.45, 0.85))
-        .when(first["label"] == "neutral", clamp(F.col("_base"), 0.50, 0.85))
-        .otherwise(clamp(F.col("_base"), 0.65, 0.99)))
-    decided = staged.withColumns({"sentiment": sentiment, "confidence": confidence})
-    return decided.select(
-        *keep, "sentiment", val.signed_score(F.col("sentiment"), F.col("confidence")).alias("score"),
-        "confidence", F.col("_top.label").alias("label"))
+    def verdict(m: Column) -> Column:
+        neutral, weak = m["first"] == "neutral", m["base"] < 0.55
+        swap = neutral & weak & m["second_counts"]
+        return F.struct(
+            F.when(m["overruled"], t["top"]["label"]).when(swap, m["second"]).otherwise(m["first"]).alias("sentiment"),
+            F.when(m["overruled"], t["top"]["score"])
+            .when(~neutral, clamp(m["base"], 0.65, 0.99))
+            .when(swap, clamp(m["second_base"], 0.60, 0.85))
+            .when(weak, clamp(m["base"], 0.45, 0.85))
+            .otherwise(clamp(m["base"], 0.50, 0.85)).alias("confidence"),
+            t["top"]["label"].alias("label"))
+
+    return val.let(val.let(ranked, measure), verdict)
+
+
+def _spread(df: DataFrame, keep: list[str], verdict: str = "_verdict") -> DataFrame:
+    sentiment, confidence = F.col(f"{verdict}.sentiment"), F.col(f"{verdict}.confidence")
+    return df.select(*keep, sentiment, val.signed_score(sentiment, confidence).alias("score"), confidence,
+                     F.col(f"{verdict}.label"))
+
+
+def vote(df: DataFrame, scored: str = "scored", weights: LastWeights = LastWeights()) -> DataFrame:
+    """Add ``sentiment``, ``score``, ``confidence`` and ``label`` from the scored sentences."""
+    return _spread(df.withColumn("_verdict", vote_of(F.col(scored), weights)), list(df.columns))
+
+
+def vote_sentences(sentences: DataFrame, key: str = "doc_id", weights: LastWeights = LastWeights()) -> DataFrame:
+    """The same vote for scores in long form ``(key, sent_idx, label, score)``.
+
+    For scores that arrive as a table. Only the last ten rows of a key vote, so
+    the array they meet in is that small.
+    """
+    gathered = rank_sentences(sentences, key).groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("sent_idx", "label", "score"))).alias("_rows"))
+    scored = gathered.select(key, F.transform("_rows", lambda x: F.struct(
+        x["label"].alias("label"), x["score"].cast("double").alias("score"))).alias("scored"))
+    return vote(scored, "scored", weights).drop("scored")
 
 
 def lexicon_override(df: DataFrame, text: Column, lexicon: Lexicon = Lexicon()) -> DataFrame:

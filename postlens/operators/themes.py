@@ -25,19 +25,17 @@ def theme_result(df: DataFrame, scores: str = "theme_scores", threshold: float =
     A row without scores gets the general theme and an error text.
     """
     usable = F.coalesce(F.size(scores), F.lit(0)) > 0
-    staged = df.withColumn("_themes", F.when(usable, F.transform(
-        top_themes(F.col(scores), threshold, k),
-        lambda x: F.struct(val.theme_label(x["label"]).alias("label"),
-                           (val.round2(x["score"]) if round_scores else x["score"]).alias("score")))))
+    named = F.transform(top_themes(F.col(scores), threshold, k), lambda x: F.struct(
+        val.theme_label(x["label"]).alias("label"),
+        (val.round2(x["score"]) if round_scores else x["score"]).alias("score")))
+    labels = F.transform("_themes", lambda x: x["label"])
     cents = F.transform("_themes", lambda x: x["score"].cast("decimal(4,2)"))
-    return staged.withColumns({
-        "themes": F.when(usable, F.transform("_themes", lambda x: x["label"])).otherwise(
-            F.array(F.lit(fixed.FALLBACK_THEME))),
+    close = F.get(cents, F.lit(0)) - F.get(cents, F.lit(1)) < F.lit("0.10").cast("decimal(4,2)")
+    return df.withColumn("_themes", F.when(usable, named)).withColumns({
+        "themes": F.coalesce(labels, F.array(F.lit(fixed.FALLBACK_THEME))),
         "main_topic": F.coalesce(F.col("_themes")[0]["label"], F.lit(fixed.FALLBACK_THEME)),
-        "scores": F.when(usable, F.map_from_entries(F.col("_themes"))).otherwise(
-            F.create_map().cast("map<string,double>")),
-        "is_ambiguous": F.coalesce(F.get(cents, F.lit(0)) - F.get(cents, F.lit(1)) < F.lit("0.10").cast("decimal(4,2)"),
-                                   F.lit(False)),
+        "scores": F.coalesce(F.map_from_entries("_themes"), F.create_map().cast("map<string,double>")),
+        "is_ambiguous": F.coalesce(close, F.lit(False)),
         "threshold_used": F.when(usable, F.lit(threshold)),
         "error": F.when(~usable, "no theme scores"),
     }).drop("_themes")
@@ -45,11 +43,19 @@ def theme_result(df: DataFrame, scores: str = "theme_scores", threshold: float =
 
 def vocabulary_scores(col: Column, vocabularies: dict[str, list[str]]) -> Column:
     """Theme scores from word lists: each list's share of all listed words in the text."""
-    words = tx.word_tokens(col)
-    hits = [F.size(F.filter(words, lambda w, v=v: w.isin(list(v)))) for v in vocabularies.values()]
-    total = F.nullif(sum(hits[1:], hits[0]), F.lit(0))
-    return F.array(*[F.struct(F.lit(name).alias("label"), F.coalesce(h / total, F.lit(0.0)).alias("score"))
-                     for name, h in zip(vocabularies, hits)])
+
+    def count_in(words: Column, vocabulary: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(list(vocabulary))))
+
+    def hits(words: Column) -> Column:
+        return F.array(*[count_in(words, v) for v in vocabularies.values()])
+
+    def shares(found: Column) -> Column:
+        total = F.nullif(F.aggregate(found, F.lit(0), lambda a, b: a + b), F.lit(0))
+        return F.array(*[F.struct(F.lit(name).alias("label"), F.coalesce(found[i] / total, F.lit(0.0)).alias("score"))
+                         for i, name in enumerate(vocabularies)])
+
+    return val.let(val.let(tx.word_tokens(col), hits), shares)
 
 
 def train_theme_model(labelled: DataFrame, column: str = "text", label: str = "theme",
