@@ -1,5 +1,5 @@
 """All registered queries by name."""
 
-from postlens.plans import opinion
+from postlens.plans import cleaning, evaluation, opinion
 
-QUERIES = {**opinion.QUERIES}
+QUERIES = {**opinion.QUERIES, **cleaning.QUERIES, **evaluation.QUERIES}
