@@ -117,7 +117,7 @@ def sample_correct(df: DataFrame, id_column: str, k: int = 5, column: str = "bod
 
 def crosstab(df: DataFrame, row: str, column: str, columns: list) -> DataFrame:
     """Counts of ``row`` by the given values of ``column`` (named up front, so no extra job)."""
-    return df.groupBy(row).pivot(column, list(columns)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(column, list(columns)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def compare_models(predictions: DataFrame, gold: DataFrame, models: list[str], key: str = "id") -> DataFrame:

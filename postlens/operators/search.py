@@ -114,8 +114,8 @@ def autocomplete(queries: DataFrame, titles: DataFrame, nicks: DataFrame, k: int
              .groupBy("kind", "text").agg(F.max("weight").alias("weight"))
              .withColumn("_t", _match_key(F.col("text"))).where(F.length("_t") >= 2))
     lengths = F.sequence(F.lit(2), F.least(F.length("_t"), F.greatest(longest, F.lit(2))))
-    heads = texts.select("kind", "text", "weight", F.explode(
-        F.transform(lengths, lambda n: F.substr(F.col("_t"), F.lit(1), n))).alias("_q"))
+    heads = (texts.select("kind", "text", "weight", "_t", F.explode(lengths).alias("_n"))
+             .select("kind", "text", "weight", F.substr(F.col("_t"), F.lit(1), F.col("_n")).alias("_q")))
     hits = heads.join(asked.select("_q").distinct(), "_q")
     best = top_k(hits, ["_q", "kind"], [F.col("weight").desc(), F.col("text")], k)
     return best.join(asked, "_q").select("query", "kind", "rank", "text")

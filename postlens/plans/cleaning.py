@@ -129,7 +129,7 @@ def prepared_texts(spark, folder):
 
 
 def squashed_pages(spark, folder):
-    wide = F.translate(F.col("html"), " ", " ")
+    wide = F.translate(F.col("html"), " ", "\u00a0")
     return table(spark, folder, "pages").select("page_id", tx.squash_ws(wide).alias("html"))
 
 
@@ -150,7 +150,7 @@ def repaired_texts(spark, folder):
 
 
 def composed_texts(spark, folder):
-    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("é")), F.lit("ü"), F.lit("ü"))
+    apart = F.replace(F.replace(F.col("text"), F.lit("é"), F.lit("e\u0301")), F.lit("ü"), F.lit("u\u0308"))
     return table(spark, folder, "documents").select("doc_id", tx.nfc(apart).alias("text"))
 
 
@@ -202,10 +202,10 @@ def url_parts(spark, folder):
 
 
 def listing_paths(spark, folder):
-    url = F.concat(F.lit("/api/basliklar?kanal="), F.col("p_brand"), F.lit("%20"), F.col("p_name"),
+    url = F.concat(F.lit("/api/basliklar?kanal="), F.url_encode("p_brand"), F.lit("%20"), F.col("p_name"),
                    F.when(F.col("p_size") > 25, F.concat(F.lit("&p="), "p_size")).otherwise(""))
-    plain = F.when(F.col("p_type") == "ECONOMY", F.lit("/api/basliklar")).otherwise(url)
-    return table(spark, folder, "part").select("p_partkey", links.listing_path(plain).alias("path"))
+    asked = F.when(F.col("p_type") == "ECONOMY", F.lit("/api/basliklar")).otherwise(url)
+    return table(spark, folder, "part").select("p_partkey", links.listing_path(asked).alias("path"))
 
 
 def edit_dates(spark, folder):
@@ -353,16 +353,16 @@ SELECT page_id, regexp_extract(split_part(u, '?', 1), '[^/]*$') AS slug, nullif(
   regexp_replace(split_part(u, '?', 1), '^https?://[^/]*', '') AS path,
   coalesce(try_cast(nullif(regexp_extract(u, '[?&]page=([^&#]*)', 1), '') AS INT), 1) AS page FROM p"""),
     "listing_paths": Query(listing_paths, """
-SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'gundem'
-  ELSE 'kanal/' || replace(replace(p_brand, '#', '%23'), ' ', '%20') END AS path FROM part WHERE p_type = 'ECONOMY'
-UNION ALL SELECT p_partkey, 'kanal/' || split_part(p_brand, '#', 1) FROM part WHERE p_type <> 'ECONOMY'"""),
+SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'gundem' ELSE 'kanal/' || url_encode(p_brand || ' ' || p_name)
+  || CASE WHEN p_size > 25 THEN '?p=' || p_size ELSE '' END END AS path FROM part"""),
     "edit_dates": Query(edit_dates, """
 WITH m AS (SELECT *, o_orderdate + to_minutes(o_custkey % 1440) AS made FROM orders),
 t AS (SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN made ELSE o_orderdate END AS created_ts,
   CASE o_orderstatus WHEN 'F' THEN date_trunc('day', made) + INTERVAL '23 hours 59 minutes'
        WHEN 'O' THEN TIMESTAMP '2020-12-31 10:00:00' END AS updated_ts, o_orderstatus FROM m)
 SELECT o_orderkey, created_ts, updated_ts,
-  strftime(created_ts, CASE WHEN o_orderstatus IN ('F', 'O') THEN '%d.%m.%Y %H:%M' ELSE '%d.%m.%Y' END) AS created_at,
+  CASE WHEN o_orderstatus IN ('F', 'O') THEN strftime(created_ts, '%d.%m.%Y %H:%M')
+    ELSE strftime(created_ts, '%d.%m.%Y') END AS created_at,
   strftime(updated_ts, '%d.%m.%Y %H:%M') AS updated_at FROM t"""),
     "counters": Query(counters, "SELECT p_partkey, CASE WHEN p_type <> 'SMALL' THEN p_size ELSE 1 END AS n FROM part"),
     "first_fields": Query(first_fields, """

@@ -55,7 +55,7 @@ class _Lister(HTMLParser):
             if lists and self.open[lists[-1]]["tag"] == "li":
                 self._pop(lists[-1], self._offset())
         attrs = {k: v or "" for k, v in attrs}
-        marks = [tag] + ["." + c for c in attrs.get("class", "").split()] + ["#" + attrs["id"]] * ("id" in attrs)
+        marks = [tag] + ["." + c for c in attrs.get("class", "").split()] + ["#" + i for i in attrs.get("id", "").split()]
         element = {"at": self.seen, "tag": tag, "attrs": attrs, "marks": marks, "own": [], "all": [],
                    "start": self._offset() + len(self.get_starttag_text()),
                    "wanted": not self.wanted.isdisjoint(marks)}

@@ -31,10 +31,11 @@ def score_stream(posts: DataFrame, sink: str, checkpoint: str, column: str = "te
 def rate_audit(events: DataFrame, window: str = "15 minutes", limit: int = 100, ts: str = "ts",
                client: str = "user_id", late: str = "15 minutes") -> DataFrame:
     """Clients with more than ``limit`` requests in a fixed window (batch or stream)."""
-    source = events.withWatermark(ts, late) if events.isStreaming else events
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    source = timed.withWatermark(ts, late) if events.isStreaming else timed
     counts = source.groupBy(F.window(F.col(ts), window).alias("w"), client).agg(F.count("*").alias("requests"))
     return counts.where(F.col("requests") > limit).select(
-        F.col("w.start").alias("window_start"), F.col(client), "requests")
+        F.col("w.start").cast("timestamp_ntz").alias("window_start"), F.col(client), "requests")
 
 
 def daily_refresh(entries: DataFrame, path: str, checkpoint: str, history: str, k: int = 50,

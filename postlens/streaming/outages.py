@@ -16,13 +16,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 MICROS = 1_000_000
 NEVER = np.iinfo(np.int64).min
 
 
-def _summary(times: np.ndarray, chunk_start: int, ttl: int) -> tuple[list[int], list[int]]:
+def _summary(times: np.ndarray, chunk_start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     """Step function of a chunk: an outage ending at or before ``bound`` leads to one ending at ``out``."""
     following = np.searchsorted(times, times + ttl)
     ends = times + ttl
@@ -33,48 +34,64 @@ def _summary(times: np.ndarray, chunk_start: int, ttl: int) -> tuple[list[int],
     reach = min(len(times), int(np.searchsorted(times, chunk_start + ttl)) + 1)
     bounds, outs = times[:reach], ends[:reach]
     step = np.append(outs[1:] != outs[:-1], True)
-    return bounds[step].tolist(), outs[step].tolist()
+    return bounds[step], outs[step]
 
 
-def _follow(summaries: pd.DataFrame) -> pd.DataFrame:
-    """End of the outage every chunk starts with, chunk by chunk."""
-    ordered = summaries.sort_values("chunk")
+def _chain(times: np.ndarray, until: int, ttl: int) -> list[int]:
+    """Starts of the outages among sorted failures when the current one ends at ``until``."""
+    found, i = [], int(np.searchsorted(times, until))
+    while i < len(times):
+        found.append(int(times[i]))
+        i = int(np.searchsorted(times, times[i] + ttl))
+    return found
+
+
+def _follow(bounds: list[np.ndarray], outs: list[np.ndarray]) -> list[int]:
+    """End of the outage every chunk of one source starts with, chunk by chunk."""
     incoming, current = [], NEVER
-    for bounds, outs in zip(ordered["bounds"], ordered["outs"]):
+    for bound, out in zip(bounds, outs):
         incoming.append(current)
-        at = np.searchsorted(bounds, current)
-        if at < len(bounds):
-            current = int(outs[at])
-    return pd.DataFrame({"key": ordered["key"], "chunk": ordered["chunk"], "incoming": incoming})
+        at = np.searchsorted(bound, current)
+        if at < len(bound):
+            current = int(out[at])
+    return incoming
 
 
 def outage_windows(events: DataFrame, ttl_seconds: float = 30, key: str = "user_id", ts: str = "ts",
                    failed: str = "event_type = 'error'", chunk_seconds: float = 3600) -> DataFrame:
-    """``(key, outage_start, outage_end)`` of every outage of every source."""
+    """``(key, outage_start, outage_end)`` of every outage of every source.
+
+    An array never holds more than the failures of one source in one chunk, or
+    one source's chunk summaries.
+    """
     ttl = int(ttl_seconds * MICROS)
     chunk = max(int(chunk_seconds * MICROS), ttl)
+    longs = T.ArrayType(T.LongType())
+
+    @F.pandas_udf(T.StructType([T.StructField("bounds", longs), T.StructField("outs", longs)]))
+    def summarise(times: pd.Series, number: pd.Series) -> pd.DataFrame:
+        pairs = [_summary(t, n * chunk, ttl) for t, n in zip(times, number)]
+        return pd.DataFrame(pairs, columns=["bounds", "outs"])
+
+    @F.pandas_udf(longs)
+    def follow(bounds: pd.Series, outs: pd.Series) -> pd.Series:
+        return pd.Series([_follow(b, o) for b, o in zip(bounds, outs)])
+
+    @F.pandas_udf(longs)
+    def starts(times: pd.Series, until: pd.Series) -> pd.Series:
+        return pd.Series([_chain(t, u, ttl) for t, u in zip(times, until)])
+
     moment = F.unix_micros(F.col(ts).cast("timestamp"))
     failures = (events.where(failed).select(F.col(key).alias("key"), moment.alias("at"))
                 .withColumn("chunk", F.floor(F.col("at") / chunk).cast("bigint")))
-    key_type = failures.schema["key"].dataType.simpleString()
-    chunks = failures.groupBy("key", "chunk")
-
-    def summarise(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["chunk"].iloc[0])
-        bounds, outs = _summary(np.unique(rows["at"].to_numpy()), number * chunk, ttl)
-        return pd.DataFrame({"key": rows["key"].iloc[:1], "chunk": [number], "bounds": [bounds], "outs": [outs]})
-
-    def starts(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(rows["at"].to_numpy())
-        found, i = [], int(np.searchsorted(times, int(before["incoming"].iloc[0])))
-        while i < len(times):
-            found.append(int(times[i]))
-            i = int(np.searchsorted(times, times[i] + ttl))
-        return pd.DataFrame({"key": [rows["key"].iloc[0]] * len(found), "start": pd.Series(found, dtype="int64")})
-
-    summaries = chunks.applyInPandas(summarise, f"key {key_type}, chunk bigint, bounds array<bigint>, outs array<bigint>")
-    incoming = summaries.groupBy("key").applyInPandas(_follow, f"key {key_type}, chunk bigint, incoming bigint")
-    listed = chunks.cogroup(incoming.groupBy("key", "chunk")).applyInPandas(starts, f"key {key_type}, start bigint")
+    chunks = failures.groupBy("key", "chunk").agg(F.sort_array(F.collect_set("at")).alias("times"))
+    summaries = chunks.select("key", "chunk", summarise("times", "chunk").alias("s"))
+    ordered = summaries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("c"))
+    incoming = ordered.select("key", F.explode(F.arrays_zip(
+        F.col("c.chunk").alias("chunk"), follow(F.col("c.s.bounds"), F.col("c.s.outs")).alias("until"))).alias("z")
+    ).select("key", "z.chunk", "z.until")
+    listed = (chunks.join(incoming, ["key", "chunk"])
+              .select("key", F.explode(starts("times", "until")).alias("start")))
     return listed.select(
         F.col("key").alias(key), F.timestamp_micros("start").cast("timestamp_ntz").alias("outage_start"),
         F.timestamp_micros(F.col("start") + ttl).cast("timestamp_ntz").alias("outage_end"))
@@ -111,11 +128,9 @@ def outage_stream(events: DataFrame, ttl_seconds: float = 30, key: str = "user_i
     def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times = np.unique(np.concatenate([b["at"].to_numpy() for b in batches]))
         until = state.get[0] if state.exists else NEVER
-        found, i = [], int(np.searchsorted(times, until))
-        while i < len(times):
-            found.append(int(times[i]))
-            until = int(times[i]) + ttl
-            i = int(np.searchsorted(times, until))
+        found = _chain(times, until, ttl)
+        if found:
+            until = found[-1] + ttl
         state.update((until,))
         yield pd.DataFrame({"key": [key_[0]] * len(found), "start": pd.Series(found, dtype="int64")})
 
