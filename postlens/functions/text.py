@@ -102,19 +102,24 @@ def clean(col: Column, profile: str, strict: bool = False) -> Column:
 
 def lower_tr(col: Column) -> Column:
     """Lower case with the Turkish pairs I/ı and İ/i."""
-    return F.lower(F.translate(col, "Iİ", "ıi"))
+    return F.lower(replace_all(col, [("I", "ı"), ("İ", "i")]))
 
 
 def normalize_tr(col: Column) -> Column:
     """Turkish lower case without circumflexes, punctuation and repeated spaces."""
-    folded = F.translate(lower_tr(F.coalesce(col.cast("string"), F.lit(""))), "âîûêô", "aiueo")
+    text = lower_tr(F.coalesce(col.cast("string"), F.lit("")))
+    folded = replace_all(text, [("â", "a"), ("î", "i"), ("û", "u"), ("ê", "e"), ("ô", "o")])
     return squash_ws(F.regexp_replace(folded, r"[\p{P}\p{S}]", ""))
 
 
 def drop_references(col: Column) -> Column:
-    """Remove ``(bkz: …)`` cross references and web addresses."""
-    text = F.regexp_replace(col, rf"(?iu)\(bkz:[{SPACE_CLASS}]*[^)]+\)", " ")
-    return F.regexp_replace(text, rf"https?://[^{SPACE_CLASS}]+", " ")
+    """Remove ``(bkz: …)`` cross references and web addresses.
+
+    Most texts hold neither; a plain substring test keeps the patterns off them.
+    """
+    no_refs = F.regexp_replace(col, rf"(?iu)\(bkz:[{SPACE_CLASS}]*[^)]+\)", " ")
+    text = F.when(col.contains("("), no_refs).otherwise(col)
+    return F.when(col.contains("://"), F.regexp_replace(text, rf"https?://[^{SPACE_CLASS}]+", " ")).otherwise(text)
 
 
 def sentiment_prep(col: Column, order: str = "references_first") -> Column:
@@ -171,8 +176,8 @@ def last_n(sentences: Column, text: Column, n: int = fixed.MAX_SENTENCES) -> Col
 
 def word_tokens(col: Column) -> Column:
     """Words made only of the letters a-z and çğıöşü; words with anything else vanish."""
-    words = F.split(F.lower(col), r"[^\p{L}\p{N}_]+")
-    return F.filter(words, lambda w: w.rlike("^[a-zçğıöşü]+$"))
+    bound = r"[\p{L}\p{N}_]"
+    return F.regexp_extract_all(F.lower(col), F.lit(rf"(?<!{bound})[a-zçğıöşü]++(?!{bound})"), F.lit(0))
 
 
 def drop_stopwords(tokens: Column, stop_words: list[str] = fixed.STOP_WORDS) -> Column:

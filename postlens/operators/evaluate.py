@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions import text as tx
@@ -29,19 +29,33 @@ def prepare_categories(df: DataFrame, gold: str = "Rkategori", pred: str = "Tkat
     return known.withColumns({"gold": tx.fold_label(F.col(gold), mode), "pred": tx.fold_label(F.col(pred), mode)})
 
 
-def accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+def pair_counts(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:
+    """``(gold, pred, n)``: all that the metrics below need, a handful of rows.
+
+    Pass it on with ``weight="n"`` so that the predictions are read only once.
+    """
+    return df.groupBy(gold, pred).agg(F.count("*").alias("n"))
+
+
+def _rows(condition: Column, weight: str | None) -> Column:
+    """Number of rows that fulfil a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col(weight) if weight else F.lit(1))), F.lit(0))
+
+
+def accuracy(df: DataFrame, gold: str = "gold", pred: str = "pred", weight: str | None = None) -> DataFrame:
     """``(total, correct, accuracy)``; accuracy of no rows is null."""
     hit = F.coalesce(F.col(gold) == F.col(pred), F.lit(False))
-    return (df.agg(F.count("*").alias("total"), F.count_if(hit).alias("correct"))
+    return (df.agg(_rows(F.lit(True), weight).alias("total"), _rows(hit, weight).alias("correct"))
             .withColumn("accuracy", F.col("correct") / F.nullif(F.col("total"), F.lit(0))))
 
 
-def confusion_matrix(df: DataFrame, labels: list, gold: str = "gold", pred: str = "pred") -> DataFrame:
+def confusion_matrix(df: DataFrame, labels: list, gold: str = "gold", pred: str = "pred",
+                     weight: str | None = None) -> DataFrame:
     """One row per gold label with a ``pred_<label>`` column each, empty cells included.
 
     All cells come from one aggregation without a group key.
     """
-    cells = df.agg(*[F.count_if((F.col(gold) == g) & (F.col(pred) == p)).alias(f"_{i}_{j}")
+    cells = df.agg(*[_rows((F.col(gold) == g) & (F.col(pred) == p), weight).alias(f"_{i}_{j}")
                      for i, g in enumerate(labels) for j, p in enumerate(labels)])
     rows = F.array(*[
         F.struct(F.lit(g).alias("gold"), *[F.col(f"_{i}_{j}").alias(f"pred_{p}") for j, p in enumerate(labels)])
@@ -49,21 +63,24 @@ def confusion_matrix(df: DataFrame, labels: list, gold: str = "gold", pred: str
     return cells.select(F.inline(rows))
 
 
-def class_report(df: DataFrame, labels: list | None = None, gold: str = "gold", pred: str = "pred") -> DataFrame:
+def class_report(df: DataFrame, labels: list | None = None, gold: str = "gold", pred: str = "pred",
+                 weight: str | None = None) -> DataFrame:
     """``(label, precision, recall, f1, support)``; a zero denominator gives 0.
 
     Without ``labels`` the union of gold and predicted values is reported. Each
     row adds one fact per side, so a single aggregation by label is enough.
     """
-    hit = (F.coalesce(F.col(gold) == F.col(pred), F.lit(False))).cast("int")
+    hit = F.coalesce(F.col(gold) == F.col(pred), F.lit(False))
+    n = (F.col(weight) if weight else F.lit(1)).cast("bigint")
+    none = F.lit(0).cast("bigint")
     facts = F.array(
-        F.struct(F.col(gold).alias("label"), F.lit(1).alias("gold"), F.lit(0).alias("pred"), hit.alias("hit")),
-        F.struct(F.col(pred).alias("label"), F.lit(0).alias("gold"), F.lit(1).alias("pred"), F.lit(0).alias("hit")))
+        F.struct(F.col(gold).alias("label"), n.alias("gold"), none.alias("pred"), F.when(hit, n).otherwise(none).alias("hit")),
+        F.struct(F.col(pred).alias("label"), none.alias("gold"), n.alias("pred"), none.alias("hit")))
     rows = df.select(F.inline(facts))
     if labels is not None:
         rows = rows.where(F.col("label").isin(list(labels)))
-        grid = df.sparkSession.createDataFrame([(x, 0, 0, 0) for x in labels], "label string, gold int, pred int, hit int")
-        rows = rows.unionByName(grid.withColumn("label", F.col("label").cast(rows.schema["label"].dataType)))
+        grid = df.sparkSession.createDataFrame([(x,) for x in labels], rows.select("label").schema)
+        rows = rows.unionByName(grid.withColumns({"gold": none, "pred": none, "hit": none}))
     sums = rows.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("gold", "pred", "hit")])
 
     def ratio(a, b):
@@ -151,14 +168,16 @@ def metric_lines(df: DataFrame, labels: list) -> DataFrame:
                         label.cast("string").alias("label"), value.cast("double").alias("value"))
 
     none = F.lit(None)
-    acc = accuracy(df).select(F.inline(F.array(*[
+    # The same small aggregation feeds every section; Spark computes it once and reuses it.
+    pairs = pair_counts(df)
+    acc = accuracy(pairs, weight="n").select(F.inline(F.array(*[
         line("accuracy", m, none, F.col(m)) for m in ("total", "correct", "accuracy")])))
-    report = class_report(df, labels)
+    report = class_report(pairs, labels, weight="n")
     per_class = report.select(F.inline(F.array(*[
         line("class", m, F.col("label"), F.col(m)) for m in ("precision", "recall", "f1", "support")])))
     means = report_averages(report).select(F.inline(F.array(*[
         line("average", m, F.col("average"), F.col(m)) for m in ("precision", "recall", "f1")])))
-    cells = confusion_matrix(df, labels).select(F.inline(F.array(*[
+    cells = confusion_matrix(pairs, labels, weight="n").select(F.inline(F.array(*[
         line("confusion", f"pred_{p}", F.col("gold"), F.col(f"pred_{p}")) for p in labels])))
     return acc.unionByName(per_class).unionByName(means).unionByName(cells)
 

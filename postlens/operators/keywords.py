@@ -24,22 +24,21 @@ def top_words(words: Column, n: int = 8) -> Column:
     whose first element holds the first place and whose length is the count. The
     cost is two sorts inside the row and no shuffle.
     """
-    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
-
-    def run_starts(ordered: Column) -> Column:
-        marked = F.transform(ordered, lambda x, i: F.struct(
-            x["word"].alias("word"), x["place"].alias("place"), i.alias("at"),
-            F.get(ordered, i - 1)["word"].alias("left")))
-        return F.filter(marked, lambda x: x["left"].isNull() | (x["left"] != x["word"]))
-
-    def by_length(starts: Column) -> Column:
-        ends = F.transform(starts, lambda x, i: F.struct(
-            (x["at"] - F.coalesce(F.get(starts, i + 1)["at"], F.size(words))).alias("neg"),
-            x["place"].alias("place"), x["word"].alias("word")))
-        return F.slice(F.array_sort(ends), 1, n)
-
-    runs = val.let(val.let(placed, run_starts), by_length)
-    return F.transform(runs, lambda r: F.struct(r["word"].alias("word"), (-r["neg"]).cast("bigint").alias("n")))
+    size = F.size(words)
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+
+    def runs(ordered: Column) -> Column:
+        places = F.slice(F.sequence(F.lit(0), size), F.lit(1), size)
+        return val.let(F.filter(places, lambda i: (i == 0) | (ordered[i]["word"] != ordered[i - 1]["word"])),
+                       lambda starts: by_length(ordered, starts))
+
+    def by_length(ordered: Column, starts: Column) -> Column:
+        return F.sort_array(F.transform(starts, lambda s, j: F.struct(
+            (s - F.coalesce(F.get(starts, j + 1), size)).alias("neg"),
+            ordered[s]["place"].alias("place"), ordered[s]["word"].alias("word"))))
+
+    best = F.slice(val.let(placed, runs), 1, n)
+    return F.transform(best, lambda r: F.struct(r["word"].alias("word"), (-r["neg"]).cast("bigint").alias("n")))
 
 
 def with_keywords(df: DataFrame, column: str = "text", n: int = 8,

@@ -112,7 +112,7 @@ def stratified_sample(df: DataFrame, stratum: str, id_column: str, n: int | str
 def top_themes(scores, threshold: float = 0.15, k: int = 3) -> Column:
     """Best labels of an ``array<struct<label, score>>``: at most ``k`` that reach ``threshold``,
     or the single best one when none does. Ties keep their order in the array."""
-    order = F.array_sort(F.transform(scores, lambda x, i: F.struct(
+    order = F.sort_array(F.transform(scores, lambda x, i: F.struct(
         (-x["score"]).alias("neg"), i.alias("place"), x["label"].alias("label"))))
     best = F.transform(order, lambda x: F.struct(x["label"].alias("label"), (-x["neg"]).alias("score")))
     good = F.slice(F.filter(best, lambda x: x["score"] >= threshold), 1, k)

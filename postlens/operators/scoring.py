@@ -145,9 +145,9 @@ def vote_of(scored: Column, weights: LastWeights = LastWeights()) -> Column:
 def _decide(t: Column) -> Column:
     """From ``struct(n, votes, top)`` to the verdict."""
     # Struct order settles ties: equal votes fall to the label named first in LABELS.
-    ranked = F.reverse(F.array_sort(F.array(*[
+    ranked = F.sort_array(F.array(*[
         F.struct(t["votes"][label].alias("votes"), F.lit(-i).alias("place"), F.lit(label).alias("label"))
-        for i, label in enumerate(LABELS)])))
+        for i, label in enumerate(LABELS)]), asc=False)
 
     def measure(r: Column) -> Column:
         top = t["top"]["label"]
@@ -195,7 +195,7 @@ def vote_sentences(sentences: DataFrame, key: str = "doc_id", weights: LastWeigh
     the array they meet in is that small.
     """
     gathered = rank_sentences(sentences, key).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("sent_idx", "label", "score"))).alias("_rows"))
+        F.sort_array(F.collect_list(F.struct("sent_idx", "label", "score"))).alias("_rows"))
     scored = gathered.select(key, F.transform("_rows", lambda x: F.struct(
         x["label"].alias("label"), x["score"].cast("double").alias("score"))).alias("scored"))
     return vote(scored, "scored", weights).drop("scored")

@@ -13,14 +13,16 @@ from postlens.plans import common as c
 from postlens.plans.cleaning import HTML_TEXT, sql_labelling
 from postlens.plans.common import OTHER_LEXICONS, VOCABULARIES, Query, table
 from postlens.plans.opinion import _TOP3
-from postlens.session import scratch_path
+from postlens.session import materialize, scratch_path
 from postlens.sources import posts
 
 
-def _frame(spark, folder):
+def _frame(spark, folder, text: bool = False):
+    """Stored predictions beside gold: the evaluation reads them as often as it needs."""
+    pred = c.document_sentiment(spark, folder).select("doc_id", val.sentiment_code(F.col("sentiment")).alias("Tduygu"))
     gold = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("RDuygu"))
-    pred = c.document_sentiment(spark, folder).select("doc_id", "text", val.sentiment_code(F.col("sentiment")).alias("Tduygu"))
-    return evaluate.prepare(gold.join(pred, "doc_id"), numeric_gold=True)
+    frame = evaluate.prepare(gold.join(materialize(pred), "doc_id"), numeric_gold=True)
+    return frame.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id") if text else frame
 
 
 def accuracy(spark, folder):
@@ -32,7 +34,7 @@ def confusion(spark, folder):
 
 
 def class_report(spark, folder):
-    return evaluate.class_report(_frame(spark, folder), [0, 1, 2])
+    return evaluate.class_report(evaluate.pair_counts(_frame(spark, folder)), [0, 1, 2], weight="n")
 
 
 def macro_weighted(spark, folder):
@@ -44,11 +46,11 @@ def error_types(spark, folder):
 
 
 def sample_errors(spark, folder):
-    return evaluate.sample_errors(_frame(spark, folder), "doc_id", column="text")
+    return evaluate.sample_errors(_frame(spark, folder, text=True), "doc_id", column="text")
 
 
 def sample_correct(spark, folder):
-    return evaluate.sample_correct(_frame(spark, folder), "doc_id", column="text")
+    return evaluate.sample_correct(_frame(spark, folder, text=True), "doc_id", column="text")
 
 
 def crosstab(spark, folder):

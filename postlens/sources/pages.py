@@ -162,7 +162,8 @@ def _parent_is(e: Column, tag: str) -> Column:
 
 def _with_entries(listed: DataFrame, keep: list[str], container: list[str]) -> DataFrame:
     elements = F.col("elements")
-    items = listed.select(*keep, "elements", F.posexplode(select(elements, "li", container)).alias("pos", "_li"))
+    marked = F.filter(select(elements, "li", container), lambda e: e["attrs"]["data-id"].isNotNull())
+    items = listed.select(*keep, "elements", F.posexplode(marked).alias("pos", "_li"))
     place = F.col("_li.at")
     body = tx.strip(_first(elements, ".content", parent=place)["inner"])
     date = val.parse_edit_date(_texts(select(elements, ".entry-date", parent=place)))

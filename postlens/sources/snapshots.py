@@ -14,7 +14,7 @@ from postlens.operators.ranking import day_key, top_k
 def stored_days(spark: SparkSession, path: str) -> DataFrame:
     """``(day)`` of every stored partition; empty when there is no table yet."""
     try:
-        return spark.read.parquet(path).select("day").distinct()
+        return spark.read.schema("day date").parquet(path).distinct()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise

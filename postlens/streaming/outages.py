@@ -86,7 +86,7 @@ def outage_windows(events: DataFrame, ttl_seconds: float = 30, key: str = "user_
                 .withColumn("chunk", F.floor(F.col("at") / chunk).cast("bigint")))
     chunks = failures.groupBy("key", "chunk").agg(F.sort_array(F.collect_set("at")).alias("times"))
     summaries = chunks.select("key", "chunk", summarise("times", "chunk").alias("s"))
-    ordered = summaries.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "s"))).alias("c"))
+    ordered = summaries.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "s"))).alias("c"))
     incoming = ordered.select("key", F.explode(F.arrays_zip(
         F.col("c.chunk").alias("chunk"), follow(F.col("c.s.bounds"), F.col("c.s.outs")).alias("until"))).alias("z")
     ).select("key", "z.chunk", "z.until")
