@@ -9,6 +9,7 @@ from postlens import fixed_values as fixed
 from postlens.functions import text as tx
 from postlens.functions import values as val
 from postlens.operators.ranking import top_k
+from postlens.operators.rows import unnest
 
 
 def keyword_tokens(col: Column, stop_words: list[str] = fixed.STOP_WORDS, longer_than: int = 3) -> Column:
@@ -52,8 +53,7 @@ def keyword_rows(df: DataFrame, key: str, column: str = "text", n: int = 8,
                  stop_words: list[str] = fixed.STOP_WORDS) -> DataFrame:
     """``with_keywords`` as rows ``(key, rank, word, n)``."""
     found = with_keywords(df.select(key, column), column, n, stop_words)
-    rows = found.select(key, F.posexplode_outer("keywords").alias("rank", "k"))
-    return rows.where(F.col("k").isNotNull()).select(key, (F.col("rank") + 1).alias("rank"), "k.word", "k.n")
+    return unnest(found, [key], "keywords", "k", "rank").select(key, (F.col("rank") + 1).alias("rank"), "k.word", "k.n")
 
 
 def topic_terms(df: DataFrame, topic: str, column: str = "text", k: int = 5,
@@ -64,7 +64,7 @@ def topic_terms(df: DataFrame, topic: str, column: str = "text", k: int = 5,
     the average number of words per topic. Counting combines on the map side
     and is keyed by (topic, word), so a topic with most of the text is no hot key.
     """
-    words = df.select(topic, F.explode(keyword_tokens(F.col(column), stop_words)).alias("word"))
+    words = unnest(df, [topic], keyword_tokens(F.col(column), stop_words), "word")
     tf = words.groupBy(topic, "word").agg(F.count("*").alias("tf"))
     totals = tf.groupBy("word").agg(F.sum("tf").alias("f"))
     average = tf.groupBy(topic).agg(F.sum("tf").alias("n")).agg(F.avg("n")).scalar()

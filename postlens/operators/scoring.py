@@ -23,6 +23,7 @@ from postlens import schemas
 from postlens.functions import text as tx
 from postlens.functions import values as val
 from postlens.operators.ranking import rank_sentences
+from postlens.operators.rows import unnest
 
 LABELS = ("positive", "negative", "neutral")
 VOTE_TYPE = "decimal(18,6)"
@@ -62,7 +63,7 @@ def lexicon_match(df: DataFrame, column: str, lexicon: Lexicon = Lexicon()) -> D
     found = [F.when(text.contains(p), F.struct(F.lit(p).alias("phrase"), F.lit(side).alias("polarity")))
              for side, phrases in (("positive", lexicon.positive), ("negative", lexicon.negative))
              for p in phrases]
-    return df.select("*", F.inline(F.array_compact(F.array(*found))))
+    return unnest(df, ["*"], F.array_compact(F.array(*found)), "_hit").select(*df.columns, "_hit.*")
 
 
 def lexicon_scorer(lexicon: Lexicon = Lexicon()) -> Scorer:
@@ -94,6 +95,9 @@ def model_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]
             results = iter(model([s for sentences in batch for s in sentences]))
             yield pd.Series([[dict(zip(("label", "score"), next(results))) for _ in range(n)] for n in sizes])
 
+    # Declared nondeterministic so that a filter on the result cannot run the model twice.
+    score = score.asNondeterministic()
+
     def scorer(sentences: Column) -> Column:
         return F.transform(score(sentences), lambda r: val.canonical_sentiment(r["label"], r["score"]))
 
@@ -108,9 +112,9 @@ def last_weight(n: Column, weights: LastWeights = LastWeights()) -> Column:
 
 def with_sentences(df: DataFrame, column: str = "text", order: str = "references_first") -> DataFrame:
     """Add ``sentences``: the last ten of the prepared text, in reading order."""
-    prepared = df.withColumn("_prepared", tx.sentiment_prep(F.col(column), order))
-    split = prepared.withColumn("_all", tx.split_sentences(F.col("_prepared")))
-    return split.withColumn("sentences", tx.last_n(F.col("_all"), F.col("_prepared"))).drop("_prepared", "_all")
+    return df.withColumn("sentences", val.let(
+        tx.sentiment_prep(F.col(column), order),
+        lambda text: val.let(tx.split_sentences(text), lambda parts: tx.last_n(parts, text))))
 
 
 def with_scores(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:

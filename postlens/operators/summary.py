@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from postlens import fixed_values as fixed
 from postlens.functions import text as tx
 from postlens.operators.filters import is_analysable
+from postlens.operators.rows import unnest
 
 
 def sentiment_distribution(df: DataFrame) -> DataFrame:
@@ -36,7 +37,7 @@ def batch_summary(df: DataFrame, column: str = "text") -> DataFrame:
                               F.coalesce("sentiment", F.lit("neutral")).alias("label"))),
         F.when(seen, F.struct(F.lit("theme").alias("kind"),
                               F.coalesce("main_topic", F.lit(fixed.FALLBACK_THEME)).alias("label")))))
-    return df.select(F.inline(facts)).groupBy("kind", "label").agg(F.count("*").alias("n"))
+    return df.select(F.inline_outer(facts)).groupBy("kind", "label").agg(F.count("*").alias("n"))
 
 
 def batch_entries(df: DataFrame, id_column: str = "id", column: str = "text") -> DataFrame:
@@ -73,7 +74,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 def distinct_themes(df: DataFrame, definition: str = "main") -> DataFrame:
     """Distinct themes as sorted rows: over main themes, or over ``all`` listed themes."""
-    source = df.select("main_topic") if definition == "main" else df.select(F.explode("themes").alias("main_topic"))
+    source = df.select("main_topic") if definition == "main" else unnest(df, [], "themes", "main_topic")
     return source.where(F.col("main_topic").isNotNull()).select(F.col("main_topic").alias("theme")).distinct().orderBy("theme")
 
 
@@ -82,7 +83,7 @@ def theme_counts(df: DataFrame) -> DataFrame:
     pairs = F.array_union(
         F.transform("themes", lambda t: F.struct(F.lit("all").alias("definition"), t.alias("theme"))),
         F.array(F.struct(F.lit("main").alias("definition"), F.col("main_topic").alias("theme"))))
-    return (df.select(F.inline(pairs)).where(F.col("theme").isNotNull()).distinct()
+    return (df.select(F.inline_outer(pairs)).where(F.col("theme").isNotNull()).distinct()
             .groupBy("definition").agg(F.count("*").alias("n")))
 
 

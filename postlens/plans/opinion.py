@@ -8,6 +8,7 @@ from postlens.functions import text as tx
 from postlens.functions import values as val
 from postlens.operators import filters, keywords, ranking, scoring, search, summary, themes
 from postlens.plans import common as c
+from postlens.operators.rows import unnest
 from postlens.plans.common import LEXICON, STOP_WORDS, VOCABULARIES, Query, table
 
 SCORER = scoring.lexicon_scorer(LEXICON)
@@ -24,7 +25,7 @@ def document_sentiment(spark, folder):
 
 def sentence_scores(spark, folder):
     scored = scoring.with_scores(scoring.with_sentences(table(spark, folder, "documents").select("doc_id", "text")), SCORER)
-    return scored.select("doc_id", F.posexplode("scored").alias("sent_idx", "s")).select("doc_id", "sent_idx", "s.*")
+    return scored.select("doc_id", F.posexplode_outer("scored").alias("sent_idx", "s")).select("doc_id", "sent_idx", "s.*")
 
 
 def last_sentences(spark, folder):
@@ -35,13 +36,13 @@ def last_sentences(spark, folder):
 
 def rank_sentences(spark, folder):
     docs = table(spark, folder, "documents")
-    rows = docs.select("doc_id", F.posexplode(tx.split_sentences(tx.sentiment_prep(F.col("text")))).alias("sent_idx", "sentence"))
+    rows = unnest(docs, ["doc_id"], tx.split_sentences(tx.sentiment_prep(F.col("text"))), "sentence", "sent_idx")
     return ranking.rank_sentences(rows).select("doc_id", "sent_idx", "from_end", "total", "is_last")
 
 
 def vote_scores(spark, folder):
     docs = scoring.with_sentences(table(spark, folder, "documents").select("doc_id", "text"))
-    rows = docs.select("doc_id", F.posexplode("sentences").alias("sent_idx", "sentence"))
+    rows = docs.select("doc_id", F.posexplode_outer("sentences").alias("sent_idx", "sentence"))
     digest = rows.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("-", "doc_id", "sent_idx")), 1, 4), 16, 10).cast("int"))
     scored = digest.select("doc_id", "sent_idx", F.element_at(F.array(*map(F.lit, scoring.LABELS)), F.col("h") % 3 + 1).alias("label"),
                            (0.3 + (F.col("h") % 700) / 1000).cast("decimal(18,6)").cast("double").alias("score"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from postlens.functions import links
 from postlens.functions import text as tx
 from postlens.functions import values as val
+from postlens.operators.rows import unnest
 
 ELEMENTS = T.ArrayType(T.StructType([
     T.StructField("at", T.IntegerType()),                       # place in the page
@@ -106,7 +107,8 @@ def with_elements(pages: DataFrame, wanted: list[str], html: str = "html") -> Da
         for batch in batches:
             yield pd.Series([sorted(_Lister(p, marks).found, key=lambda e: e["at"]) if p else [] for p in batch])
 
-    return pages.withColumn("elements", listing(F.col(html)))
+    # Declared nondeterministic so that a filter on the result cannot parse the pages twice.
+    return pages.withColumn("elements", listing.asNondeterministic()(F.col(html)))
 
 
 def having(mark: str):
@@ -146,7 +148,7 @@ def extract_threads(pages: DataFrame, keep: list[str] = (), container: str = ".t
     listed = with_elements(pages, ["a", "small"], html)
     links_ = F.filter(select(F.col("elements"), "a", [container, "li"]),
                       lambda e: _parent_is(e, "li"))
-    rows = listed.select(*keep, "elements", F.explode(links_).alias("_a"))
+    rows = unnest(listed, [*keep, "elements"], links_, "_a")
     counter = _texts(select(F.col("elements"), "small", parent=F.col("_a.at")))
     return rows.select(
         *keep, links.id_from_slug(F.col("_a.attrs")["href"]).alias("id"),
@@ -163,7 +165,7 @@ def _parent_is(e: Column, tag: str) -> Column:
 def _with_entries(listed: DataFrame, keep: list[str], container: list[str]) -> DataFrame:
     elements = F.col("elements")
     marked = F.filter(select(elements, "li", container), lambda e: e["attrs"]["data-id"].isNotNull())
-    items = listed.select(*keep, "elements", F.posexplode(marked).alias("pos", "_li"))
+    items = unnest(listed, [*keep, "elements"], marked, "_li", "pos")
     place = F.col("_li.at")
     body = tx.strip(_first(elements, ".content", parent=place)["inner"])
     date = val.parse_edit_date(_texts(select(elements, ".entry-date", parent=place)))
@@ -231,7 +233,7 @@ def extract_search(pages: DataFrame, base_url: str, keep: list[str] = (), html:
     listed = with_elements(pages, ["a", "small", ".topic-list-description"], html)
     found = F.filter(select(F.col("elements"), "a", ["#content-body", ".topic-list", "li"]), lambda e: _parent_is(e, "li"))
     count = tx.strip(_texts(select(F.col("elements"), ".topic-list-description")))
-    rows = listed.select(*keep, "elements", count.alias("thread_count"), F.explode(found).alias("_a"))
+    rows = unnest(listed, [*keep, "elements", count.alias("thread_count")], found, "_a")
     counter = _texts(select(F.col("elements"), "small", parent=F.col("_a.at")))
     slug = links.absolute_url(F.col("_a.attrs")["href"], base_url)
     return rows.select(
@@ -269,7 +271,7 @@ def extract_user_entries(pages: DataFrame, base_url: str, keep: list[str] = (),
         "_dates": select(elements, ".permalink", [".topic-item", "ul", "li", "footer"]),
         "_bodies": select(elements, ".content", [".topic-item", "ul", "li"]),
     })
-    rows = listed.select(*keep, "_names", "_dates", "_bodies", F.posexplode("_items").alias("pos", "_item"))
+    rows = unnest(listed, [*keep, "_names", "_dates", "_bodies"], "_items", "_item", "pos")
 
     def nth(column: str) -> Column:
         return F.get(F.col(column), F.col("pos"))

@@ -13,6 +13,7 @@ from postlens import schemas
 from postlens.functions import text as tx
 from postlens.functions import values as val
 from postlens.operators.filters import min_length
+from postlens.operators.rows import unnest
 
 CORRUPT = "_corrupt_record"
 
@@ -43,7 +44,7 @@ def read_posts(spark: SparkSession, path: str, schema: T.StructType = schemas.PO
     boxed = F.from_json("value", T.StructType([T.StructField("entries", T.ArrayType(schema))]))["entries"]
     listed = (F.when(bare, F.from_json("value", T.ArrayType(schema)))
               .otherwise(F.coalesce(boxed, F.array(F.from_json("value", schema)))))
-    entries = files.select(F.inline(listed))
+    entries = unnest(files, [], listed, "e").select("e.*")
     metadata = (files.where(F.array_contains(keys, "entries") & boxed.isNotNull())
                 .select("path", F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
                         .alias("key", "value")).where("key <> 'entries'"))
@@ -119,7 +120,7 @@ def normalize_payload(df: DataFrame, json_col: str, slug: str = "slug", page: st
         "_page": F.coalesce(field("current_page").try_cast("int"), F.col(page)),
         "total_pages": F.coalesce(field("total_page").try_cast("int"), F.lit(1)),
     })
-    items = headed.withColumn("_item", F.explode(F.from_json("_list", T.ArrayType(T.StringType()))))
+    items = unnest(headed, ["*"], F.from_json("_list", T.ArrayType(T.StringType())), "_item")
     is_object = F.ltrim("_item").startswith("{")
     read = items.withColumn("_e", F.when(is_object, F.from_json("_item", schemas.PAYLOAD_ENTRY)))
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postlens.operators.rows import unnest
+
 MICROS = 1_000_000
 NEVER = np.iinfo(np.int64).min
 
@@ -87,11 +89,9 @@ def outage_windows(events: DataFrame, ttl_seconds: float = 30, key: str = "user_
     chunks = failures.groupBy("key", "chunk").agg(F.sort_array(F.collect_set("at")).alias("times"))
     summaries = chunks.select("key", "chunk", summarise("times", "chunk").alias("s"))
     ordered = summaries.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "s"))).alias("c"))
-    incoming = ordered.select("key", F.explode(F.arrays_zip(
-        F.col("c.chunk").alias("chunk"), follow(F.col("c.s.bounds"), F.col("c.s.outs")).alias("until"))).alias("z")
-    ).select("key", "z.chunk", "z.until")
-    listed = (chunks.join(incoming, ["key", "chunk"])
-              .select("key", F.explode(starts("times", "until")).alias("start")))
+    followed = F.arrays_zip(F.col("c.chunk").alias("chunk"), follow(F.col("c.s.bounds"), F.col("c.s.outs")).alias("until"))
+    incoming = unnest(ordered, ["key"], followed, "z").select("key", "z.chunk", "z.until")
+    listed = unnest(chunks.join(incoming, ["key", "chunk"]), ["key"], starts("times", "until"), "start")
     return listed.select(
         F.col("key").alias(key), F.timestamp_micros("start").cast("timestamp_ntz").alias("outage_start"),
         F.timestamp_micros(F.col("start") + ttl).cast("timestamp_ntz").alias("outage_end"))
