@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from postlens import fixed_values as fixed
@@ -30,7 +31,8 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int, rank: str = "rank
     limit = int(df.sparkSession.conf.get(GROUP_LIMIT_CONF, "1000"))
     survivors = df
     if k > limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+        plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
         inner = W.partitionBy(*keys, "_salt").orderBy(*order)
         survivors = salted.withColumn("_r", F.row_number().over(inner)).where(F.col("_r") <= k).drop("_r", "_salt")
     outer = W.partitionBy(*keys).orderBy(*order)
@@ -42,30 +44,34 @@ def rank_within(df: DataFrame, keys: list[str], order: list, rank: str = "rank",
     """Exact ``row_number`` for every row of every group, without one task per group.
 
     The rows are range-partitioned on (keys, order), so a hot group spreads over
-    many partitions. A row's rank is its place inside its own partition plus the
-    number of rows of the group in earlier partitions; those counts are one row
-    per group and partition. The partitioned rows are stored once in the shared
-    folder because both passes must see the same partition numbers. ``order``
-    must end in a unique column. ``size`` names an optional group-size column.
+    many partitions, and numbered inside their sorted partition. A row's rank is
+    its distance from the first row of its group in the same partition plus the
+    group's rows in earlier partitions; both come from one small row per group
+    and partition. The numbered rows are stored once in the shared folder, so
+    every pass sees the same numbers. ``order`` must end in a unique column;
+    ``size`` names an optional group-size column. Select the columns you need
+    first: they are all written once.
     """
     order = _columns(order)
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_pid", F.spark_partition_id())
-    stored = materialize(ranged)
-    counts = stored.groupBy("_pid", *keys).agg(F.count("*").alias("_rows"))
+    by = [*[F.col(k) for k in keys], *order]
+    numbered = (df.repartitionByRange(*by).sortWithinPartitions(*by)
+                .withColumn("_at", F.monotonically_increasing_id()))
+    # The id holds the partition number above bit 33 and the place in the partition below.
+    stored = materialize(numbered).withColumn("_pid", F.shiftright("_at", 33))
+    runs = stored.groupBy("_pid", *keys).agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     group = W.partitionBy(*keys)
     earlier = group.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("_pid").alias("_opid"), *[F.col(k).alias(f"_o_{k}") for k in keys],
+    offsets = runs.select(
+        F.col("_pid").alias("_o_pid"), *[F.col(k).alias(f"_o_{k}") for k in keys], "_first",
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_rows").over(group).alias("_size"))
-    placed = stored.withColumn("_place", F.row_number().over(W.partitionBy("_pid", *keys).orderBy(*order)))
-    match = F.col("_pid") == F.col("_opid")
+    match = F.col("_pid") == F.col("_o_pid")
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-    extra = {rank: (F.col("_before") + F.col("_place")).cast("bigint")}
+    extra = {rank: F.col("_at") - F.col("_first") + F.col("_before") + 1}
     if size:
-        extra[size] = F.col("_size").cast("bigint")
-    return placed.join(offsets, match).withColumns(extra).select(*df.columns, *extra)
+        extra[size] = F.col("_size")
+    return stored.join(offsets, match).withColumns(extra).select(*df.columns, *extra)
 
 
 def rank_sentences(sentences: DataFrame, key: str = "doc_id", n: int = fixed.MAX_SENTENCES) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Arrays to rows."""
+"""Arrays to rows, and joins on uneven keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def unnest(df: DataFrame, keep: list, array: Column | str, name: str, position: str | None = None) -> DataFrame:
@@ -18,3 +19,15 @@ def unnest(df: DataFrame, keep: list, array: Column | str, name: str, position:
     else:
         rows = df.select(*keep, F.explode_outer(array).alias(name))
     return rows.where(F.col(name).isNotNull())
+
+
+def salted_join(many: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """Equi-join where one key may hold most rows of ``many``.
+
+    Rows of ``many`` get a salt from their content and ``few``, the smaller side,
+    is repeated once per salt, so a hot key is worked on by ``salts`` tasks.
+    """
+    plain = [f.name for f in many.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

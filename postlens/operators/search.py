@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postlens.functions import links
 from postlens.functions import text as tx
 from postlens.operators.ranking import top_k
+from postlens.operators.rows import salted_join
 
 
 def _match_key(col: Column) -> Column:
@@ -37,7 +38,6 @@ def search_topics(queries: DataFrame, topics: DataFrame, k: int = 50) -> DataFra
     candidate. Posting lists are salted so that a word found in a third of all
     titles is read by many tasks.
     """
-    salts = 16
     wanted = (queries.select("query").distinct()
               .withColumn("_words", title_words(F.col("query"))).where(F.size("_words") > 0))
     postings = topics.select("id", "title", "slug", "entry_count",
@@ -45,13 +45,11 @@ def search_topics(queries: DataFrame, topics: DataFrame, k: int = 50) -> DataFra
     listed = postings.select("*", F.explode("_title_words").alias("_word"))
     asked = wanted.select("query", "_words", F.explode("_words").alias("_word"))
     frequency = listed.groupBy("_word").agg(F.count("*").alias("_df"))
-    rarest = (asked.join(frequency, "_word", "left")
+    rarest = (salted_join(asked, frequency, ["_word"], "left")
               .groupBy("query").agg(F.first("_words").alias("_words"),
                                     F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_word")).alias("_pick"))
-              .select("query", "_words", F.col("_pick._word").alias("_word"),
-                      F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")))
-    salted = listed.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
-    hits = (salted.join(rarest, ["_word", "_salt"])
+              .select("query", "_words", F.col("_pick._word").alias("_word")))
+    hits = (salted_join(listed, rarest, ["_word"])
             .where(F.size(F.array_except("_words", "_title_words")) == 0)
             .select("query", "id", "title", "slug", "entry_count"))
     counts = hits.groupBy("query").agg(F.count("*").alias("thread_count"))
@@ -116,7 +114,7 @@ def autocomplete(queries: DataFrame, titles: DataFrame, nicks: DataFrame, k: int
     lengths = F.sequence(F.lit(2), F.least(F.length("_t"), F.greatest(longest, F.lit(2))))
     heads = (texts.select("kind", "text", "weight", "_t", F.explode(lengths).alias("_n"))
              .select("kind", "text", "weight", F.substr(F.col("_t"), F.lit(1), F.col("_n")).alias("_q")))
-    hits = heads.join(asked.select("_q").distinct(), "_q")
+    hits = salted_join(heads, asked.select("_q").distinct(), ["_q"])
     best = top_k(hits, ["_q", "kind"], [F.col("weight").desc(), F.col("text")], k)
     return best.join(asked, "_q").select("query", "kind", "rank", "text")
 

@@ -26,8 +26,8 @@ def assign_topics(df: DataFrame, model: KMeansModel, embedding: str = "embedding
 def relabel_small(df: DataFrame, min_size: int = 10) -> DataFrame:
     """Topics with fewer than ``min_size`` rows become the outlier topic -1."""
     sizes = df.groupBy("topic").agg(F.count("*").alias("_size"))
-    # One row per cluster, so the join side is as small as the number of clusters.
-    merged = df.join(sizes, "topic")
+    # One row per cluster: the broadcast side has as many rows as the model has clusters.
+    merged = df.join(F.broadcast(sizes), "topic")
     return merged.withColumn("topic", F.when(F.col("_size") < min_size, OUTLIER).otherwise(F.col("topic"))).drop("_size")
 
 

@@ -202,9 +202,9 @@ def url_parts(spark, folder):
 
 
 def listing_paths(spark, folder):
-    url = F.concat(F.lit("/api/basliklar?kanal="), F.url_encode("p_brand"), F.lit("%20"), F.col("p_name"),
+    url = F.concat(F.lit("/liste?kanal="), F.url_encode("p_brand"), F.lit("%20"), F.col("p_name"),
                    F.when(F.col("p_size") > 25, F.concat(F.lit("&p="), "p_size")).otherwise(""))
-    asked = F.when(F.col("p_type") == "ECONOMY", F.lit("/api/basliklar")).otherwise(url)
+    asked = F.when(F.col("p_type") == "ECONOMY", F.lit("/liste")).otherwise(url)
     return table(spark, folder, "part").select("p_partkey", links.listing_path(asked).alias("path"))
 
 

@@ -8,7 +8,7 @@ from postlens import schemas
 from postlens.operators import filters
 from postlens.sources import pages, posts, snapshots
 
-ENTRIES = [{"id": "1", "author": "ssg", "body": "bir", "topic": "pena"}, {"id": "2", "author": "otisabi", "body": "iki\nüç", "topic": "pena"}]
+ENTRIES = [{"id": "1", "author": "ada", "body": "bir", "topic": "pena"}, {"id": "2", "author": "bora", "body": "iki\nüç", "topic": "pena"}]
 
 
 def _write(folder, name, text):
@@ -78,9 +78,9 @@ TOPIC_PAGE = """<html><body><h1 id="title" data-title="pena" data-id="31782" dat
 <div id="disambiguations"><ul><li><a href="/pena-kanal--2">pena (kanal)</a></li></ul></div>
 <div class="clearfix pager" data-currentpage="2" data-pagecount="89"></div><div id="hidden-channels"> müzik,spor </div>
 <ul id="entry-item-list">
-<li data-id="1" data-author="ssg" data-author-id="8097" data-favorite-count="12021"><div class="content">
+<li data-id="1" data-author="ada" data-author-id="8097" data-favorite-count="12021"><div class="content">
   gitar &amp; <b>pena</b><br>son </div><footer><a class="entry-date permalink" href="/entry/1">15.02.1999 10:00 ~ 10:05</a>
-  <a class="entry-author" href="/biri/ssg">ssg</a></footer>
+  <a class="entry-author" href="/biri/ada">ada</a></footer>
 <li data-id="2"><div class="content">  </div><a class="entry-author">x</a></li>
 <li><div class="content">kimliksiz</div><a class="entry-author">x</a></li>
 </ul></body></html>"""
@@ -91,7 +91,7 @@ def test_topic_page(spark):
     rows = pages.extract_entries(df, ["n"]).collect()
     assert len(rows) == 1
     r = rows[0]
-    assert (r["id"], r["body"], r["author"], r["author_id"], r["fav_count"]) == ("1", "gitar &amp; <b>pena</b><br>son", "ssg", "8097", "12021")
+    assert (r["id"], r["body"], r["author"], r["author_id"], r["fav_count"]) == ("1", "gitar &amp; <b>pena</b><br>son", "ada", "8097", "12021")
     assert (r["created_at"], r["updated_at"]) == ("15.02.1999 10:00", "15.02.1999 10:05")
     t = pages.extract_topics(df.where("n = 1")).first()
     assert (t["id"], t["title"], t["slug"], t["total_page"], t["current_page"], t["tags"]) == ("31782", "pena", "pena--31782", 89, 2, ["müzik", "spor"])
@@ -99,7 +99,7 @@ def test_topic_page(spark):
     empty = pages.extract_topics(df.where("n = 3")).first()
     assert (empty["total_page"], empty["current_page"], empty["tags"]) == (1, 1, None)
     e = pages.extract_entry(df.where("n = 1")).first()
-    assert (e["entry"], e["title"], e["author"], e["fav_count"]) == (1, "pena", "ssg", 12021)
+    assert (e["entry"], e["title"], e["author"], e["fav_count"]) == (1, "pena", "ada", 12021)
 
 
 def test_listing_ignores_foreign_links(spark):

@@ -119,10 +119,10 @@ def test_links(one):
     assert one(links.id_from_slug, "/yok") is None
     assert one(lambda c: links.strip_base_url(links.absolute_url(c, base), base), slug) == slug[1:]
     assert one(lambda c: links.title_from_slug(links.strip_base_url(c, base)), slug) == "9 kere leyla"
-    assert one(links.listing_path, "/api/basliklar") == "gundem"
-    assert one(links.listing_path, "/api/basliklar?kanal=spor&p=2") == "kanal/spor?p=2"
-    assert one(links.listing_path, "/api/basliklar?kanal=ek%C5%9Fi%20s%C3%B6zl%C3%BCk") == "kanal/ek%C5%9Fi%20s%C3%B6zl%C3%BCk"
-    assert one(lambda c: links.split_query(c, "/baslik/"), "/api/baslik/pena--31782?p=2&a=nice").asDict() == {
+    assert one(links.listing_path, "/liste") == "gundem"
+    assert one(links.listing_path, "/liste?kanal=spor&p=2") == "kanal/spor?p=2"
+    assert one(links.listing_path, "/liste?kanal=k%C4%B1sa%20s%C3%B6z") == "kanal/k%C4%B1sa%20s%C3%B6z"
+    assert one(lambda c: links.split_query(c, "/baslik/"), "/baslik/pena--31782?p=2&a=nice").asDict() == {
         "slug": "pena--31782", "query": "p=2&a=nice"}
     assert one(lambda c: links.page_number(c), "/x") == 1
 
