@@ -2,9 +2,9 @@
 
 A scorer is any function ``Column -> Column`` from an array of sentences to an
 array of ``struct(label, score)``. The built-in one counts lexicon phrases. A
-user model plugs in as an Arrow UDF (see ``model_scorer``).
+user model plugs in through ``ModelScorer``.
 
-Everything here works on array columns inside one row, so a post is scored and
+Everything but a user model works on array columns inside one row, so a post is scored and
 voted on without any shuffle.
 """
 
@@ -14,9 +14,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens import fixed_values as fixed
 from postlens import schemas
@@ -80,28 +81,34 @@ def lexicon_scorer(lexicon: Lexicon = Lexicon()) -> Scorer:
     return lambda sentences: F.transform(F.transform(sentences, score_one), judge)
 
 
-def model_scorer(load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]) -> Scorer:
-    """Scorer around a user model; ``load`` runs once per Python worker.
+@dataclass(frozen=True)
+class ModelScorer:
+    """Scorer around a user model; ``load`` runs once per Python task.
 
     The model gets all sentences of an Arrow batch in one call and returns one
     ``(label, score)`` for each; labels pass through ``canonical_sentiment``.
+    The other columns pass by as Arrow data. No filter moves below this step,
+    so the model sees every sentence exactly once.
     """
 
-    @F.pandas_udf(schemas.SCORED)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
-        for batch in batches:
-            sizes = [len(s) for s in batch]
-            results = iter(model([s for sentences in batch for s in sentences]))
-            yield pd.Series([[dict(zip(("label", "score"), next(results))) for _ in range(n)] for n in sizes])
+    load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]
 
-    # Declared nondeterministic so that a filter on the result cannot run the model twice.
-    score = score.asNondeterministic()
+    def apply(self, df: DataFrame) -> DataFrame:
+        load = self.load
+        scored_type = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
 
-    def scorer(sentences: Column) -> Column:
-        return F.transform(score(sentences), lambda r: val.canonical_sentiment(r["label"], r["score"]))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model = load()
+            for batch in batches:
+                posts = batch.column(batch.schema.get_field_index("sentences")).to_pylist()
+                results = iter(model([s for sentences in posts for s in sentences]))
+                raw = [[dict(zip(("label", "score"), next(results))) for _ in sentences] for sentences in posts]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(raw, scored_type)], [*batch.schema.names, "_raw"])
 
-    return scorer
+        schema = T.StructType([*df.schema.fields, T.StructField("_raw", schemas.SCORED)])
+        canonical = F.transform("_raw", lambda r: val.canonical_sentiment(r["label"], r["score"]))
+        return df.mapInArrow(run, schema).withColumn("scored", canonical).drop("_raw")
 
 
 def last_weight(n: Column, weights: LastWeights = LastWeights()) -> Column:
@@ -117,8 +124,10 @@ def with_sentences(df: DataFrame, column: str = "text", order: str = "references
         lambda text: val.let(tx.split_sentences(text), lambda parts: tx.last_n(parts, text))))
 
 
-def with_scores(df: DataFrame, scorer: Scorer | None = None) -> DataFrame:
+def with_scores(df: DataFrame, scorer: Scorer | ModelScorer | None = None) -> DataFrame:
     """Add ``scored``: one ``struct(label, score)`` per sentence."""
+    if isinstance(scorer, ModelScorer):
+        return scorer.apply(df)
     return df.withColumn("scored", (scorer or lexicon_scorer())(F.col("sentences")))
 
 
@@ -220,7 +229,7 @@ def lexicon_override(df: DataFrame, text: Column, lexicon: Lexicon = Lexicon())
     return flipped.withColumn("score", val.signed_score(F.col("sentiment"), F.col("confidence"))).drop("_lex")
 
 
-def analyse_sentiment(df: DataFrame, column: str = "text", scorer: Scorer | None = None,
+def analyse_sentiment(df: DataFrame, column: str = "text", scorer: Scorer | ModelScorer | None = None,
                       override: Lexicon | None = None, order: str = "references_first",
                       weights: LastWeights = LastWeights()) -> DataFrame:
     """Text to sentiment: prepare, split, score the last ten sentences, vote.

@@ -17,7 +17,7 @@ def post_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
 
 
 def score_stream(posts: DataFrame, sink: str, checkpoint: str, column: str = "text",
-                 scorer: scoring.Scorer | None = None) -> StreamingQuery:
+                 scorer: scoring.Scorer | scoring.ModelScorer | None = None) -> StreamingQuery:
     """Score posts as files arrive and append them to a Parquet table.
 
     The vote runs inside each row, so the stream keeps no state; the checkpoint

@@ -92,8 +92,10 @@ def test_user_model_runs_behind_the_contract(spark):
         return lambda sentences: [("LABEL_2" if "a" in s else "olumsuz", 0.9) for s in sentences]
 
     df = spark.createDataFrame([(1, "ada. aba"), (2, "b. c"), (3, "")], "id int, text string")
-    got = {r["id"]: r["sentiment"] for r in scoring.analyse_sentiment(df, scorer=scoring.model_scorer(load)).collect()}
+    got = {r["id"]: r["sentiment"] for r in scoring.analyse_sentiment(df, scorer=scoring.ModelScorer(load)).collect()}
     assert got == {1: "positive", 2: "negative", 3: "negative"}
+    plan = scoring.analyse_sentiment(df, scorer=scoring.ModelScorer(load)).where("sentiment = 'positive'")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1 and plan.count() == 1
 
 
 def test_weights_are_configurable(spark):
