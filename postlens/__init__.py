@@ -1,3 +1,11 @@
 """Opinion-text analytics as PySpark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Ship the helpers that run inside tasks with the job, so that executors need no
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -126,3 +126,11 @@ def test_daily_snapshot_is_computed_once(spark, tmp_path):
     assert [r["id"] for r in snapshots.daily_snapshot(first, path, date(2024, 1, 1), 2).collect()] == [3]
     assert snapshots.daily_snapshot(first, path, date(2030, 1, 1), 2).count() == 0
     assert snapshots.stored_days(spark, path).count() == 2
+
+
+def test_helpers_travel_with_the_job():
+    """Executors have no copy of the package: its functions are pickled by value."""
+    from pyspark import cloudpickle
+    from postlens.sources.pages import _Lister
+    assert "postlens" in cloudpickle.list_registry_pickle_by_value()
+    assert b"handle_starttag" in cloudpickle.dumps(_Lister)
