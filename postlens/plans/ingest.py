@@ -126,14 +126,12 @@ def read_posts(spark, folder):
 
 
 def read_dumps(spark, folder):
-    """Document-shaped dumps: one file per role folder, read by topic and page."""
+    """Document-shaped dumps, one JSON value per file: every turn of a conversation is a dump of its own."""
     path = scratch_path(spark, "dumps")
     talks = table(spark, folder, "conversations")
-    # Each file holds one JSON value, so each conversation turn becomes a file-sized dump of its own partition.
     entry = F.to_json(F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("author"), F.col("conv_id").cast("string").alias("topic")))
     dump = F.concat(F.lit('{"metadata":{"total_entries":1,"topics":["'), "conv_id", F.lit('"]},\n"entries":[\n'), entry, F.lit("\n]}"))
-    opening = talks.where("turn = 0").select("conv_id", dump.alias("value"))
-    opening.write.partitionBy("conv_id").text(path)
+    talks.select("conv_id", "turn", dump.alias("value")).write.partitionBy("conv_id", "turn").text(path)
     found = posts.read_posts(spark, path, shape="document")
     kv = found.metadata.select(F.col("key").alias("field"), "value").groupBy("field", "value").agg(F.count("*").alias("n"))
     entries = found.entries.select(F.lit("entry").alias("field"), F.concat_ws("/", "topic", "id", "author").alias("value")).groupBy("field", "value").agg(F.count("*").alias("n"))
@@ -204,8 +202,8 @@ UNION ALL SELECT slug, 't', page, 1, turn::VARCHAR, s, role, '', turn FROM t WHE
     "read_posts": Query(read_posts, """
 SELECT turn::VARCHAR AS id, role AS author, text AS body, conv_id::VARCHAR AS topic, turn + 1 AS page FROM conversations"""),
     "read_dumps": Query(read_dumps, """
-SELECT 'metadata' AS field, '{"total_entries":1,"topics":["' || conv_id || '"]}' AS value, count(*) AS n FROM conversations WHERE turn = 0 GROUP BY conv_id
-UNION ALL SELECT 'entry', conv_id || '/' || turn || '/' || role, count(*) FROM conversations WHERE turn = 0 GROUP BY ALL"""),
+SELECT 'metadata' AS field, '{"total_entries":1,"topics":["' || conv_id || '"]}' AS value, count(*) AS n FROM conversations GROUP BY conv_id
+UNION ALL SELECT 'entry', conv_id || '/' || turn || '/' || role, count(*) FROM conversations GROUP BY ALL"""),
     "flatten_events": Query(flatten_events, """
 SELECT event_id, (props->>'$.k')::INT AS "e.props.k", event_type AS "e.kind.event_type" FROM events"""),
     "metadata_rows": Query(metadata_rows, """
