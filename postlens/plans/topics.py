@@ -43,11 +43,11 @@ def search_topics(spark, folder):
 def autocomplete8(spark, folder):
     titles = _topics(spark, folder).select(F.col("title").alias("text"), F.col("entry_count").alias("weight"))
     nicks = table(spark, folder, "customer").select(F.col("c_name").alias("text"), F.col("c_nationkey").cast("bigint").alias("weight"))
-    asked = posts_prefixes(spark, folder)
+    asked = _prefixes(spark, folder)
     return search.autocomplete(asked, titles, nicks, 8)
 
 
-def posts_prefixes(spark, folder):
+def _prefixes(spark, folder):
     part = table(spark, folder, "part").select(F.explode(F.array(F.left("p_name", F.lit(1)), F.left("p_name", F.lit(2)), F.left("p_name", F.lit(5)))).alias("query"))
     people = table(spark, folder, "customer").select(F.left("c_name", F.lit(16)).alias("query"))
     return part.unionByName(people)

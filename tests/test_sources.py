@@ -2,7 +2,6 @@ import json
 from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from postlens import schemas
 from postlens.operators import filters
