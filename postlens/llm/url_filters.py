@@ -17,6 +17,8 @@ from postlens.llm.common import Query, lower_ascii, stage, table, whole
 
 DAMPING = 0.85
 ROUNDS = 10
+#: Rounds after which the scores are stored, so that plans stay short.
+STORE_EVERY = 5
 #: Distrust at which a host is blocked, as a multiple of its trust.
 BLOCK_RATIO = 1.0
 
@@ -82,7 +84,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
 
     ``seeds``: host, trust and distrust weights (each normalised to sum 1 here).
     Every step is a join on the source and a map-side combined sum; hot hosts
-    are split by AQE as both sides are stored tables. Each step's scores are stored.
+    are split by AQE. The scores are stored every few steps, which cuts the lineage.
     """
     both = edges.select("src", "dst", "links", F.lit("trust").alias("kind")).unionByName(
         edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "links", F.lit("distrust").alias("kind")))
@@ -94,10 +96,12 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = stage(start.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("seed")), "seeds")
     scores = start.withColumnRenamed("seed", "score")
     jump = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    for _ in range(rounds):
+    for step in range(1, rounds + 1):
         moved = scores.withColumnRenamed("host", "src").join(shares, ["kind", "src"]).select(
             "kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        scores = stage(moved.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
+        scores = moved.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        if step % STORE_EVERY == 0:
+            scores = stage(scores, "scores")
     return scores.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
