@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from postlens.session import scratch_path
@@ -62,3 +62,27 @@ def count_words(text: Column) -> Column:
 def null_safe(col: Column) -> Column:
     """A text that is never null and differs for null and every value, for use as a join key."""
     return F.when(col.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), col.cast("string")))
+
+
+def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
+    """``df`` with ``rank`` (from 0) and, for each value column, ``before_<value>``: its sum over all earlier rows.
+
+    The order is global but no task sees the whole table: rows are range
+    partitioned on ``order`` and stored, each partition is summed on its own, and
+    only one row per partition meets in a single window. Rows that tie in all of
+    ``order`` are put in any order, so make it unique where that matters.
+    """
+    parts = stage(df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order])
+                  .withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = [F.sum(v).alias(f"_all_{v}") for v in values]
+    totals = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_all"), *sums)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = totals.select("_part", *[
+        F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(c) for c in ["_all", *[f"_all_{v}" for v in values]]])
+    own = Window.partitionBy("_part").orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
+    local = parts.select("*", (F.row_number().over(own) - 1).cast("long").alias("_place"), *[
+        F.coalesce(F.sum(v).over(so_far), F.lit(0)).alias(f"_own_{v}") for v in values])
+    return local.join(earlier, "_part").select(
+        *df.columns, (F.col("_place") + F.col("_all")).cast("long").alias("rank"),
+        *[(F.col(f"_own_{v}") + F.col(f"_all_{v}")).cast("long").alias(f"before_{v}") for v in values])

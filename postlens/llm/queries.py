@@ -1,9 +1,10 @@
 """All registered queries of the corpus operators by name."""
 
-from postlens.llm import exact_dedup, quality, url_filters
+from postlens.llm import exact_dedup, mixing, quality, url_filters
 
 QUERIES = {
     **exact_dedup.QUERIES,
+    **mixing.QUERIES,
     **url_filters.QUERIES,
     **quality.QUERIES,
 }
