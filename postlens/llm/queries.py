@@ -1,8 +1,9 @@
 """All registered queries of the corpus operators by name."""
 
-from postlens.llm import exact_dedup, mixing, quality, url_filters
+from postlens.llm import exact_dedup, mixing, quality, url_filters, warc
 
 QUERIES = {
+    **warc.QUERIES,
     **exact_dedup.QUERIES,
     **mixing.QUERIES,
     **url_filters.QUERIES,
