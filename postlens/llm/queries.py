@@ -1,12 +1,13 @@
 """All registered queries of the corpus operators by name."""
 
-from postlens.llm import exact_dedup, mixing, quality, token_counts, url_filters, warc
+from postlens.llm import exact_dedup, mixing, packing, quality, token_counts, url_filters, warc
 
 QUERIES = {
     **warc.QUERIES,
     **exact_dedup.QUERIES,
     **token_counts.QUERIES,
     **mixing.QUERIES,
+    **packing.QUERIES,
     **url_filters.QUERIES,
     **quality.QUERIES,
 }
