@@ -1,6 +1,6 @@
 """All registered queries of the corpus operators by name."""
 
-from postlens.llm import exact_dedup, mixing, near_dedup, packing, quality, token_counts, url_filters, warc
+from postlens.llm import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, url_filters, warc
 
 QUERIES = {
     **warc.QUERIES,
@@ -8,6 +8,7 @@ QUERIES = {
     **token_counts.QUERIES,
     **mixing.QUERIES,
     **packing.QUERIES,
+    **substring_dedup.QUERIES,
     **near_dedup.QUERIES,
     **url_filters.QUERIES,
     **quality.QUERIES,
