@@ -1,12 +1,13 @@
 """All registered queries of the corpus operators by name."""
 
-from postlens.llm import exact_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_counts, url_filters, warc
+from postlens.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
 
 QUERIES = {
     **warc.QUERIES,
     **exact_dedup.QUERIES,
     **token_counts.QUERIES,
     **mixing.QUERIES,
+    **pii.QUERIES,
     **packing.QUERIES,
     **substring_dedup.QUERIES,
     **near_dedup.QUERIES,
