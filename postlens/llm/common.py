@@ -64,6 +64,14 @@ def count_words(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, prolonged until no column of ``docs`` is called so (Spark ignores case in names)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def null_safe(col: Column) -> Column:
     """A text that is never null and differs for null and every value, for use as a join key."""
     return F.when(col.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), col.cast("string")))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Query, stage, table, whole
+from postlens.llm.common import Query, null_safe, stage, table, unused, whole
 
 
 def _verdicts(rows: DataFrame, key: str, keep: str) -> DataFrame:
@@ -65,22 +65,23 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """``docs`` without the rows that ``mark_copies`` drops, all columns unchanged."""
-    text = whole(F.col(text_col))
+    text, name = whole(F.col(text_col)), unused(docs, "_record")
     marks = mark_copies(docs, id_col, text_col, keep)
-    record = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("string").alias("id"), "text_sha256")
-    gone = marks.where(~F.col("kept")).select(record.alias("_record"), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("_again"))
-    gone = stage(gone, "dropped")
-    keyed = docs.select("*", F.struct(
-        F.col(id_col).isNull().alias("none"), F.col(id_col).cast("string").alias("id"),
-        F.sha2(text.cast("binary"), 256).alias("text_sha256")).alias("_record"))
-    # A dropped row that repeats id and text of the kept one: keep one of those rows, whichever.
-    again = gone.where("_again").select("_record").distinct()
-    kept = keyed.join(gone.where("not _again").select("_record"), "_record", "left_anti")
-    if again.isEmpty():
-        return kept.select(*docs.columns)
-    again = stage(again, "again")
-    once = kept.join(again, "_record", "left_semi").dropDuplicates(["_record"])
-    return kept.join(again, "_record", "left_anti").unionByName(once).select(*docs.columns)
+
+    def record(digest):
+        return F.struct(null_safe(F.col(id_col)).alias("id"), digest.alias("text")).alias(name)
+
+    gone = stage(marks.where(~F.col("kept")).select(
+        record(F.col("text_sha256")), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("_again")), "dropped")
+    keyed = docs.select("*", record(F.sha2(text.cast("binary"), 256)))
+    kept = keyed.join(gone.where("not _again").select(name), name, "left_anti")
+    # Dropped rows that repeat id and text of the kept one: one of those rows stays, whichever.
+    again = gone.where("_again").select(name).distinct()
+    if not again.isEmpty():
+        again = stage(again, "again")
+        once = kept.join(again, name, "left_semi").dropDuplicates([name])
+        kept = kept.join(again, name, "left_anti").unionByName(once)
+    return kept.drop(name)
 
 
 def _run(spark, folder):

@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Query, count_words, running, stage, table, whole
+from postlens.llm.common import Query, count_words, null_safe, running, stage, table, unused, whole
 
 BLOCK_WORDS = 1024
 MAX_EPOCHS = 3
@@ -170,17 +170,15 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     share id and source are told apart by size; rows equal in all three take the
     mean of their copies, rounded up.
     """
-    mix = mix_documents(docs.select(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source")).alias("_id"),
-                                    F.col(text_col).alias("_text"), F.col(source_col).alias("_from")), "_id", "_text", "_from")
-    key = F.struct(F.to_json("_id").alias("who"), F.col("size")).alias("_record")
-    copies = mix.where("size > 0").select(key, (F.col("taken") / F.col("size")).alias("_times")).groupBy("_record").agg(
-        F.when(F.count(F.lit(1)) == 1, F.round(F.max("_times"))).otherwise(F.ceil(F.avg("_times"))).cast("int").alias("_copies"))
-    copies = stage(copies.where("_copies > 0"), "copies")
-    named = docs.select("*", F.struct(
-        F.to_json(F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"))).alias("who"),
-        count_words(whole(F.col(text_col))).alias("size")).alias("_record"))
-    return named.join(copies, "_record").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    name, copy = unused(docs, "_record"), unused(docs, "_copy")
+    who = F.struct(null_safe(F.col(id_col)).alias("id"), null_safe(F.col(source_col)).alias("source"))
+    mix = mix_documents(docs.select(who.alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_from")), "_id", "_text", "_from")
+    share = F.col("taken") / F.col("size")
+    copies = mix.where("size > 0").groupBy(F.struct(F.col("_id"), "size").alias(name)).agg(
+        F.when(F.count(F.lit(1)) == 1, F.round(F.max(share))).otherwise(F.ceil(F.avg(share))).cast("int").alias(copy))
+    copies = stage(copies.where(F.col(copy) > 0), "copies")
+    named = docs.withColumn(name, F.struct(who.alias("_id"), count_words(whole(F.col(text_col))).alias("size")))
+    return named.join(copies, name).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 
 def _run(spark, folder):

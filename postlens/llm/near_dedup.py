@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import LOWER, UPPER, Query, null_safe, stage, table, whole
+from postlens.llm.common import LOWER, UPPER, Query, null_safe, stage, table, unused, whole
 
 SHINGLE = 5
 PERCENT = 75
@@ -258,8 +258,9 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept in their group, all columns unchanged; rows are matched by id."""
-    gone = stage(find_groups(docs, id_col, text_col).where("not kept").select(null_safe(F.col(id_col)).alias("_key")).distinct(), "near-copies")
-    return docs.withColumn("_key", null_safe(F.col(id_col))).join(gone, "_key", "left_anti").select(*docs.columns)
+    name = unused(docs, "_key")
+    gone = stage(find_groups(docs, id_col, text_col).where("not kept").select(null_safe(F.col(id_col)).alias(name)).distinct(), "near-copies")
+    return docs.withColumn(name, null_safe(F.col(id_col))).join(gone, name, "left_anti").select(*docs.columns)
 
 
 def _run(spark, folder):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.values import let
-from postlens.llm.common import GAP, LOWER, UPPER, WORD_GAP, Query, lower_ascii, null_safe, stage, table, whole, words
+from postlens.llm.common import GAP, LOWER, UPPER, WORD_GAP, Query, lower_ascii, null_safe, stage, table, unused, whole, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -131,25 +131,26 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     Rows are matched by id, host and hash of the text, so repeated ids are safe.
     """
-    text = whole(F.col(text_col))
+    text, name = whole(F.col(text_col)), unused(docs, "_record")
     named = docs.select("*", F.struct(null_safe(F.col(id_col)).alias("i"), null_safe(F.col(host_col)).alias("h"),
-                                      F.md5(text.cast("binary")).alias("t")).alias("_record"))
-    marks = judge(named.select(F.col("_record").alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_from")),
+                                      F.md5(text.cast("binary")).alias("t")).alias(name))
+    marks = judge(named.select(F.col(name).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_from")),
                   "_id", "_text", "_from")
-    gone = stage(marks.where("not kept").select(F.col("_id").alias("_record")).distinct(), "rejected")
-    return named.join(gone, "_record", "left_anti").select(*docs.columns)
+    gone = stage(marks.where("not kept").select(F.col("_id").alias(name)).distinct(), "rejected")
+    return named.join(gone, name, "left_anti").drop(name)
 
 
 def strip_lines(docs: DataFrame, common: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``docs`` with the ``common`` lines (see ``common_lines``) taken out of each text; a null text stays null."""
-    numbered = docs.select("*", null_safe(F.col(host_col)).alias("_host"), F.monotonically_increasing_id().alias("_row"))
-    numbered = stage(numbered, "numbered")
-    lines = numbered.select("_row", "_host", F.explode_outer(F.split(text_col, "\n", -1)).alias("_text")).where("_text is not null")
-    found = lines.select("_row", "_host", "_text", line_hash(normal_line(F.col("_text"))).alias("_line"))
-    hits = found.join(common, ["_host", "_line"], "left_semi").groupBy("_row").agg(F.collect_set("_text").alias("_out"))
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line: ~F.array_contains("_out", line)), "\n")
-    cleaned = F.when(F.col("_out").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
-    return numbered.join(hits, "_row", "left").select(*[cleaned if c == text_col else c for c in docs.columns])
+    row, gone = unused(docs, "_row"), unused(docs, "_gone")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    lines = numbered.select(F.col(row).alias("_r"), null_safe(F.col(host_col)).alias("_host"), F.explode_outer(
+        F.split(text_col, "\n", -1)).alias("_text")).where("_text is not null")
+    found = lines.withColumn("_line", line_hash(normal_line(F.col("_text"))))
+    hits = found.join(common, ["_host", "_line"], "left_semi").groupBy(F.col("_r").alias(row)).agg(F.collect_set("_text").alias(gone))
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line: ~F.array_contains(gone, line)), "\n")
+    cleaned = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(kept)
+    return numbered.join(hits, row, "left").withColumn(text_col, cleaned).drop(row, gone)
 
 
 def _run(spark, folder):
