@@ -33,7 +33,7 @@ LOW, HIGH = float(GOLDEN), float(GOLDEN * (1 << 20) % 1)
 
 
 class Mix(NamedTuple):
-    docs: DataFrame      # id, source number, size, first word's place in the source's shuffled order
+    docs: DataFrame      # id, source and its number, size, first word's place in the source's shuffled order
     sources: DataFrame   # per source: number s, source, source_size, target, words, blocks, need
     schedule: DataFrame  # per slot: s, slot, turn (its rank in the source)
 
@@ -124,7 +124,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sums = sums.join(sources, sums["_source"].eqNullSafe(sources["_source"])).drop(sources["_source"])
     sums = stage(sums.select(F.col("_source").alias("_of"), F.col("_bucket").alias("_in"), "_before", "_s", "_words", "_target", "_take", "_blocks"), "buckets")
     laid = placed.join(sums, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in"))).select(
-        "_id", "_s", "_size", (F.col("_before") + F.col("_own")).alias("_start"), "_words", "_target", "_take", "_blocks")
+        "_id", "_source", "_s", "_size", (F.col("_before") + F.col("_own")).alias("_start"), "_words", "_target", "_take", "_blocks")
     return Mix(stage(laid, "laid"), sources, _slots(sources))
 
 
@@ -153,13 +153,16 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     without words has 0; an empty table gives an empty result. Other columns are
     ignored, whatever their names. See ``plan_mix`` for nulls and ties.
     """
-    mix = plan_mix(docs, id_col, text_col, source_col, block_words, max_epochs, seed)
+    mixed = _mixed(plan_mix(docs, id_col, text_col, source_col, block_words, max_epochs, seed), block_words)
+    return mixed.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"),
+                        F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def _mixed(mix: Mix, block_words: int) -> DataFrame:
+    """The documents of ``mix`` with the words that the schedule takes of each."""
     taken = taken_pieces(mix, block_words).groupBy("_s", "_start").agg(F.sum("words").alias("_taken"))
-    filled = mix.docs.where("_size > 0").join(taken, ["_s", "_start"], "left")
-    blank = mix.docs.where("_size = 0").withColumn("_taken", F.lit(0).cast("long"))
-    return filled.unionByName(blank).select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"),
-        F.col("_target").alias("target"), F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    filled = mix.docs.where("_size > 0").join(taken, ["_s", "_start"], "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
+    return filled.unionByName(mix.docs.where("_size = 0").withColumn("_taken", F.lit(0).cast("long")))
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -171,13 +174,16 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mean of their copies, rounded up.
     """
     name, copy = unused(docs, "_record"), unused(docs, "_copy")
-    who = F.struct(null_safe(F.col(id_col)).alias("id"), null_safe(F.col(source_col)).alias("source"))
-    mix = mix_documents(docs.select(who.alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_from")), "_id", "_text", "_from")
-    share = F.col("taken") / F.col("size")
-    copies = mix.where("size > 0").groupBy(F.struct(F.col("_id"), "size").alias(name)).agg(
+    share = F.col("_taken") / F.col("_size")
+
+    def record(row_id, source, size):
+        return F.struct(null_safe(row_id).alias("id"), null_safe(source).alias("source"), size.alias("size")).alias(name)
+
+    mixed = _mixed(plan_mix(docs, id_col, text_col, source_col), BLOCK_WORDS).where("_size > 0")
+    copies = mixed.groupBy(record(F.col("_id"), F.col("_source"), F.col("_size"))).agg(
         F.when(F.count(F.lit(1)) == 1, F.round(F.max(share))).otherwise(F.ceil(F.avg(share))).cast("int").alias(copy))
     copies = stage(copies.where(F.col(copy) > 0), "copies")
-    named = docs.withColumn(name, F.struct(who.alias("_id"), count_words(whole(F.col(text_col))).alias("size")))
+    named = docs.select("*", record(F.col(id_col), F.col(source_col), count_words(whole(F.col(text_col)))))
     return named.join(copies, name).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from postlens.llm.common import Query, table, whole
 
@@ -71,24 +73,36 @@ MARK = 0x110000  # stands between texts; no character has this number
 
 
 @lru_cache(maxsize=1)
-def _classes() -> np.ndarray:
-    """Class of every character: letter, number, white space or other."""
-    table = np.full(MARK + 1, OTHER, np.uint8)
-    points = [*range(0xD800), *range(0xE000, MARK)]
-    every = "".join(map(chr, points))
-    shift = 0x800
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class of every character, and the characters whose class depends on the version of Unicode.
+
+    Letters and numbers on which Python's two databases agree are settled; the few others are asked of the
+    tokenizers library itself.
+    """
+    kinds = np.full(MARK + 1, OTHER, np.uint8)
+    points = np.array([*range(0xD800), *range(0xE000, MARK)])
+    every = "".join(map(chr, points.tolist()))
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\p{White_Space}+", SPACE)):
         for run in regex.finditer(pattern, every):
-            for lo, hi, add in ((run.start(), min(run.end(), 0xD800), 0), (max(run.start(), 0xD800), run.end(), shift)):
-                if lo < hi:
-                    table[lo + add:hi + add] = kind
-    table[MARK] = END
-    return table
+            kinds[points[run.start():run.end()]] = kind
+    older = np.full(MARK + 1, OTHER, np.uint8)
+    older[points] = [{"L": LETTER, "N": NUMBER}.get(category(c)[0], OTHER) for c in every]
+    older[kinds == SPACE] = SPACE
+    unsettled = np.flatnonzero(older != kinds)
+    split = ByteLevel(add_prefix_space=False, use_regex=True)
+    starts = {at for _, (at, _) in split.pre_tokenize_str("".join(f"a{chr(c)}1" for c in unsettled.tolist()))}
+    kinds[unsettled] = [LETTER if 3 * i + 1 not in starts else NUMBER if 3 * i + 2 not in starts else OTHER for i in range(len(unsettled))]
+    kinds[MARK] = END
+    return kinds, unsettled[unsettled < MARK]
+
+
+def unsettled_characters() -> np.ndarray:
+    return _tables()[1]
 
 
 def symbols(codes: np.ndarray) -> np.ndarray:
     """The splitter's symbols: character classes that already know the two characters that follow."""
-    kinds = _classes()[codes]
+    kinds = _tables()[0][codes]
     after = np.append(kinds[1:], END)
     out = kinds.copy()
     last = (kinds == SPACE) & (after != SPACE) & (after != END)
