@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens.functions import text as tx
 
@@ -18,8 +19,9 @@ def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def drop_missing(df: DataFrame, columns: list[str], blank_too: bool = True) -> DataFrame:
-    """Rows where every column holds a value (``''`` counts as missing if ``blank_too``)."""
-    present = [F.col(c).isNotNull() & (F.col(c) != "" if blank_too else F.lit(True)) for c in columns]
+    """Rows where every column holds a value (``''`` in a text column counts as missing if ``blank_too``)."""
+    blank = {c for c in columns if blank_too and isinstance(df.select(c).schema[0].dataType, T.StringType)}
+    present = [F.col(c).isNotNull() & (F.col(c) != "" if c in blank else F.lit(True)) for c in columns]
     return df.where(reduce(lambda a, b: a & b, present))
 
 

@@ -53,9 +53,9 @@ def phrase_count(text: Column, phrases: list[str]) -> Column:
 
 def lexicon_counts(col: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """``struct(pos, neg)`` of phrases found in the lower-cased text."""
-    text = F.lower(col)
-    return F.struct(phrase_count(text, lexicon.positive).alias("pos"),
-                    phrase_count(text, lexicon.negative).alias("neg"))
+    # Bound once: inside a lambda Catalyst would lower the text for every phrase.
+    return val.let(F.lower(col), lambda text: F.struct(
+        phrase_count(text, lexicon.positive).alias("pos"), phrase_count(text, lexicon.negative).alias("neg")))
 
 
 def lexicon_match(df: DataFrame, column: str, lexicon: Lexicon = Lexicon()) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,13 +30,13 @@ def build_session(app_name: str = "postlens", master: str | None = None, **conf:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A private folder is made only in local mode, where driver and executors are
-    one process; on a cluster a missing setting is an error.
+    A private folder is made only where the setting is missing and driver and
+    executors are one process; on any cluster a missing setting is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="postlens-")
     if context.getCheckpointDir() is None:
@@ -44,25 +45,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, deleted when the application ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` once as Parquet to the shared folder and read it back.
 
     The stored copy survives the loss of executors, and every later use sees
-    the same rows in the same partitions.
+    the same rows.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Tables up to this size may be dealt out anew; a larger one never is.
+SMALL_TABLE_BYTES = 64 << 20
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use every core on an input of few partitions (a small file or a single row group).
+    """Use every core on a small table that is stored in one piece.
 
-    An input that already has a partition per core is returned as it is, so a
-    large table is never shuffled by this.
+    Only layout changes, and at most ``SMALL_TABLE_BYTES`` (by Catalyst's estimate)
+    are shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size <= SMALL_TABLE_BYTES else df

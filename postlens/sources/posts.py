@@ -14,58 +14,93 @@ from postlens.functions import text as tx
 from postlens.functions import values as val
 from postlens.operators.filters import min_length
 from postlens.operators.rows import unnest
+from postlens.session import materialize
 
-CORRUPT = "_corrupt_record"
+TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
 
 class Posts(NamedTuple):
     entries: DataFrame
     metadata: DataFrame
+    rejects: DataFrame
 
 
 def read_posts(spark: SparkSession, path: str, schema: T.StructType = schemas.POST, shape: str = "auto") -> Posts:
-    """Read a post dump: ``{…, "entries": […]}``, a bare array, or JSON Lines.
-
-    JSON Lines files are split by line and scale freely. The two document
-    shapes hold one JSON value per file, so their unit of work is a file. An
-    object without an ``entries`` list is one row. ``metadata`` holds
-    ``(path, key, value)`` for the keys beside ``entries``.
+    """Read post dumps: ``{…, "entries": […]}``, bare arrays, or JSON Lines, mixed as they may be in a folder.
+
+    The shape is found for each file by parsing. If the first line that is not
+    blank is a JSON value of its own, the file is read by lines, splits and
+    scales freely, and each line is a post or a compact dump; an array counts
+    only when it is the file's single line. Else the file as a whole must be one
+    JSON value, which is then one task's unit of work; if it is not, its lines
+    count. ``shape`` (``lines`` or ``document``) skips that look.
+
+    Fields are read as text and cast, so one that does not fit is null and the
+    post stays. Keys outside ``schema`` are kept in the map ``other``.
+    ``metadata`` holds (path, key, value) for the keys beside ``entries``,
+    ``rejects`` (path, value) the lines and files that are no posts.
     """
-    if shape == "auto":
-        shape = _guess_shape(spark, path)
-    if shape == "lines":
-        entries = parse_lines(spark.read.text(path), "value", schema)
-        return Posts(entries, spark.createDataFrame([], "path string, key string, value string"))
-    if shape != "document":
+    if shape not in ("auto", "lines", "document"):
         raise ValueError(f"unknown shape: {shape}")
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    bare = F.ltrim("value").startswith("[")
-    keys = F.when(~bare, F.json_object_keys("value"))
-    boxed = F.from_json("value", T.StructType([T.StructField("entries", T.ArrayType(schema))]))["entries"]
-    listed = (F.when(bare, F.from_json("value", T.ArrayType(schema)))
-              .otherwise(F.coalesce(boxed, F.array(F.from_json("value", schema)))))
-    entries = unnest(files, [], listed, "e").select("e.*")
-    metadata = (files.where(F.array_contains(keys, "entries") & boxed.isNotNull())
-                .select("path", F.explode(F.from_json("value", T.MapType(T.StringType(), T.StringType())))
-                        .alias("key", "value")).where("key <> 'entries'"))
-    return Posts(entries, metadata)
-
-
-def _guess_shape(spark: SparkSession, path: str) -> str:
-    """Look at the first two non-blank lines (4,096 characters each)."""
-    lines = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, 4096)).take(2)
-    heads = [row[0] for row in lines]
-    many_objects = len(heads) == 2 and heads[1].startswith("{") and not heads[0].startswith("[")
-    return "lines" if many_objects else "document"
+    values = _by_line(spark, path) if shape == "lines" else _by_file(spark, path) if shape == "document" else _by_shape(spark, path)
+    values = values.where(tx.strip(F.col("value")) != "")
+    fields = F.from_json("value", TEXT_MAP)
+    parsed = F.try_parse_json("value")
+    head = F.substring(tx.strip(F.col("value")), 1, 1)
+    kind = F.when(parsed.isNull(), "bad").when(head == "{", "object").when((head == "[") & F.col("lists"), "list").otherwise("bad")
+    read = values.select("path", "value", kind.alias("_kind"), F.when(kind == "object", fields).alias("_fields"))
+    boxed = F.when(F.map_contains_key("_fields", "entries"), F.from_json(F.try_element_at("_fields", F.lit("entries")), T.ArrayType(T.StringType())))
+    listed = F.when(F.col("_kind") == "list", F.from_json("value", T.ArrayType(T.StringType()))).when(
+        F.col("_kind") == "object", F.coalesce(boxed, F.array("value")))
+    items = unnest(read, [], listed, "_item").where(F.ltrim("_item").startswith("{"))
+    metadata = read.where(boxed.isNotNull()).select("path", F.explode("_fields").alias("key", "value")).where("key <> 'entries'")
+    return Posts(_posts(items, "_item", schema), metadata, read.where("_kind = 'bad'").select("path", "value"))
+
+
+def _by_line(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.lit(False).alias("lists"))
+
+
+def _by_file(spark: SparkSession, path) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.lit(True).alias("lists"))
+
+
+def _by_shape(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the files that are read by line, and the other files as a whole."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"), "value").where(tx.strip(F.col("value")) != "")
+    first = F.min_by(F.try_parse_json("value").isNotNull(), F.struct("_block", "_place"))
+    files = materialize(lines.groupBy("path").agg(first.alias("_alone"), F.count("*").alias("_lines")), "shapes")
+    by_line = _by_line(spark, path).drop("lists").join(files.where("_alone"), "path").select("path", "value", (F.col("_lines") == 1).alias("lists"))
+    rest = files.where("not _alone").select("path")
+    if rest.isEmpty():
+        return by_line
+    # Only the files that need it are read whole; the list of paths is what Spark's own file index holds.
+    texts = _by_file(spark, path).join(rest, "path")
+    one_value = F.try_parse_json("value").isNotNull()
+    split = texts.where(~one_value).select("path", F.explode(F.split("value", "\n")).alias("value"), F.lit(False).alias("lists"))
+    return by_line.unionByName(texts.where(one_value)).unionByName(split)
+
+
+def _posts(items: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """The declared fields of JSON objects, each cast on its own, and a map of all other keys."""
+    fields = F.from_json(column, TEXT_MAP)
+    read = items.select(fields.alias("_f"))
+
+    def field(f: T.StructField) -> Column:
+        text = F.try_element_at("_f", F.lit(f.name))
+        nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+        return (F.from_json(text, f.dataType) if nested else text.try_cast(f.dataType)).alias(f.name)
+
+    other = F.map_filter("_f", lambda k, v: ~k.isin(schema.fieldNames()))
+    return read.select(*[field(f) for f in schema.fields], other.alias("other"))
 
 
 def parse_lines(lines: DataFrame, column: str, schema: T.StructType) -> DataFrame:
-    """Rows of JSON Lines text; blank, malformed and non-object lines are skipped."""
-    lenient = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    objects = lines.where(tx.strip(F.col(column)).startswith("{"))
-    parsed = objects.select(F.from_json(F.col(column), lenient, options).alias("row")).select("row.*")
-    return parsed.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    """Rows of JSON Lines text; blank, malformed and non-object lines are skipped, a field that does not fit is null."""
+    good = F.try_parse_json(column).isNotNull() & tx.strip(F.col(column)).startswith("{")
+    return _posts(lines.where(good), column, schema).drop("other")
 
 
 def flatten(df: DataFrame) -> DataFrame:

@@ -133,3 +133,27 @@ def test_helpers_travel_with_the_job():
     from postlens.sources.pages import _Lister
     assert "postlens" in cloudpickle.list_registry_pickle_by_value()
     assert b"handle_starttag" in cloudpickle.dumps(_Lister)
+
+
+def test_a_folder_of_mixed_shapes_loses_nothing(spark, tmp_path):
+    folder = tmp_path / "dumps"
+    folder.mkdir()
+    post = [{"id": str(i), "page": "3", "mood": {"x": [i]}} for i in range(12)]
+    _write(folder, "a.json", json.dumps({"metadata": {"n": 2}, "entries": post[:2]}))
+    _write(folder, "b.json", json.dumps({"metadata": {"n": 1}, "entries": post[2:3]}))
+    _write(folder, "c.json", json.dumps({"metadata": {"n": 2}, "entries": post[3:5]}, indent=2))
+    _write(folder, "d.json", "\n".join(["["] + [json.dumps(p) + "," for p in post[5:7]] + [json.dumps(post[7]), "]"]))
+    _write(folder, "e.json", json.dumps(post[8:9]))
+    _write(folder, "f.jsonl", "\n".join([json.dumps(post[9]), "[1,2]", "{bad", "", '"text"', json.dumps(post[10])]))
+    _write(folder, "g.jsonl", "\n".join(["{bad first", json.dumps({**post[11], "page": "three"})]))
+    found = posts.read_posts(spark, str(folder))
+    rows = sorted(found.entries.collect(), key=lambda r: int(r["id"]))
+    assert [r["id"] for r in rows] == [p["id"] for p in post]
+    assert [r["page"] for r in rows] == [3] * 11 + [None] and json.loads(rows[4]["other"]["mood"]) == {"x": [4]}
+    assert sorted(r["value"] for r in found.metadata.collect()) == ['{"n":1}', '{"n":2}', '{"n":2}']
+    assert sorted(r["value"] for r in found.rejects.collect()) == ['"text"', "[1,2]", "{bad", "{bad first"]
+
+
+def test_missing_values_of_numeric_columns(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, ""), (3, None)], "n int, t string")
+    assert [r["n"] for r in filters.drop_missing(df, ["n", "t"]).collect()] == [1]
