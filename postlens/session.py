@@ -73,5 +73,5 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Only layout changes, and at most ``SMALL_TABLE_BYTES`` (by Catalyst's estimate)
     are shuffled.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size <= SMALL_TABLE_BYTES else df
