@@ -78,13 +78,12 @@ def valid_texts(spark, folder):
 
 
 def batch_skip(spark, folder):
-    turns = table(spark, folder, "conversations").select(F.substring_index("text", " ", 1).alias("text"))
-    return turns.agg(F.count("*").alias("total"), F.count_if(filters.is_analysable(F.col("text"))).alias("analysed"))
+    return filters.batch_skip(table(spark, folder, "conversations"), low=40).select("conv_id", "turn")
 
 
 def valid_queries(spark, folder):
-    asked = table(spark, folder, "conversations").select("conv_id", "turn", F.substring_index("text", " ", 1).alias("query"))
-    return filters.valid_query(asked)
+    asked = table(spark, folder, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    return filters.valid_query(asked, low=40)
 
 
 def labelled_documents(spark, folder):
@@ -95,7 +94,7 @@ def labelled_documents(spark, folder):
 
 def entry_by_id(spark, folder):
     item = table(spark, folder, "benchmark").agg(F.max("item_id")).scalar()
-    return table(spark, folder, "documents").where(F.col("doc_id") == item).select("doc_id", "text")
+    return filters.entry_by_id(table(spark, folder, "documents"), item, "doc_id").select("doc_id", "text")
 
 
 def entries_by_ids(spark, folder):
@@ -176,8 +175,8 @@ def word_tokens(spark, folder):
 
 
 def folded_words(spark, folder):
-    words = table(spark, folder, "documents").select("doc_id", F.substring_index("text", " ", 1).alias("w"))
-    return words.select("doc_id", tx.fold_label(F.col("w")).alias("folded"), tx.fold_label(F.col("w"), "plain").alias("plain"))
+    return table(spark, folder, "documents").select(
+        "doc_id", tx.fold_label(F.col("text")).alias("folded"), tx.fold_label(F.col("text"), "plain").alias("plain"))
 
 
 def slug_titles(spark, folder):
@@ -309,10 +308,8 @@ WHERE role <> 'system' AND turn > 0 AND text <> ''"""),
 SELECT doc_id, CASE WHEN length({c.sql_strip('text')}) < 3 THEN 'too_short' ELSE 'too_long' END AS reason, n_chars
 FROM documents WHERE length({c.sql_strip('text')}) NOT BETWEEN 3 AND 5000"""),
     "valid_texts": Query(valid_texts, f"SELECT doc_id, n_chars FROM documents WHERE length({c.sql_strip('text')}) BETWEEN 3 AND 5000"),
-    "batch_skip": Query(batch_skip, """
-SELECT count(*) AS total, count(*) FILTER (length(trim(split_part(text, ' ', 1), E' \\n')) >= 3) AS analysed FROM conversations"""),
-    "valid_queries": Query(valid_queries, """
-SELECT conv_id, turn, split_part(text, ' ', 1) AS query FROM conversations WHERE length(trim(split_part(text, ' ', 1), E' \\n')) >= 2"""),
+    "batch_skip": Query(batch_skip, f"SELECT conv_id, turn FROM conversations WHERE length({c.sql_strip('text')}) >= 40"),
+    "valid_queries": Query(valid_queries, f"SELECT conv_id, turn, text AS query FROM conversations WHERE length({c.sql_strip('text')}) >= 40"),
     "labelled_documents": Query(labelled_documents, "SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL"),
     "entry_by_id": Query(entry_by_id, "SELECT doc_id, text FROM documents WHERE doc_id = (SELECT max(item_id) FROM benchmark)"),
     "entries_by_ids": Query(entries_by_ids, "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
@@ -340,7 +337,7 @@ SELECT doc_id, right(text, 1024) AS tail, left(text, 1024) AS head,
 SELECT doc_id, CASE WHEN length(text) > 100 THEN text[1:100] || '...' ELSE text END AS batch, text[1:100] || '...' AS report FROM documents"""),
     "word_tokens": Query(word_tokens, f"SELECT doc_id, array_to_string({c.SQL_TOKENS.format('text')}, ' ') AS words FROM documents"),
     "folded_words": Query(folded_words, r"""
-WITH w AS (SELECT doc_id, trim(split_part(text, ' ', 1), E' \n') AS w FROM documents),
+WITH w AS (SELECT doc_id, trim(text, E' \n') AS w FROM documents),
 f AS (SELECT doc_id, regexp_replace(strip_accents(lower(w)), '[^\x00-\x7F]', '', 'g') AS f FROM w)
 SELECT doc_id, f AS folded, f AS plain FROM f"""),
     "slug_titles": Query(slug_titles, f"SELECT page_id, {sql_slug('''regexp_extract(html, '<title>([^<]*)', 1)''')} AS slug FROM pages"),

@@ -154,8 +154,11 @@ def analysable_documents(spark: SparkSession, folder: str) -> DataFrame:
     return batch_skip(table(spark, folder, "documents").select("doc_id", "text", "lang"))
 
 
-def document_sentiment(spark: SparkSession, folder: str, lexicon: scoring.Lexicon = LEXICON) -> DataFrame:
+def document_sentiment(spark: SparkSession, folder: str, lexicon: scoring.Lexicon = LEXICON, among: DataFrame | None = None) -> DataFrame:
+    """The vote of every document, or of those whose id is ``among`` the given ones."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
+    if among is not None:
+        docs = docs.join(among, "doc_id", "left_semi")
     return scoring.analyse_sentiment(docs, "text", scoring.lexicon_scorer(lexicon))
 
 

@@ -13,15 +13,15 @@ from postlens.plans import common as c
 from postlens.plans.cleaning import HTML_TEXT, sql_labelling
 from postlens.plans.common import OTHER_LEXICONS, VOCABULARIES, Query, table
 from postlens.plans.opinion import _TOP3
-from postlens.session import materialize, scratch_path
+from postlens.session import scratch_path
 from postlens.sources import posts
 
 
 def _frame(spark, folder, text: bool = False):
-    """Stored predictions beside gold: the evaluation reads them as often as it needs."""
-    pred = c.document_sentiment(spark, folder).select("doc_id", val.sentiment_code(F.col("sentiment")).alias("Tduygu"))
+    """Predictions beside gold; only labelled documents are scored."""
     gold = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("RDuygu"))
-    frame = evaluate.prepare(gold.join(materialize(pred), "doc_id"), numeric_gold=True)
+    pred = c.document_sentiment(spark, folder, among=gold).select("doc_id", val.sentiment_code(F.col("sentiment")).alias("Tduygu"))
+    frame = evaluate.prepare(gold.join(pred, "doc_id"), numeric_gold=True)
     return frame.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id") if text else frame
 
 
@@ -63,9 +63,9 @@ def metric_lines(spark, folder):
 
 
 def compare_models(spark, folder):
-    parts = [c.document_sentiment(spark, folder, lexicon).select(F.lit(name).alias("model"), "doc_id", "sentiment")
-             for name, lexicon in OTHER_LEXICONS.items()]
     gold = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("gold"))
+    parts = [c.document_sentiment(spark, folder, lexicon, gold).select(F.lit(name).alias("model"), "doc_id", "sentiment")
+             for name, lexicon in OTHER_LEXICONS.items()]
     return evaluate.compare_models(posts.union_parts(*parts), gold, [*OTHER_LEXICONS, "absent"], "doc_id")
 
 

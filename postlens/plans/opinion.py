@@ -74,8 +74,8 @@ def canonical_labels(spark, folder):
 
 
 def best_candidates(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", F.array(*[
-        F.struct(F.lit(f"LABEL_{i}").alias("label"), F.col("embedding")[i].cast("double").alias("score")) for i in range(3)]).alias("k"))
+    rows = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: F.struct(
+        F.concat(F.lit("LABEL_"), i.cast("string")).alias("label"), x.cast("double").alias("score"))).alias("k"))
     return rows.select("vec_id", val.best_candidate(F.col("k")).alias("r")).select("vec_id", "r.label", "r.score")
 
 
@@ -224,9 +224,8 @@ SELECT *, CASE sentiment WHEN 'positive' THEN confidence WHEN 'negative' THEN -c
 SELECT doc_id, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label,
   doc_id::DOUBLE / 1000 AS score FROM labels"""),
     "best_candidates": Query(best_candidates, """
-WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)
-SELECT vec_id, greatest(a, b, c) AS score,
-  CASE WHEN a >= b AND a >= c THEN 'LABEL_0' WHEN b >= c THEN 'LABEL_1' ELSE 'LABEL_2' END AS label FROM e"""),
+SELECT vec_id, list_max(embedding)::DOUBLE AS score,
+  'LABEL_' || (list_position(embedding, list_max(embedding)) - 1) AS label FROM embeddings"""),
     "keywords_top8": Query(keywords_top8, f"WITH {_KEYWORDS} SELECT doc_id, rank, word, n FROM top8 WHERE rank <= 8"),
     "stop_words_dropped": Query(stop_words_dropped, f"""
 WITH tokens AS (SELECT lang, unnest({c.SQL_TOKENS.format('text')}) AS w FROM documents)
