@@ -16,22 +16,18 @@ def test_edit_dates(one, text, created, updated):
     assert tuple(one(val.parse_edit_date, text)) == (created, updated)
 
 
-def test_edit_dates_equal_slicing(spark):
-    def by_slices(text):
-        created, updated = text, None
-        if "~" in text:
-            updated = text.split("~")[1].strip()
-            if updated:
-                created = text[:max(len(text) - len(updated) - 2, 0)].strip()
-                if len(created) > len(updated):
-                    updated = created[:len(created) - len(updated)] + updated
-        return created, updated
-
+def test_edit_dates_give_back_both_times(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("0123.: ~") for _ in range(rng.randint(0, 24))) for _ in range(500)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    got = [tuple(r[0]) for r in df.select(val.parse_edit_date(F.col("t"))).collect()]
-    assert got == [by_slices(t) for t in texts]
+    day = lambda: f"{rng.randint(1, 28):02}.{rng.randint(1, 12):02}.{rng.randint(1999, 2024)}"
+    time = lambda: f"{rng.randint(0, 23):02}:{rng.randint(0, 59):02}"
+    rows = []
+    for _ in range(200):
+        first, later, at, then = day(), day(), time(), time()
+        rows += [(f"{first} {at} ~ {later} {then}", f"{first} {at}", f"{later} {then}"), (f"{first} {at} ~ {then}", f"{first} {at}", f"{first} {then}"),
+                 (f"{first} {at}", f"{first} {at}", None), (first, first, None)]
+    df = spark.createDataFrame(rows, "t string, c string, u string")
+    got = df.select(val.parse_edit_date(F.col("t")).alias("r"), "c", "u").select("r.*", "c", "u").collect()
+    assert all((r["created_at"], r["updated_at"]) == (r["c"], r["u"]) for r in got)
 
 
 def test_typed_dates(one):
