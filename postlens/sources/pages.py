@@ -7,6 +7,7 @@ else (which element belongs where, which field it feeds) is a Spark expression.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,6 +132,25 @@ def select(elements: Column, mark: str, within: list[str] = (), parent: Column |
     return F.filter(elements, fits)
 
 
+def itemized(elements: Column, fits) -> Column:
+    """Array of ``struct(item, own)``: every element that ``fits``, and the elements from it up to the next such one.
+
+    Each item carries its own part of the page only, so a page takes time in proportion to its length.
+    """
+    places = F.transform(elements, lambda e, i: F.struct(e.alias("item"), i.alias("i")))
+
+    def cut(items: Column) -> Column:
+        return F.transform(items, lambda m, k: F.struct(m["item"].alias("item"), F.slice(
+            elements, m["i"] + 1, F.coalesce(F.get(items, k + 1)["i"], F.size(elements)) - m["i"]).alias("own")))
+
+    return val.let(F.filter(places, lambda p: fits(p["item"])), cut)
+
+
+def _below(mark: str, within: list[str]):
+    """Predicate: the element has the mark and lies below all of ``within``."""
+    return lambda e: reduce(lambda ok, outer: ok & F.array_contains(e["within"], outer), within, having(mark)(e))
+
+
 def _first(elements: Column, mark: str, within: list[str] = (), parent: Column | None = None) -> Column:
     return F.get(select(elements, mark, within, parent), F.lit(0))
 
@@ -146,10 +166,9 @@ def extract_threads(pages: DataFrame, keep: list[str] = (), container: str = ".t
     it; a link without counter counts one entry.
     """
     listed = with_elements(pages, ["a", "small"], html)
-    links_ = F.filter(select(F.col("elements"), "a", [container, "li"]),
-                      lambda e: _parent_is(e, "li"))
-    rows = unnest(listed, [*keep, "elements"], links_, "_a")
-    counter = _texts(select(F.col("elements"), "small", parent=F.col("_a.at")))
+    found = itemized(F.col("elements"), lambda e: _below("a", [container, "li"])(e) & _parent_is(e, "li"))
+    rows = unnest(listed, list(keep), found, "_x").select(*keep, F.col("_x.item").alias("_a"), F.col("_x.own").alias("_own"))
+    counter = _texts(select(F.col("_own"), "small", parent=F.col("_a.at")))
     return rows.select(
         *keep, links.id_from_slug(F.col("_a.attrs")["href"]).alias("id"),
         tx.strip(F.col("_a.own_text")).alias("title"), F.col("_a.attrs")["href"].alias("slug"),
@@ -163,10 +182,9 @@ def _parent_is(e: Column, tag: str) -> Column:
 
 
 def _with_entries(listed: DataFrame, keep: list[str], container: list[str]) -> DataFrame:
-    elements = F.col("elements")
-    marked = F.filter(select(elements, "li", container), lambda e: e["attrs"]["data-id"].isNotNull())
-    items = unnest(listed, [*keep, "elements"], marked, "_li", "pos")
-    place = F.col("_li.at")
+    marked = itemized(F.col("elements"), lambda e: _below("li", container)(e) & e["attrs"]["data-id"].isNotNull())
+    items = unnest(listed, list(keep), marked, "_x", "pos").select(*keep, "pos", F.col("_x.item").alias("_li"), F.col("_x.own").alias("_own"))
+    elements, place = F.col("_own"), F.col("_li.at")
     body = tx.strip(_first(elements, ".content", parent=place)["inner"])
     date = val.parse_edit_date(_texts(select(elements, ".entry-date", parent=place)))
     return items.select(
@@ -194,7 +212,7 @@ def extract_topics(pages: DataFrame, keep: list[str] = (), html: str = "html") -
     listed = with_elements(pages, ["#title", ".pager", "#hidden-channels", "li", "a"], html)
     title = _first(elements, "#title")["attrs"]
     pager = _first(elements, ".pager")["attrs"]
-    others = select(elements, "li", ["#disambiguations", "ul"])
+    others = itemized(elements, _below("li", ["#disambiguations", "ul"]))
 
     def number(c: Column) -> Column:
         return F.coalesce(F.nullif(c.try_cast("int"), F.lit(0)), F.lit(1))
@@ -205,10 +223,8 @@ def extract_topics(pages: DataFrame, keep: list[str] = (), html: str = "html") -
         number(pager["data-pagecount"]).alias("total_page"),
         number(pager["data-currentpage"]).alias("current_page"),
         val.split_tags(_first(elements, "#hidden-channels")["text"]).alias("tags"),
-        F.transform(others, lambda e: e["text"]).alias("disambiguation_titles"),
-        F.transform(others, lambda e: F.get(F.filter(
-            elements, lambda a: (a["tag"] == "a") & F.array_contains(a["parents"], e["at"])), F.lit(0))["attrs"]["href"]
-        ).alias("disambiguation_links"))
+        F.transform(others, lambda x: x["item"]["text"]).alias("disambiguation_titles"),
+        F.transform(others, lambda x: _first(x["own"], "a", parent=x["item"]["at"])["attrs"]["href"]).alias("disambiguation_links"))
 
 
 def extract_entry(pages: DataFrame, keep: list[str] = (), entry_id: str | None = None, html: str = "html") -> DataFrame:
@@ -231,10 +247,11 @@ def extract_entry(pages: DataFrame, keep: list[str] = (), entry_id: str | None =
 def extract_search(pages: DataFrame, base_url: str, keep: list[str] = (), html: str = "html") -> DataFrame:
     """Search page to one row per topic with the page's ``thread_count`` text and absolute slugs."""
     listed = with_elements(pages, ["a", "small", ".topic-list-description"], html)
-    found = F.filter(select(F.col("elements"), "a", ["#content-body", ".topic-list", "li"]), lambda e: _parent_is(e, "li"))
+    found = itemized(F.col("elements"), lambda e: _below("a", ["#content-body", ".topic-list", "li"])(e) & _parent_is(e, "li"))
     count = tx.strip(_texts(select(F.col("elements"), ".topic-list-description")))
-    rows = unnest(listed, [*keep, "elements", count.alias("thread_count")], found, "_a")
-    counter = _texts(select(F.col("elements"), "small", parent=F.col("_a.at")))
+    rows = unnest(listed, [*keep, count.alias("thread_count")], found, "_x").select(
+        *keep, "thread_count", F.col("_x.item").alias("_a"), F.col("_x.own").alias("_own"))
+    counter = _texts(select(F.col("_own"), "small", parent=F.col("_a.at")))
     slug = links.absolute_url(F.col("_a.attrs")["href"], base_url)
     return rows.select(
         *keep, "thread_count", links.id_from_slug(slug).alias("id"), tx.strip(F.col("_a.own_text")).alias("title"),
@@ -271,10 +288,11 @@ def extract_user_entries(pages: DataFrame, base_url: str, keep: list[str] = (),
         "_dates": select(elements, ".permalink", [".topic-item", "ul", "li", "footer"]),
         "_bodies": select(elements, ".content", [".topic-item", "ul", "li"]),
     })
-    rows = unnest(listed, [*keep, "_names", "_dates", "_bodies"], "_items", "_item", "pos")
+    joined = F.transform("_items", lambda _, i: F.struct(*[F.get(c, i).alias(c) for c in ("_names", "_dates", "_bodies")]))
+    rows = unnest(listed, list(keep), joined, "_item", "pos")
 
     def nth(column: str) -> Column:
-        return F.get(F.col(column), F.col("pos"))
+        return F.col(f"_item.{column}")
 
     return rows.select(
         *keep, "pos", F.coalesce(nth("_names")["text"], F.lit("")).alias("name"),
