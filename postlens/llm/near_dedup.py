@@ -8,12 +8,15 @@
    overlap in at least ``least_overlap`` values. By the prefix rule it is enough
    to list a node under its ``size - least_overlap + 1`` rarest values; that is
    exact, and keeps passages that many documents share out of the lists.
-3. A list is first joined as a star: every node with the list's least node. The
+3. A list is first joined as a star: every node with the list's most central one. The
    union-sketch estimate filters the pairs, and the exact similarity of the full
-   sets confirms the links. Then the same is done for all pairs of a list that lie in
-   different components, which are few, as lists of copies have become one
-   component. So no link between components is missed and no list of copies is
-   expanded into all its pairs.
+   sets confirms the links. Lists that are one component now, as lists of copies
+   are, are done. Of the others, short ones are expanded into the pairs across
+   components. The nodes of long ones, mostly texts that share a long passage,
+   are listed anew under the rarest quarter of their full sets, where sets that
+   share less than the threshold asks for hardly meet, and the same is done there.
+   So no link between components is missed and no list of copies is expanded
+   into all its pairs.
 4. Components come from contracting the links, on stored tables, round by round.
 """
 
@@ -35,8 +38,9 @@ PERCENT = 75
 SKETCH = 64
 #: Standard deviations by which the overlap of two sketches may fall short of its mean.
 DEVIATIONS = 5
+#: Nodes of a list that is expanded into pairs without a look at the full sets.
+SHORT_LIST = 16
 MAX_MEMO = 300_000
-BATCH_BYTES = 16 << 20
 
 MULTIPLIERS = [xxhash.xxh64_intdigest(b"shingle", i) | 1 for i in range(SHINGLE)]
 
@@ -111,18 +115,58 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH)
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
-    """(_value, _node, _n): each node under the rarest of its retained values, as many as the prefix rule asks for."""
-    values = nodes.select("_node", F.explode("_sketch").alias("_value"))
+    """(_value, _node, _n, _pos) from (_node, _n, _values, _list): each node under the ``_list`` rarest of its values.
+
+    ``_pos`` is the value's place, from 1, in the node's order from rare to common.
+    """
+    values = nodes.select("_node", F.explode("_values").alias("_value"))
     shared = stage(values.groupBy("_value").agg(F.count(F.lit(1)).alias("_count")).where("_count > 1"), "values")
     rare = values.join(shared, "_value").groupBy("_node").agg(F.collect_list(F.struct("_count", "_value")).alias("_shared"))
     # Values of a single node are the rarest of all; they use up places of the prefix and need no list.
-    places = F.col("_list") - (F.size("_sketch") - F.size("_shared"))
-    picked = F.slice(F.sort_array("_shared"), F.lit(1), F.greatest(places, F.lit(0)))
-    return stage(nodes.join(rare, "_node").select("_node", "_n", F.explode(picked["_value"]).alias("_value")), "lists")
+    alone = F.size("_values") - F.size("_shared")
+    picked = F.slice(F.sort_array("_shared"), F.lit(1), F.greatest(F.col("_list") - alone, F.lit(0)))
+    listed = nodes.join(rare, "_node").select("_node", "_n", alone.alias("_alone"), F.posexplode(picked["_value"]).alias("_i", "_value"))
+    return stage(listed.select("_value", "_node", "_n", (F.col("_alone") + F.col("_i") + 1).alias("_pos")), "lists")
+
+
+def may_link(a: str, b: str, exact: bool) -> Column:
+    """Whether the sizes of two nodes allow a link and, in lists of full sets, the places of the common value do.
+
+    Linked sets share at least 75/175 of their added sizes, so their first common value comes early enough in both.
+    """
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+    if not exact:
+        return sizes
+    shared = F.ceil((n_a + n_b) * PERCENT / (100 + PERCENT))
+    return sizes & (F.col(f"{a}pos") <= n_a - shared + 1) & (F.col(f"{b}pos") <= n_b - shared + 1)
+
+
+def star_pairs(lists: DataFrame, exact: bool) -> DataFrame:
+    """The pairs (_a, _b), _a < _b, of each list's most central node with the others.
+
+    Central is the node with the fewest rarer values, like the text that copies were edited from.
+    """
+    stars = stage(lists.groupBy("_value").agg(F.min(F.struct("_pos", "_node", "_n")).alias("_x"), F.count(F.lit(1)).alias("_count"))
+                  .where("_count > 1").select("_value", F.col("_x._node").alias("_c"), F.col("_x._n").alias("_c_n"), F.col("_x._pos").alias("_c_pos")), "stars")
+    return lists.join(stars, "_value").where((F.col("_c") != F.col("_node")) & may_link("_c_", "_", exact)).select(
+        F.least("_c", "_node").alias("_a"), F.greatest("_c", "_node").alias("_b")).distinct()
+
+
+def open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_value, _node, _n, _pos, _root, _size) of the lists that hold several components."""
+    marked = stage(lists.join(labels, "_node", "left").select("_value", "_node", "_n", "_pos", F.coalesce("_root", "_node").alias("_root")), "marked")
+    mixed = stage(marked.groupBy("_value").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high"), F.count(F.lit(1)).alias("_size"))
+                  .where("_low < _high").select("_value", "_size"), "mixed")
+    return stage(marked.join(mixed, "_value"), "open")
 
 
-def may_link(n_a: Column, n_b: Column) -> Column:
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * PERCENT
+def pairs_across(lists: DataFrame, exact: bool) -> DataFrame:
+    """The pairs (_a, _b) of open lists that lie in different components."""
+    other = lists.select("_value", F.col("_node").alias("_b"), F.col("_n").alias("_b_n"), F.col("_pos").alias("_b_pos"), F.col("_root").alias("_b_root"))
+    return lists.join(other, "_value").where(
+        (F.col("_node") < F.col("_b")) & (F.col("_root") != F.col("_b_root")) & may_link("_", "_b_", exact)).select(
+        F.col("_node").alias("_a"), "_b").distinct()
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, sketch: int = SKETCH) -> DataFrame:
@@ -136,13 +180,10 @@ def estimated(pairs: DataFrame, nodes: DataFrame, sketch: int = SKETCH) -> DataF
     return pairs.join(left, "_a").join(right, "_b").where(both >= least).select("_a", "_b")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity, compared word by word."""
-    pairs = stage(pairs, "pairs")
-    wanted = stage(pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-                   .join(nodes.select("_node", "_first", "_set"), "_node"), "wanted")
+def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_node, _words) of stored ``nodes`` (_node, _first, _set): the words of a text of each node, joined by blanks."""
     named = docs.select(null_safe(F.col(id_col)).alias("_key"), whole(F.col(text_col)).alias("_text"))
-    texts = named.join(wanted.select("_node", "_set", null_safe(F.col("_first")).alias("_key")), "_key").select("_node", "_set", "_text")
+    texts = named.join(nodes.select("_node", "_set", null_safe(F.col("_first")).alias("_key")), "_key").select("_node", "_set", "_text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # An id may name several texts; the set's digest tells which one belongs to the node.
@@ -151,7 +192,28 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
                     if xxhash.xxh3_128_digest(shingle_hashes(words := split_words(text)).tobytes()) == digest]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["_node", "_words"])
 
-    words = stage(texts.mapInArrow(pick, "_node long, _words binary"), "words")
+    return texts.mapInArrow(pick, "_node long, _words binary")
+
+
+def full_sets(texts: DataFrame) -> DataFrame:
+    """(_node, _n, _values, _list) with all shingles of each text and the length of the exact prefix."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, words in zip(*batch.columns, strict=True):
+                found = shingle_hashes(words.as_py().split(b" "))
+                places = len(found) - max(1, -(-len(found) * PERCENT // 100)) + 1
+                yield pa.RecordBatch.from_arrays([pa.array([node.as_py()], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([found], pa.list_(pa.int64())),
+                                                  pa.array([places], pa.int32())], ["_node", "_n", "_values", "_list"])
+
+    return texts.mapInArrow(run, "_node long, _n long, _values array<long>, _list int").dropDuplicates(["_node"])
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity, compared word by word."""
+    pairs = stage(pairs, "pairs")
+    wanted = stage(pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
+                   .join(nodes.select("_node", "_first", "_set"), "_node"), "wanted")
+    words = stage(texts_of(wanted, docs, id_col, text_col), "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = None, None
@@ -224,24 +286,23 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = rows.where("_n > 0").groupBy("_set").agg(
         F.min("_id").alias("_first"), F.any_value(F.struct("_n", "_sketch", "_list")).alias("_x"))
     nodes = stage(classes.select(F.monotonically_increasing_id().alias("_node"), "_set", "_first", "_x.*"), "nodes")
-    lists = inverted_lists(nodes)
-    stars = stage(lists.groupBy("_value").agg(F.min(F.struct("_node", "_n")).alias("_x"), F.count(F.lit(1)).alias("_count"))
-                  .where("_count > 1").select("_value", F.col("_x._node").alias("_a"), F.col("_x._n").alias("_na")), "stars")
-    pairs = lists.join(stars, "_value").where((F.col("_a") < F.col("_node")) & may_link(F.col("_na"), F.col("_n"))).select(
-        "_a", F.col("_node").alias("_b")).distinct()
-    tried = stage(pairs, "tried")
-    labels = components(confirmed(estimated(tried, nodes, sketch), nodes, docs, id_col, text_col))
-
-    # Lists that still hold several components: their pairs across components.
-    marked = stage(lists.join(labels, "_node", "left").select("_value", "_node", "_n", F.coalesce("_root", "_node").alias("_root")), "marked")
-    mixed = stage(marked.groupBy("_value").agg(F.min("_root").alias("_low"), F.max("_root").alias("_high")).where("_low < _high").select("_value"), "mixed")
-    open_lists = stage(marked.join(mixed, "_value", "left_semi"), "open")
-    other = open_lists.select("_value", F.col("_node").alias("_b"), F.col("_n").alias("_nb"), F.col("_root").alias("_rb"))
-    across = open_lists.join(other, "_value").where(
-        (F.col("_node") < F.col("_b")) & (F.col("_root") != F.col("_rb")) & may_link(F.col("_n"), F.col("_nb"))).select(
-        F.col("_node").alias("_a"), "_b").distinct()
-    rest = stage(across.join(tried, ["_a", "_b"], "left_anti"), "across")
-    labels = components(confirmed(estimated(rest, nodes, sketch), nodes, docs, id_col, text_col), labels)
+    tried = None
+    labels = stage(nodes.select("_node", F.col("_node").alias("_root")).limit(0), "labels")
+
+    def link(pairs: DataFrame) -> None:
+        """Check the pairs that were not checked before, and merge the components that they join."""
+        nonlocal tried, labels
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["_a", "_b"], "left_anti"), "tried")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        labels = components(confirmed(estimated(pairs, nodes, sketch), nodes, docs, id_col, text_col), labels)
+
+    lists = inverted_lists(nodes.select("_node", "_n", F.col("_sketch").alias("_values"), "_list"))
+    link(star_pairs(lists, exact=False))
+    left = open_lists(lists, labels)
+    crowd = stage(left.where(F.col("_size") > SHORT_LIST).select("_node").distinct().join(nodes.select("_node", "_first", "_set"), "_node"), "crowd")
+    full = inverted_lists(stage(full_sets(texts_of(crowd, docs, id_col, text_col)), "full-sets"))
+    link(pairs_across(left.where(F.col("_size") <= SHORT_LIST), exact=False).unionByName(star_pairs(full, exact=True)).distinct())
+    link(pairs_across(open_lists(full, labels), exact=True))
 
     named = nodes.select("_node", "_set", "_first").join(labels, "_node", "left").select(
         "_set", "_first", F.coalesce("_root", "_node").alias("_root"))
