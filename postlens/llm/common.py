@@ -33,19 +33,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     joins a side whose size is known and whose exchanges AQE may split when a
     key is hot. The copy goes when the application ends.
     """
-    path = scratch(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, f"llm-{name}")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir`` that is deleted when the application ends."""
-    path = scratch_path(spark, f"llm-{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
 def whole(text: Column) -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Query, scratch, stage, table, whole
+from postlens.llm.common import Query, stage, table, whole
+from postlens.session import scratch_path
 
 MIN_REVISIT_BYTES = 1000
 #: Records per part file; a reader task takes one file at a time.
@@ -228,7 +229,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
 def _run(spark, folder):
     pages = table(spark, folder, "pages")
-    path = scratch(spark, "archives")
+    path = scratch_path(spark, "llm-archives")
     write_archives(pages, path)
     read = read_archives(spark, path, with_payload=False)
     kind = pages.schema["page_id"].dataType
