@@ -96,8 +96,11 @@ def outage_stream(spark, folder):
 
 def daily_refresh(spark, folder):
     path, state, history = (scratch_path(spark, x) for x in ("daily", "state", "history"))
-    events = _stream(spark, folder, "events").drop("props")
-    _drained(jobs.daily_refresh(events, path, state, history, 5, **KEYS))
+    source = scratch_path(spark, "arrivals")
+    events = table(spark, folder, "events").drop("props")
+    # Files that each hold a random part of all days, one to a micro-batch.
+    events.repartition(6, "event_id").write.parquet(source)
+    _drained(jobs.daily_refresh(jobs.post_stream(spark, source, events.schema, 1), path, state, history, 5, **KEYS))
     return spark.read.parquet(path).select("day", "rank", "event_id")
 
 

@@ -31,8 +31,12 @@ def refresh_daily(entries: DataFrame, path: str, k: int = 50, closed_before: dat
     dated = entries.withColumn("day", day_key(F.col(ts)))
     if closed_before is not None:
         dated = dated.where(F.col("day") < F.lit(closed_before))
-    pending = dated.join(stored_days(entries.sparkSession, path), "day", "left_anti")
-    best = top_k(pending, ["day"], [F.col(favourites).desc(), F.col(id_column)], k)
+    rebuild_days(dated.join(stored_days(entries.sparkSession, path), "day", "left_anti"), path, k, favourites, id_column)
+
+
+def rebuild_days(dated: DataFrame, path: str, k: int = 50, favourites: str = "fav_count", id_column: str = "id") -> None:
+    """Write the best of all ``dated`` entries (with ``day``) in place of what is stored for their days."""
+    best = top_k(dated, ["day"], [F.col(favourites).desc(), F.col(id_column)], k)
     (best.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("day").parquet(path))
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from postlens.operators import scoring
 from postlens.operators.ranking import day_key
-from postlens.sources.snapshots import refresh_daily
+from postlens.sources.snapshots import rebuild_days
 
 
 def post_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -40,19 +40,29 @@ def rate_audit(events: DataFrame, window: str = "15 minutes", limit: int = 100,
 
 def daily_refresh(entries: DataFrame, path: str, checkpoint: str, history: str, k: int = 50,
                   ts: str = "ts", favourites: str = "fav_count", id_column: str = "id") -> StreamingQuery:
-    """Keep the daily table up to date while entries arrive.
+    """Keep the daily table up to date while entries arrive, in any order.
 
-    Arrivals are appended to ``history`` by day. A day is closed once a later one
-    has begun; closed days that are not stored yet are then built. Repeating a
-    micro-batch overwrites its own files and changes nothing.
+    Arrivals are appended to ``history`` by day, and each micro-batch notes its
+    days. A day is closed once a later one has begun. A micro-batch builds the
+    days that it closes and rebuilds the closed days that it brings late entries
+    for; it reads those days only. Repeating a micro-batch overwrites its own
+    files and changes nothing.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         dated = batch.withColumn("day", day_key(F.col(ts)))
-        dated.write.mode("overwrite").partitionBy("day").parquet(f"{history}/batch={batch_id}")
-        arrived = spark.read.parquet(history)
-        newest = arrived.agg(F.max("day")).first()[0]
-        refresh_daily(arrived.drop("batch"), path, k, newest, ts, favourites, id_column)
+        dated.write.mode("overwrite").partitionBy("day").parquet(f"{history}/entries/batch={batch_id}")
+        dated.select("day").distinct().write.mode("overwrite").parquet(f"{history}/days/batch={batch_id}")
+        noted = spark.read.schema("day date, batch long").parquet(f"{history}/days").where(F.col("batch") <= batch_id)
+        newest, before = noted.agg(F.max("day"), F.max(F.when(F.col("batch") < batch_id, F.col("day")))).first()
+        if newest is None:
+            return
+        touched = (F.col("batch") == batch_id) | (F.col("day") >= F.lit(before) if before else F.lit(True))
+        # One value per calendar day.
+        days = [row[0] for row in noted.where((F.col("day") < F.lit(newest)) & touched).select("day").distinct().collect()]
+        schema = dated.schema.add("batch", "long")
+        arrived = spark.read.schema(schema).parquet(f"{history}/entries").where(F.col("batch") <= batch_id)
+        rebuild_days(arrived.drop("batch").where(F.col("day").isin(days) if days else F.lit(False)), path, k, favourites, id_column)
 
     return (entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

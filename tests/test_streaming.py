@@ -76,7 +76,7 @@ def test_rate_audit(spark):
     assert got == [(START, 15)]
 
 
-def test_daily_refresh_is_idempotent(spark, tmp_path):
+def test_daily_refresh_takes_late_entries(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "daily")
     schema = "id int, ts timestamp_ntz, fav_count int"
 
@@ -89,7 +89,9 @@ def test_daily_refresh_is_idempotent(spark, tmp_path):
 
     assert arrive([(1, datetime(2024, 1, 1, 10), 3)]) == set()
     assert arrive([(2, datetime(2024, 1, 2, 3), 5), (3, datetime(2024, 1, 2, 5), 1)]) == {("2024-01-01", 2)}
-    assert arrive([(4, datetime(2024, 1, 1, 11), 99), (5, datetime(2024, 1, 3, 5), 1)]) == {("2024-01-01", 2), ("2024-01-02", 3)}
+    assert arrive([(4, datetime(2024, 1, 1, 11), 99), (5, datetime(2024, 1, 3, 5), 1)]) == {("2024-01-01", 4), ("2024-01-02", 3)}
+    assert arrive([(6, datetime(2024, 1, 2, 9), 7)]) == {("2024-01-01", 4), ("2024-01-02", 6)}
+    assert arrive([(7, datetime(2023, 12, 31, 9), 1)]) == {("2023-12-31", 7), ("2024-01-01", 4), ("2024-01-02", 6)}
 
 
 def test_scoring_needs_no_shuffle(spark):
