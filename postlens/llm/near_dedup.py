@@ -40,7 +40,9 @@ SKETCH = 64
 DEVIATIONS = 5
 #: Nodes of a list that is expanded into pairs without a look at the full sets.
 SHORT_LIST = 16
-MAX_MEMO = 300_000
+MAX_MEMO = 200_000
+#: Rows that a task handles together.
+BATCH_ROWS = 500
 
 MULTIPLIERS = [xxhash.xxh64_intdigest(b"shingle", i) | 1 for i in range(SHINGLE)]
 
@@ -123,9 +125,10 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     shared = stage(values.groupBy("_value").agg(F.count(F.lit(1)).alias("_count")).where("_count > 1"), "values")
     rare = values.join(shared, "_value").groupBy("_node").agg(F.collect_list(F.struct("_count", "_value")).alias("_shared"))
     # Values of a single node are the rarest of all; they use up places of the prefix and need no list.
-    alone = F.size("_values") - F.size("_shared")
+    alone = F.col("_held") - F.size("_shared")
     picked = F.slice(F.sort_array("_shared"), F.lit(1), F.greatest(F.col("_list") - alone, F.lit(0)))
-    listed = nodes.join(rare, "_node").select("_node", "_n", alone.alias("_alone"), F.posexplode(picked["_value"]).alias("_i", "_value"))
+    sizes = nodes.select("_node", "_n", "_list", F.size("_values").alias("_held"))
+    listed = sizes.join(rare, "_node").select("_node", "_n", alone.alias("_alone"), F.posexplode(picked["_value"]).alias("_i", "_value"))
     return stage(listed.select("_value", "_node", "_n", (F.col("_alone") + F.col("_i") + 1).alias("_pos")), "lists")
 
 
@@ -169,15 +172,13 @@ def pairs_across(lists: DataFrame, exact: bool) -> DataFrame:
         F.col("_node").alias("_a"), "_b").distinct()
 
 
-def estimated(pairs: DataFrame, nodes: DataFrame, sketch: int = SKETCH) -> DataFrame:
-    """The pairs (_a, _b) whose union sketch does not rule a link out."""
-    left = nodes.select(F.col("_node").alias("_a"), F.col("_sketch").alias("_sa"))
-    right = nodes.select(F.col("_node").alias("_b"), F.col("_sketch").alias("_sb"))
-    union = F.slice(F.array_sort(F.array_union("_sa", "_sb")), 1, sketch)
-    both = F.size(F.array_intersect(union, F.array_intersect("_sa", "_sb")))
-    held, share = F.size(union), PERCENT / 100
-    least = F.lit(share) * held - DEVIATIONS * F.sqrt(F.lit(share * (1 - share)) * held)
-    return pairs.join(left, "_a").join(right, "_b").where(both >= least).select("_a", "_b")
+def may_be_linked(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> bool:
+    """Whether the sketch of the union of two sets, made from theirs, allows a link."""
+    both = np.intersect1d(a[:sketch], b[:sketch], assume_unique=True)
+    union = np.union1d(a[:sketch], b[:sketch])[:sketch]
+    shared = np.searchsorted(both, union[-1], side="right")
+    mean = PERCENT / 100 * len(union)
+    return shared >= mean - DEVIATIONS * math.sqrt(mean * (1 - PERCENT / 100))
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -188,9 +189,10 @@ def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # An id may name several texts; the set's digest tells which one belongs to the node.
         for batch in batches:
-            rows = [(node, b" ".join(words)) for node, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-                    if xxhash.xxh3_128_digest(shingle_hashes(words := split_words(text)).tobytes()) == digest]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["_node", "_words"])
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                rows = [(node.as_py(), b" ".join(words)) for node, digest, text in zip(*batch.slice(at, BATCH_ROWS).columns, strict=True)
+                        if xxhash.xxh3_128_digest(shingle_hashes(words := split_words(text.as_py())).tobytes()) == digest.as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["_node", "_words"])
 
     return texts.mapInArrow(pick, "_node long, _words binary")
 
@@ -208,23 +210,27 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_node long, _n long, _values array<long>, _list int").dropDuplicates(["_node"])
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity, compared word by word."""
-    pairs = stage(pairs, "pairs")
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH) -> DataFrame:
+    """The pairs that the estimate lets pass and whose full shingle sets, compared word by word, have the similarity."""
     wanted = stage(pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
                    .join(nodes.select("_node", "_first", "_set"), "_node"), "wanted")
     words = stage(texts_of(wanted, docs, id_col, text_col), "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = None, None
+        known, hashes, last = None, None, None
         for batch in batches:
             a_out, b_out = [], []
             for a, b, a_words, b_words in zip(*batch.columns, strict=True):
                 if a.as_py() != known:
-                    known, last = a.as_py(), shingle_set(a_words.as_py().split(b" "))
-                other = shingle_set(b_words.as_py().split(b" "))
-                both = len(last & other)
-                if 100 * both >= PERCENT * (len(last) + len(other) - both):
+                    known, own, last = a.as_py(), a_words.as_py().split(b" "), None
+                    hashes = shingle_hashes(own)
+                other = b_words.as_py().split(b" ")
+                if not may_be_linked(hashes, shingle_hashes(other), sketch):
+                    continue
+                last = shingle_set(own) if last is None else last
+                found = shingle_set(other)
+                both = len(last & found)
+                if 100 * both >= PERCENT * (len(last) + len(found) - both):
                     a_out.append(known)
                     b_out.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["_a", "_b"])
@@ -294,7 +300,7 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         nonlocal tried, labels
         pairs = stage(pairs if tried is None else pairs.join(tried, ["_a", "_b"], "left_anti"), "tried")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(confirmed(estimated(pairs, nodes, sketch), nodes, docs, id_col, text_col), labels)
+        labels = components(confirmed(pairs, nodes, docs, id_col, text_col, sketch), labels)
 
     lists = inverted_lists(nodes.select("_node", "_n", F.col("_sketch").alias("_values"), "_list"))
     link(star_pairs(lists, exact=False))
