@@ -139,7 +139,9 @@ def count_whole_words(text: str, start: int, end: int) -> int:
 
 def _grown(seeds: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """Seeds grown to the longest common stretch with the first document, those with more than ``min_words`` words."""
-    seeds = stage(seeds, "seeds")
+    # One row for each pair of texts, so that each text travels once for it.
+    spot = F.struct(F.col("_start").alias("at"), F.col("_end").alias("end"), F.col("_fstart").alias("other"))
+    seeds = stage(seeds.groupBy("_id", "_h", "_fid", "_fh").agg(F.collect_set(spot).alias("_spots")), "seeds")
     wanted = stage(seeds.select("_id", "_h").unionByName(seeds.select(F.col("_fid").alias("_id"), F.col("_fh").alias("_h")))
                    .distinct().select(null_safe(F.col("_id")).alias("_key"), F.col("_h").alias("_hash")), "wanted")
     named = docs.select(null_safe(F.col(id_col)).alias("_key"), whole(F.col(text_col)).alias("_text"))
@@ -155,18 +157,20 @@ def _grown(seeds: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_wo
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, rows = [], []
-            for i, (at, end, other_at, text, other) in enumerate(zip(*batch.columns[4:], strict=True)):
-                text, other = text.as_py(), other.as_py()
-                a, b, length = longest_common(text, at.as_py(), other, other_at.as_py(), end.as_py() - at.as_py())
-                words = count_whole_words(text, a, a + length)
-                if words > min_words:
-                    which.append(i)
-                    rows.append((a, a + length, words, b, b + length))
+            for i, (spots, text, other) in enumerate(zip(*batch.columns[4:], strict=True)):
+                text, other, seen = text.as_py(), other.as_py(), set()
+                for spot in spots.as_py():
+                    a, b, length = longest_common(text, spot["at"], other, spot["other"], spot["end"] - spot["at"])
+                    words = count_whole_words(text, a, a + length) if (a, b) not in seen else 0
+                    seen.add((a, b))
+                    if words > min_words:
+                        which.append(i)
+                        rows.append((a, a + length, words, b, b + length))
             got = [pa.array(c, pa.int32()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)]
             own_id, own_h, first_id, first_h = (c.take(pa.array(which, pa.int32())) for c in batch.columns[:4])
             yield pa.RecordBatch.from_arrays([own_id, own_h, *got[:3], first_id, first_h, *got[3:]], names)
 
-    return pairs.select("_id", "_h", "_fid", "_fh", "_start", "_end", "_fstart", "_text", "_other").mapInArrow(grow, schema)
+    return pairs.select("_id", "_h", "_fid", "_fh", "_spots", "_text", "_other").mapInArrow(grow, schema)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
