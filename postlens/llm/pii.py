@@ -96,8 +96,12 @@ def _near(found: DataFrame) -> DataFrame:
 def revealing_terms(found: DataFrame, docs: DataFrame, text_col: str, min_support: int = MIN_SUPPORT,
                     max_bits: float = MAX_BITS) -> DataFrame:
     """(_term, bits) of the terms that give some value away; texts that repeat count once."""
-    together = _near(found).groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= min_support)
-    best = stage(together.groupBy("_term").agg(F.max("_both").alias("_both")), "near-terms")
+    near = stage(_near(found), "near")
+    together = near.groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= min_support)
+    # A term is in all the texts that have it next to some value; that alone rules out the common words, exactly.
+    around = near.select("_term", "_h").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_near"))
+    best = together.groupBy("_term").agg(F.max("_both").alias("_both")).join(around, "_term")
+    best = stage(best.where(-F.log2(F.col("_both") / F.col("_near")) <= max_bits).select("_term", "_both"), "near-terms")
     text = whole(F.col(text_col))
     everywhere = docs.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(_terms(text))).alias("_term"))
     counts = everywhere.join(best, "_term", "left_semi").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_all"))
