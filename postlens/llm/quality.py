@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: A line is common on a host when more than so many documents that otherwise differ hold it.
+#: A line is common on a host when more than so many different documents hold it.
 MAX_DOCS_PER_LINE = 30
 #: A document is depleted when fewer words, or a smaller share of its words, are left without common lines.
 MIN_WORDS_LEFT = 20
@@ -62,7 +62,7 @@ def line_hash(normal: Column) -> Column:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Narrow stored rows: one per row of ``docs``, with its counts and its lines' hashes."""
+    """Narrow stored rows: one per row of ``docs``, with its counts, the hash of its text and its lines' hashes."""
     text = whole(F.col(text_col))
     rows = docs.select(
         F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), null_safe(F.col(host_col)).alias("_host"),
@@ -77,30 +77,26 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                 (F.length(n) - F.length(F.translate(n, " ", "")) + 1).cast("long").alias("n")))).alias("lines"))
 
     facts = rows.select(
-        "_row", "_id", "_host", F.length(_removed(F.col("_text"), WORD_GAP)).cast("long").alias("word_chars"),
+        "_row", "_id", "_host", F.xxhash64("_text").alias("_text_hash"), F.length(_removed(F.col("_text"), WORD_GAP)).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(_removed(F.col("_text"), SYMBOLS))).cast("long").alias("n_symbols"),
         let(words(F.col("_text")), lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("repeat"))).alias("_words"),
         let(lines, line_facts).alias("_lines"))
     return stage(facts.select(
-        "_row", "_id", "_host", F.col("_words.n_words"), "word_chars", "n_symbols", F.col("_lines.dups").alias("n_dup_lines"),
+        "_row", "_id", "_host", "_text_hash", F.col("_words.n_words"), "word_chars", "n_symbols", F.col("_lines.dups").alias("n_dup_lines"),
         F.col("_words.repeat").alias("n_repeat_words"), F.col("_lines.lines").alias("_lines")), "measures")
 
 
 def common_lines(facts: DataFrame, max_docs: int = MAX_DOCS_PER_LINE) -> DataFrame:
-    """Lines (host, hash) held by more than ``max_docs`` documents of a host that otherwise differ.
+    """Lines (host, hash) held by more than ``max_docs`` different documents of a host.
 
-    Copies and near copies of one document are one document here: documents are
-    told apart by the least hash among their lines, and a line is common only
-    if its documents have more than ``max_docs`` different least hashes and
-    those are more than half as many as the documents.
+    Exact copies are one document, told apart by the hash of the whole text, so
+    that a document copied many times does not make its lines common.
     """
-    held = facts.select("_host", F.array_distinct(F.transform("_lines", lambda x: x["h"])).alias("_hashes"))
-    held = held.select("_host", F.array_min("_hashes").alias("_least"), F.explode_outer("_hashes").alias("_line"))
-    kinds = held.where(F.col("_line").isNotNull()).groupBy("_host", "_line", "_least").agg(F.count(F.lit(1)).alias("_docs"))
-    counts = kinds.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_kinds"), F.sum("_docs").alias("_docs"))
-    return stage(counts.where((F.col("_kinds") > max_docs) & (2 * F.col("_kinds") > F.col("_docs")))
-                 .select("_host", "_line"), "common-lines")
+    held = facts.select("_host", "_text_hash", F.explode_outer(F.array_distinct(F.transform("_lines", lambda x: x["h"]))).alias("_line"))
+    once = held.where(F.col("_line").isNotNull()).distinct()
+    counts = once.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_docs"))
+    return stage(counts.where(F.col("_docs") > max_docs).select("_host", "_line"), "common-lines")
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",

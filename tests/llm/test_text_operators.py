@@ -176,6 +176,19 @@ def test_common_lines_deplete_documents_but_not_copies(make_docs):
     assert stripped.columns == docs.columns and after[100] == prose(0, 90) and after[301] == rows[-9][1]
 
 
+def test_lines_are_common_by_the_documents_that_hold_them(make_docs):
+    shared = [f"shared line number {j} with the words " + prose(700 + j, 12) for j in range(5)]
+    page = "\n".join([prose(710, 90), prose(711, 90), "a footer that one copied page and many others have"])
+    rows = [(i, "\n".join([prose(800 + i, 3), *shared]), "a") for i in range(120)]
+    rows += [(300 + i, page, "a") for i in range(200)]  # one document in many copies
+    rows += [(600 + i, prose(1000 + i, 3) + "\n" + page.split("\n")[2], "a") for i in range(40)]
+    docs = make_docs(rows)
+    lines = quality.common_lines(quality.measure(docs)).count()
+    assert lines == len(shared) + 1
+    kept = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+    assert kept == set(range(300, 500))
+
+
 @pytest.mark.parametrize("run", [lambda d: token_counts.count_tokens(d, TOKENIZER), lambda d: packing.pack(d, TOKENIZER), pii.find_private,
                                  pii.sanitise, quality.judge, quality.keep_good])
 def test_empty_table(make_docs, run):
