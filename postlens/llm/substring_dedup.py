@@ -8,8 +8,11 @@
    least id, and neighbours with neighbouring first occurrences form runs.
 3. A run of more than ``MIN_WORDS`` words is a repeated passage. A shorter run is a
    seed: the two texts are compared around it, and the longest common stretch
-   counts. So a passage is found whole although chunks only cover its inside,
-   and shared stretches of ``MIN_WORDS`` words or fewer are left alone.
+   counts. So shared stretches of ``MIN_WORDS`` words or fewer are left alone.
+4. The first holder of a chunk may hold only a part of what later documents share.
+   So every window of ``MIN_WORDS`` + 1 words that touches a repeated chunk and is not
+   inside a passage that step 3 takes out gets a digest and a first holder of its own;
+   neighbouring windows with neighbouring first holders are passages too.
 
 Every document but the first loses its copy. Chunks are computed twice instead
 of being stored, and hot digests are joined from stored tables, which AQE splits.
@@ -173,6 +176,75 @@ def _grown(seeds: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_wo
     return pairs.select("_id", "_h", "_fid", "_fh", "_spots", "_text", "_other").mapInArrow(grow, schema)
 
 
+def _windows(found: DataFrame, passages: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(_id, _h, _at, _start, _end, _digest): the windows of ``min_words`` + 1 words that touch a chunk of ``found``.
+
+    Windows inside one of ``passages`` are left out: its first document, which comes earlier, holds them too.
+    """
+    size = min_words + 1
+    spot = F.struct(F.col("_start").alias("a"), F.col("_end").alias("b"))
+    marks = found.select("_id", "_h", spot.alias("_near"), F.lit(None).cast("struct<a:int,b:int>").alias("_gone")).unionByName(
+        passages.select("_id", "_h", F.lit(None).cast("struct<a:int,b:int>").alias("_near"), spot.alias("_gone")))
+    marks = stage(marks.groupBy(null_safe(F.col("_id")).alias("_key"), "_h").agg(
+        F.collect_set("_near").alias("_near"), F.collect_set("_gone").alias("_gone")), "marks")
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), null_safe(F.col(id_col)).alias("_key"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+    rows = rows.join(marks, ["_key", "_h"]).select("_id", "_h", "_text", "_near", "_gone")
+    kind = rows.schema["_id"].dataType.simpleString()
+    names = ["_id", "_h", "_at", "_start", "_end", "_digest"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = batch.column(2)[i].as_buffer().to_pybytes()
+                data = np.frombuffer(raw, np.uint8)
+                gap = np.concatenate([[True], _IS_GAP[data], [True]])
+                begins, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+                if len(begins) < size:
+                    continue
+                begins, ends = begins[:len(begins) - size + 1], ends[size - 1:]
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                starts, stops = chars[begins], chars[ends]
+                take = np.zeros(len(starts) + 1, np.int64)
+                for x in batch.column(3)[i].as_py():
+                    take[np.searchsorted(stops, x["a"], "right")] += 1
+                    take[max(np.searchsorted(starts, x["b"]), np.searchsorted(stops, x["a"], "right"))] -= 1
+                take = np.cumsum(take[:-1]) > 0
+                for x in batch.column(4)[i].as_py():
+                    take[np.searchsorted(starts, x["a"]):np.searchsorted(stops, x["b"], "right")] = False
+                which = np.flatnonzero(take)
+                for part in range(0, len(which), BATCH_ROWS):
+                    at = which[part:part + BATCH_ROWS]
+                    own = pa.array(np.full(len(at), i, np.int32))
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(own), batch.column(1).take(own), *[pa.array(c.astype(np.int32)) for c in (at, starts[at], stops[at])],
+                        pa.array([xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)],
+                                 pa.binary())], names)
+
+    return stage(rows.mapInArrow(run, f"_id {kind}, _h long, _at int, _start int, _end int, _digest binary"), "windows")
+
+
+def _firsts(found: DataFrame, name: str) -> DataFrame:
+    """(_digest, _fid, _fh, _fstart, _fat): the first occurrence of each digest that several documents hold."""
+    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h")
+    firsts = found.groupBy("_digest").agg(
+        F.min(F.struct(order.alias("_doc"), "_start", "_at")).alias("_first"), F.max(order).alias("_last"))
+    return stage(firsts.where(F.col("_first._doc") != F.col("_last")).select(
+        "_digest", F.col("_first._doc._id").alias("_fid"), F.col("_first._doc._h").alias("_fh"),
+        F.col("_first._start").alias("_fstart"), F.col("_first._at").alias("_fat")), name)
+
+
+def _runs(found: DataFrame, firsts: DataFrame, name: str, words) -> DataFrame:
+    """Runs of neighbours in ``found`` whose first occurrences are neighbours in another document."""
+    same = F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh"))
+    marked = found.join(firsts, "_digest").where(~same).drop("_digest").withColumn("_shift", F.col("_at") - F.col("_fat")).distinct()
+    pair = ["_id", "_h", "_fid", "_fh", "_shift"]
+    island = F.col("_at") - F.row_number().over(Window.partitionBy(*pair).orderBy("_at"))
+    runs = marked.withColumn("_island", island).groupBy(*pair, "_island").agg(
+        F.min("_start").alias("_start"), F.max("_end").alias("_end"), words.cast("int").alias("_words"), F.min("_fstart").alias("_fstart"))
+    return stage(runs.withColumn("_fend", F.col("_fstart") + F.col("_end") - F.col("_start")), name)
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (id, text_hash, start, end, n_words, first_id, kept), one per repeated passage and document.
 
@@ -189,25 +261,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = chunks(docs, id_col, text_col)
     often = stage(cut.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"), "digests")
     found = stage(cut.join(often, "_digest", "left_semi"), "chunks")
-    order = F.struct(F.col("_id").isNull().alias("_none"), "_id", "_h")
-    firsts = found.groupBy("_digest").agg(
-        F.min(F.struct(order.alias("_doc"), "_start", "_at")).alias("_first"), F.max(order).alias("_last"))
-    firsts = stage(firsts.where(F.col("_first._doc") != F.col("_last")).select(
-        "_digest", F.col("_first._doc._id").alias("_fid"), F.col("_first._doc._h").alias("_fh"),
-        F.col("_first._start").alias("_fstart"), F.col("_first._at").alias("_fat")), "firsts")
-    same = F.col("_id").eqNullSafe(F.col("_fid")) & (F.col("_h") == F.col("_fh"))
-    marked = found.join(firsts, "_digest").where(~same).select(
-        "_id", "_h", "_at", "_start", "_end", "_words", "_fid", "_fh", "_fstart", (F.col("_at") - F.col("_fat")).alias("_shift")).distinct()
-    pair = ["_id", "_h", "_fid", "_fh", "_shift"]
-    island = F.col("_at") - F.row_number().over(Window.partitionBy(*pair).orderBy("_at"))
-    runs = marked.withColumn("_island", island).groupBy(*pair, "_island").agg(
-        F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("_words").cast("int").alias("_words"),
-        F.min("_fstart").alias("_fstart"))
-    runs = stage(runs.withColumn("_fend", F.col("_fstart") + F.col("_end") - F.col("_start")), "runs")
+    runs = _runs(found, _firsts(found, "firsts"), "runs", F.sum("_words"))
     columns = ["_id", "_h", "_start", "_end", "_words", "_fid", "_fh", "_fstart", "_fend"]
     long = runs.where(F.col("_words") > min_words).select(*columns)
     short = runs.where((F.col("_words") <= min_words) & (F.col("_end") - F.col("_start") >= MIN_SEED))
     passages = stage(long.unionByName(_grown(short, docs, id_col, text_col, min_words).select(*columns)), "passages")
+    windows = _windows(found, passages, docs, id_col, text_col, min_words)
+    more = _runs(windows, _firsts(windows, "window-firsts"), "window-runs", F.count(F.lit(1)) + min_words)
+    passages = passages.unionByName(more.select(*columns))
 
     by_doc = Window.partitionBy("_id", "_h").orderBy("_start", "_end")
     reach = F.max("_end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

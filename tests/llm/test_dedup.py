@@ -120,6 +120,21 @@ def test_repeated_passages(make_docs, odd_rows):
     assert after[10] == "one" and after[6] == texts[6]
 
 
+def test_passages_that_earlier_documents_hold_in_parts(make_docs):
+    words = prose(600, 60).split()
+    passage = " ".join(words)
+    rows = [(1, f"{prose(601, 9)} {' '.join(words[:42])} {prose(602, 9)} {' '.join(words[18:])} {prose(603, 9)}", "a"),
+            (2, " ".join(words[:20]) + " edited " + " ".join(words[21:]), "a")]
+    rows += [(10 + i, f"{prose(610 + i, 20)} {passage} {prose(650 + i, 20)}", "a") for i in range(20)]
+    docs = make_docs(rows)
+    found = substring_dedup.find_repeats(docs).collect()
+    assert {(r.doc_id, r.kept) for r in found} == {(10, True), *[(i, False) for i in range(11, 30)]}
+    texts = {r[0]: r[1] for r in rows}
+    assert all(passage in texts[r.doc_id][r.start:r.end] and r.first_id == 10 for r in found)
+    after = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    assert {i for i in after if passage in after[i]} == {10} and after[1] == texts[1] and after[2] == texts[2]
+
+
 def test_chunks_come_back_after_an_insertion():
     import numpy as np
     text = prose(8, 3000).encode()
