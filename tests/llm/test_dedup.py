@@ -148,3 +148,14 @@ def test_chunks_come_back_after_an_insertion():
 @pytest.mark.parametrize("run", [exact_dedup.mark_copies, exact_dedup.drop_copies, near_dedup.find_groups, substring_dedup.find_repeats])
 def test_empty_table(make_docs, run):
     assert run(make_docs([])).count() == 0
+
+
+def test_long_passages_are_found_to_their_ends(make_docs):
+    passage = prose(620, 300)
+    docs = make_docs([(i, f"{prose(630 + i, 40)} {passage} {prose(640 + i, 40)}", "a") for i in range(3)])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    found = substring_dedup.find_repeats(docs).where("not kept").collect()
+    assert [r.doc_id for r in sorted(found)] == [1, 2]
+    assert all(passage in texts[r.doc_id][r.start:r.end] for r in found)
+    assert not any(passage.split()[j] + " " + passage.split()[j + 1] in r.text for r in substring_dedup.remove_repeats(docs).where("doc_id > 0").collect()
+                   for j in (0, 150, 298))
