@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from postlens.llm.common import Query, lower_ascii, stage, table, whole
 
 DAMPING = 0.85
+#: Rounds of the SQL, which has no loop that ends by itself.
 ROUNDS = 10
-#: Rounds after which the scores are stored, so that plans stay short.
+#: Rounds after which the scores are stored and compared with those stored last.
 STORE_EVERY = 5
+#: Steps end when the scores of each kind, which sum up to 1 at most, changed by less than this together since they were stored last.
+TOLERANCE = 1e-9
 #: Distrust at which a host is blocked, as a multiple of its trust.
 BLOCK_RATIO = 1.0
 
@@ -79,8 +82,11 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return rows.where("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """Scores (host, trust, distrust) by ``rounds`` steps over both graphs at once.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """Scores (host, trust, distrust) by steps over both graphs at once, until they change no more.
+
+    That is, until no further host was reached and the sum of all changes since
+    the scores were stored last is below ``tolerance``.
 
     ``seeds``: host, trust and distrust weights (each normalised to sum 1 here).
     Every step is a join on the source and a map-side combined sum; hot hosts
@@ -96,12 +102,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     start = stage(start.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("seed")), "seeds")
     scores = start.withColumnRenamed("seed", "score")
     jump = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
-    for step in range(1, rounds + 1):
-        moved = scores.withColumnRenamed("host", "src").join(shares, ["kind", "src"]).select(
-            "kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        scores = moved.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if step % STORE_EVERY == 0:
-            scores = stage(scores, "scores")
+    moving = True
+    while moving:
+        before = scores
+        for _ in range(STORE_EVERY):
+            moved = scores.withColumnRenamed("host", "src").join(shares, ["kind", "src"]).select(
+                "kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
+            scores = moved.unionByName(jump).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        scores = stage(scores, "scores")
+        both = scores.select("kind", "host", "score", F.lit(1).alias("n")).unionByName(
+            before.select("kind", "host", (-F.col("score")).alias("score"), F.lit(-1).alias("n")))
+        change = both.groupBy("kind", "host").agg(F.sum("score").alias("by"), F.sum("n").alias("n")).agg(
+            F.sum(F.abs("by")).alias("by"), F.sum(F.abs("n")).alias("n")).first()
+        moving = (change["n"] or 0) > 0 or (change["by"] or 0.0) >= tolerance
     return scores.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"),
         F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))

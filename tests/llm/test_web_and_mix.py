@@ -156,3 +156,15 @@ def test_pipeline_equals_its_stages_by_force(spark, make_docs, tmp_path):
         words[source] += starts[i] * len(text.split())
         assert sum(r.length for r in found if r.doc_id == i) == starts[i] * (len(encoder.encode(text)) + 1)
     assert all(abs(words[s] - targets[s]) <= 100 for s in targets)
+
+
+def test_distrust_reaches_hosts_many_links_away(spark):
+    n = 14
+    rows = [(i, f"http://h{i}.test/", f'<a href="http://h{i + 1}.test/">x</a>') for i in range(n)] + [(n, f"http://h{n}.test/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = url_filters.judge(pages, [url_filters.Rule("block", f"h{n}.test", "/")])
+    assert {r.page_id for r in found.where("verdict = 'block'").collect()} == set(range(n + 1))
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, links long")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    scores = {r.host: r.trust for r in url_filters.propagate(edges, seeds).collect()}
+    assert abs(scores["a"] - 0.15 / (1 - 0.85 ** 2)) < 1e-8 and abs(scores["b"] - 0.85 * scores["a"]) < 1e-8
