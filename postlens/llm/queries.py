@@ -1,6 +1,7 @@
 """All registered queries of the corpus operators by name."""
 
-from postlens.llm import exact_dedup, mixing, near_dedup, packing, pii, quality, substring_dedup, token_counts, url_filters, warc
+from postlens.llm import (
+    exact_dedup, mixing, near_dedup, packing, pii, prefix_trie, quality, substring_dedup, token_counts, url_filters, warc)
 
 QUERIES = {
     **warc.QUERIES,
@@ -13,4 +14,5 @@ QUERIES = {
     **near_dedup.QUERIES,
     **url_filters.QUERIES,
     **quality.QUERIES,
+    **prefix_trie.QUERIES,
 }
