@@ -1,7 +1,7 @@
 """All registered queries of the corpus operators by name."""
 
 from postlens.llm import (
-    exact_dedup, mixing, near_dedup, packing, pii, prefix_trie, quality, substring_dedup, token_counts, url_filters, warc)
+    exact_dedup, hard_negatives, mixing, near_dedup, packing, pii, prefix_trie, quality, substring_dedup, token_counts, url_filters, warc)
 
 QUERIES = {
     **warc.QUERIES,
@@ -15,4 +15,5 @@ QUERIES = {
     **url_filters.QUERIES,
     **quality.QUERIES,
     **prefix_trie.QUERIES,
+    **hard_negatives.QUERIES,
 }
