@@ -1,7 +1,7 @@
 """All registered queries of the corpus operators by name."""
 
 from postlens.llm import (
-    exact_dedup, hard_negatives, mixing, near_dedup, packing, pii, prefix_trie, quality, substring_dedup, token_counts, url_filters, warc)
+    exact_dedup, hard_negatives, language_id, mixing, near_dedup, packing, pii, prefix_trie, quality, substring_dedup, token_counts, url_filters, warc)
 
 QUERIES = {
     **warc.QUERIES,
@@ -14,6 +14,7 @@ QUERIES = {
     **near_dedup.QUERIES,
     **url_filters.QUERIES,
     **quality.QUERIES,
+    **language_id.QUERIES,
     **prefix_trie.QUERIES,
     **hard_negatives.QUERIES,
 }
