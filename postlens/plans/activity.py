@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postlens.operators import ranking, scoring, search, summary
 from postlens.plans import common as c
 from postlens.plans.common import LEXICON, Query, table
-from postlens.session import scratch_path
+from postlens.session import materialize, scratch_path
 from postlens.sources import snapshots
 from postlens.streaming import jobs, outages
 
@@ -49,7 +49,7 @@ def rate_audit(spark, folder):
 
 
 def outage_windows(spark, folder):
-    return outages.outage_windows(_events(spark, folder), TTL, chunk_seconds=24 * 3600)
+    return outages.outage_windows(_events(spark, folder), TTL)
 
 
 def refused_calls(spark, folder):
@@ -86,14 +86,45 @@ def rate_audit_stream(spark, folder):
     return rows.groupBy("window_start", "user_id").agg(F.max("requests").alias("requests"))
 
 
-def outage_stream(spark, folder):
+ARRIVAL_HOURS, DELAY_HOURS, FILES = 96, 48, 2
+
+
+def _arrivals(spark, folder, closing_hours=None):
+    """The events as files that arrive out of order: each event up to two days late, ``FILES`` files for every four days.
+
+    ``closing_hours`` adds a last file with one event of another kind, so much later than all others.
+    """
+    path = scratch_path(spark, "arrivals")
+    hours = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) + F.col("event_id") * 37 % DELAY_HOURS
+    events = materialize(_events(spark, folder).withColumn("slot", F.floor(hours / ARRIVAL_HOURS)), "arrivals")
+    # One value per four days.
+    for row in events.select("slot").distinct().orderBy("slot").collect():
+        events.where(F.col("slot") == row["slot"]).drop("slot").repartition(FILES, "event_id").write.mode("append").parquet(path)
+    if closing_hours:
+        last = events.agg(F.max("ts").alias("ts")).select(
+            F.lit(-1).cast("long").alias("event_id"), (F.col("ts") + F.make_dt_interval(hours=F.lit(closing_hours))).alias("ts"),
+            F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), F.lit("closing").alias("event_type"), F.lit(0.0).alias("value"))
+        last.write.mode("append").parquet(path)
+    return jobs.post_stream(spark, path, events.drop("slot").schema, FILES)
+
+
+def _outage_rows(spark, folder, lateness_hours, closing_hours=None):
     sink, state = scratch_path(spark, "outages"), scratch_path(spark, "state")
-    found = outages.outage_stream(_stream(spark, folder, "events"), TTL)
+    found = outages.outage_stream(_arrivals(spark, folder, closing_hours), TTL, lateness_seconds=lateness_hours * 3600)
     _drained(found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)
              .trigger(availableNow=True).start())
     return spark.read.parquet(sink)
 
 
+def outage_stream(spark, folder):
+    return _outage_rows(spark, folder, 72, closing_hours=100).where("not late").drop("late")
+
+
+def late_failures(spark, folder):
+    """Failures that come more than a day behind the newest event of earlier files."""
+    return _outage_rows(spark, folder, 24).where("late").select("user_id", F.col("outage_start").alias("ts"))
+
+
 def daily_refresh(spark, folder):
     path, state, history = (scratch_path(spark, x) for x in ("daily", "state", "history"))
     source = scratch_path(spark, "arrivals")
@@ -132,6 +163,11 @@ WHERE ts > outage_start AND ts < outage_start + INTERVAL 6 HOURS"""),
     "rate_audit_stream": Query(rate_audit_stream, _AUDIT),
     "outage_stream": Query(outage_stream, f"""
 WITH RECURSIVE {_OUTAGES} SELECT user_id, outage_start, outage_start + INTERVAL 6 HOURS AS outage_end FROM o"""),
+    "late_failures": Query(late_failures, f"""
+WITH a AS (SELECT *, floor((floor(epoch(ts) / 3600) + event_id * 37 % {DELAY_HOURS}) / {ARRIVAL_HOURS}) AS slot FROM events),
+m AS (SELECT slot, max(max(ts)) OVER (ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM a GROUP BY slot)
+SELECT DISTINCT user_id, ts FROM a JOIN m USING (slot)
+WHERE event_type = 'error' AND ts < date_trunc('milliseconds', newest) - INTERVAL 24 HOURS"""),
     "daily_refresh": Query(daily_refresh, f"""
 WITH {_DAYS} SELECT day, rank, event_id FROM best WHERE day < (SELECT max(day) FROM days)"""),
 }

@@ -2,44 +2,93 @@
 
 A refused call cannot fail, so it does not extend the outage: the next outage
 starts at the first failure at or after the end of the current one. That chain
-is order-dependent. To keep one busy source from becoming one long task, time
-is cut into chunks. Each chunk works out, in parallel, how it maps the end of
-an incoming outage to the end of its last one. Only these small summaries are
-followed in order per source; then every chunk lists its own outages.
+is order-dependent, yet it need not be followed by one task per source.
+
+A stretch of failures acts on the end of an incoming outage as a monotone step
+function: it maps that end to the end of the last outage that begins in the
+stretch. Such functions compose, and composition is associative. So the sorted
+failures are cut into blocks of bounded size, wherever they lie; each block
+yields its function, functions are composed in a tree with bounded fan-in, and
+the tree hands every block the end of the outage it starts with. Then all
+blocks list their outages at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postlens.operators.ranking import rank_within
 from postlens.operators.rows import unnest
+from postlens.session import materialize
 
 MICROS = 1_000_000
 NEVER = np.iinfo(np.int64).min
+#: Failures in one block, and functions that are composed in one step.
+BLOCK, FAN_IN = 4096, 16
+#: A late row is seen, not dropped by the engine, while it is less than this older than the newest one.
+LATE_DAYS = 36_500
+
+Step = tuple[np.ndarray, np.ndarray]
+_LONGS = T.ArrayType(T.LongType())
+_STEP = T.StructType([T.StructField("bounds", _LONGS), T.StructField("outs", _LONGS)])
+
 
+# --- step functions -----------------------------------------------------------------------------
 
-def _summary(times: np.ndarray, chunk_start: int, ttl: int) -> tuple[np.ndarray, np.ndarray]:
-    """Step function of a chunk: an outage ending at or before ``bound`` leads to one ending at ``out``."""
+def step_of(times: np.ndarray, ttl: int) -> Step:
+    """Step function of sorted failures: an outage ending at or before ``bounds[i]`` leads to one ending at ``outs[i]``.
+
+    An outage that ends after the last bound is not changed.
+    """
     following = np.searchsorted(times, times + ttl)
     ends = times + ttl
     for i in range(len(times) - 1, -1, -1):
         if following[i] < len(times):
             ends[i] = ends[following[i]]
-    # An outage from before the chunk is over ttl after its start, so later first failures cannot matter.
-    reach = min(len(times), int(np.searchsorted(times, chunk_start + ttl)) + 1)
-    bounds, outs = times[:reach], ends[:reach]
-    step = np.append(outs[1:] != outs[:-1], True)
-    return bounds[step], outs[step]
+    return _slim(times, ends, int(times[0]) + ttl)
+
+
+def _slim(bounds: np.ndarray, outs: np.ndarray, reach: int) -> Step:
+    """Without steps of no height, and without those that no outage from before the first bound can meet."""
+    used = min(len(bounds), int(np.searchsorted(bounds, reach)) + 1)
+    bounds, outs = bounds[:used], outs[:used]
+    high = np.append(outs[1:] != outs[:-1], True)
+    return bounds[high], outs[high]
+
+
+def apply_step(step: Step, until: int) -> int:
+    at = int(np.searchsorted(step[0], until))
+    return int(step[1][at]) if at < len(step[0]) else until
+
+
+def compose(first: Step, second: Step, reach: int) -> Step:
+    """First ``first``, then ``second``, whose bounds lie after those of ``first``."""
+    through = np.searchsorted(second[0], first[1])
+    inside = through < len(second[0])
+    outs = np.where(inside, second[1][np.minimum(through, len(second[0]) - 1)], first[1])
+    later = second[0] > first[0][-1]
+    return _slim(np.concatenate([first[0], second[0][later]]), np.concatenate([outs, second[1][later]]), reach)
 
 
-def _chain(times: np.ndarray, until: int, ttl: int) -> list[int]:
+def compose_all(steps: list[Step], ttl: int) -> Step:
+    """Composition of functions in order; it meets outages that begin before ``first bound`` only."""
+    reach = int(steps[0][0][0]) + ttl
+    whole = steps[0]
+    for step in steps[1:]:
+        whole = compose(whole, step, reach)
+    return whole
+
+
+def chain(times: np.ndarray, until: int, ttl: int) -> list[int]:
     """Starts of the outages among sorted failures when the current one ends at ``until``."""
     found, i = [], int(np.searchsorted(times, until))
     while i < len(times):
@@ -48,53 +97,126 @@ def _chain(times: np.ndarray, until: int, ttl: int) -> list[int]:
     return found
 
 
-def _follow(bounds: list[np.ndarray], outs: list[np.ndarray]) -> list[int]:
-    """End of the outage every chunk of one source starts with, chunk by chunk."""
-    incoming, current = [], NEVER
-    for bound, out in zip(bounds, outs):
-        incoming.append(current)
-        at = np.searchsorted(bound, current)
-        if at < len(bound):
-            current = int(out[at])
-    return incoming
+# --- batch --------------------------------------------------------------------------------------
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sorted ``(key, at)`` rows to blocks ``(key, first, times)`` of at most ``size`` failures of one key."""
+    key, times, keys, firsts, blocks = None, [], [], [], []
+
+    def close() -> None:
+        nonlocal times
+        if times:
+            keys.append(key)
+            firsts.append(times[0])
+            blocks.append(times)
+            times = []
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(keys, schema.field(0).type), pa.array(firsts, pa.int64()),
+                                           pa.array(blocks, pa.list_(pa.int64()))], schema=schema)
+        keys.clear(), firsts.clear(), blocks.clear()
+        return made
+
+    for rows in batches:
+        for k, at in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+            if k != key or len(times) >= size:
+                close()
+                key = k
+            times.append(at)
+        if len(blocks) >= 256:
+            yield batch()
+    close()
+    yield batch()
+
+
+def failure_blocks(events: DataFrame, key: str, ts: str, failed: str, size: int = BLOCK) -> DataFrame:
+    """``(key, n, times)``: the distinct failures of every source in order, cut into blocks n = 0, 1, 2 …
+
+    Failures are range-partitioned by source and time, so one source may fill
+    many partitions; a block never crosses one. Rows without source or time are
+    no failures.
+    """
+    moment = F.unix_micros(F.col(ts).cast("timestamp"))
+    failures = events.where(failed).select(F.col(key).alias("key"), moment.alias("at")).where(
+        "key is not null and at is not null").distinct()
+    by = ["key", "at"]
+    sorted_rows = failures.repartitionByRange(*by).sortWithinPartitions(*by)
+    out = T.StructType([failures.schema["key"], T.StructField("first", T.LongType()), T.StructField("times", _LONGS)])
+    arrow = pa.schema([("key", _arrow_type(failures)), ("first", pa.int64()), ("times", pa.list_(pa.int64()))])
+    blocks = materialize(sorted_rows.mapInArrow(partial(_cut, size=size, schema=arrow), out), "failures")
+    numbers = rank_within(blocks.select("key", "first"), ["key"], ["first"], "n")
+    return materialize(blocks.join(numbers, ["key", "first"]).select("key", (F.col("n") - 1).alias("n"), "times"), "blocks")
+
+
+def _arrow_type(df: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(df.schema["key"].dataType)
+
+
+def incoming_ends(steps: DataFrame, ttl: int, fan_in: int = FAN_IN) -> DataFrame:
+    """``(key, n, until)``: the end of the outage that every function of ``(key, n, step)`` starts with.
+
+    Up the tree, ``fan_in`` neighbours become one function; down again, each
+    function hands its incoming end to its parts. The number of levels is the
+    logarithm of the largest number of blocks of a source.
+    """
+    @F.pandas_udf(_STEP)
+    def together(bounds: pd.Series, outs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([compose_all(list(zip(b, o)), ttl) for b, o in zip(bounds, outs)], columns=["bounds", "outs"])
+
+    @F.pandas_udf(_LONGS)
+    def handed(bounds: pd.Series, outs: pd.Series, until: pd.Series) -> pd.Series:
+        rows = []
+        for b, o, end in zip(bounds, outs, until):
+            row = []
+            for step in zip(b, o):
+                row.append(end)
+                end = apply_step(step, end)
+            rows.append(row)
+        return pd.Series(rows)
+
+    levels, now = [], steps
+    while (now.agg(F.max("n")).first()[0] or 0) > 0:
+        # At most fan_in functions a row.
+        parts = materialize(now.groupBy("key", F.floor(F.col("n") / fan_in).cast("long").alias("g")).agg(
+            F.sort_array(F.collect_list(F.struct("n", "step"))).alias("parts")), "parts")
+        levels.append(parts)
+        now = materialize(parts.select("key", F.col("g").alias("n"), together("parts.step.bounds", "parts.step.outs").alias("step")), "steps")
+    ends = now.select("key", "n", F.lit(int(NEVER)).alias("until"))
+    for parts in reversed(levels):
+        met = parts.join(ends.withColumnRenamed("n", "g"), ["key", "g"])
+        given = F.arrays_zip(F.col("parts.n").alias("n"), handed("parts.step.bounds", "parts.step.outs", "until").alias("until"))
+        ends = materialize(unnest(met, ["key"], given, "z").select("key", "z.n", "z.until"), "ends")
+    return ends
 
 
 def outage_windows(events: DataFrame, ttl_seconds: float = 30, key: str = "user_id", ts: str = "ts",
-                   failed: str = "event_type = 'error'", chunk_seconds: float = 3600) -> DataFrame:
+                   failed: str = "event_type = 'error'", block: int = BLOCK, fan_in: int = FAN_IN) -> DataFrame:
     """``(key, outage_start, outage_end)`` of every outage of every source.
 
-    An array never holds more than the failures of one source in one chunk, or
-    one source's chunk summaries.
+    No array holds more than ``block`` failures, or ``fan_in`` functions; a
+    function has a step per failure of one ``ttl`` at most.
     """
     ttl = int(ttl_seconds * MICROS)
-    chunk = max(int(chunk_seconds * MICROS), ttl)
-    longs = T.ArrayType(T.LongType())
-
-    @F.pandas_udf(T.StructType([T.StructField("bounds", longs), T.StructField("outs", longs)]))
-    def summarise(times: pd.Series, number: pd.Series) -> pd.DataFrame:
-        pairs = [_summary(t, n * chunk, ttl) for t, n in zip(times, number)]
-        return pd.DataFrame(pairs, columns=["bounds", "outs"])
 
-    @F.pandas_udf(longs)
-    def follow(bounds: pd.Series, outs: pd.Series) -> pd.Series:
-        return pd.Series([_follow(b, o) for b, o in zip(bounds, outs)])
+    @F.pandas_udf(_STEP)
+    def step(times: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([step_of(t, ttl) for t in times], columns=["bounds", "outs"])
 
-    @F.pandas_udf(longs)
+    @F.pandas_udf(_LONGS)
     def starts(times: pd.Series, until: pd.Series) -> pd.Series:
-        return pd.Series([_chain(t, u, ttl) for t, u in zip(times, until)])
+        return pd.Series([chain(t, u, ttl) for t, u in zip(times, until)])
 
-    moment = F.unix_micros(F.col(ts).cast("timestamp"))
-    failures = (events.where(failed).select(F.col(key).alias("key"), moment.alias("at"))
-                .withColumn("chunk", F.floor(F.col("at") / chunk).cast("bigint")))
-    chunks = failures.groupBy("key", "chunk").agg(F.sort_array(F.collect_set("at")).alias("times"))
-    summaries = chunks.select("key", "chunk", summarise("times", "chunk").alias("s"))
-    ordered = summaries.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "s"))).alias("c"))
-    followed = F.arrays_zip(F.col("c.chunk").alias("chunk"), follow(F.col("c.s.bounds"), F.col("c.s.outs")).alias("until"))
-    incoming = unnest(ordered, ["key"], followed, "z").select("key", "z.chunk", "z.until")
-    listed = unnest(chunks.join(incoming, ["key", "chunk"]), ["key"], starts("times", "until"), "start")
+    blocks = failure_blocks(events, key, ts, failed, block)
+    steps = materialize(blocks.select("key", "n", step("times").alias("step")), "steps")
+    listed = unnest(blocks.join(incoming_ends(steps, ttl, fan_in), ["key", "n"]), ["key"], starts("times", "until"), "start")
+    return _windows(listed, key, ttl)
+
+
+def _windows(listed: DataFrame, key: str, ttl: int, *more: str) -> DataFrame:
     return listed.select(
         F.col("key").alias(key), F.timestamp_micros("start").cast("timestamp_ntz").alias("outage_start"),
-        F.timestamp_micros(F.col("start") + ttl).cast("timestamp_ntz").alias("outage_end"))
+        F.timestamp_micros(F.col("start") + ttl).cast("timestamp_ntz").alias("outage_end"), *more)
 
 
 def refused_calls(events: DataFrame, outages: DataFrame, ttl_seconds: float = 30, key: str = "user_id",
@@ -118,24 +240,58 @@ def refused_calls(events: DataFrame, outages: DataFrame, ttl_seconds: float = 30
     return calls.join(windows, during).select(*events.columns, "outage_start")
 
 
+# --- stream -------------------------------------------------------------------------------------
+
 def outage_stream(events: DataFrame, ttl_seconds: float = 30, key: str = "user_id", ts: str = "ts",
-                  failed: str = "event_type = 'error'") -> DataFrame:
-    """The same chain on a stream; the only state per source is the end of its last outage."""
-    ttl = int(ttl_seconds * MICROS)
-    failures = events.where(failed).select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+                  failed: str = "event_type = 'error'", lateness_seconds: float = 3600) -> DataFrame:
+    """The outages of a stream whose rows come in any order: ``(key, outage_start, outage_end, late)``.
+
+    Failures wait in their source's state until the watermark, the newest event
+    time seen less ``lateness_seconds``, has passed them; then they are followed
+    in order. An event-time timer releases them when their source is silent. A
+    failure that comes after the watermark has passed it is not followed: it
+    leaves as a row with ``late`` true, its time as ``outage_start`` and no end.
+    State goes once its last outage is over and nothing waits. The outages are
+    those of the batch form if no row is late; the last ``lateness_seconds``
+    stay open until a later event of any kind, or any source, moves the watermark.
+
+    State per source: the end of its last outage and its failures of the last
+    ``lateness_seconds``.
+    """
+    ttl, schema = int(ttl_seconds * MICROS), "key {}, start bigint, late boolean"
+    # The engine drops rows behind the watermark of its event-time column unseen. That column runs ahead of
+    # the true time by LATE_DAYS and so does the delay: the watermark is the true one, and late rows arrive.
+    ahead = events.withColumn("_clock", F.col(ts).cast("timestamp") + F.make_dt_interval(F.lit(LATE_DAYS)))
+    delay = f"{LATE_DAYS * 86_400_000 + int(lateness_seconds * 1000)} milliseconds"
+    # The filter looks at the clock, so that it stays above the watermark and every event moves time on.
+    failures = ahead.withWatermark("_clock", delay).where(F.when(F.expr(failed), F.col("_clock")).isNotNull()).where(
+        F.col(key).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), "_clock")
     key_type = failures.schema["key"].dataType.simpleString()
 
     def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = np.unique(np.concatenate([b["at"].to_numpy() for b in batches]))
-        until = state.get[0] if state.exists else NEVER
-        found = _chain(times, until, ttl)
+        now = state.getCurrentWatermarkMs()
+        until, waiting = state.get if state.exists else (int(NEVER), [])
+        came = np.concatenate([np.asarray(waiting, np.int64), *[b["at"].to_numpy(np.int64) for b in batches]])
+        fresh = np.unique(came)
+        late = [] if not now else fresh[(fresh < now * 1000) & ~np.isin(fresh, np.asarray(waiting, np.int64))]
+        on_time = np.setdiff1d(fresh, late)
+        passed = on_time[on_time < now * 1000]
+        waiting = on_time[len(passed):]
+        found = chain(passed, until, ttl)
         if found:
             until = found[-1] + ttl
-        state.update((until,))
-        yield pd.DataFrame({"key": [key_[0]] * len(found), "start": pd.Series(found, dtype="int64")})
+        if len(waiting) or until > now * 1000:
+            state.update((until, waiting.tolist()))
+            # A whole millisecond that lies after the first moment of interest and after the watermark.
+            first = int(waiting[0]) if len(waiting) else until
+            state.setTimeoutTimestamp(max(first // 1000 + 1, now + 1))
+        elif state.exists:
+            state.remove()
+        rows = [(key_[0], s, False) for s in found] + [(key_[0], int(s), True) for s in late]
+        yield pd.DataFrame({"key": pd.Series([r[0] for r in rows]), "start": pd.Series([r[1] for r in rows], dtype="int64"),
+                            "late": pd.Series([r[2] for r in rows], dtype="bool")})
 
     listed = failures.groupBy("key").applyInPandasWithState(
-        step, f"key {key_type}, start bigint", "until bigint", "append", GroupStateTimeout.NoTimeout)
-    return listed.select(
-        F.col("key").alias(key), F.timestamp_micros("start").cast("timestamp_ntz").alias("outage_start"),
-        F.timestamp_micros(F.col("start") + ttl).cast("timestamp_ntz").alias("outage_end"))
+        step, schema.format(key_type), "until bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    found = _windows(listed, key, ttl, "late")
+    return found.withColumn("outage_end", F.when(~F.col("late"), F.col("outage_end")))

@@ -1,6 +1,8 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+
 from postlens.operators import scoring
 from postlens.streaming import jobs, outages
 
@@ -29,12 +31,48 @@ def _outages(rows, ttl):
 
 def test_outages_equal_the_plain_chain(spark):
     rows, df = _events(spark)
-    for ttl, chunk in ((30, 60), (30, 3600), (7, 10), (400, 100), (50000, 3600)):
-        got = outages.outage_windows(df, ttl, chunk_seconds=chunk).collect()
-        assert {(r["user_id"], r["outage_start"]) for r in got} == _outages(rows, ttl), (ttl, chunk)
+    for ttl, block, fan_in in ((30, 4096, 16), (30, 5, 2), (7, 3, 3), (400, 16, 4), (5000, 2, 2), (50000, 7, 16)):
+        got = outages.outage_windows(df, ttl, block=block, fan_in=fan_in).collect()
+        assert {(r["user_id"], r["outage_start"]) for r in got} == _outages(rows, ttl), (ttl, block)
         assert len(got) == len(_outages(rows, ttl))
 
 
+def test_step_functions_compose_to_the_whole():
+    rng = random.Random(2)
+    for _ in range(60):
+        times = np.unique([rng.randrange(3000) for _ in range(rng.randrange(2, 200))])
+        ttl, cuts = rng.choice([1, 7, 60, 500, 4000]), sorted(rng.sample(range(1, len(times)), min(5, len(times) - 1)))
+        parts = [outages.step_of(p, ttl) for p in np.split(times, cuts)]
+        together, half = outages.compose_all(parts, ttl), len(parts) // 2
+        for until in [outages.NEVER, *range(int(times[0]) - 5, int(times[0]) + ttl + 1, max(1, ttl // 40))]:
+            found = outages.chain(times, until, ttl)
+            end = found[-1] + ttl if found else until
+            assert outages.apply_step(together, until) == end
+            # Associative: the grouping does not matter.
+            if half:
+                split = outages.compose_all([outages.compose_all(parts[:half], ttl), outages.compose_all(parts[half:], ttl)], ttl)
+                assert outages.apply_step(split, until) == end
+        # No more steps than failures that an earlier outage can meet.
+        assert len(together[0]) <= np.searchsorted(times, times[0] + ttl) + 1
+
+
+def test_outages_without_failures_and_with_odd_rows(spark):
+    assert outages.outage_windows(spark.createDataFrame([], EVENTS), 30).collect() == []
+    rows = [(1, None, START, "error", 0.0), (2, 1, None, "error", 0.0), (3, 1, START, "error", 0.0), (4, 1, START, "error", 0.0), (5, 2, START, None, 0.0)]
+    assert [(r.user_id, r.outage_start) for r in outages.outage_windows(spark.createDataFrame(rows, EVENTS), 30).collect()] == [(1, START)]
+
+
+def test_a_hot_source_spreads_over_blocks(spark):
+    _, df = _events(spark, 3000)
+    blocks = outages.failure_blocks(df, "user_id", "ts", "event_type = 'error'", 50)
+    sizes = [(r["key"], r["n"], len(r["times"])) for r in blocks.collect()]
+    assert max(s for _, _, s in sizes) <= 50
+    for key in {k for k, _, _ in sizes}:
+        numbers = sorted(n for k, n, _ in sizes if k == key)
+        assert numbers == list(range(len(numbers)))
+    assert max(sum(k == key for k, _, _ in sizes) for key in (1, 2, 3)) > 20
+
+
 def test_outage_fixture(spark):
     calls = [(i, 1, START + timedelta(seconds=s), kind, 0.0) for i, (s, kind) in enumerate(
         [(0, "error"), (10, "view"), (29, "error"), (30, "error")])]
@@ -45,18 +83,40 @@ def test_outage_fixture(spark):
     assert {r["event_id"] for r in refused} == {1, 2}
 
 
-def test_outage_stream_carries_state_between_batches(spark, tmp_path):
+def _streamed(spark, folder, batches, ttl, lateness):
+    """Run the batches one after the other, then an event of another source that ends all waiting; the rows and the state left."""
+    closing = [(-1, 99, START + timedelta(days=400), "view", 0.0)]
+    for part in [*batches, closing]:
+        spark.createDataFrame(part, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    query = (outages.outage_stream(stream, ttl, lateness_seconds=lateness).writeStream.format("parquet").option("path", f"{folder}/out")
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").collect(), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def _at(*seconds, user=1):
+    return [(i, user, START + timedelta(seconds=s), "error", 0.0) for i, s in enumerate(seconds)]
+
+
+def test_outage_stream_takes_rows_in_any_order(spark, tmp_path):
     rows, _ = _events(spark, 600)
-    rows.sort(key=lambda r: r[2])
-    source = str(tmp_path / "in")
-    for part in range(3):
-        spark.createDataFrame(rows[part * 200:(part + 1) * 200], EVENTS).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(EVENTS).parquet(source)
-        query = (outages.outage_stream(stream, 30).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-                 .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
-        query.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert {(r["user_id"], r["outage_start"]) for r in got} == _outages(rows, 30)
+    random.Random(5).shuffle(rows)
+    got, left = _streamed(spark, tmp_path, [rows[i::4] for i in range(4)], 30, 30_000)
+    assert not any(r["late"] for r in got)
+    assert {(r["user_id"], r["outage_start"]) for r in got} == _outages(rows, 30) and len(got) == len(_outages(rows, 30))
+    assert left == 0  # all state has expired
+
+
+def test_outage_stream_puts_earlier_failures_first(spark, tmp_path):
+    got, _ = _streamed(spark, tmp_path, [_at(100, 110), _at(0, 10)], 30, 600)
+    assert {(r["outage_start"] - START).seconds for r in got} == {0, 100} and not any(r["late"] for r in got)
+
+
+def test_outage_stream_sets_late_failures_aside(spark, tmp_path):
+    got, left = _streamed(spark, tmp_path, [_at(100, 110), _at(1000, user=2), _at(50, 960), _at(5000, user=2)], 30, 200)
+    seconds = {((r["outage_start"] - START).seconds, r["late"], r["outage_end"] is None) for r in got if r["user_id"] == 1}
+    assert seconds == {(100, False, False), (50, True, True), (960, False, False)} and left == 0
 
 
 def test_scored_stream_equals_batch(spark, tmp_path):
