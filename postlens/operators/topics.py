@@ -1,4 +1,4 @@
-"""Topic discovery from embeddings."""
+"""Topics of embeddings: dense regions, or a fixed number of clusters that also takes new rows."""
 
 from __future__ import annotations
 
@@ -7,7 +7,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-OUTLIER = -1
+from postlens.operators.density import OUTLIER, dense_topics
+
+
+def discover_topics(df: DataFrame, min_size: int = 10, embedding: str = "embedding", **options) -> DataFrame:
+    """Add ``topic``: dense regions of at least ``min_size`` rows, as many as there are; see ``density.dense_topics``."""
+    return dense_topics(df, embedding, min_size, **options)
 
 
 def train_topics(df: DataFrame, k: int = 20, embedding: str = "embedding", seed: int = 42,
@@ -26,14 +31,12 @@ def assign_topics(df: DataFrame, model: KMeansModel, embedding: str = "embedding
 def relabel_small(df: DataFrame, min_size: int = 10) -> DataFrame:
     """Topics with fewer than ``min_size`` rows become the outlier topic -1."""
     sizes = df.groupBy("topic").agg(F.count("*").alias("_size"))
-    # One row per cluster: the broadcast side has as many rows as the model has clusters.
-    merged = df.join(F.broadcast(sizes), "topic")
+    merged = df.join(sizes, "topic")
     return merged.withColumn("topic", F.when(F.col("_size") < min_size, OUTLIER).otherwise(F.col("topic"))).drop("_size")
 
 
-def discover_topics(df: DataFrame, min_size: int = 10, k: int = 20, embedding: str = "embedding",
-                    seed: int = 42) -> DataFrame:
-    """Train, assign and relabel in one go."""
+def cluster_topics(df: DataFrame, min_size: int = 10, k: int = 20, embedding: str = "embedding", seed: int = 42) -> DataFrame:
+    """Train ``k`` clusters, assign and relabel in one go."""
     return relabel_small(assign_topics(df, train_topics(df, k, embedding, seed), embedding), min_size)
 
 

@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.functions import links
-from postlens.operators import ranking, search, summary
+from postlens.operators import density, ranking, search, summary
 from postlens.operators import topics as tp
 from postlens.plans.cleaning import sql_slug
 from postlens.plans.common import Query, table
 
+SCALE = 256
+
 
 def _topics(spark, folder):
     names = table(spark, folder, "part").groupBy(F.col("p_name").alias("title")).agg(
@@ -87,8 +89,16 @@ def latest_of_one(spark, folder):
     return ranking.latest_by_author(events, 1, 10, 8, "user_id", "ts", "event_id")
 
 
+def _regions(spark, folder):
+    return tp.discover_topics(table(spark, folder, "embeddings"), 10, scale=SCALE)
+
+
 def discover_topics(spark, folder):
-    return tp.topic_info(tp.discover_topics(table(spark, folder, "embeddings"), 10, 12))
+    return tp.topic_info(_regions(spark, folder))
+
+
+def topic_members(spark, folder):
+    return _regions(spark, folder).select("vec_id", "topic")
 
 
 def assigned_topics(spark, folder):
@@ -97,6 +107,52 @@ def assigned_topics(spark, folder):
     return tp.topic_count(tp.relabel_small(tp.assign_topics(rows, model), 10))
 
 
+def _density_sql(k: int = 10, min_size: int = 10) -> str:
+    """CTEs ending in ``topics`` (vec_id, topic): the rule of ``density`` over exact neighbours, which blocks of 1,024 rows also find."""
+    last = len(density.SHARES) - 1
+    steps = []
+    for i in range(last, -1, -1):
+        kids = f"""SELECT m.root AS up, count(*) AS kids, sum(greatest(mass, below)) AS best, max(mass) AS one, max(below) AS parts
+  FROM state{i + 1} AS s JOIN member AS m ON m.level = {i} AND m.node = s.root GROUP BY m.root""" if i < last else """
+  SELECT 0 AS up, 0 AS kids, 0.0::DOUBLE AS best, 0.0::DOUBLE AS one, 0.0::DOUBLE AS parts WHERE false"""
+        steps.append(f"""state{i} AS (
+  SELECT b.root, b.n, coalesce(kids, 0) AS kids,
+         b.n * (SELECT reach FROM dense WHERE level = {i}) + CASE WHEN kids = 1 THEN one ELSE 0 END AS mass,
+         CASE WHEN kids = 1 THEN parts WHEN kids > 1 THEN best ELSE 0 END AS below
+  FROM big AS b LEFT JOIN ({kids}) AS k ON k.up = b.root WHERE b.level = {i})""")
+    for i in range(last + 1):
+        up = f"""JOIN member AS m ON m.level = {i - 1} AND m.node = s.root
+  JOIN (SELECT root AS up, taken OR pick AS taken, kids > 1 AS born FROM pick{i - 1}) AS u ON u.up = m.root""" if i else """
+  CROSS JOIN (SELECT false AS taken, true AS born) AS u"""
+        steps.append(f"""pick{i} AS (
+  SELECT s.root, s.n, s.kids, u.taken, u.born AND NOT u.taken AND mass >= below AS pick FROM state{i} AS s {up})""")
+    picked = " UNION ALL ".join(f"SELECT {i} AS level, root, n FROM pick{i} WHERE pick" for i in range(last + 1))
+    return f"""WITH RECURSIVE w AS (
+  SELECT vec_id AS id, e, sqrt(list_inner_product(e, e)) AS n FROM (
+    SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL)),
+near AS (
+  SELECT a.id AS a, b.id AS b, 1 - list_inner_product(a.e, b.e) / (a.n * b.n) AS distance FROM w AS a JOIN w AS b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY distance, b.id) <= {k}),
+core AS (SELECT a AS id, max(distance) AS core FROM near GROUP BY a),
+cuts AS (
+  SELECT unnest(range({last + 1})) AS level, unnest(list_transform(e, lambda x: greatest(x, {density.CLOSEST}))) AS e
+  FROM (SELECT quantile_disc(core, {list(density.SHARES)}) AS e FROM core)),
+dense AS (SELECT level, e, coalesce(1 / lead(e) OVER (ORDER BY level) - 1 / e, 1 / e) AS reach FROM cuts),
+link AS (
+  SELECT level, a, b FROM near JOIN core AS x ON x.id = a JOIN core AS y ON y.id = b JOIN dense ON greatest(distance, x.core, y.core) <= e),
+ties AS (SELECT level, a, b FROM link UNION SELECT level, b, a FROM link),
+led AS (
+  SELECT level, a AS node, a AS root FROM ties
+  UNION SELECT ties.level, ties.b, led.root FROM led JOIN ties ON led.level = ties.level AND led.node = ties.a AND led.root < ties.b),
+member AS (SELECT level, node, min(root) AS root FROM led GROUP BY level, node),
+big AS (SELECT level, root, count(*) AS n FROM member GROUP BY level, root HAVING count(*) >= {min_size}),
+{", ".join(steps)},
+kept AS (SELECT level, root, row_number() OVER (ORDER BY n DESC, root) - 1 AS topic FROM ({picked})),
+topics AS (
+  SELECT vec_id, coalesce(topic, -1) AS topic FROM embeddings
+  LEFT JOIN (SELECT node, topic FROM member JOIN kept USING (level, root)) AS m ON node = vec_id)"""
+
+
 _TOPICS = f"""topics AS (SELECT *, '/' || {sql_slug('title')} || '--' || id AS slug FROM (
   SELECT p_name AS title, min(p_partkey) AS id, count(*) AS entry_count FROM part GROUP BY p_name))"""
 _ASKED = """asked AS (SELECT DISTINCT unnest([p_name, upper(p_name), split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1),
@@ -145,6 +201,8 @@ SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, e
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS position
 FROM events QUALIFY position BETWEEN 6 AND 10"""),
     "latest_of_one": Query(latest_of_one, "SELECT event_id, user_id, ts FROM events WHERE user_id = 8 ORDER BY ts DESC, event_id DESC LIMIT 10"),
-    "discover_topics": Query(discover_topics),
+    "discover_topics": Query(discover_topics, f"""
+{_density_sql()} SELECT topic, count(*) AS size, topic = -1 AS is_outlier FROM topics GROUP BY topic"""),
+    "topic_members": Query(topic_members, f"{_density_sql()} SELECT vec_id, topic FROM topics"),
     "assigned_topics": Query(assigned_topics),
 }

@@ -59,7 +59,7 @@ def test_topics_from_embeddings(spark):
     centres = [(0.0, 0.0), (9.0, 0.0), (0.0, 9.0)]
     rows = [(i, [rng.gauss(c[0], .3), rng.gauss(c[1], .3)]) for i, c in enumerate(centres * 20)] + [(99, [50.0, 50.0])]
     df = spark.createDataFrame(rows, "id int, embedding array<float>")
-    found = topics.discover_topics(df, min_size=10, k=4)
+    found = topics.cluster_topics(df, min_size=10, k=4)
     info = {r["topic"]: r["size"] for r in topics.topic_info(found).collect()}
     assert info[topics.OUTLIER] == 1 and sorted(info.values()) == [1, 20, 20, 20]
     assert topics.topic_count(found).first()["n"] == 3
