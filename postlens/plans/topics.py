@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.functions import links
-from postlens.operators import density, ranking, search, summary
+from postlens.operators import density, ranking, search, summary, text_topics
 from postlens.operators import topics as tp
 from postlens.plans.cleaning import sql_slug
-from postlens.plans.common import Query, table
+from postlens.plans.common import SQL_TOKENS, STOP_WORDS, Query, sql_list, table
+from postlens.session import scratch_path
 
 SCALE = 256
 
@@ -101,12 +102,20 @@ def topic_members(spark, folder):
     return _regions(spark, folder).select("vec_id", "topic")
 
 
-def assigned_topics(spark, folder):
+def cluster_count(spark, folder):
     rows = table(spark, folder, "embeddings")
     model = tp.train_topics(rows, 8)
     return tp.topic_count(tp.relabel_small(tp.assign_topics(rows, model), 10))
 
 
+def assigned_topics(spark, folder):
+    """Topics of new texts, the turns of conversations, by a stored model of the documents."""
+    path = scratch_path(spark, "topic-model")
+    text_topics.save(text_topics.fit(table(spark, folder, "documents"), "lang", stop_words=STOP_WORDS), path)
+    found = text_topics.assign(table(spark, folder, "conversations"), text_topics.load(spark, path), ["conv_id", "turn"], stop_words=STOP_WORDS)
+    return found.withColumns({c: F.round(c, 6) for c in ("similarity", "probability")})
+
+
 def _density_sql(k: int = 10, min_size: int = 10) -> str:
     """CTEs ending in ``topics`` (vec_id, topic): the rule of ``density`` over exact neighbours, which blocks of 1,024 rows also find."""
     last = len(density.SHARES) - 1
@@ -204,5 +213,23 @@ FROM events QUALIFY position BETWEEN 6 AND 10"""),
     "discover_topics": Query(discover_topics, f"""
 {_density_sql()} SELECT topic, count(*) AS size, topic = -1 AS is_outlier FROM topics GROUP BY topic"""),
     "topic_members": Query(topic_members, f"{_density_sql()} SELECT vec_id, topic FROM topics"),
-    "assigned_topics": Query(assigned_topics),
+    "cluster_count": Query(cluster_count),
+    "assigned_topics": Query(assigned_topics, f"""
+WITH tf AS (SELECT topic, word, count(*) AS tf FROM (
+  SELECT lang AS topic, unnest({SQL_TOKENS.format('text')}) AS word FROM documents WHERE lang IS NOT NULL)
+  WHERE length(word) > 3 AND NOT list_contains({sql_list(STOP_WORDS)}, word) GROUP BY ALL),
+idf AS (SELECT word, ln(1 + (SELECT avg(n) FROM (SELECT sum(tf) AS n FROM tf GROUP BY topic)) / sum(tf)) AS idf FROM tf GROUP BY word),
+best AS (SELECT topic, word, idf, tf * idf AS weight FROM tf JOIN idf USING (word)
+  QUALIFY row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word) <= {text_topics.TERMS}),
+size AS (SELECT topic, sqrt(sum(weight * weight)) AS size FROM best GROUP BY topic),
+known AS (SELECT DISTINCT word, idf FROM best),
+turns AS (SELECT conv_id, turn, word, count(*) AS n FROM (
+  SELECT conv_id, turn, unnest({SQL_TOKENS.format('text')}) AS word FROM conversations) JOIN known USING (word) GROUP BY ALL),
+own AS (SELECT conv_id, turn, sqrt(sum(n * idf * n * idf)) AS length FROM turns JOIN known USING (word) GROUP BY ALL),
+sim AS (SELECT conv_id, turn, topic, sum(n * idf * weight) / any_value(size) / any_value(length) AS similarity
+  FROM turns JOIN best USING (word) JOIN size USING (topic) JOIN own USING (conv_id, turn) GROUP BY conv_id, turn, topic),
+top AS (SELECT conv_id, turn, topic, similarity, similarity / sum(similarity) OVER (PARTITION BY conv_id, turn) AS probability FROM sim
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY similarity DESC, topic) = 1)
+SELECT conv_id, turn, topic, round(coalesce(similarity, 0), 6) AS similarity, round(probability, 6) AS probability
+FROM conversations LEFT JOIN top USING (conv_id, turn)"""),
 }

@@ -1,9 +1,10 @@
+import math
 import random
 
 import numpy as np
 import pytest
 
-from postlens.operators import density, graph, topics
+from postlens.operators import density, graph, text_topics, topics
 
 SCHEMA = "id long, embedding array<double>, planted int"
 
@@ -63,3 +64,32 @@ def test_components_of_chains_stars_and_separate_graphs(spark):
     assert {found[0, n] for n in names} == {0}
     assert {found[1, n] for n in range(5, 80)} == {5} and found[1, 202] == found[1, 200] == 200
     assert len(found) == 300 + 75 + 3
+
+
+def test_texts_get_the_topic_with_the_nearest_terms(spark, tmp_path):
+    known = [("spor", "futbol maç takım gol futbol lig"), ("spor", "takım transfer futbol teknik"), ("ekonomi", "borsa dolar faiz banka"),
+             ("ekonomi", "dolar kuru banka kredi faiz"), (None, "futbol dolar"), ("boş", "")]
+    model = text_topics.fit(spark.createDataFrame(known, "topic string, text string"), "topic")
+    text_topics.save(model, str(tmp_path / "model"))
+    new = [(1, "Futbol takımı ve futbol"), (2, "faiz, borsa; kredi"), (3, "bilinmeyen sözler"), (4, None), (5, ""), (6, "futbol dolar dolar faiz")]
+    df = spark.createDataFrame(new, "id int, text string")
+    found = {r.id: r for r in text_topics.assign(df, text_topics.load(spark, str(tmp_path / "model")), ["id"]).collect()}
+    assert [found[i].topic for i in range(1, 7)] == ["spor", "ekonomi", None, None, None, "ekonomi"]
+    assert found[1].probability == 1 and 0.5 < found[6].probability < 1 and found[3].similarity == 0
+    # By hand: counts per topic, ln(1 + A / f), unit vectors.
+    counts = {"spor": {}, "ekonomi": {}}
+    for topic, text in known[:4]:
+        for word in text.split():
+            if len(word) > 3:
+                counts[topic][word] = counts[topic].get(word, 0) + 1
+    average = sum(sum(c.values()) for c in counts.values()) / 2
+    idf = {w: math.log(1 + average / sum(c.get(w, 0) for c in counts.values())) for c in counts.values() for w in c}
+    text = {"futbol": 1, "dolar": 2, "faiz": 1}
+    dots = {t: sum(text.get(w, 0) * idf[w] * n * idf[w] for w, n in c.items()) / math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+            for t, c in counts.items()}
+    length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in text.items()))
+    assert found[6].similarity == pytest.approx(dots["ekonomi"] / length)
+    assert found[6].probability == pytest.approx(dots["ekonomi"] / sum(dots.values()))
+    strict = text_topics.assign(df, model, ["id"], least=0.99)
+    assert {r.topic for r in strict.collect()} == {None}
+    assert text_topics.assign(df.limit(0), model, ["id"]).collect() == []
