@@ -129,15 +129,37 @@ def read_dumps(spark, folder):
     """Document-shaped dumps, one JSON value per file: every turn of a conversation is a dump of its own."""
     path = scratch_path(spark, "dumps")
     talks = table(spark, folder, "conversations")
-    entry = F.to_json(F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("author"), F.col("conv_id").cast("string").alias("topic")))
+    entry = F.to_json(F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("author"), F.col("text").alias("body"),
+                               F.col("conv_id").cast("string").alias("topic")))
     dump = F.concat(F.lit('{"metadata":{"total_entries":1,"topics":["'), "conv_id", F.lit('"]},\n"entries":[\n'), entry, F.lit("\n]}"))
     talks.select("conv_id", "turn", dump.alias("value")).write.partitionBy("conv_id", "turn").text(path)
     found = posts.read_posts(spark, path, shape="document")
     kv = found.metadata.select(F.col("key").alias("field"), "value").groupBy("field", "value").agg(F.count("*").alias("n"))
-    entries = found.entries.select(F.lit("entry").alias("field"), F.concat_ws("/", "topic", "id", "author").alias("value")).groupBy("field", "value").agg(F.count("*").alias("n"))
+    entries = found.entries.select(F.lit("entry").alias("field"), F.concat_ws("/", "topic", "id", "author", F.md5("body")).alias("value")).groupBy("field", "value").agg(F.count("*").alias("n"))
     return posts.union_parts(kv, entries)
 
 
+def large_dumps(spark, folder):
+    """A few dumps of many entries, printed over many lines: each file is one JSON value that many tasks may read."""
+    path = scratch_path(spark, "dumps")
+    talks = table(spark, folder, "conversations").withColumn("bucket", F.col("conv_id") % 3)
+    entry = F.to_json(F.struct(F.col("turn").cast("string").alias("id"), F.col("role").alias("author"), F.col("text").alias("body"),
+                               F.col("conv_id").cast("string").alias("topic")), {"pretty": "true"})
+    buckets = talks.select("bucket").distinct()
+    none = F.lit(None).cast("long")
+    head = buckets.select("bucket", F.lit(0).alias("part"), none.alias("conv_id"), none.alias("turn"),
+                          F.concat(F.lit('{ "bucket": "}'), "bucket", F.lit('", "entries": [ "no entry"')).alias("value"))
+    foot = buckets.select("bucket", F.lit(2).alias("part"), none.alias("conv_id"), none.alias("turn"), F.lit("]\n}").alias("value"))
+    body = talks.select("bucket", F.lit(1).alias("part"), "conv_id", "turn", F.concat(F.lit(","), entry).alias("value"))
+    lines = posts.union_parts(head, body, foot).repartition("bucket").sortWithinPartitions("bucket", "part", "conv_id", "turn")
+    lines.select("bucket", "value").write.partitionBy("bucket").text(path)
+    found = posts.read_posts(spark, path)
+    nothing = F.lit(None).cast("string")
+    entries = found.entries.select("id", "author", "body", "topic", nothing.alias("key"), nothing.alias("value"))
+    kv = found.metadata.select(*[nothing.alias(c) for c in ("id", "author", "body", "topic")], "key", F.to_json(F.struct("value")).alias("value"))
+    return posts.union_parts(entries, kv.withColumn("value", F.regexp_extract("value", '^\\{"value":(.*)\\}$', 1)))
+
+
 def flatten_events(spark, folder):
     nested = table(spark, folder, "events").select("event_id", F.struct(
         F.from_json("props", "k int").alias("props"), F.struct("event_type").alias("kind")).alias("e"))
@@ -203,7 +225,10 @@ UNION ALL SELECT slug, 't', page, 1, turn::VARCHAR, s, role, '', turn FROM t WHE
 SELECT turn::VARCHAR AS id, role AS author, text AS body, conv_id::VARCHAR AS topic, turn + 1 AS page FROM conversations"""),
     "read_dumps": Query(read_dumps, """
 SELECT 'metadata' AS field, '{"total_entries":1,"topics":["' || conv_id || '"]}' AS value, count(*) AS n FROM conversations GROUP BY conv_id
-UNION ALL SELECT 'entry', conv_id || '/' || turn || '/' || role, count(*) FROM conversations GROUP BY ALL"""),
+UNION ALL SELECT 'entry', conv_id || '/' || turn || '/' || role || '/' || md5(text), count(*) FROM conversations GROUP BY ALL"""),
+    "large_dumps": Query(large_dumps, """
+SELECT turn::VARCHAR AS id, role AS author, text AS body, conv_id::VARCHAR AS topic, NULL AS key, NULL AS value FROM conversations
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'bucket', '"}' || b || '"' FROM (SELECT DISTINCT conv_id % 3 AS b FROM conversations)"""),
     "flatten_events": Query(flatten_events, """
 SELECT event_id, (props->>'$.k')::INT AS "e.props.k", event_type AS "e.kind.event_type" FROM events"""),
     "metadata_rows": Query(metadata_rows, """

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from postlens.functions import values as val
 from postlens.operators.filters import min_length
 from postlens.operators.rows import unnest
 from postlens.session import materialize
+from postlens.sources import splits
 
 TEXT_MAP = T.MapType(T.StringType(), T.StringType())
 
@@ -31,9 +34,10 @@ def read_posts(spark: SparkSession, path: str, schema: T.StructType = schemas.PO
     The shape is found for each file by parsing. If the first line that is not
     blank is a JSON value of its own, the file is read by lines, splits and
     scales freely, and each line is a post or a compact dump; an array counts
-    only when it is the file's single line. Else the file as a whole must be one
-    JSON value, which is then one task's unit of work; if it is not, its lines
-    count. ``shape`` (``lines`` or ``document``) skips that look.
+    only when it is the file's single line. Else the file should be one JSON
+    value; it is read by byte ranges too (see ``splits``), and if it is none its
+    lines count. ``shape`` (``lines`` or ``document``) skips that look; a file of
+    one line that does not fit in a row (2 GB) needs ``document``.
 
     Fields are read as text and cast, so one that does not fit is null and the
     post stays. Keys outside ``schema`` are kept in the map ``other``.
@@ -42,7 +46,11 @@ def read_posts(spark: SparkSession, path: str, schema: T.StructType = schemas.PO
     """
     if shape not in ("auto", "lines", "document"):
         raise ValueError(f"unknown shape: {shape}")
-    values = _by_line(spark, path) if shape == "lines" else _by_file(spark, path) if shape == "document" else _by_shape(spark, path)
+    values, elements = _by_line(spark, path), None
+    if shape == "document":
+        values, elements = _by_range(spark, path)
+    elif shape == "auto":
+        values, elements = _by_shape(spark, path)
     values = values.where(tx.strip(F.col("value")) != "")
     fields = F.from_json("value", TEXT_MAP)
     parsed = F.try_parse_json("value")
@@ -53,34 +61,45 @@ def read_posts(spark: SparkSession, path: str, schema: T.StructType = schemas.PO
     listed = F.when(F.col("_kind") == "list", F.from_json("value", T.ArrayType(T.StringType()))).when(
         F.col("_kind") == "object", F.coalesce(boxed, F.array("value")))
     items = unnest(read, [], listed, "_item").where(F.ltrim("_item").startswith("{"))
+    rejects = read.where("_kind = 'bad'").select("path", "value")
+    if elements is not None:
+        found = elements.where(F.ltrim("value").startswith("{")).select("path", "value", F.try_parse_json("value").isNotNull().alias("_good"))
+        items = items.unionByName(found.where("_good").select(F.col("value").alias("_item")))
+        rejects = rejects.unionByName(found.where("not _good").select("path", "value"))
     metadata = read.where(boxed.isNotNull()).select("path", F.explode("_fields").alias("key", "value")).where("key <> 'entries'")
-    return Posts(_posts(items, "_item", schema), metadata, read.where("_kind = 'bad'").select("path", "value"))
+    return Posts(_posts(items, "_item", schema), metadata, rejects)
 
 
-def _by_line(spark: SparkSession, path: str) -> DataFrame:
+def _by_line(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value", F.lit(False).alias("lists"))
 
 
-def _by_file(spark: SparkSession, path) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value", F.lit(True).alias("lists"))
+def _by_range(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
+    """Files of one JSON value: the value without its elements, and the elements. Files that are none count by line."""
+    elements, rest = splits.json_elements(spark, path)
+    sound = F.try_parse_json("value").isNotNull()
+    rest = materialize(rest.select("path", "value", sound.alias("_sound")), "documents")
+    around = rest.where("_sound").select("path", "value", F.lit(True).alias("lists"))
+    if rest.where("not _sound").isEmpty():
+        return around, elements
+    broken = rest.where("not _sound").select("path")
+    return around.unionByName(_by_line(spark, path).join(broken, "path")), elements.join(broken, "path", "left_anti")
 
 
-def _by_shape(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of the files that are read by line, and the other files as a whole."""
+def _by_shape(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """Lines of the files that are read by line; the other files by range."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_place"), "value").where(tx.strip(F.col("value")) != "")
     first = F.min_by(F.try_parse_json("value").isNotNull(), F.struct("_block", "_place"))
     files = materialize(lines.groupBy("path").agg(first.alias("_alone"), F.count("*").alias("_lines")), "shapes")
     by_line = _by_line(spark, path).drop("lists").join(files.where("_alone"), "path").select("path", "value", (F.col("_lines") == 1).alias("lists"))
-    rest = files.where("not _alone").select("path")
-    if rest.isEmpty():
-        return by_line
-    # Only the files that need it are read whole; the list of paths is what Spark's own file index holds.
-    texts = _by_file(spark, path).join(rest, "path")
-    one_value = F.try_parse_json("value").isNotNull()
-    split = texts.where(~one_value).select("path", F.explode(F.split("value", "\n")).alias("value"), F.lit(False).alias("lists"))
-    return by_line.unionByName(texts.where(one_value)).unionByName(split)
+    # The paths of the files that need it, as Spark's own file index holds them; they come URL-encoded and go back as glob patterns.
+    rest = [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(row["path"])) for row in files.where("not _alone").select("path").collect()]
+    if not rest:
+        return by_line, None
+    around, elements = _by_range(spark, rest)
+    return by_line.unionByName(around), elements
 
 
 def _posts(items: DataFrame, column: str, schema: T.StructType) -> DataFrame:
@@ -203,9 +222,9 @@ def union_parts(*parts: DataFrame) -> DataFrame:
 
 
 def read_labelled(spark: SparkSession, path: str, schema: T.StructType = schemas.LABELLED) -> DataFrame:
-    """A labelled sheet as CSV (by suffix) or Parquet, with its declared schema."""
+    """A labelled sheet as CSV (by suffix) or Parquet, with its declared schema. A CSV file is read by byte ranges."""
     if path.endswith(".csv"):
-        return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=True)
+        return splits.read_csv(spark, path, schema)
     return spark.read.schema(schema).parquet(path)
 
 
