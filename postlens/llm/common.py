@@ -91,3 +91,43 @@ def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
     return local.join(earlier, "_part").select(
         *df.columns, (F.col("_place") + F.col("_all")).cast("long").alias("rank"),
         *[(F.col(f"_own_{v}") + F.col(f"_all_{v}")).cast("long").alias(f"before_{v}") for v in values])
+
+
+#: 64-bit words of a key filter: 16 million bits, two megabytes, whatever the number of keys.
+FILTER_WORDS = 1 << 18
+
+
+def may_be_among(key: Column, keys: DataFrame) -> Column:
+    """Whether ``key`` may be one of ``keys`` (one column): true for all that are, and for a few others.
+
+    A bitmap of fixed size holds a bit per hash. Rows that it rules out need no
+    join, so a join that concerns few rows moves few rows, at any size. With
+    far more keys than bits it rules out nothing, which costs time only.
+    """
+    h = F.xxhash64(keys.columns[0])
+    words = keys.select(F.pmod(F.shiftrightunsigned(h, 6), F.lit(FILTER_WORDS)).cast("int").alias("i"), F.pmod(h, F.lit(64)).cast("int").alias("b"))
+    held = words.groupBy("i").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b"))).alias("w"))
+    all_words = keys.sparkSession.range(FILTER_WORDS, numPartitions=1).select(F.col("id").cast("int").alias("i"), F.lit(0).cast("long").alias("w"))
+    # FILTER_WORDS rows at most.
+    full = held.unionByName(all_words).groupBy("i").agg(F.bit_or("w").alias("w")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]).alias("words"))
+    at = F.xxhash64(key)
+    return F.getbit(F.get(full.scalar(), F.pmod(F.shiftrightunsigned(at, 6), F.lit(FILTER_WORDS)).cast("int")), F.pmod(at, F.lit(64)).cast("int")) == 1
+
+
+def without(df: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` whose ``name`` is not in stored ``gone`` (that column); only rows that may be are shuffled."""
+    maybe = may_be_among(F.col(name), gone)
+    return df.where(~maybe).unionByName(df.where(maybe).join(gone.hint("merge"), name, "left_anti"))
+
+
+def only(df: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows of ``df`` joined with stored ``wanted`` on ``name``; only rows that may match are shuffled."""
+    return df.where(may_be_among(F.col(name), wanted.select(name))).join(wanted.hint("merge"), name)
+
+
+def keep_once(df: DataFrame, repeated: DataFrame, name: str) -> DataFrame:
+    """``df`` with one row, whichever, of those whose ``name`` is in stored ``repeated``; the others as they are."""
+    if repeated.isEmpty():
+        return df
+    return without(df, repeated, name).unionByName(only(df, repeated, name).select(df.columns).dropDuplicates([name]))

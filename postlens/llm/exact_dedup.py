@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Query, null_safe, stage, table, unused, whole
+from postlens.llm.common import Query, keep_once, null_safe, stage, table, unused, whole, without
 
 
 def _verdicts(rows: DataFrame, key: str, keep: str) -> DataFrame:
@@ -74,14 +74,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = stage(marks.where(~F.col("kept")).select(
         record(F.col("text_sha256")), F.col("keep_id").eqNullSafe(F.col(id_col)).alias("_again")), "dropped")
     keyed = docs.select("*", record(F.sha2(text.cast("binary"), 256)))
-    kept = keyed.join(gone.where("not _again").select(name), name, "left_anti")
+    kept = without(keyed, gone.where("not _again").select(name), name)
     # Dropped rows that repeat id and text of the kept one: one of those rows stays, whichever.
-    again = gone.where("_again").select(name).distinct()
-    if not again.isEmpty():
-        again = stage(again, "again")
-        once = kept.join(again, name, "left_semi").dropDuplicates([name])
-        kept = kept.join(again, name, "left_anti").unionByName(once)
-    return kept.drop(name)
+    return keep_once(kept, stage(gone.where("_again").select(name).distinct(), "again"), name).drop(name)
 
 
 def _run(spark, folder):

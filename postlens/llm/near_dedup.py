@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postlens.llm.common import LOWER, UPPER, Query, null_safe, stage, table, unused, whole
+from postlens.llm.common import LOWER, UPPER, Query, keep_once, null_safe, only, stage, table, unused, whole, without
 
 SHINGLE = 5
 PERCENT = 75
@@ -94,14 +94,15 @@ def least_overlap(size: int, sketch: int = SKETCH) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH) -> DataFrame:
-    """One row per row of ``docs``: _id, _n (shingles), _set (digest of the set), _sketch, _list (values to be listed)."""
-    rows = docs.select(F.col(id_col).alias("_id"), whole(F.col(text_col)).alias("_text"))
+    """One row per row of ``docs``: _id, _digest (of the text), _n (shingles), _set (digest of the set), _sketch, _list (values to be listed)."""
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), F.md5(text.cast("binary")).alias("_digest"), text.alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, digests, held, listed = [], [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingle_hashes(split_words(text.as_py()))
                 sizes.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
@@ -110,10 +111,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.array([], np.int64), *held])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), values, pa.array(listed, pa.int32())],
-                ["_id", "_n", "_set", "_sketch", "_list"])
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), values, pa.array(listed, pa.int32())],
+                ["_id", "_digest", "_n", "_set", "_sketch", "_list"])
 
-    return rows.mapInArrow(run, f"_id {kind}, _n long, _set binary, _sketch array<long>, _list int")
+    return rows.mapInArrow(run, f"_id {kind}, _digest string, _n long, _set binary, _sketch array<long>, _list int")
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
@@ -184,7 +185,8 @@ def may_be_linked(a: np.ndarray, b: np.ndarray, sketch: int = SKETCH) -> bool:
 def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(_node, _words) of stored ``nodes`` (_node, _first, _set): the words of a text of each node, joined by blanks."""
     named = docs.select(null_safe(F.col(id_col)).alias("_key"), whole(F.col(text_col)).alias("_text"))
-    texts = named.join(nodes.select("_node", "_set", null_safe(F.col("_first")).alias("_key")), "_key").select("_node", "_set", "_text")
+    wanted = stage(nodes.select("_node", "_set", null_safe(F.col("_first")).alias("_key")), "wanted-texts")
+    texts = only(named, wanted, "_key").select("_node", "_set", "_text")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # An id may name several texts; the set's digest tells which one belongs to the node.
@@ -210,27 +212,40 @@ def full_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "_node long, _n long, _values array<long>, _list int").dropDuplicates(["_node"])
 
 
+def estimated(pairs: DataFrame, nodes: DataFrame, sketch: int = SKETCH) -> DataFrame:
+    """The pairs that the sketch of their union lets pass; only the sketches of nodes in pairs travel."""
+    ends = stage(pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct(), "ends-of-pairs")
+    held = stage(only(nodes.select("_node", "_sketch"), ends, "_node"), "sketches-of-pairs")
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (c.to_numpy() for c in batch.columns[:2])
+            keep = np.array([may_be_linked(x, y, sketch) for x, y in zip(
+                *[c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], strict=True)], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["_a", "_b"])
+
+    joined = pairs.join(held.select(F.col("_node").alias("_a"), F.col("_sketch").alias("_sa")), "_a").join(
+        held.select(F.col("_node").alias("_b"), F.col("_sketch").alias("_sb")), "_b")
+    return stage(joined.select("_a", "_b", "_sa", "_sb").mapInArrow(estimate, "_a long, _b long"), "likely")
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, sketch: int = SKETCH) -> DataFrame:
     """The pairs that the estimate lets pass and whose full shingle sets, compared word by word, have the similarity."""
-    wanted = stage(pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct()
-                   .join(nodes.select("_node", "_first", "_set"), "_node"), "wanted")
+    pairs = estimated(pairs, nodes, sketch)
+    ends = stage(pairs.select(F.col("_a").alias("_node")).unionByName(pairs.select(F.col("_b").alias("_node"))).distinct(), "ends-of-likely")
+    wanted = stage(only(nodes.select("_node", "_first", "_set"), ends, "_node"), "wanted")
     words = stage(texts_of(wanted, docs, id_col, text_col), "words")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, hashes, last = None, None, None
+        known, own = None, None
         for batch in batches:
             a_out, b_out = [], []
             for a, b, a_words, b_words in zip(*batch.columns, strict=True):
                 if a.as_py() != known:
-                    known, own, last = a.as_py(), a_words.as_py().split(b" "), None
-                    hashes = shingle_hashes(own)
-                other = b_words.as_py().split(b" ")
-                if not may_be_linked(hashes, shingle_hashes(other), sketch):
-                    continue
-                last = shingle_set(own) if last is None else last
-                found = shingle_set(other)
-                both = len(last & found)
-                if 100 * both >= PERCENT * (len(last) + len(found) - both):
+                    known, own = a.as_py(), shingle_set(a_words.as_py().split(b" "))
+                found = shingle_set(b_words.as_py().split(b" "))
+                both = len(own & found)
+                if 100 * both >= PERCENT * (len(own) + len(found) - both):
                     a_out.append(known)
                     b_out.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["_a", "_b"])
@@ -288,10 +303,18 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A link that is just at the threshold is missed only if two sketches of
     ``sketch`` values overlap five deviations below the mean.
     """
+    joined = _grouped(docs, id_col, text_col, sketch)
+    return joined.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.col("_component").alias("component_id"),
+                         F.col("_id").eqNullSafe(F.col("_component")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, sketch: int) -> DataFrame:
+    """One row per row of ``docs``: _id, _digest, _n, _component, and _head, the record (id, digest) of its group's first row if it has a group."""
     rows = stage(sketches(docs, id_col, text_col, sketch), "sketches")
+    record = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_digest").alias("digest"))
     classes = rows.where("_n > 0").groupBy("_set").agg(
-        F.min("_id").alias("_first"), F.any_value(F.struct("_n", "_sketch", "_list")).alias("_x"))
-    nodes = stage(classes.select(F.monotonically_increasing_id().alias("_node"), "_set", "_first", "_x.*"), "nodes")
+        F.min("_id").alias("_first"), F.min(record).alias("_head"), F.any_value(F.struct("_n", "_sketch", "_list")).alias("_x"))
+    nodes = stage(classes.select(F.monotonically_increasing_id().alias("_node"), "_set", "_first", "_head", "_x.*"), "nodes")
     tried = None
     labels = stage(nodes.select("_node", F.col("_node").alias("_root")).limit(0), "labels")
 
@@ -310,24 +333,37 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     link(pairs_across(left.where(F.col("_size") <= SHORT_LIST), exact=False).unionByName(star_pairs(full, exact=True)).distinct())
     link(pairs_across(open_lists(full, labels), exact=True))
 
-    named = nodes.select("_node", "_set", "_first").join(labels, "_node", "left").select(
-        "_set", "_first", F.coalesce("_root", "_node").alias("_root"))
+    named = nodes.select("_node", "_set", "_first", "_head").join(labels, "_node", "left").select(
+        "_set", "_first", "_head", F.coalesce("_root", "_node").alias("_root"))
     named = stage(named, "named")
-    first = stage(named.groupBy("_root").agg(F.min("_first").alias("_component")), "firsts")
-    final = stage(named.join(first, "_root").select("_set", "_component", F.lit(True).alias("_found")), "final")
-    component = F.when(F.col("_found"), F.col("_component")).otherwise(F.col("_id"))
+    first = stage(named.groupBy("_root").agg(F.min("_first").alias("_least"), F.min("_head").alias("_head")), "firsts")
+    final = stage(named.drop("_head").join(first, "_root").select("_set", "_least", "_head", F.lit(True).alias("_found")), "final")
     # All texts without shingles have the same (empty) set, which no class has.
-    joined = rows.select("_id", "_n", "_set").join(final, "_set", "left").select(
-        F.col("_id"), F.col("_n").alias("n_shingles"), component.alias("component_id"))
-    return joined.select(F.col("_id").alias(id_col), "n_shingles", "component_id",
-                         F.col("_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return rows.select("_id", "_digest", "_n", "_set").join(final, "_set", "left").select(
+        "_id", "_digest", "_n", F.when(F.col("_found"), F.col("_least")).otherwise(F.col("_id")).alias("_component"), "_head")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that are not kept in their group, all columns unchanged; rows are matched by id."""
+    """``docs`` with one row of each group of near-duplicates, all columns unchanged.
+
+    It is the row with the least id, a null id last, and of rows that share it
+    that with the least digest of its text; of rows equal in both one stays,
+    whichever. Rows are told apart by id and text, so rows of other groups that
+    share or lack an id stay. Texts without words are in no group and stay. An
+    empty table gives an empty result.
+    """
     name = unused(docs, "_key")
-    gone = stage(find_groups(docs, id_col, text_col).where("not kept").select(null_safe(F.col(id_col)).alias(name)).distinct(), "near-copies")
-    return docs.withColumn(name, null_safe(F.col(id_col))).join(gone, name, "left_anti").select(*docs.columns)
+
+    def record(row_id: Column, digest: Column) -> Column:
+        return F.struct(null_safe(row_id).alias("id"), digest.alias("text")).alias(name)
+
+    rows = stage(_grouped(docs, id_col, text_col, SKETCH).where("_head is not null").select(
+        record(F.col("_id"), F.col("_digest")), (F.col("_id").eqNullSafe(F.col("_head.id")) & (F.col("_digest") == F.col("_head.digest"))).alias("_kept")),
+        "grouped")
+    gone = stage(rows.where("not _kept").select(name).distinct(), "near-copies")
+    again = stage(rows.where("_kept").groupBy(name).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(name), "again")
+    keyed = docs.select("*", record(F.col(id_col), F.md5(whole(F.col(text_col)).cast("binary"))))
+    return keep_once(without(keyed, gone, name), again, name).drop(name)
 
 
 def _run(spark, folder):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postlens.functions.values import let
-from postlens.llm.common import GAP, LOWER, UPPER, WORD_GAP, Query, lower_ascii, null_safe, stage, table, unused, whole, words
+from postlens.llm.common import GAP, LOWER, UPPER, WORD_GAP, Query, lower_ascii, null_safe, stage, table, unused, whole, without, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -133,7 +133,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     marks = judge(named.select(F.col(name).alias("_id"), F.col(text_col).alias("_text"), F.col(host_col).alias("_from")),
                   "_id", "_text", "_from")
     gone = stage(marks.where("not kept").select(F.col("_id").alias(name)).distinct(), "rejected")
-    return named.join(gone, name, "left_anti").drop(name)
+    return without(named, gone, name).drop(name)
 
 
 def strip_lines(docs: DataFrame, common: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:

@@ -159,3 +159,59 @@ def test_long_passages_are_found_to_their_ends(make_docs):
     assert all(passage in texts[r.doc_id][r.start:r.end] for r in found)
     assert not any(passage.split()[j] + " " + passage.split()[j + 1] in r.text for r in substring_dedup.remove_repeats(docs).where("doc_id > 0").collect()
                    for j in (0, 150, 298))
+
+
+def test_first_rows_stay_and_unique_texts_that_share_an_id(make_docs):
+    a, b, c = (prose(70 + i, 80) for i in range(3))
+    rows = [(1, a, "s"), (2, a + " tail", "s"), (2, b, "s"), (None, a + " other", "s"), (None, c, "s")]
+    docs = make_docs(rows)
+    kept = near_dedup.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("2", b), ("None", c)])
+    # One row of a group stays even if its rows share or lack an id, or are equal.
+    rows = [(5, a, "s"), (5, a + " x", "s"), (5, a, "s"), (None, b, "s"), (None, b + " y", "s"), (6, None, "s"), (6, "", "s"), (None, " ", "s")]
+    kept = [(r.doc_id, r.text) for r in near_dedup.keep_first(make_docs(rows)).collect()]
+    assert len(kept) == 5 and sum(i == 5 for i, _ in kept) == 1 and sum(t in (b, b + " y") for _, t in kept) == 1
+    assert near_dedup.keep_first(make_docs(rows).limit(0)).collect() == []
+
+
+def test_links_just_above_the_threshold_are_found(make_docs):
+    """Measured recall of the sketch estimate where it is at its worst: similarities of 0.75 to 0.77."""
+    import random
+    rng, rows = random.Random(8), []
+    for i in range(300):
+        words = [f"v{rng.randrange(10 ** 9)}" for _ in range(200)]
+        # Each changed word far from the others changes five of 196 shingles: 5 changes leave 171 / 221 = 0.774.
+        other = list(words)
+        for at in range(20, 200, 36):
+            other[at] = f"e{rng.randrange(10 ** 9)}"
+        rows += [(2 * i, " ".join(words), "a"), (2 * i + 1, " ".join(other), "a")]
+    near = near_dedup.shingle_set(near_dedup.split_words(rows[0][1])) & near_dedup.shingle_set(near_dedup.split_words(rows[1][1]))
+    assert 0.75 <= len(near) / (2 * 196 - len(near)) < 0.78
+    found = {r.doc_id: r.component_id for r in near_dedup.find_groups(make_docs(rows)).collect()}
+    assert sum(found[2 * i + 1] == 2 * i for i in range(300)) == 300
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_key_filters_change_nothing_at_any_size(spark, monkeypatch, words):
+    from postlens.llm import common
+    monkeypatch.setattr(common, "FILTER_WORDS", words)
+    df = spark.range(5000).select((F.col("id") % 1700).alias("k"), "id")
+    keys = common.stage(spark.createDataFrame([(k,) for k in (3, 5, 1600, 9999)], "k long"), "keys")
+    assert common.without(df, keys, "k").exceptAll(df.join(keys, "k", "left_anti")).isEmpty()
+    assert common.without(df, keys, "k").count() == df.join(keys, "k", "left_anti").count()
+    assert common.only(df, keys, "k").count() == df.join(keys, "k").count() == 8
+    assert common.keep_once(df, keys, "k").count() == 5000 - 8 + 3
+    none = common.stage(keys.limit(0), "none")
+    assert common.without(df, none, "k").count() == 5000 and common.keep_once(df, none, "k").count() == 5000
+
+
+def test_filters_move_only_rows_that_may_match(spark):
+    from postlens.llm import common
+    keys = common.stage(spark.range(3).select(F.col("id").alias("k")), "keys")
+    for found in (common.without(spark.range(50).select(F.col("id").alias("k")), keys, "k"), common.only(spark.range(50).select(F.col("id").alias("k")), keys, "k")):
+        plan = found._jdf.queryExecution().optimizedPlan()
+        assert "getbit" in plan.toString().lower() and "Cross" not in plan.toString()
+    union = common.without(spark.range(50).select(F.col("id").alias("k")), keys, "k")._jdf.queryExecution().optimizedPlan()
+    # Rows that the filter rules out pass without a join.
+    assert "Join" not in union.children().apply(0).toString() and "Join" in union.children().apply(1).toString()
