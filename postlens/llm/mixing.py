@@ -14,10 +14,12 @@ from __future__ import annotations
 from decimal import Decimal, getcontext
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import Query, count_words, null_safe, running, stage, table, unused, whole
+from postlens.functions.values import let
+from postlens.llm.common import WORD, Query, count_words, null_safe, running, stage, table, unused, whole
+from postlens.llm.common import words as words_of
 
 BLOCK_WORDS = 1024
 MAX_EPOCHS = 3
@@ -95,19 +97,30 @@ def _slots(sources: DataFrame) -> DataFrame:
     return regular.where("turn < _need").select("_s", "slot", "turn").unionByName(extra)
 
 
+def _order(row_id: Column, seed: str = SEED) -> Column:
+    """What a source's documents are shuffled by."""
+    return F.md5(F.concat(F.coalesce(row_id.cast("string"), F.lit("")), F.lit(":" + seed)))
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
              block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Mix:
-    """Lay out the documents, the targets and the schedule (see ``Mix``), all from stored tables.
+    """Lay out the documents, the targets and the schedule (see ``Mix``), all from stored tables; see ``lay_out`` for nulls and ties."""
+    laid, sources = lay_out(docs, id_col, text_col, source_col, block_words, max_epochs, seed)
+    return Mix(laid, sources, _slots(sources))
+
+
+def lay_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+            block_words: int = BLOCK_WORDS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, DataFrame]:
+    """The documents in the shuffled order of their sources, and the sources with their targets.
 
     The result depends on the rows only, not on their partitions or order. A
     null text has no words; a null source is a source of its own and comes
     last. Sources without words have target 0. Rows that repeat an id are
     separate documents.
     """
-    text = F.col(id_col).cast("string")
     sized = stage(docs.select(
         F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), count_words(whole(F.col(text_col))).alias("_size"),
-        F.md5(F.concat(F.coalesce(text, F.lit("")), F.lit(":" + seed))).alias("_hash")), "sizes")
+        _order(F.col(id_col), seed).alias("_hash")), "sizes")
     rates = _sources(sized, max_epochs)
     words, take, block = F.col("_words"), F.col("_take"), F.lit(block_words)
     blocks = F.ceil(words / block)
@@ -125,7 +138,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sums = stage(sums.select(F.col("_source").alias("_of"), F.col("_bucket").alias("_in"), "_before", "_s", "_words", "_target", "_take", "_blocks"), "buckets")
     laid = placed.join(sums, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in"))).select(
         "_id", "_source", "_s", "_size", (F.col("_before") + F.col("_own")).alias("_start"), "_words", "_target", "_take", "_blocks")
-    return Mix(stage(laid, "laid"), sources, _slots(sources))
+    return stage(laid, "laid"), sources
 
 
 def taken_pieces(mix: Mix, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -151,7 +164,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``taken`` counts the document's words in the mix with repeats. A document
     without words has 0; an empty table gives an empty result. Other columns are
-    ignored, whatever their names. See ``plan_mix`` for nulls and ties.
+    ignored, whatever their names. See ``lay_out`` for nulls and ties.
     """
     mixed = _mixed(plan_mix(docs, id_col, text_col, source_col, block_words, max_epochs, seed), block_words)
     return mixed.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_words").alias("source_size"),
@@ -165,26 +178,54 @@ def _mixed(mix: Mix, block_words: int) -> DataFrame:
     return filled.unionByName(mix.docs.where("_size = 0").withColumn("_taken", F.lit(0).cast("long")))
 
 
-def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its words, rounded to whole copies; columns unchanged.
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word, with the gaps as they are."""
+    return let(words_of(text), lambda found: let(F.split(text, WORD, -1), lambda gaps: F.array_join(
+        F.transform(F.slice(found, F.lit(1), n.cast("int")), lambda w, i: F.concat(F.get(gaps, i), w)), "")))
+
 
-    Only the last document that the mix takes of a source is cut inside, so only
-    there rounding matters. Documents without words are not in a mix. Rows that
-    share id and source are told apart by size; rows equal in all three take the
-    mean of their copies, rounded up.
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as its words are taken, columns as they are but for one cut text a source.
+
+    In the shuffled order of its source, every document is taken the same number
+    of times, and those before a cut once more; the document at the cut comes
+    that last time as a piece, its text up to the last word taken. So the words
+    of a source are its target, rounded down. Rows that share id and size with
+    the document at the cut are each cut to an equal part. Documents without
+    words are not in a mix; an empty table gives an empty result.
+
+    A row finds its number of copies from its own place in the order and the cut
+    of its source: one row per source joins the documents, no row per document.
+    The rows are dealt out by the place, in the whole mix, where the schedule
+    takes them: the share of its source's words that come before, as the
+    shuffling hash tells it. So each stretch of the result mixes all sources by
+    their weights.
     """
-    name, copy = unused(docs, "_record"), unused(docs, "_copy")
-    share = F.col("_taken") / F.col("_size")
-
-    def record(row_id, source, size):
-        return F.struct(null_safe(row_id).alias("id"), null_safe(source).alias("source"), size.alias("size")).alias(name)
-
-    mixed = _mixed(plan_mix(docs, id_col, text_col, source_col), BLOCK_WORDS).where("_size > 0")
-    copies = mixed.groupBy(record(F.col("_id"), F.col("_source"), F.col("_size"))).agg(
-        F.when(F.count(F.lit(1)) == 1, F.round(F.max(share))).otherwise(F.ceil(F.avg(share))).cast("int").alias(copy))
-    copies = stage(copies.where(F.col(copy) > 0), "copies")
-    named = docs.select("*", record(F.col(id_col), F.col(source_col), count_words(whole(F.col(text_col)))))
-    return named.join(copies, name).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy)))).select(*docs.columns)
+    laid, sources = lay_out(docs, id_col, text_col, source_col)
+    rest = F.col("_take") % F.col("_words")
+    tied = laid.where("_size > 0").groupBy("_s", "_id", "_size").agg(F.min("_start").alias("_first"), F.count(F.lit(1)).alias("_ties"))
+    rated = sources.where("_take > 0").select("_s", "_source", "_words", "_take", rest.alias("_rest"), F.floor(F.col("_take") / F.col("_words")).alias("_full"))
+    at_cut = tied.join(rated.select("_s", "_rest"), "_s").where("_first <= _rest and _rest < _first + _size * _ties").select(
+        "_s", F.struct(_order(F.col("_id")).alias("h"), F.col("_id").alias("id"), F.col("_size").alias("size")).alias("_cut"),
+        F.floor((F.col("_rest") - F.col("_first")) / F.col("_ties")).alias("_cut_words"))
+    cuts = stage(rated.join(at_cut, "_s", "left").select(null_safe(F.col("_source")).alias("_from"), "_words", "_take", "_rest", "_full", "_cut", "_cut_words"),
+                 "cuts")
+    names = [unused(docs, n) for n in ("_from", "_words", "_take", "_rest", "_full", "_cut", "_cut_words", "_size", "_copy", "_place")]
+    source, all_words, take, left, full, cut, cut_words, size, copy, place = names
+    text, h = whole(F.col(text_col)), _order(F.col(id_col))
+    sized = docs.withColumns({source: null_safe(F.col(source_col)), size: count_words(text)}).where(F.col(size) > 0)
+    known = sized.join(cuts.toDF(*names[:7]), source)
+    own = F.struct(h.alias("h"), F.col(id_col).alias("id"), F.col(size).alias("size"))
+    more = F.when(F.col(left) == 0, 0).when(own < F.col(cut), 1).when((own == F.col(cut)) & (F.col(cut_words) > 0), 2).otherwise(0)
+    # Copies 0 … full - 1 are whole; one more is whole before the cut, and a piece at it.
+    taken = known.withColumn(copy, F.explode(F.filter(F.transform(F.sequence(F.lit(0), F.col(full).cast("int")), lambda i: F.struct(
+        i.alias("i"), F.when(i < F.col(full), 1).otherwise(more).alias("kind"))), lambda c: c["kind"] > 0)))
+    share = F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    placed = taken.withColumn(place, (F.col(copy)["i"] + share) * F.col(all_words) / F.col(take))
+    cut_text = F.when(F.col(copy)["kind"] == 2, first_words(text, F.col(cut_words))).otherwise(F.col(text_col))
+    # The columns that joined may share names with no column of docs.
+    pieces = placed.withColumn(text_col, cut_text)
+    return pieces.repartitionByRange(place, id_col).sortWithinPartitions(place, id_col).select(*docs.columns)
 
 
 def _run(spark, folder):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -116,10 +117,58 @@ def test_schedule_is_even_and_complete(make_docs):
 def test_repeating_documents(make_docs):
     rows = [(i, prose(i, 20), "ab"[i % 2]) for i in range(40)] + [(90, None, "a"), (91, "", None)]
     docs = make_docs(rows)
-    taken = {r.doc_id: round(r.taken / 20) for r in mixing.mix_documents(docs).collect()}
+    taken = {r.doc_id: r.taken for r in mixing.mix_documents(docs).collect()}
     out = mixing.repeat_documents(docs)
     assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == Counter({i: n for i, n in taken.items() if n})
+    words = Counter()
+    for r in out.collect():
+        words[r.doc_id] += len(r.text.split())
+        assert rows[r.doc_id][1].startswith(r.text)
+    assert words == Counter({i: n for i, n in taken.items() if n})
+    assert sum(len(r.text.split()) < 20 for r in out.collect()) <= 2
+
+
+def repeated_by_force(rows):
+    """(id, text) as often as the mix takes them, with the cut text of each source."""
+    sizes, targets = mixed_by_force(rows)
+    out = []
+    for source, size in sizes.items():
+        order = sorted(((hashlib.md5(f"{'' if i is None else i}:mix".encode()).hexdigest(), i is not None, i or 0, len(t.split()), t)
+                        for i, t, s in rows if s == source and t and t.split()), key=lambda x: x[:4])
+        take = int(targets[source] + 1e-9) if size else 0
+        left = take % size if size else 0
+        for _, known, i, n, text in order:
+            doc = i if known else None
+            out += [(doc, text)] * (take // size)
+            if left >= n:
+                out.append((doc, text))
+            elif left > 0:
+                out.append((doc, re.match(rf"(?:\s*\S+){{{left}}}", text)[0]))
+            left -= n
+    return out
+
+
+def test_repeats_equal_brute_force_with_one_cut_a_source(make_docs):
+    rows = [(i, f" {prose(i, 3 + i % 50)}\n", "abcd"[i % 4] if i % 5 else None) for i in range(200)] + [(None, "lone words here", "e"), (900, " ", "a"), (901, None, "f")]
+    out = mixing.repeat_documents(make_docs(rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(repeated_by_force(rows))
+    words = Counter()
+    for r in out:
+        words[r.source] += len(r.text.split())
+    sizes, targets = mixed_by_force(rows)
+    assert all(words[s] == int(t + 1e-9) for s, t in targets.items())
+    # The order mixes the sources: no long stretch misses one of the large ones.
+    last = {s: [k for k, r in enumerate(out) if r.source == s] for s in "abcd"}
+    assert all(max(b - a for a, b in zip(x, x[1:])) < len(out) / 4 for x in last.values())
+
+
+def test_repeats_of_rows_that_share_id_and_size(make_docs):
+    rows = [(1, f"{w} " * 10, "a") for w in ("x", "y", "z")] + [(2, "q " * 30, "b"), (2, "q " * 30, "b"), (3, "r " * 50, "c")]
+    out = mixing.repeat_documents(make_docs(rows)).collect()
+    words, (sizes, targets) = Counter(), mixed_by_force(rows)
+    for r in out:
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - t) <= 3 for s, t in targets.items())
 
 
 @pytest.mark.parametrize("run", [mixing.mix_documents, mixing.repeat_documents])
@@ -133,31 +182,6 @@ def test_empty_pages(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_pipeline_equals_its_stages_by_force(spark, make_docs, tmp_path):
-    import corpus_pipeline
-    from test_dedup import edited, groups_by_force
-    from test_text_operators import quality_by_force
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
-    rows = [(i, prose(i, 40 + i), "ab"[i % 2]) for i in range(40)]
-    rows += [(100 + i, rows[i][1], "a") for i in range(10)] + [(200 + i, edited(i, rows[20 + i][1], 1), "b") for i in range(8)]
-    rows += [(300, None, "a"), (301, "few words", "b"), (302, "again " * 60, "b")]
-    make_docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
-    good = [r for r in rows if not quality_by_force(r[1])[-1]]
-    last = {t: max(i for i, u, _ in good if u == t) for _, t, _ in good}
-    unique = [r for r in good if r[0] == last[r[1]]]
-    kept = {int(i) for i, _, c in groups_by_force(unique) if i == c}
-    sizes, targets = mixed_by_force([r for r in unique if r[0] in kept])
-    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    ids = {i for i, _, _ in unique if i in kept}
-    assert {r.doc_id for r in found} <= ids
-    encoder = packing.load(TOKENIZER)
-    words, starts = defaultdict(int), Counter(r.doc_id for r in found if r.start == 0)
-    for i, text, source in unique:
-        words[source] += starts[i] * len(text.split())
-        assert sum(r.length for r in found if r.doc_id == i) == starts[i] * (len(encoder.encode(text)) + 1)
-    assert all(abs(words[s] - targets[s]) <= 100 for s in targets)
-
-
 def test_distrust_reaches_hosts_many_links_away(spark):
     n = 14
     rows = [(i, f"http://h{i}.test/", f'<a href="http://h{i + 1}.test/">x</a>') for i in range(n)] + [(n, f"http://h{n}.test/", "")]
