@@ -38,6 +38,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the copy that ``stage`` stored for ``df``; any other table stays."""
+    spark = df.sparkSession
+    for name in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
+        if folder.getName().startswith("llm-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def whole(text: Column) -> Column:
     """The text, a null as the empty text."""
     return F.coalesce(text.cast("string"), F.lit(""))
