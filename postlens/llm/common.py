@@ -102,8 +102,8 @@ def running(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
         *[(F.col(f"_own_{v}") + F.col(f"_all_{v}")).cast("long").alias(f"before_{v}") for v in values])
 
 
-#: 64-bit words of a key filter: 16 million bits, two megabytes, whatever the number of keys.
-FILTER_WORDS = 1 << 18
+#: 64-bit words of a key filter: four million bits, half a megabyte, whatever the number of keys.
+FILTER_WORDS = 1 << 16
 
 
 def may_be_among(key: Column, keys: DataFrame) -> Column:

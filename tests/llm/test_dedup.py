@@ -192,7 +192,7 @@ def test_links_just_above_the_threshold_are_found(make_docs):
     assert sum(found[2 * i + 1] == 2 * i for i in range(300)) == 300
 
 
-@pytest.mark.parametrize("words", [1, 1 << 18])
+@pytest.mark.parametrize("words", [1, 1 << 16])
 def test_key_filters_change_nothing_at_any_size(spark, monkeypatch, words):
     from postlens.llm import common
     monkeypatch.setattr(common, "FILTER_WORDS", words)
