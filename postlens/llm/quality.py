@@ -172,11 +172,9 @@ l AS (
   SELECT r, host, line, trim(regexp_replace(translate(line, '{UPPER}', '{LOWER}'), '{_GAP}', ' ', 'g')) AS norm
   FROM (SELECT r, host, unnest(string_split(text, chr(10))) AS line FROM w) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 h AS (
-  SELECT r, host, line, left(md5(norm), 16) AS h, len(string_split(norm, ' ')) AS n,
-         min(left(md5(norm), 16)) OVER (PARTITION BY r) AS least_h FROM l),
+  SELECT r, host, line, left(md5(norm), 16) AS h, len(string_split(norm, ' ')) AS n FROM l),
 common AS (
-  SELECT host, h FROM (SELECT DISTINCT r, host, h, least_h FROM h) GROUP BY host, h
-  HAVING count(DISTINCT least_h) > {MAX_DOCS_PER_LINE} AND 2 * count(DISTINCT least_h) > count(*)),
+  SELECT host, h FROM (SELECT DISTINCT h.host, h, text FROM h JOIN d ON h.r = d.r) GROUP BY host, h HAVING count(*) > {MAX_DOCS_PER_LINE}),
 per AS (
   SELECT h.r, count(*) - count(DISTINCT line) AS dups, coalesce(sum(n) FILTER (common.h IS NOT NULL), 0) AS lost
   FROM h LEFT JOIN common ON h.host = common.host AND h.h = common.h GROUP BY h.r),

@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 from postlens.llm.common import Query, lower_ascii, stage, table, whole
 
 DAMPING = 0.85
-#: Rounds of the SQL, which has no loop that ends by itself.
-ROUNDS = 10
 #: Rounds after which the scores are stored and compared with those stored last.
 STORE_EVERY = 5
 #: Steps end when the scores of each kind, which sum up to 1 at most, changed by less than this together since they were stored last.
@@ -148,15 +146,10 @@ def _run(spark, folder):
 
 
 def _sql() -> str:
-    """The same in SQL: rules as a table, the two walks as repeated steps."""
+    """The same in SQL: rules as a table, the two walks as steps that go on until no host is new and the scores rest."""
     rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
-    steps = "".join(f""",
-s{i} AS (
-  SELECT kind, host, sum(score) AS score FROM (
-    SELECT h.kind, dst AS host, {DAMPING} * score * share AS score FROM s{i - 1} h JOIN shares ON h.kind = shares.kind AND host = src
-    UNION ALL SELECT kind, host, {1 - DAMPING} * score FROM s0) GROUP BY kind, host)""" for i in range(1, ROUNDS + 1))
     return rf"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 u AS (
   SELECT page_id, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -175,9 +168,16 @@ shares AS (SELECT kind, src, dst, links / sum(links) OVER (PARTITION BY kind, sr
 weights AS (
   SELECT CASE by_rule WHEN 'allow' THEN 'trust' ELSE 'distrust' END AS kind, host, count(*) AS n
   FROM f WHERE by_rule IS NOT NULL AND host <> '' GROUP BY ALL),
-s0 AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS score FROM weights){steps},
+s0 AS (SELECT kind, host, n / sum(n) OVER (PARTITION BY kind) AS score FROM weights),
+walk(step, kind, host, score, before) AS (
+  SELECT 0, kind, host, score, 0.0::DOUBLE FROM s0
+  UNION ALL SELECT step + 1, kind, host, sum(score), sum(before) FROM (
+    SELECT w.step, w.kind, dst AS host, {DAMPING} * score * share AS score, 0.0 AS before FROM walk AS w JOIN shares ON w.kind = shares.kind AND host = src
+    UNION ALL SELECT step, s0.kind, s0.host, {1 - DAMPING} * s0.score, 0.0 FROM s0, (SELECT max(step) AS step FROM walk)
+    UNION ALL SELECT step, kind, host, 0.0, score FROM walk)
+  WHERE (SELECT sum(abs(score - before)) >= {TOLERANCE} / {STORE_EVERY} OR min(before) = 0 FROM walk) GROUP BY step, kind, host),
 blocked AS (
-  SELECT host FROM s{ROUNDS} GROUP BY host
+  SELECT host FROM walk WHERE step = (SELECT max(step) FROM walk) GROUP BY host
   HAVING coalesce(sum(score) FILTER (kind = 'distrust'), 0) > {BLOCK_RATIO} * coalesce(sum(score) FILTER (kind = 'trust'), 0))
 SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN host IN (SELECT host FROM blocked) THEN 'block' END, 'allow') AS verdict
 FROM f"""

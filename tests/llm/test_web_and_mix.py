@@ -192,3 +192,42 @@ def test_distrust_reaches_hosts_many_links_away(spark):
     seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
     scores = {r.host: r.trust for r in url_filters.propagate(edges, seeds).collect()}
     assert abs(scores["a"] - 0.15 / (1 - 0.85 ** 2)) < 1e-8 and abs(scores["b"] - 0.85 * scores["a"]) < 1e-8
+
+
+def _by_sql(sql, **tables):
+    import duckdb
+    db = duckdb.connect()
+    for name, frame in tables.items():
+        db.register(name, frame.toPandas())
+    return db.execute(sql).fetchall()
+
+
+def test_url_sql_states_the_rule_on_linked_hosts(spark):
+    """A chain of 15 hosts to a blocked one, a ring with a trusted host, and hosts that nothing reaches."""
+    def page(i, host, path, *to):
+        return (i, f"http://{host}{path}", " ".join(f'<a href="http://{t}/">x</a>' for t in to))
+
+    rows = [page(i, f"h{i}.test", "/", f"h{i + 1}.test") for i in range(15)] + [page(15, "h15.test", "/", "bad.com")]
+    rows += [page(20, "bad.com", "/de/1"), page(21, "good.org", "/", "r1.test"), page(22, "r1.test", "/", "r2.test", "bad.com"), page(23, "r2.test", "/", "good.org")]
+    rows += [page(30, "alone.test", "/"), (31, None, None), (32, "nonsense", "<a href='http://h1.test'>")]
+    pages = pages_of(spark, rows)
+    found = sorted(tuple(r) for r in url_filters.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect())
+    want = sorted(tuple(None if x != x else x for x in r) for r in _by_sql(url_filters.QUERIES["op5_url_filters"].sql, pages=pages))
+    assert found == want
+    verdicts = {r[0]: r[4] for r in found}
+    assert all(verdicts[i] == "block" for i in range(16)) and verdicts[30] == verdicts[31] == "allow"
+
+
+def test_quality_sql_states_the_rule_on_shared_lines(spark):
+    from postlens.llm import quality
+    shared = [f"common line number {k} of this host" for k in range(5)]
+    rows = [(i, "\n".join([*shared, *(prose(900 + 7 * i + j, 1) for j in range(3))]), "a") for i in range(120)]
+    rows += [(200 + i, "\n".join([shared[0], prose(3000 + i, 60)]), "a") for i in range(20)] + [(300 + i, rows[0][1], "b") for i in range(50)]
+    rows += [(400, None, None), (401, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    found = sorted(tuple(r) for r in quality.judge(docs).select(*columns).collect())
+    assert found == sorted(_by_sql(f"SELECT {', '.join(columns)} FROM ({quality.QUERIES['op10_quality_rules'].sql})", documents=docs))
+    kept = {r[0]: r[-1] for r in found}
+    # Documents made of common lines go; those with much of their own stay, and so do copies of one text, which count once.
+    assert not any(kept[i] for i in range(120)) and all(kept[200 + i] for i in range(20)) and all(kept[300 + i] for i in range(50))
