@@ -143,11 +143,16 @@ def compare_models(predictions: DataFrame, gold: DataFrame, models: list[str], k
     ``predictions`` is ``(model, key, sentiment)``; a missing prediction counts as
     neutral and a model without any prediction scores 0.
     """
-    lines = gold.select(key, F.col("gold").alias("_gold"))
     wide = predictions.groupBy(key).agg(*[
-        F.max(F.when(F.col("model") == m, val.sentiment_code(F.col("sentiment")))).alias(f"_m{i}")
-        for i, m in enumerate(models)])
-    joined = lines.join(wide, key, "left")
+        F.max(F.when(F.col("model") == m, F.col("sentiment"))).alias(f"_p{i}") for i, m in enumerate(models)])
+    return compare_columns(wide, gold, {m: F.col(f"_p{i}") for i, m in enumerate(models)}, key)
+
+
+def compare_columns(predictions: DataFrame, gold: DataFrame, models: dict[str, Column | None], key: str = "id") -> DataFrame:
+    """``compare_models`` for predictions that stand side by side: one column of sentiments per model, none for a failed one."""
+    coded = predictions.select(key, *[
+        (F.lit(None).cast("int") if column is None else F.when(column.isNotNull(), val.sentiment_code(column))).alias(f"_m{i}") for i, column in enumerate(models.values())])
+    joined = gold.select(key, F.col("gold").alias("_gold")).join(coded, key, "left")
     sums = joined.agg(
         F.count("*").alias("_total"),
         *[F.count(f"_m{i}").alias(f"_seen{i}") for i in range(len(models))],

@@ -249,3 +249,14 @@ def analyse_sentiment(df: DataFrame, column: str = "text", scorer: Scorer | Mode
         "label": F.when(~missing, F.col("label")),
         "error": F.when(missing, "text is missing"),
     }).drop("sentences", "scored")
+
+
+def verdicts(df: DataFrame, scorers: dict[str, Scorer], column: str = "text", order: str = "references_first",
+             weights: LastWeights = LastWeights()) -> DataFrame:
+    """Add ``verdicts``: the sentiment under each of several scorers, whose sentences are split once."""
+    def judged(sentences: Column) -> Column:
+        return F.struct(*[vote_of(scorer(sentences), weights)["sentiment"].alias(name) for name, scorer in scorers.items()])
+
+    split = tx.sentiment_prep(F.col(column), order)
+    return df.withColumn("verdicts", val.let(
+        val.let(split, lambda text: val.let(tx.split_sentences(text), lambda parts: tx.last_n(parts, text))), judged))

@@ -154,12 +154,15 @@ def analysable_documents(spark: SparkSession, folder: str) -> DataFrame:
     return batch_skip(table(spark, folder, "documents").select("doc_id", "text", "lang"))
 
 
+def documents(spark: SparkSession, folder: str, among: DataFrame | None = None) -> DataFrame:
+    """Ids and texts, or those whose id is ``among`` the given ones: others are left out before any text is dealt out."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    return spread(docs if among is None else docs.join(among.select("doc_id"), "doc_id", "left_semi"), "doc_id")
+
+
 def document_sentiment(spark: SparkSession, folder: str, lexicon: scoring.Lexicon = LEXICON, among: DataFrame | None = None) -> DataFrame:
     """The vote of every document, or of those whose id is ``among`` the given ones."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    if among is not None:
-        docs = docs.join(among, "doc_id", "left_semi")
-    return scoring.analyse_sentiment(docs, "text", scoring.lexicon_scorer(lexicon))
+    return scoring.analyse_sentiment(documents(spark, folder, among), "text", scoring.lexicon_scorer(lexicon))
 
 
 def join_words(column: str):

@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postlens.functions import values as val
-from postlens.operators import evaluate, ranking, summary, themes
+from postlens.operators import evaluate, ranking, scoring, summary, themes
 from postlens.plans import common as c
 from postlens.plans.cleaning import HTML_TEXT, sql_labelling
 from postlens.plans.common import OTHER_LEXICONS, VOCABULARIES, Query, table
 from postlens.plans.opinion import _TOP3
-from postlens.session import scratch_path
+from postlens.session import materialize, scratch_path
 from postlens.sources import posts
 
 
@@ -21,6 +21,8 @@ def _frame(spark, folder, text: bool = False):
     """Predictions beside gold; only labelled documents are scored."""
     gold = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("RDuygu"))
     pred = c.document_sentiment(spark, folder, among=gold).select("doc_id", val.sentiment_code(F.col("sentiment")).alias("Tduygu"))
+    # Stored as narrow rows: a filter on the prediction would otherwise move below the scoring and run it again.
+    pred = materialize(pred, "predictions")
     frame = evaluate.prepare(gold.join(pred, "doc_id"), numeric_gold=True)
     return frame.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id") if text else frame
 
@@ -64,9 +66,8 @@ def metric_lines(spark, folder):
 
 def compare_models(spark, folder):
     gold = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("gold"))
-    parts = [c.document_sentiment(spark, folder, lexicon, gold).select(F.lit(name).alias("model"), "doc_id", "sentiment")
-             for name, lexicon in OTHER_LEXICONS.items()]
-    return evaluate.compare_models(posts.union_parts(*parts), gold, [*OTHER_LEXICONS, "absent"], "doc_id")
+    scored = scoring.verdicts(c.documents(spark, folder, gold), {n: scoring.lexicon_scorer(x) for n, x in OTHER_LEXICONS.items()})
+    return evaluate.compare_columns(scored, gold, {**{n: F.col("verdicts")[n] for n in OTHER_LEXICONS}, "absent": None}, "doc_id")
 
 
 def _categories(spark, folder):

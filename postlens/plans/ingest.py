@@ -100,7 +100,9 @@ def user_timelines(spark, folder):
 
 def normalize_payload(spark, folder):
     talks = table(spark, folder, "conversations")
-    text = F.to_json(F.array(F.col("text")))
+    # Texts that look like JSON are texts; numbers, nulls and lists are no entries.
+    texts = F.to_json(F.array(F.concat(F.lit("{merhaba} "), "text"), F.concat(F.lit("[1] "), "text"), F.col("text")))
+    text = F.concat(F.left(texts, F.length(texts) - 1), F.lit(',5,null,["x"]]'))
     named = F.to_json(F.struct(F.col("text").alias("content"), F.col("role").alias("nick"), F.col("turn").alias("favCount"),
                                F.col("turn").alias("entryId")))
     first = F.to_json(F.struct(F.lit("").alias("body"), F.col("text").alias("entry"), F.lit("01.01.2020").alias("tarih")))
@@ -111,7 +113,7 @@ def normalize_payload(spark, folder):
                .when(F.col("turn") == 4, F.lit('{"entries":[]}'))
                .otherwise(F.concat(F.lit('{"title":"t","entries":['), first, F.lit(","), named, F.lit("]}"))))
     stored = talks.select(F.concat(F.lit("s"), "conv_id").alias("slug"), (F.col("turn") + 1).alias("page"), payload.alias("payload"))
-    return posts.normalize_payload(stored, "payload")
+    return posts.normalize_payload(stored, "payload").withColumn("raw_data", F.md5("raw_data"))
 
 
 def read_posts(spark, folder):
@@ -215,12 +217,18 @@ SELECT c_custkey, c_name AS nick, c_mktsegment AS quote_entry_title, 'söz <b>'
 SELECT conv_id, turn, 0 AS pos, 'konu ' || conv_id AS name, '28.01.2021' AS date, text AS summary, '{BASE_URL}/konu--' || conv_id AS url
 FROM conversations UNION ALL SELECT conv_id, turn, 1, 'son', '', 'x', '{BASE_URL}/son--1' FROM conversations"""),
     "normalize_payload": Query(normalize_payload, f"""
-WITH t AS (SELECT 's' || conv_id AS slug, turn, turn + 1 AS page, role, text, {c.sql_strip('text')} AS s FROM conversations)
-SELECT slug, 'konu' AS title, 7 AS page, 9 AS total_pages, turn::VARCHAR AS id, s AS content, role AS author, '' AS date, turn AS fav_count FROM t WHERE turn = 0
-UNION ALL SELECT slug, slug, page, 1, NULL, text, 'Bilinmiyor', '', 0 FROM t WHERE turn = 1
-UNION ALL SELECT slug, slug, page, 1, NULL, s, 'Anonim', '01.01.2020', 0 FROM t WHERE turn = 2
-UNION ALL SELECT slug, 't', page, 1, NULL, s, 'Anonim', '01.01.2020', 0 FROM t WHERE turn > 4
-UNION ALL SELECT slug, 't', page, 1, turn::VARCHAR, s, role, '', turn FROM t WHERE turn > 4"""),
+WITH t AS (SELECT 's' || conv_id AS slug, turn, turn + 1 AS page, role, text, {c.sql_strip('text')} AS s,
+  to_json({{'content': text, 'nick': role, 'favCount': turn, 'entryId': turn}})::VARCHAR AS named,
+  to_json({{'body': '', 'entry': text, 'tarih': '01.01.2020'}})::VARCHAR AS first FROM conversations),
+p AS (SELECT *, md5(CASE turn WHEN 0 THEN '{{"baslik":"konu","guncel":[' || named || '],"current_page":7,"total_page":9}}'
+  WHEN 1 THEN '[' || to_json('{{merhaba}} ' || text) || ',' || to_json('[1] ' || text) || ',' || to_json(text) || ',5,null,["x"]]'
+  WHEN 2 THEN '{{"x":[],"y":[' || first || ']}}' ELSE '{{"title":"t","entries":[' || first || ',' || named || ']}}' END) AS raw_data FROM t)
+SELECT slug, 'konu' AS title, 7 AS page, 9 AS total_pages, turn::VARCHAR AS id, s AS content, role AS author, '' AS date, turn AS fav_count,
+  1 AS total_entries, raw_data FROM p WHERE turn = 0
+UNION ALL SELECT slug, slug, page, 1, NULL, unnest(['{{merhaba}} ' || text, '[1] ' || text, text]), 'Bilinmiyor', '', 0, 3, raw_data FROM p WHERE turn = 1
+UNION ALL SELECT slug, slug, page, 1, NULL, s, 'Anonim', '01.01.2020', 0, 1, raw_data FROM p WHERE turn = 2
+UNION ALL SELECT slug, 't', page, 1, NULL, s, 'Anonim', '01.01.2020', 0, 2, raw_data FROM p WHERE turn > 4
+UNION ALL SELECT slug, 't', page, 1, turn::VARCHAR, s, role, '', turn, 2, raw_data FROM p WHERE turn > 4"""),
     "read_posts": Query(read_posts, """
 SELECT turn::VARCHAR AS id, role AS author, text AS body, conv_id::VARCHAR AS topic, turn + 1 AS page FROM conversations"""),
     "read_dumps": Query(read_dumps, """

@@ -145,38 +145,45 @@ def metadata_kv(df: DataFrame, json_col: str, keep: list[str] = ()) -> DataFrame
 
 
 def normalize_payload(df: DataFrame, json_col: str, slug: str = "slug", page: str = "page") -> DataFrame:
-    """Stored page answers to one row per entry.
+    """Stored page answers to one row per entry, with ``total_entries`` of its answer and the answer itself as ``raw_data``.
 
     The entries are the value of ``entries``, ``guncel`` or ``data``, else the
     first list that is not empty; a bare array is taken as it is. An answer with
-    ``error`` or without entries gives no rows. Text entries become rows without
-    id, and their text is not cleaned.
+    ``error`` or without entries gives no rows. What an entry is follows from its
+    JSON type: objects are read field by field, texts become rows without id and
+    are not cleaned, whatever they begin with, and other values are no entries.
     """
-    text_map = T.MapType(T.StringType(), T.StringType())
     raw = F.col(json_col)
-    is_list = F.ltrim(raw).startswith("[")
-    staged = df.withColumns({
-        "_fields": F.when(~is_list, F.from_json(raw, text_map)), "_bare": F.when(is_list, raw)})
-    fields = F.col("_fields")
+    # Variants know the types, the map of texts keeps the order of the keys.
+    staged = df.withColumn("_json", F.try_parse_json(raw)).withColumns({
+        "_fields": F.when(F.ltrim(raw).startswith("{"), F.from_json(raw, TEXT_MAP)),
+        "_typed": F.try_variant_get("_json", "$", "map<string,variant>")})
+    fields, typed = F.col("_fields"), F.col("_typed")
 
     def field(name: str) -> Column:
         return F.try_element_at(fields, F.lit(name))
 
-    lists = F.filter(F.map_values(fields), lambda v: F.ltrim(v).startswith("[") & (F.json_array_length(v) > 0))
-    named = (F.when(F.map_contains_key(fields, "entries"), field("entries"))
-             .when(F.map_contains_key(fields, "guncel"), field("guncel"))
-             .when(F.map_contains_key(fields, "data"), field("data"))
-             .otherwise(F.get(lists, F.lit(0))))
+    def as_list(value: Column) -> Column:
+        return F.try_variant_get(value, "$", "array<variant>")
+
+    def kind(value: Column) -> Column:
+        return F.schema_of_variant(value)
+
+    lists = F.filter(F.transform(F.map_keys(fields), lambda k: as_list(F.try_element_at(typed, k))), lambda x: F.size(x) > 0)
+    named = F.get(lists, F.lit(0))
+    for key in ("data", "guncel", "entries"):
+        named = F.when(F.map_contains_key(fields, key), as_list(F.try_element_at(typed, F.lit(key)))).otherwise(named)
     failed = F.coalesce(F.map_contains_key(fields, "error"), F.lit(False))
+    found = F.filter(F.when(fields.isNull(), as_list(F.col("_json"))).otherwise(named), lambda x: (kind(x) == "STRING") | kind(x).startswith("OBJECT"))
     headed = staged.where(~failed).withColumns({
-        "_list": F.coalesce("_bare", named),
+        "_list": found,
         "title": F.coalesce(val.first_truthy(field("title"), field("baslik")), F.col(slug)),
         "_page": F.coalesce(field("current_page").try_cast("int"), F.col(page)),
         "total_pages": F.coalesce(field("total_page").try_cast("int"), F.lit(1)),
-    })
-    items = unnest(headed, ["*"], F.from_json("_list", T.ArrayType(T.StringType())), "_item")
-    is_object = F.ltrim("_item").startswith("{")
-    read = items.withColumn("_e", F.when(is_object, F.from_json("_item", schemas.PAYLOAD_ENTRY)))
+    }).drop("_fields", "_typed", "_json").withColumn("_total", F.size("_list"))
+    items = unnest(headed, ["*"], "_list", "_item")
+    is_object = F.schema_of_variant("_item") != "STRING"
+    read = items.withColumn("_e", F.when(is_object, F.from_json(F.to_json("_item"), schemas.PAYLOAD_ENTRY)))
 
     def pick(*names: str, default=None, empty="") -> Column:
         return val.first_truthy(*[F.col(f"_e.{n}") for n in names], default=default, empty=empty)
@@ -187,11 +194,12 @@ def normalize_payload(df: DataFrame, json_col: str, slug: str = "slug", page: st
     return read.select(
         F.col(slug).alias("slug"), "title", F.col("_page").alias("page"), "total_pages",
         pick("id", "entryId").alias("id"),
-        F.when(is_object, tx.clean(body, "feed")).otherwise(F.col("_item")).alias("content"),
+        F.when(is_object, tx.clean(body, "feed")).otherwise(F.try_variant_get("_item", "$", "string")).alias("content"),
         F.when(is_object, pick("author", "owner", "nick", default=fixed.UNKNOWN_AUTHOR))
         .otherwise(fixed.TEXT_ONLY_AUTHOR).alias("author"),
         pick("created_at", "date", "tarih", "created", default="").alias("date"),
-        F.when(is_object, favourites).otherwise(0).alias("fav_count"))
+        F.when(is_object, favourites).otherwise(0).alias("fav_count"),
+        F.col("_total").alias("total_entries"), raw.alias("raw_data"))
 
 
 def collect_pages(pages: DataFrame, max_pages: int = 5, topic: str = "topic", page: str = "page",

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from postlens.operators import evaluate, summary
+from postlens.operators import evaluate, scoring, summary
 
 # Published evaluation: rows are gold 0, 1, 2 and columns predicted 0, 1, 2.
 CELLS = [[8, 10, 7], [3, 28, 2], [6, 18, 28]]
@@ -90,3 +90,23 @@ def test_metric_lines_render(published):
     lines = evaluate.metric_lines(evaluate.prepare(published), [0, 1, 2])
     text = [r[0] for r in evaluate.render_metrics(lines).collect()]
     assert "accuracy accuracy 0.5818" in text and "confusion pred_1 1 28.0000" in text
+
+
+def test_one_pass_compares_models_as_separate_passes_do(spark):
+    texts = [(i, t) for i, t in enumerate(["Harika film. Rezalet son.", "Rezalet.", "Harika. Harika.", "", None, "düz cümle"] * 5)]
+    docs = spark.createDataFrame(texts, "id int, text string")
+    gold = spark.createDataFrame([(i, i % 3) for i in range(28)], "id int, gold int")
+    lexicons = {"a": scoring.Lexicon(["harika"], ["rezalet"]), "b": scoring.Lexicon(["rezalet"], ["harika"])}
+    side = scoring.verdicts(docs.where("text is not null"), {n: scoring.lexicon_scorer(x) for n, x in lexicons.items()})
+    parts = [scoring.analyse_sentiment(docs.where("text is not null"), "text", scoring.lexicon_scorer(x)).selectExpr(f"'{n}' AS model", "id", "sentiment")
+             for n, x in lexicons.items()]
+    long = evaluate.compare_models(parts[0].unionByName(parts[1]), gold, ["a", "b", "none"])
+    wide = evaluate.compare_columns(side, gold, {"a": side["verdicts.a"], "b": side["verdicts.b"], "none": None})
+    assert [tuple(r) for r in wide.collect()] == [tuple(r) for r in long.collect()]
+
+
+def test_predictions_are_scored_once(spark, tmp_path):
+    """The vote stands in no plan of a metric: its narrow rows were stored before."""
+    from postlens.plans import evaluation
+    plan = evaluation.accuracy(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("Relation") == 2

@@ -50,6 +50,18 @@ def test_payload_variants(spark):
     assert (r["content"], r["author"], r["id"], r["fav_count"], r["title"]) == ("düz <b>metin</b>", "Bilinmiyor", None, 0, "bare")
 
 
+def test_payload_entries_are_told_by_their_json_type(spark):
+    rows = [('["{merhaba} dunya", "[1]", 7, null, [1], {"body": "x"}]', "bare"), ('{"note":"[1]","xs":["a","b"]}', "text"),
+            ('{"entries":{"a":1},"data":["n"]}', "no list"), ("not json", "bad"), (None, "null"), ('{"zz":["z"],"aa":["a"]}', "order")]
+    found = posts.normalize_payload(spark.createDataFrame([(p, s, 1) for p, s in rows], "j string, slug string, page int"), "j").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["slug"], []).append((r["content"], r["author"], r["total_entries"]))
+        assert r["raw_data"] == dict((s, p) for p, s in rows)[r["slug"]]
+    assert got == {"bare": [("{merhaba} dunya", "Bilinmiyor", 3), ("[1]", "Bilinmiyor", 3), ("x", "Anonim", 3)],
+                   "text": [("a", "Bilinmiyor", 2), ("b", "Bilinmiyor", 2)], "order": [("z", "Bilinmiyor", 1)]}
+
+
 def test_collection_stops_at_the_first_gap(spark):
     df = spark.createDataFrame([("a", p) for p in (1, 2, 4, 5)] + [("b", 2)] + [("c", p) for p in range(1, 9)] + [("c", 1)], "topic string, page int")
     got = sorted((r["topic"], r["page"]) for r in posts.collect_pages(df, 5).collect())
