@@ -1,5 +1,7 @@
 import random
 
+import random
+
 from postlens.operators import search, topics
 
 TOPICS = "id int, title string, slug string, entry_count int"
@@ -63,3 +65,57 @@ def test_topics_from_embeddings(spark):
     info = {r["topic"]: r["size"] for r in topics.topic_info(found).collect()}
     assert info[topics.OUTLIER] == 1 and sorted(info.values()) == [1, 20, 20, 20]
     assert topics.topic_count(found).first()["n"] == 3
+
+
+def _titles(spark, n=900):
+    """Every title holds one frequent word, which fills several blocks of an index."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(["Ortak", *rng.sample(words, 3)]), f"/s--{i}", rng.randrange(40)) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id long, title string, slug string, entry_count long")
+
+
+def _matches(rows, query):
+    wanted = set(query.lower().split())
+    return sorted(((-c, i) for i, t, _, c in rows if wanted <= set(t.lower().split())))
+
+
+def test_an_index_answers_without_the_titles(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK", 20)
+    rows, topics = _titles(spark)
+    index = search.index_topics(topics, 20)
+    assert index.blocks.where("word = 'ortak'").count() == 45 and max(len(r.postings) for r in index.blocks.collect()) == 20
+    asked = ["ortak", "w1", "W2 w3", "ortak w4 w5", "w6 none", "none", "", "w1 w2 w3 w4"]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    found = search.search_topics(queries, index, 7)
+    assert "createDataFrame" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((-r.entry_count, r.id))
+        assert r.thread_count == len(_matches(rows, r.query))
+    assert got == {q: _matches(rows, q)[:7] for q in asked if q and _matches(rows, q)}
+    first = {}
+    for r in search.first_topics(queries, index, 3).orderBy("query", "rank").collect():
+        first.setdefault(r.query, []).append((-r.entry_count, r.id))
+    assert first == {q: _matches(rows, q)[:3] for q in asked if q and _matches(rows, q)}
+    assert search.first_topics(queries.limit(0), index).collect() == []
+
+
+def test_suggestion_nodes_hold_the_best_of_every_beginning(spark):
+    rng = random.Random(4)
+    texts = {"".join(rng.choices("abÇ ", k=rng.randrange(1, 25))).strip(): rng.randrange(30) for _ in range(500)}
+    titles = spark.createDataFrame([(t, w) for t, w in texts.items()] + [("ab", 99), ("ab", 1)], "text string, weight long")
+    nicks = spark.createDataFrame([("abla", 5), ("x", 3)], "text string, weight long")
+    texts["ab"] = 99
+    index = search.index_suggestions(titles, nicks, 3)
+    got = {}
+    for r in index.where("kind = 'title'").orderBy("prefix", "rank").collect():
+        got.setdefault(r.prefix, []).append(r.text)
+    want = {}
+    for t in texts:
+        for n in range(2, len(t) + 1):
+            want.setdefault(t.lower()[:n], []).append((-texts[t], t))
+    assert got == {p: [t for _, t in sorted(ts)[:3]] for p, ts in want.items()}
+    asked = spark.createDataFrame([(" AB ",), ("a",), ("zz",)], "query string")
+    assert {(r.query, r.kind) for r in search.suggest(asked, index).collect()} == {(" AB ", "title"), (" AB ", "nick")}
+    assert search.index_suggestions(titles.limit(0), nicks.limit(0)).collect() == []
