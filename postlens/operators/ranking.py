@@ -109,12 +109,41 @@ def shuffle_rows(df: DataFrame, id_column: str, seed: int = 42) -> DataFrame:
     return df.orderBy(seeded_order(id_column, seed), id_column)
 
 
-def stratified_sample(df: DataFrame, stratum: str, id_column: str, n: int | str | None, seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows of every stratum; no ``n``, ``'all'`` or ``n <= 0`` keeps everything."""
+def stratified_sample(df: DataFrame, stratum: str, id_column: str, n: int | str | None, seed: int = 42,
+                      border_rows: int = 1000) -> DataFrame:
+    """Up to ``n`` rows of every stratum; no ``n``, ``'all'`` or ``n <= 0`` keeps everything.
+
+    The rows of a stratum with the ``n`` least hashes of seed and id are picked
+    by a threshold, not by sorting: counts per hash prefix, which combine on the
+    map side, show the prefix in which the n-th row lies. That border is counted
+    again by longer prefixes until at most ``border_rows`` rows of a stratum are
+    in it, and only these are ranked. The plan is the same for every ``n``.
+    """
     if n is None or n == "all" or int(n) <= 0:
         return df
-    picked = top_k(df, [stratum], [seeded_order(id_column, seed), F.col(id_column)], int(n), "_pick")
-    return picked.drop("_pick")
+    h, digits, border = seeded_order(id_column, seed), 3, None
+    narrow = df.select(F.col(stratum).alias("_s"), h.alias("_h"))
+    while True:
+        inside, need = narrow, F.lit(int(n))
+        if border is not None:
+            known = border.select(F.col("_s").alias("_of"), F.col("_prefix").alias("_upper"), "_need")
+            inside = narrow.join(known, F.col("_s").eqNullSafe(F.col("_of")) & (F.left("_h", F.lit(digits - 3)) == F.col("_upper")))
+            need = F.col("_need")
+        counts = inside.withColumn("_need", need).groupBy("_s", F.left("_h", F.lit(digits)).alias("_prefix")).agg(
+            F.count("*").alias("_n"), F.max("_need").alias("_need"))
+        # At most 4,096 prefixes of a stratum.
+        so_far = F.sum("_n").over(W.partitionBy("_s").orderBy("_prefix"))
+        reached = counts.withColumn("_to", so_far).where((F.col("_to") >= F.col("_need")) & (F.col("_to") - F.col("_n") < F.col("_need")))
+        border = materialize(reached.select("_s", "_prefix", (F.col("_need") - F.col("_to") + F.col("_n")).alias("_need"), "_n"), "border")
+        if digits >= 30 or (border.agg(F.max("_n")).first()[0] or 0) <= border_rows:
+            break
+        digits += 3
+    cuts = border.select(F.col("_s").alias("_of"), "_prefix", "_need")
+    marked = df.join(cuts, F.col(stratum).eqNullSafe(F.col("_of")), "left")
+    place = F.left(h, F.lit(digits))
+    surely = marked.where(F.col("_prefix").isNull() | (place < F.col("_prefix"))).select(*df.columns)
+    edge = marked.where(place == F.col("_prefix")).withColumn("_pick", F.row_number().over(W.partitionBy(stratum).orderBy(h, id_column)))
+    return surely.unionByName(edge.where(F.col("_pick") <= F.col("_need")).select(*df.columns))
 
 
 def top_themes(scores, threshold: float = 0.15, k: int = 3) -> Column:

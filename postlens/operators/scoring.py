@@ -81,27 +81,62 @@ def lexicon_scorer(lexicon: Lexicon = Lexicon()) -> Scorer:
     return lambda sentences: F.transform(F.transform(sentences, score_one), judge)
 
 
+def length_batches(lengths: list[int], budget: int, padding: float = 1.2) -> Iterator[list[int]]:
+    """Places of the sentences, in batches for one model call each.
+
+    A model fills every sentence up to the longest of its batch. Taken from long
+    to short, a batch ends before its filled size exceeds ``budget`` words, or
+    ``padding`` times its real size. A sentence without words counts as one.
+    """
+    batch, real, top = [], 0, 0
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        size = max(lengths[i], 1)
+        filled = (len(batch) + 1) * top
+        if batch and (filled > budget or filled > padding * (real + size)):
+            yield batch
+            batch, real = [], 0
+        if not batch:
+            top = size
+        batch.append(i)
+        real += size
+    if batch:
+        yield batch
+
+
 @dataclass(frozen=True)
 class ModelScorer:
     """Scorer around a user model; ``load`` runs once per Python task.
 
-    The model gets all sentences of an Arrow batch in one call and returns one
-    ``(label, score)`` for each; labels pass through ``canonical_sentiment``.
-    The other columns pass by as Arrow data. No filter moves below this step,
-    so the model sees every sentence exactly once.
+    The model gets lists of sentences and returns one ``(label, score)`` for each;
+    labels pass through ``canonical_sentiment``. Sentences of an Arrow batch are
+    put together by length (see ``length_batches``), cut to ``max_words`` words,
+    and their results go back to their places. The other columns pass by as
+    Arrow data. No filter moves below this step, so the model sees every sentence
+    exactly once.
     """
 
     load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]
+    budget: int = 16_384
+    max_words: int = 256
+    padding: float = 1.2
 
     def apply(self, df: DataFrame) -> DataFrame:
-        load = self.load
+        load, limits = self.load, (self.budget, self.padding)
+        longest = self.max_words
         scored_type = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model = load()
             for batch in batches:
                 posts = batch.column(batch.schema.get_field_index("sentences")).to_pylist()
-                results = iter(model([s for sentences in posts for s in sentences]))
+                flat = [s for sentences in posts for s in sentences]
+                split = [s.split() for s in flat]
+                found = [None] * len(flat)
+                for batch_ in length_batches([min(len(w), longest) for w in split], *limits):
+                    texts = [flat[i] if len(split[i]) <= longest else " ".join(split[i][:longest]) for i in batch_]
+                    for i, result in zip(batch_, model(texts), strict=True):
+                        found[i] = result
+                results = iter(found)
                 raw = [[dict(zip(("label", "score"), next(results))) for _ in sentences] for sentences in posts]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(raw, scored_type)], [*batch.schema.names, "_raw"])

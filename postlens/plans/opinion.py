@@ -156,6 +156,22 @@ def resume_pending(spark, folder):
     return search.resume(docs, table(spark, folder, "labels"), "doc_id")
 
 
+def _phrase_model():
+    """A user's model: the phrase rule as Python code that gets lists of sentences."""
+    def score(sentence):
+        text = sentence.lower()
+        pos, neg = (sum(p in text for p in phrases) for phrases in (LEXICON.positive, LEXICON.negative))
+        return "positive" if pos > neg else "negative" if neg > pos else "neutral", (max(pos, neg) + 1) / (pos + neg + 2)
+
+    return lambda sentences: [score(s) for s in sentences]
+
+
+def model_sentiment(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = scoring.analyse_sentiment(docs, "text", scoring.ModelScorer(_phrase_model, max_words=100_000))
+    return scored.select("doc_id", "sentiment", "confidence", "score", "label")
+
+
 def theme_model(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = themes.train_theme_model(docs, "text", "lang", features=1 << 14, iterations=15)
@@ -266,5 +282,6 @@ a AS (SELECT doc_id, sentiment, themes FROM voted JOIN result USING (doc_id) SEM
 SELECT doc_id, lang, sentiment, themes FROM documents LEFT JOIN a USING (doc_id)
 WHERE sentiment IS NULL OR (sentiment = 'positive' AND list_contains(string_split(themes, ' '), 'en'))"""),
     "resume_pending": Query(resume_pending, "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)"),
+    "model_sentiment": Query(model_sentiment, f"WITH {c.sql_sentiment()} SELECT doc_id, sentiment, confidence, score, label FROM voted"),
     "theme_model": Query(theme_model),
 }

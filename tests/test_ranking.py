@@ -99,3 +99,19 @@ def test_metadata_lists_topics_as_rows(spark):
 
 def now_fixed():
     return datetime(2024, 1, 1)
+
+
+def test_samples_by_threshold_equal_sorting(spark):
+    import hashlib
+    rows = [(i, "hot" if i % 3 else None) for i in range(4000)] + [(5000 + i, "few") for i in range(7)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    for n in (1, 5, 50, 2666, 3000):
+        for border in (1, 40, 1000):
+            got = sorted(r.id for r in ranking.stratified_sample(df, "s", "id", n, seed=9, border_rows=border).collect())
+            want = [i for s in ("hot", None, "few") for i in sorted(
+                (i for i, x in rows if x == s), key=lambda i: hashlib.md5(f"9-{i}".encode()).hexdigest())[:n]]
+            assert got == sorted(want), (n, border)
+    plan = ranking.stratified_sample(df, "s", "id", 2000)._jdf.queryExecution().optimizedPlan().toString()
+    # The one window of the plan is over border rows, which the threshold has cut out before.
+    assert plan.count("Window") == 1 and "_prefix" in plan[plan.index("Window"):]
+    assert ranking.stratified_sample(df.limit(0), "s", "id", 3).collect() == []

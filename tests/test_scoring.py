@@ -164,3 +164,30 @@ def test_rank_sentences(spark):
     got = ranking.rank_sentences(spark.createDataFrame(rows, "doc_id int, sent_idx int")).collect()
     assert sorted(r["sent_idx"] for r in got if r["doc_id"] == 1) == list(range(4, 14))
     assert {(r["sent_idx"], r["total"]) for r in got if r["is_last"]} == {(13, 10), (2, 3)}
+
+
+def test_batches_by_length_bound_padding_and_size():
+    import random
+    rng = random.Random(5)
+    for budget in (64, 500, 16_384):
+        lengths = [min(256, int(rng.expovariate(1 / 20))) for _ in range(2000)]
+        batches = list(scoring.length_batches(lengths, budget))
+        assert sorted(i for b in batches for i in b) == list(range(2000))
+        sizes = [[max(lengths[i], 1) for i in b] for b in batches]
+        assert all(len(s) == 1 or max(s) * len(s) <= budget for s in sizes)
+        assert sum(max(s) * len(s) for s in sizes) <= 1.2 * sum(map(sum, sizes))
+    assert list(scoring.length_batches([], 10)) == []
+
+
+def test_model_results_go_back_to_their_sentences(spark):
+    def load():
+        def model(sentences):
+            assert len(sentences) * max(len(s.split()) for s in sentences) <= 30 or len(sentences) == 1
+            return [("positive", len(s.split()) / 100) for s in sentences]
+        return model
+
+    texts = [(i, ". ".join(" ".join(["söz"] * (1 + (i * 7 + j * 5) % 20)) for j in range(i % 6 + 1)) + ".") for i in range(80)]
+    df = scoring.with_sentences(spark.createDataFrame(texts, "id int, text string"))
+    scored = scoring.ModelScorer(load, budget=30, max_words=12).apply(df)
+    for r in scored.collect():
+        assert [round(x["score"] * 100) for x in r["scored"]] == [min(12, len(s.split())) for s in r["sentences"]]
