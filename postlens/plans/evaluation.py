@@ -64,6 +64,13 @@ def metric_lines(spark, folder):
     return evaluate.metric_lines(_frame(spark, folder), [0, 1, 2]).withColumn("value", F.round("value", 6))
 
 
+def metrics_stored(spark, folder):
+    """The metric table written and read back."""
+    path = scratch_path(spark, "metrics")
+    posts.write_metrics(evaluate.metric_lines(_frame(spark, folder), [0, 1, 2]), path)
+    return posts.read_metrics(spark, path).withColumn("value", F.round("value", 6))
+
+
 def compare_models(spark, folder):
     gold = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("gold"))
     scored = scoring.verdicts(c.documents(spark, folder, gold), {n: scoring.lexicon_scorer(x) for n, x in OTHER_LEXICONS.items()})
@@ -169,6 +176,20 @@ UNION ALL SELECT 'absent', 0.0, 0, count(*) FROM labels"""
 _CATS = f"""{_TOP3}, cats AS (SELECT lang AS gold, main_topic AS pred FROM result JOIN documents USING (doc_id)),
 folded AS (SELECT lower(gold) AS gold, lower(pred) AS pred FROM cats)"""
 
+_METRICS = f"""
+WITH {_REPORT}, {_AVG},
+a AS (SELECT count(*)::DOUBLE AS total, (count(*) FILTER (gold = pred))::DOUBLE AS correct, avg((gold = pred)::INT) AS accuracy FROM frame),
+cells AS (SELECT g, p, count(*) FILTER (gold = g AND pred = p) AS n FROM frame
+  CROSS JOIN (SELECT unnest([0, 1, 2]) AS g) CROSS JOIN (SELECT unnest([0, 1, 2]) AS p) GROUP BY g, p),
+rows AS (
+  SELECT 'accuracy' AS section, metric, NULL AS label, value FROM (UNPIVOT a ON total, correct, accuracy INTO NAME metric VALUE value)
+  UNION ALL SELECT 'class', metric, label::VARCHAR, value FROM (UNPIVOT (SELECT label, precision, recall, f1, support::DOUBLE AS support FROM report)
+    ON precision, recall, f1, support INTO NAME metric VALUE value)
+  UNION ALL SELECT 'average', metric, average, value FROM (UNPIVOT (SELECT average, precision, recall, f1 FROM means)
+    ON precision, recall, f1 INTO NAME metric VALUE value)
+  UNION ALL SELECT 'confusion', 'pred_' || p, g::VARCHAR, n FROM cells)
+SELECT section, metric, label, round(value, 6) AS value FROM rows"""
+
 QUERIES = {
     "accuracy": Query(accuracy, f"""
 WITH {_FRAME} SELECT count(*) AS total, count(*) FILTER (gold = pred) AS correct, avg((gold = pred)::INT) AS accuracy FROM frame"""),
@@ -187,19 +208,8 @@ WITH {_FRAME} SELECT doc_id, gold, text[1:100] || '...' AS preview FROM frame WH
     "crosstab": Query(crosstab, f"""
 WITH {_FRAME} SELECT gold, count(*) FILTER (pred = 0) AS pred_0, count(*) FILTER (pred = 1) AS pred_1,
   count(*) FILTER (pred = 2) AS pred_2 FROM frame GROUP BY gold"""),
-    "metric_lines": Query(metric_lines, f"""
-WITH {_REPORT}, {_AVG},
-a AS (SELECT count(*)::DOUBLE AS total, (count(*) FILTER (gold = pred))::DOUBLE AS correct, avg((gold = pred)::INT) AS accuracy FROM frame),
-cells AS (SELECT g, p, count(*) FILTER (gold = g AND pred = p) AS n FROM frame
-  CROSS JOIN (SELECT unnest([0, 1, 2]) AS g) CROSS JOIN (SELECT unnest([0, 1, 2]) AS p) GROUP BY g, p),
-rows AS (
-  SELECT 'accuracy' AS section, metric, NULL AS label, value FROM (UNPIVOT a ON total, correct, accuracy INTO NAME metric VALUE value)
-  UNION ALL SELECT 'class', metric, label::VARCHAR, value FROM (UNPIVOT (SELECT label, precision, recall, f1, support::DOUBLE AS support FROM report)
-    ON precision, recall, f1, support INTO NAME metric VALUE value)
-  UNION ALL SELECT 'average', metric, average, value FROM (UNPIVOT (SELECT average, precision, recall, f1 FROM means)
-    ON precision, recall, f1 INTO NAME metric VALUE value)
-  UNION ALL SELECT 'confusion', 'pred_' || p, g::VARCHAR, n FROM cells)
-SELECT section, metric, label, round(value, 6) AS value FROM rows"""),
+    "metric_lines": Query(metric_lines, _METRICS),
+    "metrics_stored": Query(metrics_stored, _METRICS),
     "compare_models": Query(compare_models, _model_sql()),
     "category_accuracy": Query(category_accuracy, f"""
 WITH {_CATS} SELECT count(*) AS total, count(*) FILTER (gold = pred) AS correct, avg((gold = pred)::INT) AS accuracy FROM folded"""),

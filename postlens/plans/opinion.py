@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from postlens import fixed_values as fixed
 from postlens.functions import text as tx
 from postlens.functions import values as val
 from postlens.operators import filters, keywords, ranking, scoring, search, summary, themes
@@ -172,6 +173,36 @@ def model_sentiment(spark, folder):
     return scored.select("doc_id", "sentiment", "confidence", "score", "label")
 
 
+#: Words of the default lists, in a text of their own: each word of a document becomes one of them.
+_RENDERED = [*fixed.POSITIVE_PHRASES[:9], *fixed.STOP_WORDS[:9], "kitap", "deniz", *fixed.NEGATIVE_PHRASES[:9], "yolculuk", "araba"]
+
+
+def _turkish(spark, folder):
+    """The documents in words of the default lists, chosen by length and place; full stops stay."""
+    vocabulary = F.array(*[F.lit(w) for w in _RENDERED])
+    words = F.transform(F.split("text", " ", -1), lambda w, i: F.concat(
+        F.get(vocabulary, (F.length(w) * 13 + i) % len(_RENDERED)), F.when(F.endswith(w, F.lit(".")), ".").otherwise("")))
+    return table(spark, folder, "documents").select("doc_id", F.array_join(words, " ").alias("text"))
+
+
+def default_lists(spark, folder):
+    """Sentiment and keywords with the default phrases and stop words."""
+    analysed = scoring.analyse_sentiment(_turkish(spark, folder), "text")
+    named = keywords.with_keywords(analysed, "text", 5).withColumn("keywords", F.transform("keywords", lambda k: k["word"]))
+    return named.select("doc_id", "sentiment", "confidence", "score", c.join_words("keywords").alias("keywords"))
+
+
+def theme_invariants(spark, folder):
+    """What holds for any model: new texts get a probability for every theme of the training rows, and the likeliest is the main one."""
+    docs = table(spark, folder, "documents").select("text", "lang")
+    model = themes.train_theme_model(docs, "text", "lang", features=1 << 14, iterations=15)
+    scored = themes.theme_result(themes.score_themes(table(spark, folder, "conversations").select("conv_id", "turn", "text"), model, "text"))
+    best = F.array_max(F.transform("theme_scores", lambda x: F.struct(x["score"].alias("score"), x["label"].alias("label"))))
+    total = F.aggregate("theme_scores", F.lit(0.0), lambda s, x: s + x["score"])
+    return scored.select("conv_id", "turn", F.size("theme_scores").alias("n_themes"), F.round(total, 6).alias("total"),
+                         (F.lower("main_topic") == F.lower(best["label"])).alias("main_is_likeliest"))
+
+
 def theme_model(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = themes.train_theme_model(docs, "text", "lang", features=1 << 14, iterations=15)
@@ -283,5 +314,18 @@ SELECT doc_id, lang, sentiment, themes FROM documents LEFT JOIN a USING (doc_id)
 WHERE sentiment IS NULL OR (sentiment = 'positive' AND list_contains(string_split(themes, ' '), 'en'))"""),
     "resume_pending": Query(resume_pending, "SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)"),
     "model_sentiment": Query(model_sentiment, f"WITH {c.sql_sentiment()} SELECT doc_id, sentiment, confidence, score, label FROM voted"),
+    "theme_invariants": Query(theme_invariants, """
+SELECT conv_id, turn, (SELECT count(DISTINCT lang) FROM documents) AS n_themes, 1.0 AS total, true AS main_is_likeliest FROM conversations"""),
+    "default_lists": Query(default_lists, f"""
+WITH rendered AS (SELECT doc_id, array_to_string(list_transform(string_split(text, ' '), lambda w, i: {c.sql_list(_RENDERED)}[
+    (length(w) * 13 + i - 1) % {len(_RENDERED)} + 1] || CASE WHEN ends_with(w, '.') THEN '.' ELSE '' END), ' ') AS text FROM documents),
+{c.sql_sentiment(scoring.Lexicon(), 'rendered')},
+tokens AS (SELECT doc_id, {c.SQL_TOKENS.format('text')} AS t FROM rendered),
+placed AS (SELECT doc_id, unnest(f) AS word, generate_subscripts(f, 1) AS place FROM (
+  SELECT doc_id, list_filter(t, lambda w: length(w) > 3 AND NOT list_contains({c.sql_list(fixed.STOP_WORDS)}, w)) AS f FROM tokens)),
+named AS (SELECT doc_id, string_agg(word, ' ' ORDER BY n DESC, place) AS keywords FROM (
+  SELECT * FROM (SELECT doc_id, word, count(*) AS n, min(place) AS place FROM placed GROUP BY doc_id, word)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) <= 5) GROUP BY doc_id)
+SELECT doc_id, sentiment, confidence, score, coalesce(keywords, '') AS keywords FROM voted LEFT JOIN named USING (doc_id)"""),
     "theme_model": Query(theme_model),
 }

@@ -103,9 +103,19 @@ def topic_members(spark, folder):
 
 
 def cluster_count(spark, folder):
+    """What holds for any clustering: all rows are there, each with its nearest centre, and no topic is too small."""
     rows = table(spark, folder, "embeddings")
     model = tp.train_topics(rows, 8)
-    return tp.topic_count(tp.relabel_small(tp.assign_topics(rows, model), 10))
+    assigned = tp.assign_topics(rows, model)
+    # Centres: as many as topics, the model itself.
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in centre]) for centre in model.clusterCenters()])
+    vector = F.col("embedding").cast("array<double>")
+    away = F.transform(centres, lambda m: F.aggregate(F.zip_with(m, vector, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+    checked = assigned.select("topic", away.alias("away")).agg(
+        F.count("*").alias("n_rows"), F.count_if(F.get("away", F.col("topic")) > F.array_min("away") + 1e-9).alias("not_nearest"))
+    sizes = tp.topic_info(tp.relabel_small(assigned, 10)).agg(
+        F.count_if((F.col("topic") != tp.OUTLIER) & (F.col("size") < 10)).alias("undersized"), F.sum("size").alias("in_topics"))
+    return checked.select("*", sizes.select("undersized").scalar().alias("undersized"), sizes.select("in_topics").scalar().alias("in_topics"))
 
 
 def assigned_topics(spark, folder):
@@ -213,7 +223,7 @@ FROM events QUALIFY position BETWEEN 6 AND 10"""),
     "discover_topics": Query(discover_topics, f"""
 {_density_sql()} SELECT topic, count(*) AS size, topic = -1 AS is_outlier FROM topics GROUP BY topic"""),
     "topic_members": Query(topic_members, f"{_density_sql()} SELECT vec_id, topic FROM topics"),
-    "cluster_count": Query(cluster_count),
+    "cluster_count": Query(cluster_count, "SELECT count(*) AS n_rows, 0 AS not_nearest, 0 AS undersized, count(*) AS in_topics FROM embeddings"),
     "assigned_topics": Query(assigned_topics, f"""
 WITH tf AS (SELECT topic, word, count(*) AS tf FROM (
   SELECT lang AS topic, unnest({SQL_TOKENS.format('text')}) AS word FROM documents WHERE lang IS NOT NULL)

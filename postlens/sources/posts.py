@@ -258,3 +258,7 @@ def write_predictions(df: DataFrame, path: str) -> None:
 def write_metrics(lines: DataFrame, path: str) -> None:
     """The long metric table (a few dozen rows) as Parquet."""
     lines.coalesce(1).write.parquet(path, mode="overwrite")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("section string, metric string, label string, value double").parquet(path)

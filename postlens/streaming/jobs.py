@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from postlens.operators import scoring
-from postlens.operators.ranking import day_key
-from postlens.sources.snapshots import rebuild_days
+from postlens.operators.ranking import day_key, top_k
+from postlens.session import materialize
 
 
 def post_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -42,27 +44,48 @@ def daily_refresh(entries: DataFrame, path: str, checkpoint: str, history: str,
                   ts: str = "ts", favourites: str = "fav_count", id_column: str = "id") -> StreamingQuery:
     """Keep the daily table up to date while entries arrive, in any order.
 
-    Arrivals are appended to ``history`` by day, and each micro-batch notes its
-    days. A day is closed once a later one has begun. A micro-batch builds the
-    days that it closes and rebuilds the closed days that it brings late entries
-    for; it reads those days only. Repeating a micro-batch overwrites its own
-    files and changes nothing.
+    The state of a day, below ``history``, is its best ``k`` entries so far: lists
+    that merge. A micro-batch merges its own best entries into the states of its
+    days and writes the lists of those that are closed, which a day is once a
+    later one has begun. It reads the states of these days and a note of the
+    newest day, by name; what came before has no other files. Merging the same
+    entries again changes nothing, so a repeated micro-batch is safe.
     """
+    order = [F.col(favourites).desc(), F.col(id_column)]
+
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         dated = batch.withColumn("day", day_key(F.col(ts)))
-        dated.write.mode("overwrite").partitionBy("day").parquet(f"{history}/entries/batch={batch_id}")
-        dated.select("day").distinct().write.mode("overwrite").parquet(f"{history}/days/batch={batch_id}")
-        noted = spark.read.schema("day date, batch long").parquet(f"{history}/days").where(F.col("batch") <= batch_id)
-        newest, before = noted.agg(F.max("day"), F.max(F.when(F.col("batch") < batch_id, F.col("day")))).first()
+        fresh = materialize(top_k(dated.where("day is not null"), ["day"], order, k).drop("rank"), "fresh")
+        # One value per calendar day of the micro-batch.
+        days = {row[0] for row in fresh.select("day").distinct().collect()}
+        before = _newest_day(spark, f"{history}/newest/batch={batch_id - 1}")
+        newest = max([*days, *([before] if before else [])], default=None)
         if newest is None:
             return
-        touched = (F.col("batch") == batch_id) | (F.col("day") >= F.lit(before) if before else F.lit(True))
-        # One value per calendar day.
-        days = [row[0] for row in noted.where((F.col("day") < F.lit(newest)) & touched).select("day").distinct().collect()]
-        schema = dated.schema.add("batch", "long")
-        arrived = spark.read.schema(schema).parquet(f"{history}/entries").where(F.col("batch") <= batch_id)
-        rebuild_days(arrived.drop("batch").where(F.col("day").isin(days) if days else F.lit(False)), path, k, favourites, id_column)
+        touched = sorted(days | ({before} if before else set()))
+        held = [f"{history}/best/day={day}" for day in touched if _exists(spark, f"{history}/best/day={day}")]
+        known = fresh
+        if held:
+            old = spark.read.schema(fresh.schema).option("basePath", f"{history}/best").parquet(*held)
+            known = old.select(fresh.columns).unionByName(fresh).dropDuplicates(["day", id_column])
+        best = materialize(top_k(known, ["day"], order, k), "best")
+        _overwrite_days(best.drop("rank"), f"{history}/best")
+        _overwrite_days(best.where(F.col("day") < F.lit(newest)), path)
+        spark.createDataFrame([(newest,)], "day date").coalesce(1).write.mode("overwrite").parquet(f"{history}/newest/batch={batch_id}")
 
     return (entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _newest_day(spark: SparkSession, path: str) -> date | None:
+    return spark.read.schema("day date").parquet(path).first()[0] if _exists(spark, path) else None
+
+
+def _overwrite_days(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)

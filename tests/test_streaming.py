@@ -154,6 +154,24 @@ def test_daily_refresh_takes_late_entries(spark, tmp_path):
     assert arrive([(7, datetime(2023, 12, 31, 9), 1)]) == {("2023-12-31", 7), ("2024-01-01", 4), ("2024-01-02", 6)}
 
 
+def test_daily_state_is_a_short_list_a_day(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, START + timedelta(hours=rng.uniform(0, 24 * 9)), rng.randrange(50)) for i in range(900)]
+    schema = "id int, ts timestamp_ntz, fav_count int"
+    for part in range(9):
+        spark.createDataFrame(rows[part::9], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.daily_refresh(stream, str(tmp_path / "daily"), str(tmp_path / "state"), str(tmp_path / "history"), 4).awaitTermination()
+    days = {}
+    for i, ts, fav in rows:
+        days.setdefault((ts - timedelta(hours=4)).date(), []).append((-fav, i))
+    want = {(d, r + 1, i) for d, x in days.items() if d < max(days) for r, (_, i) in enumerate(sorted(x)[:4])}
+    got = spark.read.parquet(str(tmp_path / "daily"))
+    assert {(r.day, r["rank"], r.id) for r in got.collect()} == want
+    held = spark.read.parquet(str(tmp_path / "history" / "best")).groupBy("day").count().collect()
+    assert len(held) == len(days) and max(r["count"] for r in held) == 4
+
+
 def test_scoring_needs_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id int, text string")
     plan = scoring.analyse_sentiment(docs)._jdf.queryExecution().executedPlan().toString()
