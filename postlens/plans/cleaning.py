@@ -8,7 +8,7 @@ from postlens import fixed_values as fixed
 from postlens.functions import links
 from postlens.functions import text as tx
 from postlens.functions import values as val
-from postlens.operators import filters
+from postlens.operators import filters, respelling
 from postlens.plans import common as c
 from postlens.plans.common import BASE_URL, Query, table
 from postlens.sources import posts
@@ -116,6 +116,29 @@ def by_channel(spark, folder):
     return filters.by_channel(_tagged(spark, folder), "fr").select("doc_id", c.join_words("tags").alias("tags"))
 
 
+#: Marked letters of the documents' languages.
+_MARKED = ("éèêàçôîûäöüßñáíóú", "eeeacoiuaousnaiou")
+
+
+def _plain_documents(spark, folder):
+    """Normalised documents, and the same with their marks lost."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", F.lower(tx.squash_ws(F.regexp_replace("text", r"[\p{P}\p{S}]", ""))).alias("text"))
+    return docs, docs.withColumn("text", respelling.fold(F.col("text"), _MARKED))
+
+
+def respelled_words(spark, folder):
+    """Every word in its most frequent form."""
+    docs, plain = _plain_documents(spark, folder)
+    return respelling.restore(plain, respelling.learn(docs, "text", _MARKED), ["doc_id"], neighbours=False).select("doc_id", F.md5("restored").alias("digest"))
+
+
+def respelled_texts(spark, folder):
+    """By the best path: folded documents keep their words but for marks, and every word is one that folds to it."""
+    docs, plain = _plain_documents(spark, folder)
+    found = respelling.restore(plain, respelling.learn(docs, "text", _MARKED), ["doc_id"])
+    return found.select("doc_id", F.md5(respelling.fold(F.col("restored"), _MARKED)).alias("folded"))
+
+
 def normalized_texts(spark, folder):
     return table(spark, folder, "documents").select("doc_id", tx.normalize_tr(F.col("text")).alias("text"))
 
@@ -282,6 +305,12 @@ _PREP = "('Okudum (bkz: ' || regexp_extract(url, '[^/]*$') || 'x), ' || url || '
 _CLEAN_CASE = f"""CASE WHEN b IS NULL THEN 'null' WHEN regexp_full_match(b, '(https?://|www\\.)\\S+') THEN 'url_only'
   WHEN contains(lower(b), 'bkz') AND length(b) < 20 THEN 'short_crossref' WHEN b = '' THEN 'empty' ELSE 'remaining' END"""
 
+_BARE = c.sql_squash(r"regexp_replace(text, '[\p{P}\p{S}]', '', 'g')")
+_RESPELLED = f"""flat AS (SELECT doc_id, lower({_BARE}) AS t FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (
+  SELECT doc_id, list_filter(string_split(t, ' '), lambda x: x <> '') AS ws FROM flat)),
+forms AS (SELECT w, translate(w, '{_MARKED[0]}', '{_MARKED[1]}') AS f, count(*) AS n FROM words GROUP BY w)"""
+
 QUERIES = {
     "clean_pages_sheet": Query(_clean_pages("sheet"), f"SELECT page_id, {sql_sheet(HTML_TEXT)} AS body FROM pages"),
     "clean_pages_labelling": Query(_clean_pages("labelling"), f"SELECT page_id, {sql_labelling(HTML_TEXT)} AS body FROM pages"),
@@ -316,6 +345,15 @@ FROM documents WHERE length({c.sql_strip('text')}) NOT BETWEEN 3 AND 5000"""),
     "split_tags": Query(split_tags, "SELECT doc_id, CASE WHEN n_chars >= 100 THEN lang || ' ' || source END AS tags FROM documents"),
     "by_channel": Query(by_channel, "SELECT doc_id, lang || ' ' || source AS tags FROM documents WHERE n_chars >= 100 AND lang = 'fr'"),
     "normalized_texts": Query(normalized_texts, f"SELECT doc_id, {sql_flat('text')} AS text FROM documents"),
+    "respelled_words": Query(respelled_words, f"""
+WITH {_RESPELLED},
+best AS (SELECT f, w AS form FROM forms QUALIFY row_number() OVER (PARTITION BY f ORDER BY n DESC, w) = 1)
+SELECT doc_id, md5(coalesce(string_agg(form, ' ' ORDER BY i), '')) AS digest
+FROM documents LEFT JOIN (SELECT doc_id, i, translate(w, '{_MARKED[0]}', '{_MARKED[1]}') AS f FROM words) USING (doc_id) LEFT JOIN best USING (f)
+GROUP BY doc_id"""),
+    "respelled_texts": Query(respelled_texts, f"""
+WITH {_RESPELLED} SELECT doc_id, md5(coalesce(string_agg(translate(w, '{_MARKED[0]}', '{_MARKED[1]}'), ' ' ORDER BY i), '')) AS folded
+FROM documents LEFT JOIN words USING (doc_id) GROUP BY doc_id"""),
     "prepared_texts": Query(prepared_texts, f"""
 SELECT page_id, {c.sql_prep(_PREP)} AS kept, {sql_flat(_PREP)} AS flat FROM pages"""),
     "squashed_pages": Query(squashed_pages, f"SELECT page_id, {c.sql_squash('html')} AS html FROM pages"),
