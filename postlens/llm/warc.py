@@ -165,25 +165,47 @@ def read_record(pieces: Iterator[bytes]) -> Record | None:
     return Record(headers, bytes(held[:length]))
 
 
+def digest_holds(stated: str | None, data: bytes) -> bool:
+    """Whether a SHA-1 digest, in base 32 or hex, is that of ``data``; none, and one of another kind, is not checked."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() != "sha1":
+        return True
+    found = hashlib.sha1(data)
+    return value.upper() == base64.b32encode(found.digest()).decode() or value.lower() == found.hexdigest()
+
+
 def open_record(record: Record) -> tuple:
-    """(record_id, type, uri, refers_to, payload_bytes, hex digest, payload) of a record whose digests hold."""
+    """(record_id, type, uri, refers_to, payload_bytes, hex digest, payload) of a record whose digests hold.
+
+    Records of any type and origin are read. The payload is what follows the
+    HTTP headers, if the block has any, else the block. Without a payload digest
+    of its own a record gets that of its payload. A revisit has no payload; its
+    size is the length its HTTP headers tell, else unknown.
+    """
     head = record.headers
-    if head.get("warc-block-digest", _sha1(record.block)) != _sha1(record.block):
+    if not digest_holds(head.get("warc-block-digest"), record.block):
         raise ValueError(f"block digest of {head.get('warc-record-id')} does not hold")
-    http, _, payload = record.block.partition(b"\r\n\r\n")
-    kind = head["warc-type"]
-    size = len(payload)
+    kind, stated = head.get("warc-type", "unknown"), head.get("warc-payload-digest")
+    http, payload = b"", record.block
+    if payload.startswith(b"HTTP/") or "application/http" in head.get("content-type", "").lower():
+        http, _, payload = record.block.partition(b"\r\n\r\n")
+    size, digest = len(payload), hashlib.sha1(payload).hexdigest()
     if kind == "revisit":
-        fields = dict(line.lower().split(": ", 1) for line in http.decode("latin-1").split("\r\n")[1:])
-        size, payload = int(fields["content-length"]), None
-    elif head["warc-payload-digest"] != _sha1(payload):
+        lines = (line.partition(":") for line in http.decode("latin-1").split("\r\n")[1:])
+        told = {name.strip().lower(): value.strip() for name, _, value in lines}.get("content-length", "")
+        size, payload, digest = int(told) if told.isdigit() else None, None, None
+        value = (stated or "").partition(":")[2]
+        if len(value) == 32:
+            digest = base64.b32decode(value.upper()).hex()
+        elif len(value) == 40:
+            digest = value.lower()
+    elif not digest_holds(stated, payload):
         raise ValueError(f"payload digest of {head.get('warc-record-id')} does not hold")
 
     def page(name):
         value = head.get(name)
-        return None if value is None else unquote(value.removeprefix("<urn:page:").removesuffix(">")) or None
+        return None if value is None else unquote(value.strip("<>").removeprefix("urn:page:")) or None
 
-    digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
     return page("warc-record-id"), kind, head.get("warc-target-uri"), page("warc-refers-to"), size, digest, payload
 
 

@@ -231,3 +231,28 @@ def test_quality_sql_states_the_rule_on_shared_lines(spark):
     kept = {r[0]: r[-1] for r in found}
     # Documents made of common lines go; those with much of their own stay, and so do copies of one text, which count once.
     assert not any(kept[i] for i in range(120)) and all(kept[200 + i] for i in range(20)) and all(kept[300 + i] for i in range(50))
+
+
+def test_foreign_records_are_read(spark, tmp_path):
+    """Records as other writers make them: no payload digest, hex digests, no HTTP block, uuids."""
+    def member(block, **headers):
+        lines = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in headers.items())
+        return gzip.compress(f"WARC/1.0\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    digest = hashlib.sha1(b"<p>hi</p>").hexdigest()
+    (tmp_path / "foreign.warc.gz").write_bytes(b"".join([
+        member(b"software: x\r\n", WARC_Type="warcinfo", WARC_Record_ID="<urn:uuid:1>", Content_Type="application/warc-fields"),
+        member(b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", WARC_Type="request", WARC_Record_ID="<urn:uuid:2>", Content_Type="application/http; msgtype=request"),
+        member(page, WARC_Type="response", WARC_Record_ID="<urn:uuid:3>", WARC_Target_URI="http://a/"),
+        member(page, WARC_Type="response", WARC_Record_ID="<urn:uuid:4>", WARC_Payload_Digest=f"sha1:{digest}", WARC_Block_Digest="md5:00"),
+        member(b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n", WARC_Type="revisit", WARC_Record_ID="<urn:uuid:5>", WARC_Refers_To="<urn:uuid:3>"),
+        member(b"{}", WARC_Type="metadata", WARC_Record_ID="<urn:uuid:6>")]))
+    rows = {r.record_id: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert [rows[f"urn:uuid:{i}"].record_type for i in range(1, 7)] == ["warcinfo", "request", "response", "response", "revisit", "metadata"]
+    assert rows["urn:uuid:3"].payload == b"<p>hi</p>" and rows["urn:uuid:3"].payload_digest == rows["urn:uuid:4"].payload_digest == digest
+    assert rows["urn:uuid:5"].refers_to == "urn:uuid:3" and rows["urn:uuid:5"].payload_bytes is None and rows["urn:uuid:6"].payload == b"{}"
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc.gz").write_bytes(member(page, WARC_Type="response", WARC_Record_ID="<urn:uuid:7>", WARC_Payload_Digest="sha1:" + "0" * 40))
+    with pytest.raises(Exception, match="does not hold"):
+        warc.read_archives(spark, str(tmp_path / "bad")).collect()
