@@ -2,15 +2,17 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Then
 corpus co-occurrence tells which ordinary terms reveal one of the found values:
-a term next to value e in n(t,e) documents and present in n(t) leaves
+a term t that shares n(t,e) whole texts with value e, and stands in n(t), leaves
 -log2(n(t,e) / n(t)) bits about e, its information content less the pointwise
 mutual information. Terms that leave at most ``MAX_BITS`` are spans too, wherever they stand;
-``sanitise`` removes them or puts their kind in their place.
-
-Plan: one scan reduces texts to their matches with a little context. Positions
-are running sums over a text's matches, so they take time in proportion to the
-matches. Co-occurrence is counted with map-side combining. Texts are not shuffled, except
-those that hold a revealing term when there are too many of them to broadcast.
+``sanitise`` removes them or puts their kind in their place. A term is a run of letters of any length.
+
+Plan: one scan reduces texts to their matches. Positions are running sums over a
+text's matches, so they take time in proportion to the matches. Only texts with a value
+that enough texts hold are gathered; n(t,e) is at most the number of these texts with t, and at
+most the count of the most frequent value beside t, which rules out common terms before any
+term meets a value. Terms (and values) in exactly the same texts are counted as one, so copies of
+a long text with many values cost one pair. Filters of fixed size keep all other texts from moving.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postlens.functions.values import let
-from postlens.llm.common import Query, null_safe, stage, table, whole
+from postlens.llm.common import Query, may_be_among, null_safe, only, stage, table, whole
 
 KINDS = ["email", "ip", "card", "phone"]
 TERM = "term"
@@ -34,20 +36,16 @@ PATTERNS = {
 #: Without these characters a pattern cannot match.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-WORD_TERM = r"\p{L}[\p{L}\p{M}'’-]{2,}"
-CONTEXT_CHARS, CONTEXT_TERMS = 120, 5
+WORD_TERM = r"\p{L}[\p{L}\p{M}'’-]*+"
 MIN_SUPPORT = 3
 MAX_BITS = 1.0
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Array of struct(gap: characters since the last match, value, before, after) of all matches, leftmost first."""
-    def listed(between):
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda value, i: F.struct(
-            F.length(F.get(between, i)).alias("gap"), value.alias("value"),
-            F.substring(F.get(between, i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"),
-            F.substring(F.get(between, i + 1), 1, CONTEXT_CHARS).alias("after")))
-    return let(F.split(text, pattern, -1), listed)
+    """Array of struct(gap: characters since the last match, value) of all matches, leftmost first."""
+    return let(F.split(text, pattern, -1), lambda between: F.transform(
+        F.regexp_extract_all(text, F.lit(pattern), 0), lambda value, i: F.struct(
+            F.length(F.get(between, i)).alias("gap"), value.alias("value"))))
 
 
 def digits(value: Column) -> Column:
@@ -80,33 +78,65 @@ def _terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD_TERM), 0), F.lower)
 
 
-def _near(found: DataFrame) -> DataFrame:
-    """(entity, _h, term): the terms next to each found value; words cut by the context's edge are left out."""
-    before, after = _terms(F.col("_m.before")), _terms(F.col("_m.after"))
-    whole_before = let(before, lambda t: F.when(F.length("_m.before") < CONTEXT_CHARS, t).otherwise(
-        F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0)))))
-    whole_after = let(after, lambda t: F.when(F.length("_m.after") < CONTEXT_CHARS, t).otherwise(
-        F.slice(t, F.lit(1), F.greatest(F.size(t) - 1, F.lit(0)))))
-    last = let(whole_before, lambda t: F.when(F.size(t) > CONTEXT_TERMS, F.slice(t, -CONTEXT_TERMS, CONTEXT_TERMS)).otherwise(t))
-    entity = F.md5(F.concat("_kind", F.lit(":"), F.lower("_m.value")))
-    near = found.select(entity.alias("_entity"), "_h", F.array_distinct(F.concat(last, F.slice(whole_after, 1, CONTEXT_TERMS))).alias("_near"))
-    return near.select("_entity", "_h", F.explode("_near").alias("_term")).distinct()
-
-
-def revealing_terms(found: DataFrame, docs: DataFrame, text_col: str, min_support: int = MIN_SUPPORT,
-                    max_bits: float = MAX_BITS) -> DataFrame:
-    """(_term, bits) of the terms that give some value away; texts that repeat count once."""
-    near = stage(_near(found), "near")
-    together = near.groupBy("_entity", "_term").agg(F.count(F.lit(1)).alias("_both")).where(F.col("_both") >= min_support)
-    # A term is in all the texts that have it next to some value; that alone rules out the common words, exactly.
-    around = near.select("_term", "_h").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_near"))
-    best = together.groupBy("_term").agg(F.max("_both").alias("_both")).join(around, "_term")
-    best = stage(best.where(-F.log2(F.col("_both") / F.col("_near")) <= max_bits).select("_term", "_both"), "near-terms")
+def _once(docs: DataFrame, text_col: str, repeated: DataFrame) -> DataFrame:
+    """(_h, _text): every different text once; only those whose hash is in stored ``repeated`` are shuffled."""
     text = whole(F.col(text_col))
-    everywhere = docs.select(F.xxhash64(text).alias("_h"), F.explode(F.array_distinct(_terms(text))).alias("_term"))
-    counts = everywhere.join(best, "_term", "left_semi").distinct().groupBy("_term").agg(F.count(F.lit(1)).alias("_all"))
-    bits = -F.log2(F.col("_both") / F.col("_all"))
-    return stage(best.join(counts, "_term").select("_term", bits.alias("bits")).where(F.col("bits") <= max_bits), "terms")
+    rows = docs.select(F.xxhash64(text).alias("_h"), text.alias("_text"))
+    maybe = may_be_among(F.col("_h"), repeated)
+    return rows.where(~maybe).unionByName(rows.where(maybe).dropDuplicates(["_h"]))
+
+
+def _text_set() -> list[Column]:
+    """Aggregates that are equal for groups with the same texts ``_h``: their number and 128 bits of their hashes."""
+    return [F.count(F.lit(1)).alias("_n"), *[F.bit_xor(F.xxhash64("_h", F.lit(i))).alias(f"_x{i}") for i in (1, 2)]]
+
+
+SAME_TEXTS = ["_n", "_x1", "_x2"]
+
+
+def revealing_terms(found: DataFrame, texts: DataFrame, min_support: int = MIN_SUPPORT, max_bits: float = MAX_BITS) -> DataFrame:
+    """Stored (_term, bits) of the terms that give some value away, from ``texts``, each different text once.
+
+    ``found`` has a row (_h, _kind, _m.value) per found value.
+    """
+    def bits(both):
+        return -F.log2(both / F.col("_n"))
+
+    entity = F.md5(F.concat("_kind", F.lit(":"), F.lower("_m.value")))
+    held = stage(found.select(entity.alias("_entity"), "_h").distinct(), "values")
+    values = stage(held.groupBy("_entity").agg(*_text_set()).where(F.col("_n") >= min_support), "frequent-values")
+    # Values in exactly the same texts are one class.
+    classes = held.join(values, "_entity").select("_h", *[F.col(c).alias(f"_e{c}") for c in SAME_TEXTS]).distinct()
+    classes = stage(classes, "value-classes")
+    holders = stage(classes.groupBy("_h").agg(F.max("_e_n").alias("_most")), "holders")
+
+    inside = stage(only(texts, holders, "_h").select("_h", "_most", F.array_distinct(_terms(F.col("_text"))).alias("_terms")), "inside")
+    inside = inside.select("_h", "_most", F.explode("_terms").alias("_term"))
+    bound = F.least(F.count(F.lit(1)), F.max("_most"))
+    bounds = stage(inside.groupBy("_term").agg(bound.alias("_bound")).where(F.col("_bound") >= min_support), "bounds")
+    everywhere = texts.select("_h", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("_term"))
+    counted = everywhere.groupBy("_term").agg(*_text_set()).join(bounds, "_term").where(bits(F.col("_bound")) <= max_bits)
+    counted = stage(counted.select("_term", *SAME_TEXTS), "candidates")
+
+    # So are terms in the same texts: the least one stands for all.
+    speakers = stage(counted.groupBy(*SAME_TEXTS).agg(F.min("_term").alias("_term")), "speakers")
+    spoken = inside.where(may_be_among(F.col("_term"), speakers.select("_term"))).drop("_most").join(speakers, "_term").drop("_term")
+    pairs = spoken.join(classes, "_h").where(bits(F.col("_e_n")) <= max_bits)
+    both = pairs.groupBy(*SAME_TEXTS, *[f"_e{c}" for c in SAME_TEXTS]).agg(F.count(F.lit(1)).alias("_both"))
+    best = both.where(F.col("_both") >= min_support).groupBy(*SAME_TEXTS).agg(F.max("_both").alias("_both"))
+    best = best.select(*SAME_TEXTS, bits(F.col("_both")).alias("bits")).where(F.col("bits") <= max_bits)
+    return stage(counted.join(best, SAME_TEXTS).select("_term", "bits"), "terms")
+
+
+def _term_spans(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_h, _start, _end): where the stored ``terms`` stand in ``texts``; texts without any are not shuffled."""
+    def among(rows):
+        return rows.where(may_be_among(F.col("_term"), terms)).join(terms, "_term", "left_semi")
+
+    hits = among(texts.select("_h", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("_term")))
+    hits = stage(hits.select("_h").distinct(), "term-texts")
+    listed = only(texts, hits, "_h").select("_h", matches(F.col("_text"), WORD_TERM).alias("_found"))
+    return among(placed(listed, ["_h"], "_found").withColumn("_term", F.lower("_m.value"))).select("_h", "_start", "_end")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_support: int = MIN_SUPPORT,
@@ -117,7 +147,7 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = whole(F.col(text_col))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text.alias("_text"))
-    none = F.array().cast("array<struct<gap:int,value:string,before:string,after:string>>")
+    none = F.array().cast("array<struct<gap:int,value:string>>")
 
     def found_in(kind):
         may = F.contains("_text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.col("_text").rlike("[0-9][ -]?[0-9]")
@@ -132,20 +162,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     span = F.struct(F.col("_start").cast("int").alias("start"), F.col("_rank").alias("rank"), F.col("_end").cast("int").alias("end"))
     base_of = base.groupBy("_row").agg(F.sort_array(F.collect_list(span)).alias("_base"))
 
-    terms = revealing_terms(base, docs, text_col, min_support, max_bits)
-    keyed = docs.select(null_safe(F.col(id_col)).alias("_key"), F.xxhash64(text).alias("_h"), text.alias("_text"))
-    hits = keyed.select("_key", "_h", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("_term")).join(
-        terms.select("_term"), "_term", "left_semi").groupBy("_key", "_h").agg(F.collect_set("_term").alias("_terms"))
-    hits = stage(hits, "term-texts")
-    texts = keyed.join(hits, ["_key", "_h"]).dropDuplicates(["_key", "_h"])
-    listed = texts.select("_key", "_h", "_terms", matches(F.col("_text"), WORD_TERM).alias("_found"))
-    spots = placed(listed.select("_key", "_h", F.struct("_terms").alias("_t"), "_found"), ["_key", "_h", "_t"], "_found").where(
-        F.array_contains(F.col("_t._terms"), F.lower("_m.value")))
-    spots = stage(spots.withColumn("_rank", F.lit(len(KINDS))).groupBy("_key", "_h").agg(F.sort_array(F.collect_list(span)).alias("_spots")), "spots")
+    repeated = stage(held.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"), "repeated")
+    texts = _once(docs, text_col, repeated)
+    terms = revealing_terms(base, texts, min_support, max_bits).select("_term")
+    spots = _term_spans(texts, terms).withColumn("_rank", F.lit(len(KINDS)))
+    spots = stage(spots.groupBy("_h").agg(F.sort_array(F.collect_list(span)).alias("_spots")), "spots")
 
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    whole_rows = held.select("_row", "_id", "_h", null_safe(F.col("_id")).alias("_key")).join(base_of, "_row", "left").join(
-        spots, ["_key", "_h"], "left").select("_id", "_h", F.coalesce("_base", empty).alias("_base"), F.coalesce("_spots", empty).alias("_spots"))
+    whole_rows = held.select("_row", "_id", "_h").join(base_of, "_row", "left").join(spots, "_h", "left").select(
+        "_id", "_h", F.coalesce("_base", empty).alias("_base"), F.coalesce("_spots", empty).alias("_spots"))
     outside = F.filter("_spots", lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return whole_rows.select("_id", "_h", "_base", F.sort_array(F.concat("_base", outside)).alias("_all"))
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import pytest
+import regex
 from conftest import TOKENIZER, prose
 from tokenizers import Tokenizer
 
@@ -142,6 +143,47 @@ def test_revealing_terms(make_docs):
     assert "[EMAIL]" in after[0] and "boss@" not in after[0] and after[25] == rows[11][1]
 
 
+def terms_by_force(texts: list[str]) -> set[str]:
+    """Terms that share three different texts or more with a value, and at least half of their own."""
+    different = sorted({t or "" for t in texts})
+    terms = [{m.lower() for m in regex.findall(pii.WORD_TERM, t)} for t in different]
+    values = [{t[int(a):int(b)].lower() for _, a, b in (x.split(":") for x in base_spans(t).split(",") if x)} for t in different]
+    stands = Counter(w for own in terms for w in own)
+    both = Counter((w, v) for own, held in zip(terms, values, strict=True) for w in own for v in held)
+    return {w for (w, _), n in both.items() if n >= pii.MIN_SUPPORT and stands[w] <= 2 * n}
+
+
+def test_revealing_terms_equal_brute_force_on_whole_texts(make_docs, odd_rows):
+    rng = random.Random(9)
+    common = [f"w{chr(97 + i)}" for i in range(12)]
+    rare = [*(f"Name{chr(97 + i)}" for i in range(12)), "Qx", "Z", "李", "é"]
+    values = ["a@b.cd", "A@b.cd", "x@y.zw", "10.1.2.3", "+49 30 1234567"]
+    rows = [*odd_rows]
+    for i in range(200):
+        parts = rng.choices(common, k=12) + rng.sample(rare, rng.randint(0, 2))
+        if rng.random() < 0.3:
+            at = rng.randrange(len(values))
+            parts += [values[at], *(rare[3 * at + j] for j in range(3) if rng.random() < 0.8)]
+        rng.shuffle(parts)
+        rows += [(i, " ".join(parts), "a")] * rng.choice([1, 1, 1, 3])
+    # Far from the value, in short names and at the other end of a long text.
+    rows += [(500 + i, f"Zorblattine Quxx Io {prose(i, 40)} v@alue.example {prose(60 + i, 40)}", "a") for i in range(10)]
+    rows += [(600 + i, f"Io {prose(i, 3000)} long@text.example {prose(i, 3000)} Farawaynamed {i}", "a") for i in range(4)]
+    want = terms_by_force([t for _, t, _ in rows])
+    assert {"zorblattine", "quxx", "farawaynamed"} <= want and "wa" not in want
+    found = pii.find_private(make_docs(rows)).collect()
+    assert len(found) == len(rows)
+    texts = {i: t or "" for i, t, _ in rows if i is not None}
+    for r in found:
+        if r.doc_id in texts and sum(x[0] == r.doc_id for x in rows) == 1:
+            text, base = texts[r.doc_id], base_spans(texts[r.doc_id])
+            taken = [tuple(map(int, x.split(":")[1:])) for x in base.split(",") if x]
+            spots = [(m.start(), f"term:{m.start()}:{m.end()}") for m in regex.finditer(pii.WORD_TERM, text)
+                     if m[0].lower() in want and not any(a < m.end() and m.start() < b for a, b in taken)]
+            whole = sorted([*spots, *((int(x.split(":")[1]), x) for x in base.split(",") if x)], key=lambda x: x[0])
+            assert sorted(r.spans.split(",")) == sorted(x for _, x in whole) or (not whole and r.spans == "")
+
+
 def quality_by_force(text: str) -> tuple:
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
