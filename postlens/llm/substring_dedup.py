@@ -9,10 +9,11 @@
 3. A run of more than ``MIN_WORDS`` words is a repeated passage. A shorter run is a
    seed: the two texts are compared around it, and the longest common stretch
    counts. So shared stretches of ``MIN_WORDS`` words or fewer are left alone.
-4. The first holder of a chunk may hold only a part of what later documents share.
-   So every window of ``MIN_WORDS`` + 1 words that touches a repeated chunk and is not
-   inside a passage that step 3 takes out gets a digest and a first holder of its own;
-   neighbouring windows with neighbouring first holders are passages too.
+4. The first holder of a chunk may hold only a part of what later documents share, and a shared stretch
+   may hold no whole chunk. So windows of ``MIN_WORDS`` + 1 words that are not inside a passage of step 3
+   get a digest and a first holder of their own; neighbouring windows with neighbouring first holders are
+   passages too. Only windows with a repeated anchor need a digest: anchors are the shorter windows whose hash is
+   least among a run of neighbours, so equal windows hold an equal anchor, whatever stands around them.
 
 Every document but the first loses its copy. Chunks are computed twice instead
 of being stored, and hot digests are joined from stored tables, which AQE splits.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import WORD_GAP, Query, null_safe, stage, table, whole
+from postlens.llm.common import WORD_GAP, Query, may_be_among, null_safe, stage, table, whole
 
 #: Repeated passages have more words than this.
 MIN_WORDS = 50
@@ -37,8 +38,14 @@ MIN_CHUNK, MAX_CHUNK = 16, 256
 MIN_SEED = 40
 CUT_BITS, CUT_SHIFT, WINDOW_STEPS = 31, 11, (1, 2, 4, 8)
 BATCH_ROWS = 100_000
+#: Windows of a text whose hashes are in memory at once.
+BLOCK_WORDS = 1 << 16
 
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
+LONG_GEAR = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+#: An odd number and its inverse modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 _IS_GAP = np.zeros(256, bool)
 _IS_GAP[[ord(c) for c in WORD_GAP]] = True
 
@@ -148,7 +155,8 @@ def _grown(seeds: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_wo
     wanted = stage(seeds.select("_id", "_h").unionByName(seeds.select(F.col("_fid").alias("_id"), F.col("_fh").alias("_h")))
                    .distinct().select(null_safe(F.col("_id")).alias("_key"), F.col("_h").alias("_hash")), "wanted")
     named = docs.select(null_safe(F.col(id_col)).alias("_key"), whole(F.col(text_col)).alias("_text"))
-    texts = named.select("_key", F.xxhash64("_text").alias("_hash"), "_text").join(wanted, ["_key", "_hash"], "left_semi")
+    texts = named.select("_key", F.xxhash64("_text").alias("_hash"), "_text").where(may_be_among(F.col("_hash"), wanted.select("_hash")))
+    texts = texts.join(wanted, ["_key", "_hash"], "left_semi")
     texts = stage(texts.dropDuplicates(["_key", "_hash"]), "texts")
     own = texts.select(F.col("_key").alias("_k"), F.col("_hash").alias("_h"), "_text")
     other = texts.select(F.col("_key").alias("_fk"), F.col("_hash").alias("_fh"), F.col("_text").alias("_other"))
@@ -176,12 +184,92 @@ def _grown(seeds: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_wo
     return pairs.select("_id", "_h", "_fid", "_fh", "_spots", "_text", "_other").mapInArrow(grow, schema)
 
 
-def _windows(found: DataFrame, passages: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(_id, _h, _at, _start, _end, _digest): the windows of ``min_words`` + 1 words that touch a chunk of ``found``.
+def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets at which the words of UTF-8 bytes begin and end."""
+    gap = np.concatenate([[True], _IS_GAP[data], [True]])
+    return np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+
+
+def neighbours(size: int) -> int:
+    """How many anchors in a row a window of ``size`` words holds: a power of two, about two thirds of the words at most."""
+    return 1 << max(0, (2 * size // 3).bit_length() - 1)
+
+
+def _over_runs(values: np.ndarray, length: int, pick) -> np.ndarray:
+    """The least or greatest of each run of ``length`` (a power of two) values."""
+    step = 1
+    while step < length:
+        values = pick(values[:-step], values[step:])
+        step *= 2
+    return values
+
+
+def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the first words, hashes) of the anchors of a text, for windows of ``size`` words.
+
+    Equal bytes have equal hashes wherever they stand, and an anchor is the least of a run of neighbours
+    that one window holds; so of two equal windows each has the same anchors of its own run.
+    """
+    run = neighbours(size)
+    words = size - run + 1
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at in range(0, len(begins) - size + 1, BLOCK_WORDS):
+        a, b = begins[at:at + BLOCK_WORDS + size - 1], ends[at:at + BLOCK_WORDS + size - 1]
+        cut = data[a[0]:b[-1]]
+        first, last = a[:len(a) - words + 1] - a[0], b[words - 1:] - a[0]
+        power = np.cumprod(np.full(len(cut), BASE, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LONG_GEAR[cut] * power)])
+        back = np.cumprod(np.full(len(cut), INVERSE, np.uint64))
+        hashed = (sums[last] - sums[first]) * back[first]
+        hashed ^= hashed >> np.uint64(32)
+        hashed *= np.uint64(BASE)
+        hashed ^= hashed >> np.uint64(29)
+        least = np.pad(_over_runs(hashed, run, np.minimum), run - 1)
+        chosen = np.flatnonzero(hashed == _over_runs(least, run, np.maximum))
+        places.append(chosen + at)
+        hashes.append(hashed[chosen])
+    place, which = np.unique(np.concatenate(places), return_index=True)
+    return place, np.concatenate(hashes)[which]
+
+
+def _anchor_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(_id, _h, _start, _end, _anchor): the anchors of all texts, in code points."""
+    text = whole(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    names = ["_id", "_h", "_start", "_end", "_anchor"]
+    words = size - neighbours(size) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                owners, found = [np.zeros(0, np.int32)], [np.zeros((3, 0), np.int64)]
+                for i in range(low, min(low + 1000, batch.num_rows)):
+                    data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
+                    begins, ends = word_bounds(data)
+                    if len(begins) < size:
+                        continue
+                    place, hashed = anchors(data, begins, ends, size)
+                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                    owners.append(np.full(len(place), i, np.int32))
+                    found.append(np.stack([chars[begins[place]], chars[ends[place + words - 1]], hashed.view(np.int64)]))
+                own, (starts, stops, hashed) = pa.array(np.concatenate(owners)), np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(own), batch.column(1).take(own), pa.array(starts.astype(np.int32)),
+                    pa.array(stops.astype(np.int32)), pa.array(hashed)], names)
+
+    return rows.mapInArrow(run, f"_id {kind}, _h long, _start int, _end int, _anchor long")
+
+
+def _windows(passages: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(_id, _h, _at, _start, _end, _digest): the windows of ``min_words`` + 1 words that hold a repeated anchor.
 
     Windows inside one of ``passages`` are left out: its first document, which comes earlier, holds them too.
     """
     size = min_words + 1
+    table_of = _anchor_table(docs, id_col, text_col, size)
+    often = stage(table_of.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_anchor"), "anchors")
+    found = table_of.where(may_be_among(F.col("_anchor"), often)).join(often, "_anchor", "left_semi")
     spot = F.struct(F.col("_start").alias("a"), F.col("_end").alias("b"))
     marks = found.select("_id", "_h", spot.alias("_near"), F.lit(None).cast("struct<a:int,b:int>").alias("_gone")).unionByName(
         passages.select("_id", "_h", F.lit(None).cast("struct<a:int,b:int>").alias("_near"), spot.alias("_gone")))
@@ -189,7 +277,8 @@ def _windows(found: DataFrame, passages: DataFrame, docs: DataFrame, id_col: str
         F.collect_set("_near").alias("_near"), F.collect_set("_gone").alias("_gone")), "marks")
     text = whole(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), null_safe(F.col(id_col)).alias("_key"), F.xxhash64(text).alias("_h"), text.alias("_text"))
-    rows = rows.join(marks, ["_key", "_h"]).select("_id", "_h", "_text", "_near", "_gone")
+    rows = rows.where(may_be_among(F.col("_h"), marks.select("_h")))
+    rows = rows.join(marks.where(F.size("_near") > 0), ["_key", "_h"]).select("_id", "_h", "_text", "_near", "_gone")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", "_h", "_at", "_start", "_end", "_digest"]
 
@@ -198,8 +287,7 @@ def _windows(found: DataFrame, passages: DataFrame, docs: DataFrame, id_col: str
             for i in range(batch.num_rows):
                 raw = batch.column(2)[i].as_buffer().to_pybytes()
                 data = np.frombuffer(raw, np.uint8)
-                gap = np.concatenate([[True], _IS_GAP[data], [True]])
-                begins, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+                begins, ends = word_bounds(data)
                 if len(begins) < size:
                     continue
                 begins, ends = begins[:len(begins) - size + 1], ends[size - 1:]
@@ -207,8 +295,8 @@ def _windows(found: DataFrame, passages: DataFrame, docs: DataFrame, id_col: str
                 starts, stops = chars[begins], chars[ends]
                 take = np.zeros(len(starts) + 1, np.int64)
                 for x in batch.column(3)[i].as_py():
-                    take[np.searchsorted(stops, x["a"], "right")] += 1
-                    take[max(np.searchsorted(starts, x["b"]), np.searchsorted(stops, x["a"], "right"))] -= 1
+                    take[np.searchsorted(stops, x["b"])] += 1
+                    take[np.searchsorted(starts, x["a"], "right")] -= 1
                 take = np.cumsum(take[:-1]) > 0
                 for x in batch.column(4)[i].as_py():
                     take[np.searchsorted(starts, x["a"]):np.searchsorted(stops, x["b"], "right")] = False
@@ -260,13 +348,13 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     cut = chunks(docs, id_col, text_col)
     often = stage(cut.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"), "digests")
-    found = stage(cut.join(often, "_digest", "left_semi"), "chunks")
+    found = stage(cut.where(may_be_among(F.col("_digest"), often)).join(often, "_digest", "left_semi"), "chunks")
     runs = _runs(found, _firsts(found, "firsts"), "runs", F.sum("_words"))
     columns = ["_id", "_h", "_start", "_end", "_words", "_fid", "_fh", "_fstart", "_fend"]
     long = runs.where(F.col("_words") > min_words).select(*columns)
     short = runs.where((F.col("_words") <= min_words) & (F.col("_end") - F.col("_start") >= MIN_SEED))
     passages = stage(long.unionByName(_grown(short, docs, id_col, text_col, min_words).select(*columns)), "passages")
-    windows = _windows(found, passages, docs, id_col, text_col, min_words)
+    windows = _windows(passages, docs, id_col, text_col, min_words)
     more = _runs(windows, _firsts(windows, "window-firsts"), "window-runs", F.count(F.lit(1)) + min_words)
     passages = passages.unionByName(more.select(*columns))
 

@@ -135,6 +135,41 @@ def test_passages_that_earlier_documents_hold_in_parts(make_docs):
     assert {i for i in after if passage in after[i]} == {10} and after[1] == texts[1] and after[2] == texts[2]
 
 
+@pytest.mark.parametrize("letters", [2, 3, 4])
+def test_passages_of_short_words_are_all_found(make_docs, letters):
+    import random
+    rng = random.Random(letters)
+    def short(n):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=letters)) for _ in range(n))
+    rows = []
+    for i in range(300):
+        passage = short(51)
+        rows += [(2 * i + j, f"{short(30)} {passage} {short(30)}", "a") for j in (0, 1)]
+    found = substring_dedup.find_repeats(make_docs(rows)).where("not kept").collect()
+    assert {r.doc_id for r in found} == set(range(1, 600, 2))
+    assert all(r.first_id == r.doc_id - 1 for r in found)
+
+
+def test_equal_windows_share_an_anchor(monkeypatch):
+    import random
+
+    import numpy as np
+    rng = random.Random(8)
+    for size, block in [(51, 1 << 16), (51, 7), (12, 5), (3, 4), (1, 2)]:
+        monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", block)
+        passage = " ".join(rng.choices(["a", "b", "ünï"], k=size))
+        texts = [(" ".join(rng.choices(["a", "b", "c"], k=n)) + " " if n else "") + passage + " tail" * n for n in (0, 5, 90)]
+        hashes = []
+        for text in texts:
+            data = np.frombuffer(text.encode(), np.uint8)
+            begins, ends = substring_dedup.word_bounds(data)
+            at = len(begins) - size - text.count(" tail")
+            place, hashed = substring_dedup.anchors(data, begins, ends, size)
+            inside = (place >= at) & (place < at + substring_dedup.neighbours(size))
+            hashes.append(set(hashed[inside].tolist()))
+        assert hashes[0] and all(hashes[0] <= h for h in hashes[1:])
+
+
 def test_chunks_come_back_after_an_insertion():
     import numpy as np
     text = prose(8, 3000).encode()
