@@ -135,6 +135,11 @@ def test_passages_that_earlier_documents_hold_in_parts(make_docs):
     assert {i for i in after if passage in after[i]} == {10} and after[1] == texts[1] and after[2] == texts[2]
 
 
+def test_passages_of_odd_rows(make_docs, odd_rows):
+    found = substring_dedup.find_repeats(make_docs(odd_rows)).collect()
+    assert {(r.doc_id, r.first_id, r.kept) for r in found} == {(1, 1, True), (2, 1, False), (None, 1, False), (6, 6, True), (7, 6, False)}
+
+
 @pytest.mark.parametrize("letters", [2, 3, 4])
 def test_passages_of_short_words_are_all_found(make_docs, letters):
     import random
