@@ -58,8 +58,9 @@ def refused_calls(spark, folder):
 
 
 def _stream(spark, folder, name):
-    schema = table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # A table is a file or a folder of files; as a pattern, the path may name either.
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.[p]arquet")
 
 
 def _drained(query):

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 
 from postlens.operators import scoring
+from postlens.plans import activity
 from postlens.streaming import jobs, outages
 
 EVENTS = "event_id int, user_id int, ts timestamp_ntz, event_type string, value double"
@@ -130,6 +131,25 @@ def test_scored_stream_equals_batch(spark, tmp_path):
     assert streamed.count() == 60 and streamed.exceptAll(batch.select(streamed.columns)).count() == 0
 
 
+def test_table_streams_read_files_and_folders(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "the and. of de. " * (i % 3)) for i in range(40)], "doc_id long, text string")
+    events = spark.createDataFrame([(i, datetime(2024, 1, 1, 0, i % 3), i % 4, "view", 1.0) for i in range(60)],
+                                   "event_id long, ts timestamp_ntz, user_id long, event_type string, value double")
+    for kind, pieces in (("folder", 3), ("file", 1)):
+        for name, rows in (("documents", docs), ("events", events)):
+            at = tmp_path / kind / f"{name}.parquet"
+            rows.repartition(pieces).write.parquet(str(at))
+            if kind == "file":
+                whole = next(at.glob("part-*")).read_bytes()
+                at.rename(tmp_path / f"{name}-written")
+                at.write_bytes(whole)
+        found = activity.score_stream(spark, str(tmp_path / kind)).collect()
+        assert sorted(r.doc_id for r in found) == list(range(40))
+        batch = {tuple(r) for r in activity.rate_audit(spark, str(tmp_path / kind)).collect()}
+        rates = {tuple(r) for r in activity.rate_audit_stream(spark, str(tmp_path / kind)).collect()}
+        assert batch and rates == batch
+
+
 def test_rate_audit(spark):
     rows = [(i, 1, START + timedelta(minutes=i), "view", 0.0) for i in range(20)]
     got = [(r["window_start"], r["requests"]) for r in jobs.rate_audit(spark.createDataFrame(rows, EVENTS), limit=10).collect()]
