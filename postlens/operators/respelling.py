@@ -3,28 +3,33 @@
 A noisy channel: marks are lost by folding letters, and a text is restored as
 the likeliest sequence of known forms that folds to it. ``learn`` counts the
 forms of every folded word and the pairs of neighbours in a corpus, or takes a
-word table. ``restore`` gives each word its candidate forms by a join on the
-folded word and each pair of neighbours its count by a join on the pair, and
-then follows the best path through a text.
+word table. ``restore`` gives each text the candidate forms of its different
+words by a join on the folded word and the counts of its different pairs of
+neighbours by a join on the folded pair, and then follows the best path through
+the text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from math import log1p
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postlens.functions import text as tx
+from postlens.functions import values as val
 from postlens.operators.rows import unnest
 from postlens.session import materialize
 
 #: Letters and what they are folded to.
 TURKISH = ("çğıöşü", "cgiosu")
+#: Texts that a Python task holds as objects at a time.
+SLICE = 256
 
 
 class Spelling(NamedTuple):
@@ -58,8 +63,9 @@ def from_words(words: DataFrame, pairs: DataFrame | None = None, letters: tuple[
 
 def learn(df: DataFrame, column: str = "text", letters: tuple[str, str] = TURKISH) -> Spelling:
     """Count forms and neighbours in normalised texts; a null text has none."""
-    words = df.select(F.posexplode_outer(tokens(F.col(column))).alias("i", "form"), tokens(F.col(column)).alias("all"))
-    words = words.where("form is not null").select("form", F.get("all", F.col("i") + 1).alias("next"))
+    # Each word takes its neighbour along and nothing else of its text, so a text takes time in proportion to its length.
+    beside = val.let(tokens(F.col(column)), lambda words: F.transform(words, lambda w, i: F.struct(w.alias("form"), F.get(words, i + 1).alias("next"))))
+    words = unnest(df, [], beside, "w").select("w.*")
     counts = materialize(words.groupBy("form", "next").agg(F.count("*").alias("n")), "neighbours")
     return from_words(counts.select("form", "n"), counts.where("next is not null").select(F.col("form").alias("a"), F.col("next").alias("b"), "n"), letters)
 
@@ -69,63 +75,118 @@ def best_path(forms: list[list[tuple[str, int]]], pairs: list[dict[tuple[str, st
 
     Of equal paths the one with the earlier forms, from the last word back.
     """
-    scores, back = [], []
+    last, back = [], []
     for i, options in enumerate(forms):
-        own = np.log1p([n for _, n in options])
-        if i:
-            step = np.log1p([[pairs[i - 1].get((a, b), 0) for a, _ in forms[i - 1]] for b, _ in options]) + scores[-1][None, :]
-            back.append(step.argmax(axis=1))
-            own = own + step.max(axis=1)
-        scores.append(own)
-    at, path = int(scores[-1].argmax()) if scores else 0, []
+        if not i:
+            last = [log1p(n) for _, n in options]
+            continue
+        before, near = forms[i - 1], pairs[i - 1]
+        if len(before) == len(options) == 1:
+            # What all paths gain alike decides nothing.
+            back.append([0])
+            continue
+        now, came = [], []
+        for b, n in options:
+            best, at = -1.0, 0
+            for k, (a, _) in enumerate(before):
+                score = last[k] + (log1p(near[a, b]) if (a, b) in near else 0.0)
+                if score > best:
+                    best, at = score, k
+            now.append(best + log1p(n))
+            came.append(at)
+        last = now
+        back.append(came)
+    at, path = last.index(max(last)) if last else 0, []
     for i in range(len(forms) - 1, -1, -1):
         path.append(forms[i][at][0])
-        at = int(back[i - 1][at]) if i else 0
+        at = back[i - 1][at] if i else 0
     return path[::-1]
 
 
+def _options(texts: list[str], known: dict[str, list]) -> list[list]:
+    """Candidate forms of every word, in order; texts that share their keys are read word by word beside each other."""
+    listed = [[known.get(w) or [(w, 0)] for w in text.split(" ") if w] for text in texts]
+    if len(listed) == 1:
+        return listed[0]
+    return [options for _, options in sorted((i, options) for words in listed for i, options in enumerate(words))]
+
+
+def _known(held: list[dict] | None) -> dict[str, list]:
+    return {h["word"]: [(o["form"], o["n"]) for o in h["forms"]] for h in held or []}
+
+
+def _open_pairs(letters: tuple[str, str]):
+    """Rows ``(keys…, texts, held)`` with ``asked``: the folded pairs of neighbours of which one has a choice, once a text."""
+    table = str.maketrans(*letters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            rows = []
+            for texts, held in zip(*[c.to_pylist() for c in batch.columns[-2:]]):
+                options = _options(texts, _known(held))
+                rows.append(list({(a[0][0].translate(table), b[0][0].translate(table)): None for a, b in zip(options, options[1:])
+                                  if len(a) > 1 or len(b) > 1}))
+            asked = pa.array([[{"fa": a, "fb": b} for a, b in row] for row in rows], pa.list_(pa.struct([("fa", pa.string()), ("fb", pa.string())])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, asked], [*batch.schema.names, "asked"])
+    return run
+
+
+def _follow(keys: int):
+    """Rows ``(keys…, texts, held, pairs)``, or without ``pairs``, to ``(keys…, restored)``, one for every text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            rows, at = [], []
+            for place, (texts, held, *found) in enumerate(zip(*[c.to_pylist() for c in batch.columns[keys:]])):
+                options = _options(texts, _known(held))
+                if found:
+                    counts = {(p["a"], p["b"]): p["n"] for listed in found[0] or [] for p in listed}
+                    path = best_path(options, [counts] * len(options))
+                else:
+                    path = [o[0][0] for o in options]
+                rows += [" ".join(path)] * len(texts)
+                at += [place] * len(texts)
+            columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:keys]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.string())], [*batch.schema.names[:keys], "restored"])
+    return run
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SLICE) for batch in batches for at in range(0, batch.num_rows, SLICE))
+
+
 def restore(df: DataFrame, spelling: Spelling, keys: list[str], column: str = "text", neighbours: bool = True) -> DataFrame:
     """``(keys…, restored)`` of normalised texts; ``keys`` tell the texts apart.
 
     A word that has marks already, or that no known form folds to, stays. With
     ``neighbours`` the best path decides, else each word's most frequent form
     (ties by form). A null or empty text is restored as the empty text.
+
+    A text asks once for each of its different words that may change, and for
+    each of its different pairs of neighbours with a choice.
     """
     split = df.select(*keys, tokens(F.coalesce(F.col(column), F.lit(""))).alias("all"))
-    words = unnest(split, keys, "all", "word", "i")
-    plain = fold(F.col("word"), spelling.letters) == F.col("word")
-    met = words.join(spelling.words.withColumnRenamed("folded", "word"), "word", "left")
-    itself = F.array(F.struct(F.col("word").alias("form"), F.lit(0).cast("long").alias("n")))
-    options = met.select(*keys, "i", F.when(plain, F.coalesce("forms", itself)).otherwise(itself).alias("forms"))
+    words = unnest(split, keys, F.array_distinct("all"), "word").where(fold(F.col("word"), spelling.letters) == F.col("word"))
+    met = words.join(spelling.words.withColumnRenamed("folded", "word"), "word")
     if not neighbours:
-        best = options.select(*keys, F.struct("i", F.col("forms")[0]["form"].alias("form")).alias("w"))
-        restored = best.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list("w")), lambda x: x["form"]), " ").alias("restored"))
-    else:
-        # One text to a row; its words came from one row.
-        texts = options.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "forms"))).alias("w"))
-        texts = materialize(texts.select(*keys, F.transform("w", lambda x: x["forms"]).alias("forms")), "candidates")
-        # Only pairs with a choice need a count.
-        spots = F.transform(F.col("forms"), lambda x, i: F.struct(i.alias("i"), x.alias("a"), F.get("forms", i + 1).alias("b")))
-        open_ = F.filter(spots, lambda x: x["b"].isNotNull() & ((F.size(x["a"]) > 1) | (F.size(x["b"]) > 1)))
-        both = F.flatten(F.transform(open_, lambda x: F.flatten(F.transform(x["a"], lambda a: F.transform(x["b"], lambda b: F.struct(
-            x["i"].alias("i"), a["form"].alias("a"), b["form"].alias("b")))))))
-        asked = unnest(texts, keys, both, "p").select(*keys, "p.*")
-        counted = asked.join(spelling.pairs.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n")), ["a", "b"])
-        held = counted.groupBy(*keys).agg(F.collect_list(F.struct("i", "a", "b", "n")).alias("pairs"))
-
-        def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for listed, found in zip(*[c.to_pylist() for c in batch.columns[-2:]]):
-                    known: list[dict] = [{} for _ in listed]
-                    for p in found or []:
-                        known[p["i"]][p["a"], p["b"]] = p["n"]
-                    rows.append(" ".join(best_path([[(o["form"], o["n"]) for o in word] for word in listed], known)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, pa.string())], [*batch.schema.names[:-2], "restored"])
-
-        both_parts = texts.join(held, keys, "left").select(*keys, "forms", "pairs")
-        restored = both_parts.mapInArrow(follow, T.StructType([*texts.select(*keys).schema.fields, T.StructField("restored", T.StringType())]))
-    return df.select(*keys).join(restored, keys, "left").withColumn("restored", F.coalesce("restored", F.lit("")))
+        met = met.where(F.col("forms")[0]["form"] != F.col("word")).withColumn("forms", F.slice("forms", 1, 1))
+    # As many forms as a text has different words, and one text to its keys.
+    held = met.groupBy(*keys).agg(F.collect_list(F.struct("word", "forms")).alias("held"))
+    texts = df.groupBy(*keys).agg(F.collect_list(F.coalesce(F.col(column), F.lit(""))).alias("texts")).join(held, keys, "left")
+    out = T.StructType([*df.select(*keys).schema.fields, T.StructField("restored", T.StringType())])
+    if neighbours:
+        pair = T.ArrayType(T.StructType([T.StructField("fa", T.StringType()), T.StructField("fb", T.StringType())]))
+        texts = materialize(texts.mapInArrow(_open_pairs(spelling.letters), T.StructType([*texts.schema.fields, T.StructField("asked", pair)])), "candidates")
+        folded = [fold(F.col(x), spelling.letters).alias(f"f{x}") for x in ("a", "b")]
+        # The counted pairs of the forms of two folded words; their product is the most.
+        counted = spelling.pairs.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n")).groupBy(*folded).agg(
+            F.collect_list(F.struct("a", "b", "n")).alias("l"))
+        asked = unnest(texts, keys, "asked", "p").select(*keys, "p.*").join(counted, ["fa", "fb"])
+        texts = texts.drop("asked").join(asked.groupBy(*keys).agg(F.collect_list("l").alias("pairs")), keys, "left")
+        texts = texts.select(*keys, "texts", "held", "pairs")
+    restored = texts.mapInArrow(_follow(len(keys)), out)
+    # Rows without keys are none that could be told apart.
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    return restored.withColumn("restored", F.when(whole, F.coalesce("restored", F.lit(""))).otherwise(""))
 
 
 def normalize_and_restore(df: DataFrame, spelling: Spelling, keys: list[str], column: str = "text") -> DataFrame:

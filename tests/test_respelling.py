@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 from postlens.operators import respelling as sp
 
@@ -58,3 +59,15 @@ def test_folded_texts_are_mostly_restored(spark):
     got = {r.id: r.restored.split() for r in sp.restore(folded, sp.learn(df.where("id >= 100")), ["id"]).where("id < 100").collect()}
     words = [(a, b) for i, t in texts[:100] for a, b in zip(t.split(), got[i])]
     assert sum(a == b for a, b in words) / len(words) > 0.97
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    text = " ".join(f"açık{i}" for i in range(80_000))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    sp.restore(df.limit(0), sp.learn(df.limit(0)), ["id"]).collect()
+    begin = time.monotonic()
+    spelling = sp.learn(df)
+    folded = df.select("id", sp.fold(df["text"]).alias("text"))
+    assert sp.restore(folded, spelling, ["id"]).first().restored == text
+    assert sp.restore(folded, spelling, ["id"], neighbours=False).first().restored == text
+    assert time.monotonic() - begin < 60
