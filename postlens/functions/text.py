@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +20,32 @@ SPACES = f"[{SPACE_CLASS}]+"
 SENTENCE_END = r"[.?!…\n]+"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+#: Texts that a Python task holds as objects at a time.
+SLICE = 256
+#: A character reference as ``html.unescape`` finds it.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 
 
-@F.pandas_udf(T.StringType())
-def _compose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _unescape(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield pa.array([None if found is None else [html.unescape(x) for x in found] for found in batch.slice(at, SLICE).to_pylist()],
+                           pa.list_(pa.string()))
 
 
-@F.pandas_udf(T.StringType())
-def _decompose(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
+@F.arrow_udf(T.StringType())
+def _compose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in batch.slice(at, SLICE).to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def _decompose(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield pa.array([None if t is None else unicodedata.normalize("NFKD", t) for t in batch.slice(at, SLICE).to_pylist()], pa.string())
 
 
 def strip(col: Column) -> Column:
@@ -40,8 +54,11 @@ def strip(col: Column) -> Column:
 
 
 def html_unescape(col: Column) -> Column:
-    """Decode named and numeric entities. Rows without ``&`` stay in the JVM."""
-    return F.coalesce(_unescape(F.when(col.contains("&"), col)), col)
+    """Decode named and numeric entities. Only the references of a text leave the JVM."""
+    plain = _unescape(F.when(col.contains("&"), F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0))))
+    beside = F.arrays_zip(F.split(col, REFERENCE, -1).alias("gap"), plain.alias("plain"))
+    parts = F.transform(beside, lambda x: F.concat(x["gap"], F.coalesce(x["plain"], F.lit(""))))
+    return F.when(F.size(plain) > 0, F.array_join(parts, "")).otherwise(col)
 
 
 def nfc(col: Column) -> Column:

@@ -163,3 +163,14 @@ def test_sql_names(spark):
     spark.createDataFrame([(1, "Bir. İki! ")], "id int, body string").createOrReplaceTempView("sql_posts")
     rows = spark.sql("SELECT id, s.sent_idx, s.sentence FROM sql_posts, LATERAL split_sentences(body) s").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "Bir"), (1, 1, "İki")]
+
+
+def test_only_references_leave_the_jvm(spark):
+    rng = random.Random(5)
+    parts = ["&", "&amp;", "&lt", "&notit;", "&#65;", "&#x41", "&#0;", "é", "\U0001f600", "x", " ", "\n", ";", "#", "&&", "&copy2", "&" + "\U0001f600" * 31]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = df.select("i", tx.html_unescape(F.col("t")).alias("u"))
+    assert {r.i: r.u for r in found.collect()} == {i: None if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    asked = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "ArrowEvalPython" in line]
+    assert asked and "array<string>" in str(tx._unescape.returnType.simpleString())
