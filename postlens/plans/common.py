@@ -28,6 +28,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(rows, *TEXT_KEYS[name]) if name in TEXT_KEYS else rows
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows on all cores, however few pieces they are stored in: what follows takes far longer than the shuffle."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 # The supplied documents are invented prose in four languages, so the phrase
 # lists, stop words and vocabularies below are frequent words of that prose.
 LEXICON = scoring.Lexicon(

@@ -28,7 +28,7 @@ def _item(number, name, count):
 
 def _listing(spark, folder):
     """One topic list per small-text event: its user is the topic, its counter the size."""
-    events = table(spark, folder, "events")
+    events = c.dealt(table(spark, folder, "events").select("event_id", "user_id", "event_type", "props"), "event_id")
     line = _item(F.col("user_id"), F.col("event_type"), F.get_json_object("props", "$.k"))
     return events.select("event_id", F.concat(
         F.lit('<div id="content-body"><p class="topic-list-description"> '), F.col("user_id"), F.lit(' başlık </p><ul class="topic-list partial">'),
@@ -79,7 +79,7 @@ def single_entries(spark, folder):
 
 
 def user_profiles(spark, folder):
-    people = table(spark, folder, "customer")
+    people = c.dealt(table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
     key, money = F.col("c_custkey"), F.col("c_nationkey")
     html = F.concat(
         F.lit('<h1 id="user-profile-title" data-nick="'), "c_name", F.lit('">x</h1><div id="quote-entry"><h2><a>'), "c_mktsegment",

@@ -6,14 +6,16 @@ else (which element belongs where, which field it feeds) is a Spark expression.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from postlens.functions import links
 from postlens.functions import text as tx
@@ -34,33 +36,71 @@ ELEMENTS = T.ArrayType(T.StructType([
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+#: Plain markup: text, entities that end as they should, end tags, and start tags whose attributes are in double quotes.
+_PLAIN = re.compile(r'[^<&]+|&(?:[a-zA-Z][a-zA-Z0-9]*|#[0-9]+);|</([a-z][a-z0-9]*)>|<([a-z][a-z0-9]*)((?: [a-z][a-z0-9-]*="[^"&<>]*")*)>')
+_ATTRIBUTE = re.compile(r' ([a-z][a-z0-9-]*)="([^"]*)"')
+#: Elements whose content is not read as markup, or not everywhere.
+_RAW = {"script", "style", "textarea", "title", "plaintext", "xmp", "iframe", "noembed", "noframes", "noscript", "svg", "math"}
+
+
 class _Lister(HTMLParser):
-    """Lists the elements whose tag, class or id is wanted. Entities stay as written."""
+    """Lists the elements whose tag, class or id is wanted. Entities stay as written.
+
+    A page of plain markup is read by one pattern; at anything else it is left
+    to the parser from its beginning.
+    """
 
     def __init__(self, page: str, wanted: set[str]):
-        super().__init__(convert_charrefs=False)
-        self.page, self.wanted, self.open, self.found, self.seen = page, wanted, [], [], 0
-        self.line_starts = [0]
-        for line in page.split("\n"):
-            self.line_starts.append(self.line_starts[-1] + len(line) + 1)
-        self.feed(page)
-        self.close()
+        self.page, self.wanted = page, wanted
+        if not self._plain():
+            super().__init__(convert_charrefs=False)
+            self.open, self.found, self.seen, self.line_starts = [], [], 0, [0]
+            for line in page.split("\n"):
+                self.line_starts.append(self.line_starts[-1] + len(line) + 1)
+            self.feed(page)
+            self.close()
         self._pop(0, len(page))
 
+    def _plain(self) -> bool:
+        self.open, self.found, self.seen, read = [], [], 0, 0
+        for m in _PLAIN.finditer(self.page):
+            if m.start() != read:
+                return False
+            read = m.end()
+            end, tag, attrs = m.groups()
+            if tag:
+                if tag in _RAW:
+                    return False
+                self._start(tag, dict(_ATTRIBUTE.findall(attrs)) if attrs else {}, m.start(), read)
+            elif end:
+                self._end(end, m.start())
+            elif self.open:
+                self.handle_data(m.group())
+        return read == len(self.page)
+
     def _offset(self) -> int:
         line, column = self.getpos()
         return self.line_starts[line - 1] + column
 
     def handle_starttag(self, tag, attrs):
+        at = self._offset()
+        self._start(tag, {k: v or "" for k, v in attrs}, at, at + len(self.get_starttag_text()))
+
+    def handle_endtag(self, tag):
+        self._end(tag, self._offset())
+
+    def _start(self, tag: str, attrs: dict, at: int, inside: int):
         if tag == "li":  # a new list item ends the one before it
             lists = [i for i, e in enumerate(self.open) if e["tag"] in ("li", "ul", "ol")]
             if lists and self.open[lists[-1]]["tag"] == "li":
-                self._pop(lists[-1], self._offset())
-        attrs = {k: v or "" for k, v in attrs}
-        marks = [tag] + ["." + c for c in attrs.get("class", "").split()] + ["#" + i for i in attrs.get("id", "").split()]
+                self._pop(lists[-1], at)
+        marks = [tag]
+        if "class" in attrs:
+            marks += ["." + c for c in attrs["class"].split()]
+        if "id" in attrs:
+            marks += ["#" + i for i in attrs["id"].split()]
         element = {"at": self.seen, "tag": tag, "attrs": attrs, "marks": marks, "own": [], "all": [],
-                   "start": self._offset() + len(self.get_starttag_text()),
-                   "wanted": not self.wanted.isdisjoint(marks)}
+                   "start": inside, "wanted": not self.wanted.isdisjoint(marks)}
         self.seen += 1
         if tag in VOID:
             element["start"] = 0
@@ -68,10 +108,10 @@ class _Lister(HTMLParser):
         else:
             self.open.append(element)
 
-    def handle_endtag(self, tag):
+    def _end(self, tag: str, at: int):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i]["tag"] == tag:
-                return self._pop(i, self._offset())
+                return self._pop(i, at)
 
     def _pop(self, depth: int, end: int):
         while len(self.open) > depth:
@@ -80,7 +120,7 @@ class _Lister(HTMLParser):
     def _list(self, element: dict, end: int):
         if element["wanted"]:
             self.found.append({
-                "at": element["at"], "tag": element["tag"], "attrs": element["attrs"],
+                "at": element["at"], "tag": element["tag"], "attrs": list(element["attrs"].items()),
                 "within": [m for e in self.open for m in e["marks"]], "parents": [e["at"] for e in self.open],
                 "own_text": "".join(element["own"]), "text": "".join(element["all"]),
                 "inner": self.page[element["start"]:end]})
@@ -99,14 +139,20 @@ class _Lister(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
+#: Pages whose elements a Python task holds as objects at a time.
+SLICE = 128
+
+
 def with_elements(pages: DataFrame, wanted: list[str], html: str = "html") -> DataFrame:
     """Add ``elements``: the elements matching one of ``wanted`` (``tag``, ``.class`` or ``#id``), in page order."""
-    marks = set(wanted)
+    marks, listed = set(wanted), to_arrow_type(ELEMENTS)
 
-    @F.pandas_udf(ELEMENTS)
-    def listing(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ELEMENTS)
+    def listing(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([sorted(_Lister(p, marks).found, key=lambda e: e["at"]) if p else [] for p in batch])
+            for at in range(0, len(batch), SLICE):
+                yield pa.array([sorted(_Lister(p, marks).found, key=lambda e: e["at"]) if p else []
+                                for p in batch.slice(at, SLICE).to_pylist()], listed)
 
     # Declared nondeterministic so that a filter on the result cannot parse the pages twice.
     return pages.withColumn("elements", listing.asNondeterministic()(F.col(html)))

@@ -1,10 +1,13 @@
 import json
+import random
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from postlens import schemas
 from postlens.operators import filters
+from postlens.plans import ingest
 from postlens.sources import pages, posts, snapshots
 
 ENTRIES = [{"id": "1", "author": "ada", "body": "bir", "topic": "pena"}, {"id": "2", "author": "bora", "body": "iki\nüç", "topic": "pena"}]
@@ -169,3 +172,26 @@ def test_a_folder_of_mixed_shapes_loses_nothing(spark, tmp_path):
 def test_missing_values_of_numeric_columns(spark):
     df = spark.createDataFrame([(1, "a"), (None, "b"), (2, ""), (3, None)], "n int, t string")
     assert [r["n"] for r in filters.drop_missing(df, ["n", "t"]).collect()] == [1]
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it(monkeypatch):
+    rng = random.Random(4)
+    parts = ["<ul>", "</ul>", "<li>", '<li data-id="3">', "</li>", '<a href="/x--1?a=b">', "</a>", "<small>", "</small>", "söz > 1", " \n", "&amp;",
+             "&#39;", "<br>", '<div class="topic-list x" id="k">', "</div>", "<p>", "</b>"]
+    odd = ["<br/>", "a < b", "& x", "<script>", "<!-- a -->", "<a href='/y'>", '<A HREF="/z">', "</", "&amp", '<i title="a&amp;b">']
+    for n in range(400):
+        page = "".join(rng.choices(parts + odd * (n % 2), k=rng.randrange(1, 25)))
+        fast = pages._Lister(page, {"a", "li", "small", ".topic-list", "#k", "br"}).found
+        with monkeypatch.context() as m:
+            m.setattr(pages._Lister, "_plain", lambda self: False)
+            assert fast == pages._Lister(page, {"a", "li", "small", ".topic-list", "#k", "br"}).found, page
+
+
+def test_pages_of_a_single_file_are_parsed_on_all_cores(spark, tmp_path):
+    spark.createDataFrame([(i, i % 7, "view", '{"k": 3}') for i in range(300)], "event_id long, user_id long, event_type string, props string").coalesce(
+        1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i, f"n{i}", "m", 1) for i in range(300)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey int").coalesce(
+        1).write.parquet(str(tmp_path / "customer.parquet"))
+    for query in (ingest.listed_threads, ingest.search_pages, ingest.user_profiles):
+        parts = query(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+        assert len(parts) >= 4 and sum(r["count"] for r in parts) in (300, 600)
