@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postlens import schemas
 from postlens.operators import filters
 from postlens.plans import ingest
-from postlens.sources import pages, posts, snapshots
+from postlens.sources import pages, posts, snapshots, splits
 
 ENTRIES = [{"id": "1", "author": "ada", "body": "bir", "topic": "pena"}, {"id": "2", "author": "bora", "body": "iki\nüç", "topic": "pena"}]
 
@@ -195,3 +195,12 @@ def test_pages_of_a_single_file_are_parsed_on_all_cores(spark, tmp_path):
     for query in (ingest.listed_threads, ingest.search_pages, ingest.user_profiles):
         parts = query(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
         assert len(parts) >= 4 and sum(r["count"] for r in parts) in (300, 600)
+
+
+def test_small_dumps_are_read_once(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        _write(tmp_path, f"d{i}.json", json.dumps({"metadata": {"n": i}, "entries": [{**ENTRIES[0], "id": str(i)}]}, indent=1))
+    monkeypatch.setattr(splits, "_compose", None)
+    found = posts.read_posts(spark, str(tmp_path), shape="document")
+    assert sorted(int(r["id"]) for r in found.entries.select("id").collect()) == list(range(300))
+    assert found.metadata.count() == 300 and found.rejects.count() == 0
