@@ -162,6 +162,20 @@ def test_repeats_equal_brute_force_with_one_cut_a_source(make_docs):
     assert all(max(b - a for a, b in zip(x, x[1:])) < len(out) / 4 for x in last.values())
 
 
+def test_repeats_stand_in_the_order_of_the_schedule(make_docs):
+    docs = make_docs([(i, prose(i, 100 + i % 40), "abc"[i * i % 7 % 3]) for i in range(120)])
+    mix = mixing.plan_mix(docs)
+    laid = {r._id: (r._s, r._start) for r in mix.docs.collect()}
+    blocks = {r._s: r._blocks for r in mix.sources.collect()}
+    slots = {(r._s, r.turn): r.slot for r in mix.schedule.collect()}
+    seen, places = Counter(), []
+    for r in mixing.repeat_documents(docs).collect():
+        s, start = laid[r.doc_id]
+        places.append((slots[s, seen[r.doc_id] * blocks[s] + start // mixing.BLOCK_WORDS], start))
+        seen[r.doc_id] += 1
+    assert places == sorted(places) and len({slot for slot, _ in places}) > 10
+
+
 def test_repeats_of_rows_that_share_id_and_size(make_docs):
     rows = [(1, f"{w} " * 10, "a") for w in ("x", "y", "z")] + [(2, "q " * 30, "b"), (2, "q " * 30, "b"), (3, "r " * 50, "c")]
     out = mixing.repeat_documents(make_docs(rows)).collect()
