@@ -36,6 +36,8 @@ NEVER = np.iinfo(np.int64).min
 BLOCK, FAN_IN = 4096, 16
 #: A late row is seen, not dropped by the engine, while it is less than this older than the newest one.
 LATE_DAYS = 36_500
+#: Groups of sources that share state in a stream.
+GROUPS = 1024
 
 Step = tuple[np.ndarray, np.ndarray]
 _LONGS = T.ArrayType(T.LongType())
@@ -243,55 +245,74 @@ def refused_calls(events: DataFrame, outages: DataFrame, ttl_seconds: float = 30
 # --- stream -------------------------------------------------------------------------------------
 
 def outage_stream(events: DataFrame, ttl_seconds: float = 30, key: str = "user_id", ts: str = "ts",
-                  failed: str = "event_type = 'error'", lateness_seconds: float = 3600) -> DataFrame:
+                  failed: str = "event_type = 'error'", lateness_seconds: float = 3600, groups: int = GROUPS) -> DataFrame:
     """The outages of a stream whose rows come in any order: ``(key, outage_start, outage_end, late)``.
 
-    Failures wait in their source's state until the watermark, the newest event
-    time seen less ``lateness_seconds``, has passed them; then they are followed
+    Failures wait in keyed state until the watermark, the newest event time seen
+    less ``lateness_seconds``, has passed them; then those of a source are followed
     in order. An event-time timer releases them when their source is silent. A
     failure that comes after the watermark has passed it is not followed: it
     leaves as a row with ``late`` true, its time as ``outage_start`` and no end.
-    State goes once its last outage is over and nothing waits. The outages are
+    State goes once the last outage is over and nothing waits. The outages are
     those of the batch form if no row is late; the last ``lateness_seconds``
     stay open until a later event of any kind, or any source, moves the watermark.
 
     State per source: the end of its last outage and its failures of the last
-    ``lateness_seconds``.
+    ``lateness_seconds``. Sources share the state of one of ``groups`` hash groups,
+    so a micro-batch calls Python ``groups`` times at most, however many sources
+    there are. ``groups`` stays as it is for the life of a checkpoint; raise it
+    where a group's share of all waiting failures is too much for one task.
     """
-    ttl, schema = int(ttl_seconds * MICROS), "key {}, start bigint, late boolean"
+    ttl = int(ttl_seconds * MICROS)
     # The engine drops rows behind the watermark of its event-time column unseen. That column runs ahead of
     # the true time by LATE_DAYS and so does the delay: the watermark is the true one, and late rows arrive.
     ahead = events.withColumn("_clock", F.col(ts).cast("timestamp") + F.make_dt_interval(F.lit(LATE_DAYS)))
     delay = f"{LATE_DAYS * 86_400_000 + int(lateness_seconds * 1000)} milliseconds"
+    key_type = events.schema[key].dataType
+    # In state a source is a number or, if of another type, its text.
+    source_type = "bigint" if isinstance(key_type, T.IntegralType) else "string"
+    dtype = np.int64 if source_type == "bigint" else object
     # The filter looks at the clock, so that it stays above the watermark and every event moves time on.
     failures = ahead.withWatermark("_clock", delay).where(F.when(F.expr(failed), F.col("_clock")).isNotNull()).where(
-        F.col(key).isNotNull()).select(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), "_clock")
-    key_type = failures.schema["key"].dataType.simpleString()
+        F.col(key).isNotNull()).select(F.col(key).cast(source_type).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), "_clock")
+    grouped = failures.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
 
-    def step(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getCurrentWatermarkMs()
-        until, waiting = state.get if state.exists else (int(NEVER), [])
-        came = np.concatenate([np.asarray(waiting, np.int64), *[b["at"].to_numpy(np.int64) for b in batches]])
-        fresh = np.unique(came)
-        late = [] if not now else fresh[(fresh < now * 1000) & ~np.isin(fresh, np.asarray(waiting, np.int64))]
-        on_time = np.setdiff1d(fresh, late)
-        passed = on_time[on_time < now * 1000]
-        waiting = on_time[len(passed):]
-        found = chain(passed, until, ttl)
-        if found:
-            until = found[-1] + ttl
-        if len(waiting) or until > now * 1000:
-            state.update((until, waiting.tolist()))
+        sources, until, counts, waiting = state.get if state.exists else ([], [], [], [])
+        held, parts = len(sources), list(batches)
+        # The held sources are distinct, so their numbers are 0, 1, 2 …
+        number, names = pd.factorize(np.concatenate([np.asarray(sources, dtype), *[b["key"].to_numpy(dtype) for b in parts]]))
+        owner = np.concatenate([np.repeat(np.arange(held), np.asarray(counts, np.int64)), number[held:]])
+        at = np.concatenate([np.asarray(waiting, np.int64), *[b["at"].to_numpy(np.int64) for b in parts]])
+        came = np.arange(len(at)) >= len(waiting)
+        # Distinct failures by source and time; of equal ones, that which waits.
+        order = np.lexsort((came, at, owner))
+        owner, at, came = owner[order], at[order], came[order]
+        fresh = np.append(True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1]))[:len(at)]
+        owner, at, came = owner[fresh], at[fresh], came[fresh]
+        passed = at < now * 1000
+        late = passed & came & bool(now)
+        ends, found = [*until, *[int(NEVER)] * (len(names) - held)], []
+        for who, time in zip(owner[passed & ~late].tolist(), at[passed & ~late].tolist()):
+            if time >= ends[who]:
+                found.append((who, time, False))
+                ends[who] = time + ttl
+        ends, waits = np.asarray(ends, np.int64), np.bincount(owner[~passed], minlength=len(names))
+        keep = (waits > 0) | (ends > now * 1000)
+        if keep.any():
+            state.update((names[keep].tolist(), ends[keep].tolist(), waits[keep].tolist(), at[~passed].tolist()))
             # A whole millisecond that lies after the first moment of interest and after the watermark.
-            first = int(waiting[0]) if len(waiting) else until
+            first = int(np.concatenate([at[~passed], ends[keep & (waits == 0)]]).min())
             state.setTimeoutTimestamp(max(first // 1000 + 1, now + 1))
         elif state.exists:
             state.remove()
-        rows = [(key_[0], s, False) for s in found] + [(key_[0], int(s), True) for s in late]
-        yield pd.DataFrame({"key": pd.Series([r[0] for r in rows]), "start": pd.Series([r[1] for r in rows], dtype="int64"),
-                            "late": pd.Series([r[2] for r in rows], dtype="bool")})
-
-    listed = failures.groupBy("key").applyInPandasWithState(
-        step, schema.format(key_type), "until bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-    found = _windows(listed, key, ttl, "late")
+        rows = found + [(who, time, True) for who, time in zip(owner[late].tolist(), at[late].tolist())]
+        yield pd.DataFrame({"key": names[[r[0] for r in rows]] if rows else np.zeros(0, dtype),
+                            "start": pd.Series([r[1] for r in rows], dtype="int64"), "late": pd.Series([r[2] for r in rows], dtype="bool")})
+
+    held_type = f"sources array<{source_type}>, until array<bigint>, counts array<bigint>, waiting array<bigint>"
+    listed = grouped.groupBy("group").applyInPandasWithState(
+        step, f"key {source_type}, start bigint, late boolean", held_type, "append", GroupStateTimeout.EventTimeTimeout)
+    found = _windows(listed.withColumn("key", F.col("key").cast(key_type)), key, ttl, "late")
     return found.withColumn("outage_end", F.when(~F.col("late"), F.col("outage_end")))

@@ -120,6 +120,22 @@ def test_outage_stream_sets_late_failures_aside(spark, tmp_path):
     assert seconds == {(100, False, False), (50, True, True), (960, False, False)} and left == 0
 
 
+def test_outage_stream_keeps_the_state_of_many_sources_in_few_groups(spark, tmp_path):
+    rng = random.Random(11)
+    rows = [(i, f"s{rng.randrange(400)}", START + timedelta(seconds=rng.randrange(5000)), "error", 0.0) for i in range(3000)]
+    schema = EVENTS.replace("user_id int", "user_id string")
+    for part in [*(rows[i::3] for i in range(3)), [(-1, "other", START + timedelta(days=1), "view", 0.0)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = (outages.outage_stream(stream, 400, lateness_seconds=6000, groups=5).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+    assert max(held) == 5 and held[-1] == 0
+    got = spark.read.parquet(f"{tmp_path}/out").where("not late").collect()
+    assert {(r["user_id"], r["outage_start"]) for r in got} == _outages(rows, 400) and len(got) == len(_outages(rows, 400))
+
+
 def test_scored_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(i, "Harika. " * (i % 12) + "Rezalet.") for i in range(60)], "doc_id int, text string")
     source = str(tmp_path / "in")
