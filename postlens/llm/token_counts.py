@@ -38,8 +38,9 @@ MAX_TOKENS = 1024
 BLOCK_CHARS = 1 << 20
 #: Characters in a chunk whose state map is computed on its own.
 CHUNK_CHARS = 64
-#: Bounds of the memo of pre-tokens, of the counter's states and of its checked token pairs.
-MAX_MEMO, MAX_STATES, MAX_PAIRS = 200_000, 100_000, 300_000
+#: Bounds of the memo of pre-tokens, of the counter's states and transitions, and of its checked token pairs. Those of
+#: ordinary prose fit: what is dropped must be made again, which takes far longer than to find it.
+MAX_MEMO, MAX_STATES, MAX_MOVES, MAX_PAIRS = 600_000, 300_000, 800_000, 300_000
 MEMO_CHARS = 64
 
 # Symbols of the splitter's alphabet.
@@ -255,14 +256,14 @@ class Counter:
         return move
 
     def count(self, data: bytes) -> int:
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES or len(self.moves) > MAX_MOVES:
             self._reset()
         moves, state, total = self.moves, 0, 0
         for byte in data:
             move = moves.get(state << 8 | byte)
             if move is None:
                 # A single endless pre-token must not grow the table either: its state lives on under number 1.
-                if len(self.states) > 2 * MAX_STATES:
+                if len(self.states) > 2 * MAX_STATES or len(moves) > 2 * MAX_MOVES:
                     kept = self.states[state]
                     self._reset()
                     moves = self.moves

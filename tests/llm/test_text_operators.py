@@ -45,6 +45,19 @@ def test_small_blocks_and_tables_change_nothing(monkeypatch, library):
     token_counts.load.cache_clear()
 
 
+def test_the_counter_keeps_the_states_of_many_rare_words(monkeypatch):
+    rng = random.Random(4)
+    rare = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(45_000)]
+    counter = token_counts.Counter(TOKENIZER)
+    first = [counter.count(w.encode()) for w in rare]
+    assert len(counter.states) > 100_000
+    made = len(counter.moves)
+    assert [counter.count(w.encode()) for w in rare] == first
+    assert len(counter.moves) == made  # nothing was dropped and made again
+    monkeypatch.setattr(token_counts, "MAX_MOVES", 50)
+    assert [counter.count(w.encode()) for w in rare[:300]] == first[:300] and len(counter.moves) < 200
+
+
 def test_character_classes_equal_the_library():
     from tokenizers.pre_tokenizers import ByteLevel
     split = ByteLevel(add_prefix_space=False, use_regex=True)
