@@ -13,7 +13,8 @@
    may hold no whole chunk. So windows of ``MIN_WORDS`` + 1 words that are not inside a passage of step 3
    get a digest and a first holder of their own; neighbouring windows with neighbouring first holders are
    passages too. Only windows with a repeated anchor need a digest: anchors are the shorter windows whose hash is
-   least among a run of neighbours, so equal windows hold an equal anchor, whatever stands around them.
+   least among a run of neighbours, so equal windows hold an equal anchor, whatever stands around them. Anchors
+   that lie so deep in a passage that all their windows do are not counted.
 
 Every document but the first loses its copy. Chunks are computed twice instead
 of being stored, and hot digests are joined from stored tables, which AQE splits.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postlens.llm.common import WORD_GAP, Query, may_be_among, null_safe, stage, table, whole
+from postlens.llm.common import WORD_GAP, Query, may_be_among, null_safe, release, stage, table, whole
 
 #: Repeated passages have more words than this.
 MIN_WORDS = 50
@@ -233,17 +234,18 @@ def anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, size: int) -
 
 
 def _anchor_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(_id, _h, _start, _end, _anchor): the anchors of all texts, in code points."""
+    """(_id, _h, _start, _end, _low, _high, _anchor): the anchors of all texts, in code points; all windows that hold
+    an anchor lie in its _low to _high."""
     text = whole(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_h"), text.alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    names = ["_id", "_h", "_start", "_end", "_anchor"]
+    names = ["_id", "_h", "_start", "_end", "_low", "_high", "_anchor"]
     words = size - neighbours(size) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
-                owners, found = [np.zeros(0, np.int32)], [np.zeros((3, 0), np.int64)]
+                owners, found = [np.zeros(0, np.int32)], [np.zeros((5, 0), np.int64)]
                 for i in range(low, min(low + 1000, batch.num_rows)):
                     data = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint8)
                     begins, ends = word_bounds(data)
@@ -252,33 +254,41 @@ def _anchor_table(docs: DataFrame, id_col: str, text_col: str, size: int) -> Dat
                     place, hashed = anchors(data, begins, ends, size)
                     chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     owners.append(np.full(len(place), i, np.int32))
-                    found.append(np.stack([chars[begins[place]], chars[ends[place + words - 1]], hashed.view(np.int64)]))
-                own, (starts, stops, hashed) = pa.array(np.concatenate(owners)), np.concatenate(found, axis=1)
+                    low_word, high_word = np.maximum(place + words - size, 0), np.minimum(place + size, len(begins)) - 1
+                    found.append(np.stack([chars[x] for x in (
+                        begins[place], ends[place + words - 1], begins[low_word], ends[high_word])] + [hashed.view(np.int64)]))
+                own, (*spots, hashed) = pa.array(np.concatenate(owners)), np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(own), batch.column(1).take(own), pa.array(starts.astype(np.int32)),
-                    pa.array(stops.astype(np.int32)), pa.array(hashed)], names)
+                    batch.column(0).take(own), batch.column(1).take(own), *[pa.array(x.astype(np.int32)) for x in spots], pa.array(hashed)], names)
 
-    return rows.mapInArrow(run, f"_id {kind}, _h long, _start int, _end int, _anchor long")
+    return rows.mapInArrow(run, f"_id {kind}, _h long, _start int, _end int, _low int, _high int, _anchor long")
 
 
 def _windows(passages: DataFrame, docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(_id, _h, _at, _start, _end, _digest): the windows of ``min_words`` + 1 words that hold a repeated anchor.
 
-    Windows inside one of ``passages`` are left out: its first document, which comes earlier, holds them too.
+    Windows inside one of ``passages`` are left out: its first document, which comes earlier, holds them too. So an
+    anchor all of whose windows are left out does not count, and the first document's windows need no digest either
+    where all its followers are covered.
     """
     size = min_words + 1
-    table_of = _anchor_table(docs, id_col, text_col, size)
-    often = stage(table_of.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_anchor"), "anchors")
-    found = table_of.where(may_be_among(F.col("_anchor"), often)).join(often, "_anchor", "left_semi")
+    key = null_safe(F.col("_id")).alias("_key")
     spot = F.struct(F.col("_start").alias("a"), F.col("_end").alias("b"))
-    marks = found.select("_id", "_h", spot.alias("_near"), F.lit(None).cast("struct<a:int,b:int>").alias("_gone")).unionByName(
-        passages.select("_id", "_h", F.lit(None).cast("struct<a:int,b:int>").alias("_near"), spot.alias("_gone")))
-    marks = stage(marks.groupBy(null_safe(F.col("_id")).alias("_key"), "_h").agg(
-        F.collect_set("_near").alias("_near"), F.collect_set("_gone").alias("_gone")), "marks")
+    gone = stage(passages.groupBy(key, "_h").agg(F.collect_set(spot).alias("_gone")), "gone")
+    around = stage(_anchor_table(docs, id_col, text_col, size).select(key, "_h", "_start", "_end", "_low", "_high", "_anchor"), "around")
+    covered = F.exists("_gone", lambda x: (x["a"] <= F.col("_low")) & (F.col("_high") <= x["b"]))
+    maybe = may_be_among(F.col("_h"), gone.select("_h"))
+    open_ = around.where(~maybe).unionByName(
+        around.where(maybe).join(gone, ["_key", "_h"], "left").where(~F.coalesce(covered, F.lit(False))).drop("_gone"))
+    often = stage(open_.groupBy("_anchor").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_anchor"), "anchors")
+    found = open_.where(may_be_among(F.col("_anchor"), often)).join(often, "_anchor", "left_semi")
+    near = found.groupBy("_key", "_h").agg(F.collect_set(spot).alias("_near"))
+    marks = stage(near.join(gone, ["_key", "_h"], "left").withColumn("_gone", F.coalesce("_gone", F.array())), "marks")
+    release(around)
     text = whole(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), null_safe(F.col(id_col)).alias("_key"), F.xxhash64(text).alias("_h"), text.alias("_text"))
     rows = rows.where(may_be_among(F.col("_h"), marks.select("_h")))
-    rows = rows.join(marks.where(F.size("_near") > 0), ["_key", "_h"]).select("_id", "_h", "_text", "_near", "_gone")
+    rows = rows.join(marks, ["_key", "_h"]).select("_id", "_h", "_text", "_near", "_gone")
     kind = rows.schema["_id"].dataType.simpleString()
     names = ["_id", "_h", "_at", "_start", "_end", "_digest"]
 
@@ -349,13 +359,19 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cut = chunks(docs, id_col, text_col)
     often = stage(cut.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"), "digests")
     found = stage(cut.where(may_be_among(F.col("_digest"), often)).join(often, "_digest", "left_semi"), "chunks")
-    runs = _runs(found, _firsts(found, "firsts"), "runs", F.sum("_words"))
+    firsts = _firsts(found, "firsts")
+    runs = _runs(found, firsts, "runs", F.sum("_words"))
+    for done in (often, found, firsts):
+        release(done)
     columns = ["_id", "_h", "_start", "_end", "_words", "_fid", "_fh", "_fstart", "_fend"]
     long = runs.where(F.col("_words") > min_words).select(*columns)
     short = runs.where((F.col("_words") <= min_words) & (F.col("_end") - F.col("_start") >= MIN_SEED))
     passages = stage(long.unionByName(_grown(short, docs, id_col, text_col, min_words).select(*columns)), "passages")
     windows = _windows(passages, docs, id_col, text_col, min_words)
-    more = _runs(windows, _firsts(windows, "window-firsts"), "window-runs", F.count(F.lit(1)) + min_words)
+    firsts = _firsts(windows, "window-firsts")
+    more = _runs(windows, firsts, "window-runs", F.count(F.lit(1)) + min_words)
+    for done in (windows, firsts):
+        release(done)
     passages = passages.unionByName(more.select(*columns))
 
     by_doc = Window.partitionBy("_id", "_h").orderBy("_start", "_end")

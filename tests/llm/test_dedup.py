@@ -135,6 +135,22 @@ def test_passages_that_earlier_documents_hold_in_parts(make_docs):
     assert {i for i in after if passage in after[i]} == {10} and after[1] == texts[1] and after[2] == texts[2]
 
 
+def test_windows_whose_followers_are_covered_need_no_digest(make_docs, monkeypatch):
+    shared, counts, stage = prose(90, 2000, 10**6), {}, substring_dedup.stage
+
+    def counted(df, name):
+        stored = stage(df, name)
+        counts[name] = stored.count()
+        return stored
+
+    monkeypatch.setattr(substring_dedup, "stage", counted)
+    rows = [(i, f"{prose(91 + i, 100, 10**6)} {shared} {prose(95 + i, 100, 10**6)}", "a") for i in range(3)]
+    found = substring_dedup.find_repeats(make_docs(rows)).where("not kept").collect()
+    assert sorted(r.doc_id for r in found) == [1, 2] and all(shared in rows[r.doc_id][1][r.start:r.end] for r in found)
+    # Only those that hold an anchor near an end of the passage, in each of three documents.
+    assert counts["windows"] < 900
+
+
 def test_passages_of_odd_rows(make_docs, odd_rows):
     found = substring_dedup.find_repeats(make_docs(odd_rows)).collect()
     assert {(r.doc_id, r.first_id, r.kept) for r in found} == {(1, 1, True), (2, 1, False), (None, 1, False), (6, 6, True), (7, 6, False)}
