@@ -11,6 +11,7 @@ from postlens.functions import values as val
 from postlens.operators import filters, respelling
 from postlens.plans import common as c
 from postlens.plans.common import BASE_URL, Query, table
+from postlens.session import materialize
 from postlens.sources import posts
 
 
@@ -123,6 +124,8 @@ _MARKED = ("éèêàçôîûäöüßñáíóú", "eeeacoiuaousnaiou")
 def _plain_documents(spark, folder):
     """Normalised documents, and the same with their marks lost."""
     docs = table(spark, folder, "documents").select("doc_id", "lang", F.lower(tx.squash_ws(F.regexp_replace("text", r"[\p{P}\p{S}]", ""))).alias("text"))
+    # Read four times, so normalised once.
+    docs = materialize(docs, "plain-documents", "zstd")
     return docs, docs.withColumn("text", respelling.fold(F.col("text"), _MARKED))
 
 

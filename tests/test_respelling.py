@@ -2,6 +2,9 @@ import itertools
 import math
 import random
 import time
+from collections import Counter
+
+import pytest
 
 from postlens.operators import respelling as sp
 
@@ -71,3 +74,46 @@ def test_a_long_text_takes_time_in_proportion(spark):
     assert sp.restore(folded, spelling, ["id"]).first().restored == text
     assert sp.restore(folded, spelling, ["id"], neighbours=False).first().restored == text
     assert time.monotonic() - begin < 60
+
+
+def _by_all_paths(words, forms, pairs):
+    """The path with the largest product; of equal ones the one with the earlier forms, from the last word back."""
+    options = [forms.get(w, [(w, 0)]) if w == w.translate(str.maketrans(*sp.TURKISH)) else [(w, 0)] for w in words]
+
+    def key(path):
+        own = math.prod(1 + options[i][k][1] for i, k in enumerate(path))
+        near = math.prod(1 + pairs.get((options[i][k][0], options[i + 1][m][0]), 0) for i, (k, m) in enumerate(zip(path, path[1:])))
+        return own * near, [-k for k in path[::-1]]
+    best = max(itertools.product(*[range(len(o)) for o in options]), key=key, default=())
+    return " ".join(options[i][k][0] for i, k in enumerate(best))
+
+
+@pytest.mark.parametrize("hot", [0, 5, 1 << 16])
+def test_bounds_and_joins_leave_the_best_path(spark, monkeypatch, hot):
+    monkeypatch.setattr(sp, "HOT", hot)
+    rng = random.Random(11)
+    words = ["su", "şu", "kus", "kuş", "küs", "on", "ön", "dag", "dağ", "ev", "bir", "iç"]
+    corpus = [" ".join(rng.choices(words, weights=[9, 2, 7, 3, 1, 30, 1, 2, 2, 5, 5, 4], k=rng.randrange(1, 8))) for _ in range(120)]
+    forms, pairs = Counter(w for t in corpus for w in t.split()), Counter(p for t in corpus for p in itertools.pairwise(t.split()))
+    known = {}
+    for w, n in sorted(forms.items(), key=lambda x: (-x[1], x[0])):
+        known.setdefault(w.translate(str.maketrans(*sp.TURKISH)), []).append((w, n))
+    asked = [(i, " ".join(rng.choices([*known, "yok", "önce", "ön"], k=rng.randrange(0, 7)))) for i in range(150)]
+    asked += [(None, "kus su"), (200, "kus"), (200, "su on dag"), (200, "kus")]
+    spelling = sp.learn(spark.createDataFrame([(t,) for t in corpus], "text string"))
+    got = sorted((str(r.id), r.restored) for r in sp.restore(spark.createDataFrame(asked, "id int, text string"), spelling, ["id"]).collect())
+    # Texts that share their keys are read word by word beside each other.
+    merged = _by_all_paths(["kus", "kus", "su", "on", "dag"], known, pairs)
+    assert got == sorted([(str(i), _by_all_paths(t.split(), known, pairs)) for i, t in asked[:150]] + [("None", "")] + [("200", merged)] * 3)
+
+
+def test_only_neighbours_that_decide_are_counted(spark):
+    spelling = sp.learn(spark.createDataFrame([("ev bir su su bir ev", ), ("ev bir şu", )], "text string"))
+    assert sorted(tuple(r) for r in spelling.pairs.collect()) == [("bir", "su", 1), ("bir", "şu", 1), ("su", "bir", 1), ("su", "su", 1)]
+
+
+def test_equal_paths_are_told_apart_by_their_forms_wherever_they_are():
+    # (1 + 5)(1 + 2) and (1 + 2)(1 + 5), behind texts of different sums.
+    for n in range(200):
+        forms = [[("x", n), ("y", n + 1)], [("z", 3)], [("a", 5), ("b", 2)]]
+        assert sp.best_path(forms, [{}, {("z", "a"): 2, ("z", "b"): 5}, {}])[2] == "a"
