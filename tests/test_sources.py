@@ -204,3 +204,24 @@ def test_small_dumps_are_read_once(spark, tmp_path, monkeypatch):
     found = posts.read_posts(spark, str(tmp_path), shape="document")
     assert sorted(int(r["id"]) for r in found.entries.select("id").collect()) == list(range(300))
     assert found.metadata.count() == 300 and found.rejects.count() == 0
+
+
+def test_small_dumps_share_tasks(spark, tmp_path):
+    for i in range(400):
+        _write(tmp_path, f"d{i}.json", json.dumps({"metadata": {"n": i}, "entries": [{**ENTRIES[0], "id": str(i)}]}, indent=1))
+    frame = splits._ranges(spark, str(tmp_path), "}")
+    small = splits._packed(frame.where(~splits._cut(spark)))
+    assert small.rdd.getNumPartitions() <= 8 < frame.rdd.getNumPartitions()
+    found = posts.read_posts(spark, str(tmp_path), shape="document")
+    assert sorted(int(r.id) for r in found.entries.collect()) == list(range(400))
+    assert sorted(json.loads(r.value)["n"] for r in found.metadata.collect()) == list(range(400)) and found.rejects.isEmpty()
+
+
+def test_dumps_of_turns_are_files_of_their_own(spark, tmp_path, monkeypatch):
+    talks = [(c, t, "user" if t else None, f"söz }} {c} {t}") for c in range(3) for t in range(4)] + [(None, 1, "user", "x"), (0, 0, None, "söz } 0 0")]
+    spark.createDataFrame(talks, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(ingest, "scratch_path", lambda spark, name: str(tmp_path / name))
+    rows = {(r.field, r.value): r.n for r in ingest.read_dumps(spark, str(tmp_path)).collect()}
+    files = [f.name for f in (tmp_path / "dumps").iterdir() if f.name.startswith(("part-", ".part-"))]
+    assert files and not [f for f in files if f.endswith(".crc")]
+    assert rows["metadata", '{"total_entries":1,"topics":["1"]}'] == 4 and len([f for f, _ in rows if f == "entry"]) >= 11
