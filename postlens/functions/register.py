@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postlens.functions import text as tx
 
@@ -16,9 +22,17 @@ SQL_FUNCTIONS = {
 }
 
 
+@F.arrow_udf(T.StringType())
+def _unescape_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Whole texts, for a caller in SQL; ``text.html_unescape`` sends references only."""
+    for batch in batches:
+        for at in range(0, len(batch), tx.SLICE):
+            yield pa.array([None if t is None else html.unescape(t) for t in batch.slice(at, tx.SLICE).to_pylist()], pa.string())
+
+
 def register(spark: SparkSession) -> None:
     """Register ``html_unescape``, ``nfc`` and the pure SQL functions for this session."""
-    spark.udf.register("html_unescape", tx._unescape)
+    spark.udf.register("html_unescape", _unescape_text)
     spark.udf.register("nfc", tx._compose)
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
