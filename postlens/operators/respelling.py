@@ -17,10 +17,11 @@ from collections.abc import Iterator
 from functools import reduce
 from math import inf, log1p
 from typing import NamedTuple
-from zlib import crc32
+from zlib import compress, crc32, decompress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,12 +143,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _count_pairs(bits: bytes, letters: tuple[str, str]):
     """Neighbours of which one may have another form, with their counts."""
-    table = str.maketrans(*letters)
+    table, sent = str.maketrans(*letters), compress(bits, 1)
 
     def counted(counts: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = decompress(sent)
         choice = _Remembered(lambda w: _among(bits, "a" + w.translate(table)))
         counts: Counter = Counter()
         for batch in _slices(batches):
@@ -233,9 +235,10 @@ def _each_once(df: DataFrame, spelling: Spelling, keys: list[str]) -> DataFrame:
 
 def _beside_minor(bits: bytes):
     """Bits of a pair, ``(bit of a, bit of b, bit if b is, bit if a is)``, whose word may not be the most frequent of its forms."""
-    held = np.frombuffer(bits, np.uint8)
+    sent = compress(bits, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(decompress(sent), np.uint8)
         for batch in batches:
             of_a, of_b, left, right = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             found = [at[(held[own >> 3] >> (own & 7).astype(np.uint8) & 1) == 1] for own, at in ((of_b, left), (of_a, right))]
@@ -244,12 +247,23 @@ def _beside_minor(bits: bytes):
 
 
 class _Sources(NamedTuple):
-    """What every task holds: the filter, and what is said of frequent words and of frequent folded pairs, as columns: they are sent to every task."""
+    """What every task holds, as it is sent to them: the filter, and what is said of frequent words and of frequent folded pairs."""
 
     bits: bytes
-    hot: pa.Table
+    hot: bytes
     letters: tuple[str, str]
 
+    def opened(self) -> tuple[bytes, list[tuple[str, str]]]:
+        hot = pa.ipc.open_stream(decompress(self.hot)).read_all()
+        return decompress(self.bits), list(zip(hot["_ask"].to_pylist(), hot["_said"].to_pylist()))
+
+
+def _sent(bits: bytes, hot: pa.Table, letters: tuple[str, str]) -> _Sources:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, hot.schema) as stream:
+        stream.write_table(hot)
+    return _Sources(compress(bits, 1), compress(out.getvalue(), 1), letters)
+
 
 def _places(words: list[str], chosen, folded, bits: bytes) -> list[int]:
     """Places of the words (those ``chosen`` says) that may be other than their most frequent form.
@@ -264,11 +278,11 @@ def _places(words: list[str], chosen, folded, bits: bytes) -> list[int]:
 
 def _ask(keys: int, sources: _Sources, neighbours: bool):
     """Rows ``(keys…, text)`` to ``(keys…, ask)``: the words, and the folded pairs, that the text needs to be told of."""
-    bits, held, letters = sources
-    table = str.maketrans(*letters)
+    table = str.maketrans(*sources.letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = set(held["_ask"].to_pylist())
+        bits, frequent = sources.opened()
+        hot = {ask for ask, _ in frequent}
         folded = _Remembered(lambda w: w.translate(table))
         wanted = _Remembered(lambda w: w not in hot and w.translate(table) == w and _among(bits, "k" + w))
         choice = _Remembered(lambda w: w.translate(table) == w and _among(bits, "a" + w))
@@ -301,10 +315,9 @@ def _heard(said: str, words: dict[str, list], counts: dict[tuple[str, str], int]
 
 def _follow(keys: int, sources: _Sources, neighbours: bool):
     """Rows ``(keys…, value, copies)``, to each text's keys first what it asked for, without copies, then the text, to ``(keys…, restored)``."""
-    bits, held, letters = sources
-    table = str.maketrans(*letters)
+    table = str.maketrans(*sources.letters)
 
-    def restored(text: str, hot: dict, frequent: dict, words: dict, counts: dict, folded: dict) -> str:
+    def restored(text: str, bits: bytes, hot: dict, frequent: dict, words: dict, counts: dict, folded: dict) -> str:
         found = _words(text)
         path = [known[0][0] if (known := frequent.get(w) or words.get(w)) else w for w in found]
         if not neighbours:
@@ -332,7 +345,8 @@ def _follow(keys: int, sources: _Sources, neighbours: bool):
         folded = _Remembered(lambda w: w.translate(table))
         frequent: dict[str, list] = {}
         hot: dict[str, str] = {}
-        for ask, said in zip(held["_ask"].to_pylist(), held["_said"].to_pylist()):
+        bits, listed = sources.opened()
+        for ask, said in listed:
             if said[0] == " ":
                 _heard(said, frequent, {}, table)
             else:
@@ -345,7 +359,7 @@ def _follow(keys: int, sources: _Sources, neighbours: bool):
                 if copies is None:
                     _heard(value, words, counts, table)
                     continue
-                rows += [restored(value, hot, frequent, words, counts, folded)] * copies
+                rows += [restored(value, bits, hot, frequent, words, counts, folded)] * copies
                 at += [place] * copies
                 words, counts = {}, {}
             columns = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:keys]]
@@ -391,7 +405,8 @@ def restore(df: DataFrame, spelling: Spelling, keys: list[str], column: str = "t
         pair = F.concat_ws(" ", *folded)
         beside = counted.select(_mark("m", F.col("a")).alias("a"), _mark("m", F.col("b")).alias("b"), _mark("l", pair).alias("left"), _mark("r", pair).alias("right"))
         bits = _filter(beside.mapInArrow(_beside_minor(bits), "at long"), bits)
-    sources = _Sources(bits, hot.combine_chunks(), spelling.letters)
+    sources = _sent(bits, hot, spelling.letters)
+    release_shuffles(df.sparkSession)
     of_key = df.select(*keys).schema.fields
     asked = rows.select(*keys, "_text").mapInArrow(_ask(len(keys), sources, neighbours), T.StructType([*of_key, T.StructField("_ask", T.StringType())]))
     answers = asked.join(parts.select("_ask", "_said"), "_ask").select(*keys, F.col("_said").alias("_value"), F.lit(None).cast("int").alias("_copies"))
