@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from postlens.functions import text as tx
 
+#: Texts that a Python task holds as objects at a time.
+SLICE = tx.SLICE
+
 SQL_FUNCTIONS = {
     "squash_ws": (r"(t STRING) RETURNS STRING RETURN "
                   r"trim(regexp_replace(t, r'[\s\x1c-\x1f\x85\p{Z}]+', ' '))"),
@@ -26,8 +29,8 @@ SQL_FUNCTIONS = {
 def _unescape_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Whole texts, for a caller in SQL; ``text.html_unescape`` sends references only."""
     for batch in batches:
-        for at in range(0, len(batch), tx.SLICE):
-            yield pa.array([None if t is None else html.unescape(t) for t in batch.slice(at, tx.SLICE).to_pylist()], pa.string())
+        for at in range(0, len(batch), SLICE):
+            yield pa.array([None if t is None else html.unescape(t) for t in batch.slice(at, SLICE).to_pylist()], pa.string())
 
 
 def register(spark: SparkSession) -> None:
